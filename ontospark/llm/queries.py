@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, warc
+from . import chat, linededup, packing, sharding, simhash, warc
 from .common import table, written
 
 
@@ -64,5 +64,52 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
-QUERIES = {"op1_warc": op1_warc, "op5_chat": op5_chat}
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op5_chat": OP5_SQL}
+def vocabulary_files() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenized and packed into sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), *vocabulary_files(), capacity=1024, end=2)
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=3, width=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are in ten documents or more, dropped from all of them."""
+    done = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least_docs=10)
+    return done.select("row.doc_id", "n_lines", "n_dropped", F.sha2("row.text", 256).alias("kept_sha256"))
+
+
+_KEY = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+     s AS (SELECT r, doc_id, string_split(text, chr(10)) AS parts FROM d),
+     l AS (SELECT r, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM s),
+     k AS (SELECT r, doc_id, i, line, {_KEY} AS k FROM l),
+     g AS (SELECT k FROM k WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10),
+     m AS (SELECT k.*, g.k IS NOT NULL AS gone FROM k LEFT JOIN g USING (k))
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r, doc_id
+"""
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents dealt uniformly to shards 0 to 39, whose counts differ by one at most."""
+    text = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    dealt = sharding.uniform_shards(sharding.with_places(rows, "rows"), 40, seed=42)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {"op1_warc": op1_warc, "op5_chat": op5_chat, "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op8_linededup": op8_linededup, "op9_sharding": op9_sharding}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op5_chat": OP5_SQL, "op8_linededup": OP8_SQL}

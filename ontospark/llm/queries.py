@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, packing, sharding, simhash, warc
+from . import brown, chat, decontam, linededup, packing, quality, sharding, simhash, telephony, warc
 from .common import table, written
 
 
@@ -111,5 +111,32 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op5_chat": op5_chat, "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op8_linededup": op8_linededup, "op9_sharding": op9_sharding}
+def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as telephony audio in a column, read back and decoded."""
+    stored = telephony.stored(table(spark, sf_dir, "documents"), 576)
+    return telephony.features(written(stored, "media"))
+
+
+def op3_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class n-gram scores of all documents; those with crc32(doc_id) mod 7 = 2 are held out."""
+    held = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8")) % 7 == 2
+    return brown.score_documents(table(spark, sf_dir, "documents"), held)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality, toxicity, site prior and decision for every document."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with its tiled words."""
+    found = decontam.flagged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    leak = found.where(F.size("leaks") > 0).select("row.doc_id", F.explode("leaks").alias("x"))
+    return leak.select("doc_id", "x.item_id", "x.matched", "x.item_words", "x.coverage", F.size("x.tiles").alias("n_tiles"))
+
+
+QUERIES = {
+    "op1_warc": op1_warc, "op2_telephony": op2_telephony, "op3_brown": op3_brown, "op4_quality": op4_quality, "op5_chat": op5_chat,
+    "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op8_linededup": op8_linededup, "op9_sharding": op9_sharding, "op10_decontam": op10_decontam,
+}
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op5_chat": OP5_SQL, "op8_linededup": OP8_SQL}

@@ -6,8 +6,6 @@ that can hold it and reads only their columns. Keys make every branch a set; onl
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +52,21 @@ def money(x: str) -> Column:
     return F.col(x).cast("decimal(18,2)").cast("string")
 
 
+_plans: dict[tuple[str, str, int], DataFrame] = {}
+
+
 def graph(spark: SparkSession, sf_dir: str, version: int = 1) -> DataFrame:
-    """The graph of one version: version 2 lacks some customers, has some other labels and some new classes."""
+    """The graph of one version: version 2 lacks some customers, has some other labels and some new classes.
+
+    Only the plan is remembered for a session and folder, as its many branches take seconds to analyze; no data is.
+    """
+    key = (spark._jsparkSession.sessionUUID(), sf_dir, version)
+    if key not in _plans:
+        _plans[key] = _graph(spark, sf_dir, version)
+    return _plans[key]
+
+
+def _graph(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     region, nation, customer, part, supplier, orders, lineitem, documents, events = map(read, ("region", "nation", "customer", "part", "supplier", "orders", "lineitem", "documents", "events"))
     if version == 2:
@@ -100,4 +111,6 @@ def graph(spark: SparkSession, sf_dir: str, version: int = 1) -> DataFrame:
     if version == 2:
         vip = customer.where("c_custkey % 13 = 0")
         branches += [_triples(vip, _iri("VIP_", "c_custkey"), v.TYPE, v.OWL_CLASS), _triples(vip, _iri("VIP_", "c_custkey"), v.SUBCLASS, cus)]
-    return reduce(DataFrame.unionByName, branches)
+    while len(branches) > 1:  # in pairs: each level is analyzed once
+        branches = [a.unionAll(b) if b is not None else a for a, b in zip(branches[::2], [*branches[1::2], None], strict=False)]
+    return branches[0]

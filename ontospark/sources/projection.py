@@ -52,6 +52,9 @@ def money(x: str) -> Column:
     return F.col(x).cast("decimal(18,2)").cast("string")
 
 
+#: Optimizer rule that copies the right side of a semi or anti join into every branch of a union on its left; with
+#: unions on both sides plans grow to thousands of scans.
+COPYING_RULES = ["org.apache.spark.sql.catalyst.optimizer.PushDownLeftSemiAntiJoin"]
 _plans: dict[tuple[str, str, int], DataFrame] = {}
 
 
@@ -60,6 +63,10 @@ def graph(spark: SparkSession, sf_dir: str, version: int = 1) -> DataFrame:
 
     Only the plan is remembered for a session and folder, as its many branches take seconds to analyze; no data is.
     """
+    for rule in COPYING_RULES:
+        excluded = spark.conf.get("spark.sql.optimizer.excludedRules", None) or ""
+        if rule not in excluded:
+            spark.conf.set("spark.sql.optimizer.excludedRules", ",".join(filter(None, [excluded, rule])))
     key = (spark._jsparkSession.sessionUUID(), sf_dir, version)
     if key not in _plans:
         _plans[key] = _graph(spark, sf_dir, version)

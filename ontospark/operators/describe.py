@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms
@@ -107,3 +109,32 @@ def metadata(g: DataFrame) -> DataFrame:
         best_literal([v.LABEL, v.DCTERMS + "title"]).alias("title"), best_literal([v.COMMENT, v.DCTERMS + "description"]).alias("description"),
         F.min(F.when(F.col("p") == v.VERSION_INFO, F.col("o"))).alias("version"), stats.counted(F.col("p") == v.IMPORTS).alias("n_imports"),
     )
+
+
+def hierarchy_summary(g: DataFrame) -> DataFrame:
+    """One row: classes, roots, orphans (neither parents nor children among the classes), deepest level, members of cycles."""
+    c = select.classes(g, True)
+    up = select.edges(g).where(~F.col("dst").isin(v.TOP_CLASSES))
+    inside = up.join(c.select(F.col("uri").alias("src")), "src", "left_semi").join(c.select(F.col("uri").alias("dst")), "dst", "left_semi")
+    roots = c.join(up.select(F.col("src").alias("uri")), "uri", "left_anti")
+    orphans = roots.join(inside.select(F.col("dst").alias("uri")), "uri", "left_anti")
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    deepest = hierarchy_depths(g).agg(F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("n")).select(F.lit("max_depth").alias("name"), "n")
+    parts = [count(c, "classes"), count(roots, "roots"), count(orphans, "orphans"), deepest, count(closure.cycle_members(inside), "in_cycles")]
+    names = ["classes", "roots", "orphans", "max_depth", "in_cycles"]
+    return reduce(DataFrame.unionByName, parts).agg(*(F.max(F.when(F.col("name") == x, F.col("n"))).alias(x) for x in names))
+
+
+def unimported(g: DataFrame) -> DataFrame:
+    """``ns, n`` of outside namespaces that are neither imported nor the vocabularies' own."""
+    return namespace_categories(g).where((F.col("category") == "external") & ~F.col("ns").isin(v.BUILTIN) & (F.col("ns") != "")).select("ns", "n")
+
+
+def class_tree(g: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """``parent, child, place``: children of each class in the order of their names; roots are children of nothing."""
+    c = select.classes(g, True)
+    inside = select.edges(g).join(c.select(F.col("uri").alias("src")), "src", "left_semi").join(c.select(F.col("uri").alias("dst")), "dst", "left_semi").distinct()
+    roots = c.join(inside.select(F.col("src").alias("uri")), "uri", "left_anti")
+    all_ = inside.select(F.col("dst").alias("parent"), F.col("src").alias("child")).unionByName(roots.select(F.lit("").alias("parent"), F.col("uri").alias("child")))
+    place = F.row_number().over(Window.partitionBy("parent").orderBy(terms.qname(F.col("child"), prefixes)))
+    return all_.select("parent", "child", place.cast("long").alias("place"))

@@ -101,3 +101,39 @@ def class_lines(g: DataFrame, chosen: DataFrame) -> DataFrame:
     r = g.where((F.col("p") == v.RANGE) & F.col("o").startswith(v.XSD)).select(F.col("s").alias("path"), terms.local_name(F.col("o")).alias("type"))
     own = d.join(r, "path").groupBy("uri").agg(F.array_join(F.array_sort(F.collect_set(F.concat(terms.local_name(F.col("path")), F.lit(" : "), "type"))), "; ").alias("attributes"))
     return chosen.join(own, "uri", "left").select(F.concat(F.lit("class "), terms.local_name(F.col("uri")), F.lit(" {"), F.coalesce("attributes", F.lit("")), F.lit("}")).alias("line"))
+
+
+def instances_of(g: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``uri, class``: what is typed by the chosen classes and no class itself."""
+    kinds = g.where((F.col("p") == v.TYPE) & (F.col("s_kind") == "iri")).select(F.col("s").alias("uri"), F.col("o").alias("class"))
+    return kinds.join(chosen.select(F.col("uri").alias("class")), "class", "left_semi").join(select.classes(g), "uri", "left_anti").select("uri", "class")
+
+
+def type_arrows(g: DataFrame, chosen: DataFrame, prefixes: dict[str, str], colour: str = "#FF0000") -> DataFrame:
+    """``line``: a coloured arrow from each instance to its class."""
+    name = lambda c: F.replace(terms.qname(F.col(c), prefixes), F.lit(":"), F.lit("."))
+    return instances_of(g, chosen).select(F.concat(name("uri"), F.lit(f" -u[{colour}]-> "), name("class"), F.lit(" : <<rdf:type>>")).alias("line"))
+
+
+def literal_notes(g: DataFrame, chosen: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """``line``: each literal of the instances' datatype properties as a note; a note's name is the hash of its triple, so
+    no task numbers all of them."""
+    inst = instances_of(g, chosen).select(F.col("uri").alias("s")).distinct()
+    data = select.typed(g, [v.DATATYPE_PROPERTY]).withColumnRenamed("uri", "p")
+    said = g.where("o_kind = 'literal'").join(data, "p", "left_semi").join(inst, "s", "left_semi")
+    note = F.concat(F.lit("N_"), F.substring(F.sha2(F.concat_ws("|", "s", "p", "o"), 256), 1, 12))
+    return said.select(F.concat(F.lit('note "'), F.replace("o", F.lit('"'), F.lit("'")), F.lit('" as '), note, F.lit(" / "), F.replace(terms.qname(F.col("s"), prefixes), F.lit(":"), F.lit(".")), F.lit(" .u. "), note, F.lit(" : <<"), terms.qname(F.col("p"), prefixes), F.lit(">>")).alias("line"))
+
+
+def styles(g: DataFrame, by_class: DataFrame, by_namespace: list[tuple[str, str]], default: str) -> DataFrame:
+    """``uri, style, how`` of the classes: an own style, else the nearest styled class above (ties: the smallest URI), else
+    that of the first namespace, else the default. ``by_class`` has ``uri, style``."""
+    c = select.classes(g, True)
+    s = by_class.select(F.col("uri").alias("dst"), "style")
+    above = closure.reach(select.edges(g)).join(s, "dst").where("src <> dst").groupBy(F.col("src").alias("uri")).agg(F.min_by("style", F.struct("dist", "dst")).alias("above"))
+    spaced = F.lit(None).cast("string")
+    for ns, style in reversed(by_namespace):
+        spaced = F.when(F.col("uri").startswith(ns), style).otherwise(spaced)
+    own = c.join(by_class.select("uri", F.col("style").alias("own")), "uri", "left").join(above, "uri", "left").withColumn("spaced", spaced)
+    how = F.when(F.col("own").isNotNull(), "own").when(F.col("above").isNotNull(), "inherited").when(F.col("spaced").isNotNull(), "namespace").otherwise("default")
+    return own.select("uri", F.coalesce("own", "above", "spaced", F.lit(default)).alias("style"), how.alias("how"))

@@ -62,6 +62,18 @@ def without_imports(g: DataFrame) -> DataFrame:
     return g.where(F.col("p") != v.IMPORTS)
 
 
+def with_imports(g: DataFrame, strategy: str, sources: list[str] = (), head: str | None = None) -> DataFrame:
+    """Imports kept (``preserve``, ``update``), dropped (``remove``), or kept with those of ``sources`` added to ``head`` (``merge``)."""
+    if strategy == "remove":
+        return without_imports(g)
+    if strategy not in ("preserve", "update", "merge"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    if strategy != "merge" or not sources or head is None:
+        return g.select(*TERM)
+    added = g.sparkSession.createDataFrame([(head, "iri", v.IMPORTS, x, "iri", "", "") for x in sources], ", ".join(f"{c} string" for c in TERM))
+    return union(g, added)
+
+
 def authoritative(new: DataFrame, existing: DataFrame, predicates: list[str]) -> DataFrame:
     """``new`` over ``existing``: where new has an authoritative predicate of a subject, the existing values go."""
     replaced = new.where(F.col("p").isin(predicates)).select("s", "p").distinct()

@@ -68,6 +68,37 @@ def path_star(g: DataFrame, predicate: str, s: str = "s", o: str = "o") -> DataF
     return path_plus(g, predicate, s, o).unionByName(nodes.select(s, F.col(s).alias(o))).distinct()
 
 
+def path_sequence(g: DataFrame, *predicates: str) -> DataFrame:
+    """``s, o`` joined by the predicates one after the other (``p1/p2/…``); a leading ``^`` walks one backwards."""
+    def step(p: str) -> DataFrame:
+        a, b = ("o", "s") if p.startswith("^") else ("s", "o")
+        e = g.where((F.col("p") == p.lstrip("^")) & (F.col("o_kind") != "literal")) if a == "o" else g.where(F.col("p") == p)
+        return e.select(F.col(a).alias("s"), F.col(b).alias("o"))
+
+    out = step(predicates[0])
+    for p in predicates[1:]:
+        out = out.withColumnRenamed("o", "mid").join(step(p).withColumnRenamed("s", "mid"), "mid").select("s", "o")
+    return out
+
+
+def path_alternative(g: DataFrame, *predicates: str) -> DataFrame:
+    """``s, o`` joined by any of the predicates (``p1|p2|…``), as often as they are."""
+    return g.where(F.col("p").isin(list(predicates))).select("s", "o")
+
+
+def construct(answers: DataFrame, *templates: tuple[str, str, str]) -> DataFrame:
+    """Triples ``s, p, o`` of IRIs from answers: one of each template for each answer, each once."""
+    part = lambda x: F.col(x[1:]) if x.startswith("?") else F.lit(x)
+    made = [answers.select(part(s).alias("s"), part(p).alias("p"), part(o).alias("o")) for s, p, o in templates]
+    return reduce(DataFrame.unionByName, made).where("s IS NOT NULL AND o IS NOT NULL").distinct()
+
+
+def totals(results: DataFrame) -> DataFrame:
+    """One row: how many tests passed, failed, broke and were skipped."""
+    n = lambda x: F.coalesce(F.sum(F.when(F.col("status") == x, 1).otherwise(0)), F.lit(0)).alias(x)
+    return results.agg(F.count("*").alias("total"), n("passed"), n("failed"), n("error"), n("skipped"))
+
+
 def has_results(df: DataFrame) -> bool:
     return not df.isEmpty()
 

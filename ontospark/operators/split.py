@@ -72,6 +72,19 @@ def module_stats(g: DataFrame, assigned: DataFrame) -> DataFrame:
     return kinds.join(sizes, "module", "left").select("module", "classes", "properties", F.coalesce("triples", F.lit(0)).alias("triples"))
 
 
+def imports(needed: DataFrame, explicit: dict[str, list[str]], base: str = "http://example.org/", suffix: str = ".ttl") -> DataFrame:
+    """``s, p, o``: a header for each module of ``dependencies``, its explicit imports and one for each module it needs."""
+    head = F.concat(F.lit(base), "module")
+    given = [needed.select("module").distinct().where(F.col("module") == m).select(head.alias("s"), F.lit(v.IMPORTS).alias("p"), F.lit(x).alias("o")) for m, xs in explicit.items() for x in xs]
+    own = [needed.select(head.alias("s"), F.lit(v.TYPE).alias("p"), F.lit(v.ONTOLOGY).alias("o")), needed.select(head.alias("s"), F.lit(v.IMPORTS).alias("p"), F.concat("needs", F.lit(suffix)).alias("o"))]
+    return reduce(DataFrame.unionByName, [*own, *given]).distinct()
+
+
+def totals(stats: DataFrame) -> DataFrame:
+    """One row over ``module_stats``."""
+    return stats.agg(F.count("*").alias("modules"), *(F.sum(c).alias(c) for c in ("classes", "properties", "triples")))
+
+
 def data_modules(g: DataFrame, assigned: DataFrame) -> DataFrame:
     """``s, p, …, module``: triples of individuals, in each module that one of their types belongs to."""
     kinds = g.where(F.col("p") == v.TYPE).select("s", F.col("o").alias("uri")).join(assigned.where("kind = 'class'").select("uri", "module"), "uri")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import vocab as v
+from ..operators.model import DATATYPES
 from ..sources.projection import EX, FIXED
 
 ORACLE_SQL: dict[str, str] = {}
@@ -406,3 +407,94 @@ sql("bgp_path_star", f"n AS (SELECT src AS x FROM e UNION SELECT dst FROM e), st
 sql("bgp_top", f"SELECT o AS part, count(*) AS n FROM g WHERE p = '{EX}contains' GROUP BY o ORDER BY n DESC, part LIMIT 25")
 sql("bgp_filter", f"SELECT a.o AS status, count(*) AS n FROM g a JOIN g b ON a.s = b.s AND b.p = '{EX}totalPrice' WHERE a.p = '{EX}status' AND a.o <> 'O' AND TRY_CAST(b.o AS DECIMAL(18,2)) > 300000 GROUP BY a.o")
 ORACLE_SQL["bgp_expectations"] = "SELECT * FROM (VALUES ('segments', 'passed'), ('building', 'passed'), ('six', 'failed'), ('any', 'passed'), ('none', 'passed'), ('broken', 'error')) AS t(name, status)"
+
+_lb = f"SELECT a.s AS c, a.o AS segment, b.o AS label FROM g a JOIN g b ON a.s = b.s AND b.p = '{v.LABEL}' WHERE a.p = '{v.SUBCLASS}'"
+sql("bgp_bind_values", f"lb AS ({_lb}), vals AS (SELECT * FROM (VALUES ('{EX}Segment_BUILDING', 1), ('{EX}Segment_MACHINERY', 2), ('{EX}Segment_NONE', 3)) AS t(segment, weight)) SELECT segment, upper(substr(label, 1, 3)) AS initial, count(*) AS n, avg(length(label) * weight) AS mean_size, max(label) AS last_label FROM lb JOIN vals USING (segment) GROUP BY ALL HAVING count(*) > 1")
+sql("bgp_regex_lang", f"SELECT o_lang, count(DISTINCT s) AS subjects, min(o) AS first_label FROM g WHERE p = '{v.LABEL}' AND o_kind = 'literal' AND regexp_matches(o, '^[A-Z][a-z]+') AND regexp_matches(lower(o_lang), '^(en|de|fr)(-|$)') GROUP BY o_lang")
+sql("bgp_order_offset", f"SELECT DISTINCT s AS c, o AS label FROM g WHERE p = '{v.LABEL}' ORDER BY o DESC, s LIMIT 40 OFFSET 10")
+NS2 = f"ns2 AS (SELECT DISTINCT a.o AS nation, b.o AS segment FROM g a JOIN g b ON a.s = b.s AND b.p = '{v.SUBCLASS}' AND contains(b.o, '#Segment_') WHERE a.p = '{v.SUBCLASS}' AND contains(a.o, '#Nation_'))"
+sql("bgp_group_concat", f"{NS2} SELECT nation, string_agg({local('segment')}, ',' ORDER BY {local('segment')}) AS segments FROM ns2 GROUP BY nation")
+sql("bgp_construct", f"{NS2} SELECT nation AS s, '{EX}serves' AS p, segment AS o FROM ns2 UNION SELECT segment, '{v.TYPE}', '{EX}Served' FROM ns2")
+sql("bgp_typed_literal", f"SELECT b.o AS property FROM g a JOIN g b ON a.s = b.s AND b.p = '{v.ON_PROPERTY}' WHERE a.p = '{v.MIN_CARD}' AND a.o_dt = '{v.XSD}nonNegativeInteger' AND TRY_CAST(a.o AS BIGINT) >= 3")
+sql("bgp_path_sequence", f"SELECT a.o AS s, count(*) AS n, min(b.o) AS first_part FROM g a JOIN g b ON a.s = b.s AND b.p = '{EX}contains' WHERE a.p = '{v.TYPE}' GROUP BY a.o")
+sql("bgp_path_alternative", f"SELECT o, count(*) AS n, count(DISTINCT s) AS subjects FROM g WHERE p IN {_in(v.DOMAIN, v.RANGE)} GROUP BY o")
+sql("bgp_subselect", f"t AS (SELECT a.o AS customer, count(*) AS n FROM g a JOIN g b ON a.s = b.s AND b.p = '{EX}status' WHERE a.p = '{v.TYPE}' GROUP BY a.o) SELECT customer, n FROM t WHERE n > 2 * (SELECT avg(n) FROM t)")
+ORACLE_SQL["cq_totals"] = f"SELECT count(*) AS total, count(*) FILTER (WHERE status = 'passed') AS passed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'error') AS error, count(*) FILTER (WHERE status = 'skipped') AS skipped FROM ({ORACLE_SQL['bgp_expectations']})"
+
+# more descriptions, diagrams, modules
+_in_c = "ie AS (SELECT DISTINCT src, dst FROM e WHERE src IN (SELECT uri FROM ci) AND dst IN (SELECT uri FROM ci))"
+_top = f"dst IN {_in(*v.TOP_CLASSES)}"
+sql("describe_hierarchy", f"""{_in_c}, ro AS (SELECT uri FROM ci WHERE uri NOT IN (SELECT src FROM e WHERE NOT {_top})), bd AS ({ORACLE_SQL['bfs_depth']})
+SELECT (SELECT count(*) FROM ci) AS classes, (SELECT count(*) FROM ro) AS roots, (SELECT count(*) FROM ro WHERE uri NOT IN (SELECT dst FROM ie)) AS orphans, (SELECT max(depth) FROM bd) AS max_depth, (SELECT count(*) FROM up WHERE src = dst AND src IN (SELECT uri FROM ci)) AS in_cycles""")
+ORACLE_SQL["describe_unimported"] = f"SELECT ns, n FROM ({ORACLE_SQL['namespace_categories']}) WHERE category = 'external' AND ns NOT IN {_in(*v.BUILTIN)} AND ns <> ''"
+sql("class_tree", f"{_in_c}, al AS (SELECT dst AS parent, src AS child FROM ie UNION ALL SELECT '', uri FROM ci WHERE uri NOT IN (SELECT src FROM ie)) SELECT parent, child, row_number() OVER (PARTITION BY parent ORDER BY {qname('child')}) AS place FROM al")
+EVC = f"ev AS (SELECT uri FROM ci WHERE contains(uri, '#EventType_') OR contains(uri, '#Customer_') AND uri LIKE '%1'), io AS (SELECT s AS uri, o AS class FROM g WHERE p = '{v.TYPE}' AND s_kind = 'iri' AND o IN (SELECT uri FROM ev) AND s NOT IN (SELECT uri FROM c))"
+_dot = lambda x: f"replace({qname(x)}, ':', '.')"
+sql("uml_instances", f"{EVC} SELECT class, count(*) AS n, min(uri) AS first_uri FROM io GROUP BY class")
+sql("uml_type_arrows", f"{EVC} SELECT {_dot('uri')} || ' -u[#FF0000]-> ' || {_dot('class')} || ' : <<rdf:type>>' AS line FROM io")
+_note = "'N_' || substr(sha256(s || '|' || p || '|' || o), 1, 12)"
+sql("uml_notes", f"{EVC} SELECT 'note \"' || replace(o, '\"', chr(39)) || '\" as ' || {_note} || ' / ' || {_dot('s')} || ' .u. ' || {_note} || ' : <<' || {qname('p')} || '>>' AS line FROM g WHERE o_kind = 'literal' AND p IN (SELECT s FROM g WHERE p = '{v.TYPE}' AND o = '{v.DATATYPE_PROPERTY}') AND s IN (SELECT uri FROM io)")
+sql("uml_styles", f"""gv AS (SELECT * FROM (VALUES ('{EX}Region_1', 'blue'), ('{EX}Nation_3', 'red'), ('{EX}Entity', 'grey'), ('{EX}Segment_BUILDING', 'brown')) AS t(dst, style)),
+dd AS (SELECT src, dst, 1 AS k FROM e UNION SELECT dd.src, e.dst, k + 1 FROM dd JOIN e ON dd.dst = e.src WHERE k < 12), dm AS (SELECT src, dst, min(k) AS k FROM dd WHERE src <> dst GROUP BY src, dst),
+ab AS (SELECT src AS uri, style FROM dm JOIN gv USING (dst) QUALIFY row_number() OVER (PARTITION BY src ORDER BY k, dst) = 1)
+SELECT ci.uri, coalesce(gv.style, ab.style, CASE WHEN starts_with(ci.uri, '{EX}type_') THEN 'green' END, 'white') AS style, CASE WHEN gv.style IS NOT NULL THEN 'own' WHEN ab.style IS NOT NULL THEN 'inherited' WHEN starts_with(ci.uri, '{EX}type_') THEN 'namespace' ELSE 'default' END AS how
+FROM ci LEFT JOIN gv ON gv.dst = ci.uri LEFT JOIN ab ON ab.uri = ci.uri""")
+ORACLE_SQL["split_imports"] = f"WITH d AS ({ORACLE_SQL['split_dependencies']}) SELECT 'http://example.org/' || module AS s, '{v.TYPE}' AS p, '{v.ONTOLOGY}' AS o FROM d UNION SELECT 'http://example.org/' || module, '{v.IMPORTS}', needs || '.ttl' FROM d UNION SELECT 'http://example.org/nations', '{v.IMPORTS}', 'http://example.org/upper.ttl' FROM d WHERE module = 'nations'"
+ORACLE_SQL["split_totals"] = f"SELECT count(*) AS modules, CAST(sum(classes) AS BIGINT) AS classes, CAST(sum(properties) AS BIGINT) AS properties, CAST(sum(triples) AS BIGINT) AS triples FROM ({ORACLE_SQL['split_module_stats']})"
+_re = lambda x, w: f"CASE WHEN {w} AND starts_with({x}, '{EX}') THEN 'http://example.org/v2#' || substr({x}, {len(EX) + 1}) ELSE {x} END"
+_iri_s, _iri_o = "s_kind = 'iri'", "o_kind = 'iri'"
+sql("merge_remapped", f"rm AS (SELECT s, s_kind, p, o, o_kind, o_dt, o_lang FROM g UNION SELECT {_re('s', _iri_s)}, s_kind, {_re('p', 'true')}, {_re('o', _iri_o)}, o_kind, o_dt, o_lang FROM h) SELECT {ns('s')} AS ns, count(*) AS n, count(DISTINCT p) AS predicates FROM rm GROUP BY 1", True)
+sql("scan_nquads", f"SELECT CASE WHEN o_kind = 'iri' THEN {ns('o')} ELSE '' END AS g, count(*) AS n, CAST(0 AS BIGINT) AS errors, count(DISTINCT p) AS predicates FROM g WHERE p NOT IN {_in(EX + 'by', EX + 'value')} GROUP BY 1")
+
+# class models
+_ty = lambda t: f"SELECT s FROM g WHERE p = '{v.TYPE}' AND s_kind = 'iri' AND o = '{t}'"
+_out = lambda p: f"SELECT s || ' -> ' || o AS entity FROM g WHERE p = '{p}' AND o_kind = 'iri' AND s IN ({_ty(v.OBJECT_PROPERTY)}) AND o NOT IN (SELECT uri FROM c)"
+_said = lambda p: f"(SELECT s FROM g WHERE p = '{p}')"
+sql("validate_graph", f"""al AS (SELECT 'UNTYPED_CLASS' AS code, 'warning' AS severity, s AS entity FROM g WHERE p = '{v.SUBCLASS}' AND s_kind = 'iri' AND s NOT IN (SELECT uri FROM c)
+UNION ALL SELECT 'MISSING_DOMAIN', 'info', s FROM ({_ty(v.OBJECT_PROPERTY)}) WHERE s NOT IN {_said(v.DOMAIN)}
+UNION ALL SELECT 'MISSING_RANGE', 'info', s FROM ({_ty(v.OBJECT_PROPERTY)} UNION ALL {_ty(v.DATATYPE_PROPERTY)}) WHERE s NOT IN {_said(v.RANGE)}
+UNION ALL SELECT 'UNDEFINED_DOMAIN', 'warning', entity FROM ({_out(v.DOMAIN)}) UNION ALL SELECT 'EXTERNAL_RANGE', 'info', entity FROM ({_out(v.RANGE)}))
+SELECT code, severity, entity, count(*) AS n FROM al GROUP BY ALL""")
+
+MODEL = """WITH RECURSIVE mc AS (SELECT lower(c_mktsegment) AS package, 'BigCustomer' || c_custkey AS name, CASE WHEN c_custkey % 5 = 0 THEN c_name END AS display, CASE WHEN c_acctbal < 0 THEN 'owes in ' || c_mktsegment END AS note FROM customer
+UNION ALL SELECT NULL, 'Nation' || n_nationkey, n_name, NULL FROM nation UNION ALL SELECT 'supply', 'BigCustomer' || s_suppkey, NULL, NULL FROM supplier WHERE s_suppkey % 10 = 0 UNION ALL SELECT 'supply', 'XMLSource' || s_suppkey, NULL, NULL FROM supplier),
+ma AS (SELECT lower(c_mktsegment) AS package, 'BigCustomer' || o_custkey AS class, 'orderTotalOf' || o_orderkey AS name, CASE WHEN o_orderkey % 11 > 0 THEN ['decimal', 'Int', 'xsd:date', 'money', 'text'][CAST(o_orderkey % 5 + 1 AS INT)] END AS datatype FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 3 > 0),
+mr AS (SELECT lower(c_mktsegment) || '.BigCustomer' || c_custkey AS source, 'Nation' || c_nationkey AS target, 'inheritance' AS kind, CAST(NULL AS VARCHAR) AS label FROM customer WHERE c_custkey % 4 > 0
+UNION ALL SELECT 'Nation' || n_nationkey, 'Nation' || ((n_nationkey + 1) % 3), 'inheritance', NULL FROM nation WHERE n_nationkey < 3
+UNION ALL SELECT 'Nation' || s_nationkey, CASE WHEN s_suppkey % 20 = 7 THEN 'Ghost' ELSE 'XMLSource' END || s_suppkey, 'association', CASE s_suppkey % 3 WHEN 1 THEN 'supplies goods To' WHEN 2 THEN 'hasSource-' || s_suppkey END FROM supplier),
+mq AS (SELECT *, CASE WHEN package IS NULL THEN name ELSE package || '.' || name END AS full_name FROM mc),
+"""
+MODEL_ISSUES = MODEL + f"""kn AS (SELECT name FROM mq UNION SELECT full_name FROM mq), en AS (SELECT source AS e FROM mr UNION ALL SELECT target FROM mr),
+ic AS (SELECT source AS a, target AS b FROM mr WHERE kind = 'inheritance' UNION SELECT ic.a, mr.target FROM ic JOIN mr ON ic.b = mr.source AND mr.kind = 'inheritance'),
+ii AS (SELECT 'DUPLICATE_CLASS' AS code, 'error' AS severity, name AS entity, count(*) - 1 AS n FROM mc GROUP BY name HAVING count(*) > 1
+UNION ALL SELECT 'UNKNOWN_CLASS', 'error', e, count(*) FROM en WHERE e NOT IN (SELECT name FROM kn) GROUP BY e UNION ALL SELECT 'INHERITANCE_CYCLE', 'error', a, 1 FROM ic WHERE a = b
+UNION ALL SELECT 'UNKNOWN_DATATYPE', 'warning', class || '.' || name, count(*) FROM ma WHERE lower(datatype) NOT IN {_in(*DATATYPES)} AND NOT starts_with(datatype, 'xsd:') GROUP BY 3
+UNION ALL SELECT 'ISOLATED_CLASS', 'info', name, count(*) FROM mc WHERE name NOT IN (SELECT e FROM en) AND NOT EXISTS (SELECT 1 FROM ma WHERE ma.class = mc.name AND ma.package IS NOT DISTINCT FROM mc.package) GROUP BY name) """
+ORACLE_SQL["model_issues"] = MODEL_ISSUES + "SELECT code, severity, entity, n FROM ii"
+ORACLE_SQL["model_issue_counts"] = MODEL_ISSUES + "SELECT code, severity, count(*) AS entities, CAST(sum(n) AS BIGINT) AS n FROM ii GROUP BY ALL"
+
+
+def model_sql(base: str) -> str:
+    """Tables on the WITH list up to ``mg``, the triples of the model."""
+    bare = base.rstrip("#/")
+    space = lambda p: f"CASE WHEN {p} IS NULL THEN '{base}' ELSE '{bare}/' || {p} || '#' END"
+    words = lambda x: f"lower(regexp_replace(regexp_replace({x}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'))"
+    kinds = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in DATATYPES.items())
+    row = lambda s, p, o, src, lit="": f"SELECT {s} AS s, 'iri' AS s_kind, '{p}' AS p, {o} AS o, '{'literal' if lit else 'iri'}' AS o_kind, '' AS o_dt, '{lit}' AS o_lang FROM {src}"
+    rows = [
+        row(f"'{bare}'", v.TYPE, f"'{v.ONTOLOGY}'", "(SELECT 1)"), row(f"'{bare}'", v.LABEL, "'Model'", "(SELECT 1)", "en"), row("uri", v.TYPE, f"'{v.OWL_CLASS}'", "mu"), row("uri", v.LABEL, f"coalesce(display, {words('name')})", "mu", "en"),
+        row("uri", v.COMMENT, "note", "mu WHERE note IS NOT NULL", "en"), row("uri", v.TYPE, f"'{v.DATATYPE_PROPERTY}'", "mt"), row("uri", v.DOMAIN, "owner", "mt"), row("uri", v.LABEL, words("name"), "mt", "en"),
+        row("uri", v.RANGE, f"'{v.XSD}' || CASE lower(trim(datatype)) {kinds} ELSE CASE WHEN starts_with(datatype, 'xsd:') THEN substr(datatype, 5) ELSE 'string' END END", "mt WHERE datatype IS NOT NULL"),
+        row("source_uri", v.SUBCLASS, "target_uri", "ml WHERE kind = 'inheritance'"), row("path", v.TYPE, f"'{v.OBJECT_PROPERTY}'", "mp"), row("path", v.DOMAIN, "source_uri", "mp"), row("path", v.RANGE, "target_uri", "mp"),
+        row("path", v.LABEL, f"coalesce(label, {words('own')})", "mp", "en"),
+    ]
+    return f"""mu AS (SELECT *, {space('package')} AS sp, {space('package')} || name AS uri FROM mq), mt AS (SELECT *, {space('package')} || name AS uri, {space('package')} || class AS owner FROM ma),
+nk AS (SELECT k, min(uri) AS uri, min_by(sp, uri) AS sp FROM (SELECT name AS k, uri, sp FROM mu UNION ALL SELECT full_name, uri, sp FROM mu) GROUP BY k),
+ml AS (SELECT mr.*, a.uri AS source_uri, a.sp AS source_sp, b.uri AS target_uri FROM mr JOIN nk a ON a.k = source JOIN nk b ON b.k = target),
+mo AS (SELECT *, CASE WHEN label IS NULL THEN 'has' || target WHEN contains(label, ' ') THEN regexp_replace(lower(string_split(label, ' ')[1]) || array_to_string(list_transform(string_split(label, ' ')[2:], lambda w: upper(w[1]) || lower(w[2:])), ''), '[^a-zA-Z0-9]', '', 'g') ELSE regexp_replace(label, '[^a-zA-Z0-9]', '', 'g') END AS own FROM ml WHERE kind <> 'inheritance'),
+mp AS (SELECT *, source_sp || own AS path FROM mo), mg AS ({' UNION '.join(rows)})"""
+
+
+ORACLE_SQL["model_to_graph"] = MODEL + model_sql("http://example.org/model#") + " SELECT s, p, o, o_lang FROM mg"
+_existing = f"SELECT s, s_kind, p, o, o_kind, o_dt, o_lang FROM g UNION SELECT * FROM mg WHERE NOT (p = '{v.LABEL}' AND s IN (SELECT s FROM g WHERE p = '{v.LABEL}'))"
+ORACLE_SQL["model_merged"] = MODEL + G + model_sql(EX) + f" SELECT p, count(*) AS n, count(DISTINCT s) AS subjects FROM ({_existing}) GROUP BY p"

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions import vocab as v
-from ..operators import closure, describe, diff, docs, lint, localise, merge, order, patterns, refactor, select, shacl, split, stats
+from ..operators import closure, describe, diff, docs, lint, localise, merge, model, order, patterns, refactor, select, shacl, split, stats, validate
+from ..sources import model as diagrams
 from ..sources import ntriples
 from ..sources.projection import EX, PREFIXES, graph
 from ..sources.scratch import written
@@ -603,3 +604,157 @@ def bgp_expectations(g):
         ("segments", seg, "values", names), ("building", seg, "contains", names.limit(2)), ("six", seg, "count", 6), ("any", seg, "has_results", True), ("none", seg.where("x = 'y'"), "ask", False),
         ("broken", seg, "values", few(g, "(1)", "nothing")),
     ]).select("name", "status")
+
+
+@query
+def bgp_bind_values(g):
+    """VALUES joined to a pattern, a computed column, and an aggregate with HAVING."""
+    seg = few(g, f"('{EX}Segment_BUILDING', 1), ('{EX}Segment_MACHINERY', 2), ('{EX}Segment_NONE', 3)", "segment, weight")
+    each = patterns.joined(patterns.bgp(g, ("?c", v.SUBCLASS, "?segment"), ("?c", v.LABEL, "?label")), seg)
+    bound = each.withColumn("initial", F.upper(F.substr("label", F.lit(1), F.lit(3)))).withColumn("size", F.length("label") * F.col("weight"))
+    return bound.groupBy("segment", "initial").agg(F.count("*").alias("n"), F.avg("size").alias("mean_size"), F.max("label").alias("last_label")).where("n > 1")
+
+
+@query
+def bgp_regex_lang(g):
+    """FILTER on the form and the language of literals."""
+    told = g.where((F.col("p") == v.LABEL) & (F.col("o_kind") == "literal") & F.col("o").rlike("^[A-Z][a-z]+") & F.lower("o_lang").rlike("^(en|de|fr)(-|$)"))
+    return told.groupBy("o_lang").agg(F.count_distinct("s").alias("subjects"), F.min("o").alias("first_label"))
+
+
+@query
+def bgp_order_offset(g):
+    """ORDER BY with LIMIT and OFFSET."""
+    return patterns.pattern(g, "?c", v.LABEL, "?label").select("c", "label").distinct().orderBy(F.desc("label"), "c").offset(10).limit(40)
+
+
+@query
+def bgp_group_concat(g):
+    """Classes of each nation's segments as one sorted text."""
+    each = patterns.bgp(g, ("?c", v.SUBCLASS, "?nation"), ("?c", v.SUBCLASS, "?segment")).where(F.col("nation").contains("#Nation_") & F.col("segment").contains("#Segment_"))
+    return each.groupBy("nation").agg(F.array_join(F.array_sort(F.collect_set(terms.local_name(F.col("segment")))), ",").alias("segments"))
+
+
+@query
+def bgp_typed_literal(g):
+    """Literals of a datatype, compared by value."""
+    low = g.where((F.col("p") == v.MIN_CARD) & (F.col("o_dt") == v.XSD + "nonNegativeInteger") & (F.col("o").cast("long") >= 3)).select(F.col("s").alias("r"))
+    return patterns.joined(low, patterns.pattern(g, "?r", v.ON_PROPERTY, "?property")).select("property")
+
+
+@query
+def bgp_path_sequence(g):
+    """Who contains what, from the order's customer to the part: ^type/contains."""
+    found = patterns.path_sequence(g, "^" + v.TYPE, EX + "contains")
+    return found.groupBy("s").agg(F.count("*").alias("n"), F.min("o").alias("first_part"))
+
+
+@query
+def bgp_path_alternative(g):
+    return patterns.path_alternative(g, v.DOMAIN, v.RANGE).groupBy("o").agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"))
+
+
+@query
+def bgp_construct(g):
+    """CONSTRUCT: nations serve the segments of their customers."""
+    each = patterns.bgp(g, ("?c", v.SUBCLASS, "?nation"), ("?c", v.SUBCLASS, "?segment")).where(F.col("nation").contains("#Nation_") & F.col("segment").contains("#Segment_"))
+    return patterns.construct(each, ("?nation", EX + "serves", "?segment"), ("?segment", v.TYPE, EX + "Served"))
+
+
+@query
+def bgp_subselect(g):
+    """Customers above the mean of their orders' number."""
+    n = patterns.bgp(g, ("?order", v.TYPE, "?customer"), ("?order", EX + "status", "?status")).groupBy("customer").agg(F.count("*").alias("n"))
+    return n.where(F.col("n") > 2 * n.agg(F.avg("n")).scalar())
+
+
+@query
+def cq_totals(g):
+    return patterns.totals(bgp_expectations(g))
+
+
+# --- more descriptions, diagrams, modules
+
+
+uris("describe_hierarchy", describe.hierarchy_summary)
+uris("describe_unimported", describe.unimported)
+QUERIES["class_tree"] = lambda spark, sf: describe.class_tree(graph(spark, sf), PREFIXES)
+
+
+def _events(g: DataFrame) -> DataFrame:
+    return select.classes(g, True).where(F.col("uri").contains("#EventType_") | (F.col("uri").contains("#Customer_") & F.col("uri").endswith("1")))
+
+
+@query
+def uml_instances(g):
+    return docs.instances_of(g, _events(g)).groupBy("class").agg(F.count("*").alias("n"), F.min("uri").alias("first_uri"))
+
+
+@query
+def uml_type_arrows(g):
+    return docs.type_arrows(g, _events(g), PREFIXES)
+
+
+@query
+def uml_notes(g):
+    return docs.literal_notes(g, _events(g), PREFIXES)
+
+
+@query
+def uml_styles(g):
+    given = few(g, f"('{EX}Region_1', 'blue'), ('{EX}Nation_3', 'red'), ('{EX}Entity', 'grey'), ('{EX}Segment_BUILDING', 'brown')", "uri, style")
+    return docs.styles(g, given, [(EX + "type_", "green")], "white")
+
+
+@query
+def split_imports(g):
+    return split.imports(split.dependencies(g, written(split.assign(g, MODULES))), {"nations": ["http://example.org/upper.ttl"]})
+
+
+@query
+def split_totals(g):
+    return split.totals(split.module_stats(g, written(split.assign(g, MODULES))))
+
+
+@versions
+def merge_remapped(old, new):
+    """A source whose namespace is replaced as it is read."""
+    return merge.union(old, refactor.rename_namespaces(new, [(EX, NEW)])).groupBy(terms.namespace(F.col("s")).alias("ns")).agg(F.count("*").alias("n"), F.count_distinct("p").alias("predicates"))
+
+
+@query
+def scan_nquads(g):
+    """The graph as N-Quads in a named graph for each namespace, parsed and flattened again."""
+    some = g.where(~F.col("p").isin(EX + "by", EX + "value"))
+    back = ntriples.parse(ntriples.quad_lines(some, terms.namespace(F.when(F.col("o_kind") == "iri", F.col("o")))))
+    return back.groupBy("g").agg(F.count("*").alias("n"), F.count("error").alias("errors"), F.count_distinct("p").alias("predicates"))
+
+
+# --- class models
+
+
+@query
+def validate_graph(g):
+    return validate.graph_issues(g)
+
+
+def model_to_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """The tables' class model as an ontology."""
+    return model.to_graph(*diagrams.tables(spark, sf), "http://example.org/model#", "Model").select("s", "p", "o", "o_lang")
+
+
+def model_issues(spark: SparkSession, sf: str) -> DataFrame:
+    return validate.model_issues(*diagrams.tables(spark, sf))
+
+
+def model_issue_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return validate.counts(model_issues(spark, sf))
+
+
+def model_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """The ontology of the model over an existing one: labels of the existing one stay."""
+    made = model.to_graph(*diagrams.tables(spark, sf), EX, "Model")
+    return merge.authoritative(graph(spark, sf), made, [v.LABEL]).groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"))
+
+
+QUERIES |= {f.__name__: f for f in (model_to_graph, model_issues, model_issue_counts, model_merged)}

@@ -148,3 +148,49 @@ def test_entry_without_the_training_subpackage(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'stats_basic' in q and not any(x.startswith('op1_') for x in q) and set(q) == set(e.oracle_sql())"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin", "PYTHONPATH": str(tmp_path)}, timeout=120)
+
+
+def test_model_names(spark):
+    from ontospark.operators import model
+
+    one = lambda f, *xs: [r.x for r in spark.createDataFrame([(x,) for x in xs], "a string").select(f(F.col("a")).alias("x")).collect()]
+    assert one(model.camel_to_label, "FloorArea", "hasBuilding", "XMLSource", "") == ["floor area", "has building", "xml source", ""]
+    assert one(model.label_to_property, "hasFloor", "has floor", " is  located in ", "has-Floor!", None) == ["hasFloor", "hasFloor", "isLocatedIn", "hasFloor", None]
+    assert [x.rsplit("#", 1)[1] for x in one(model.datatype, "Int", " text", "xsd:gDay", "money", "gYear")] == ["integer", "string", "gDay", "string", "gYear"]
+
+
+def test_model_of_empty_and_ambiguous_classes(spark):
+    from ontospark.operators import model, validate
+
+    attributes = spark.createDataFrame([], "package string, class string, name string, datatype string")
+    classes = spark.createDataFrame([("b", "A", None, None), ("a", "A", "An A", "n"), (None, "B", None, None)], "package string, name string, display string, note string")
+    relations = spark.createDataFrame([("A", "B", "inheritance", None), ("b.A", "B", "association", "is part of"), ("A", "C", "association", None)], "source string, target string, kind string, label string")
+    made = {(r.s, r.p, r.o) for r in model.to_graph(classes, attributes, relations, "http://x/m#", "M").collect()}
+    sub, dom = "http://www.w3.org/2000/01/rdf-schema#subClassOf", "http://www.w3.org/2000/01/rdf-schema#domain"
+    assert ("http://x/m/a#A", sub, "http://x/m#B") in made and ("http://x/m/b#isPartOf", dom, "http://x/m/b#A") in made
+    assert len([x for x in made if x[1] == dom]) == 1
+    found = {(r.code, r.entity, r.n) for r in validate.model_issues(classes, attributes, relations).collect()}
+    assert found == {("DUPLICATE_CLASS", "A", 1), ("UNKNOWN_CLASS", "C", 1)}
+    nothing = model.to_graph(classes.limit(0), attributes, relations.limit(0), "http://x/m#", "M")
+    assert nothing.count() == 2 and validate.model_issues(classes.limit(0), attributes, relations.limit(0)).isEmpty()
+
+
+def test_quads_and_imports(spark):
+    from ontospark.operators import merge
+    from ontospark.sources import ntriples
+
+    g = spark.createDataFrame([("http://x/s", "iri", "http://x/p", 'say "a" .', "literal", "", "en"), ("b0", "bnode", "http://x/p", "http://x/o", "iri", "", "")], "s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string")
+    back = ntriples.parse(ntriples.quad_lines(g, F.when(F.col("s_kind") == "iri", "http://x/g")))
+    assert sorted((r.g, r.s, r.o, r.error) for r in back.collect()) == [("", "b0", "http://x/o", None), ("http://x/g", "http://x/s", 'say "a" .', None)]
+    kept = merge.with_imports(g, "merge", ["http://x/other"], "http://x/")
+    assert kept.count() == 3 and merge.with_imports(kept, "remove").count() == 2 and merge.with_imports(kept, "update").count() == 3
+
+
+def test_style_nearest_above(spark):
+    from ontospark.functions import vocab as v
+    from ontospark.operators import docs
+
+    rows = [(c, "iri", v.TYPE, v.OWL_CLASS, "iri", "", "") for c in "abcd"] + [(a, "iri", v.SUBCLASS, b, "iri", "", "") for a, b in ("ba", "cb", "bc")]
+    g = spark.createDataFrame(rows, "s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string")
+    given = spark.createDataFrame([("a", "red"), ("b", "blue")], "uri string, style string")
+    assert {r.uri: (r.style, r.how) for r in docs.styles(g, given, [("d", "green")], "white").collect()} == {"a": ("red", "own"), "b": ("blue", "own"), "c": ("blue", "inherited"), "d": ("green", "namespace")}

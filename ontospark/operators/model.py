@@ -62,28 +62,32 @@ def names(classes: DataFrame, base: str) -> DataFrame:
 def to_graph(classes: DataFrame, attributes: DataFrame, relations: DataFrame, base: str, title: str, lang: str = "en") -> DataFrame:
     """The ontology of a model as triples. Relations whose ends aren't known give none (``validate.model_issues`` lists them)."""
 
-    def triples(df: DataFrame, s: Column, p: str, o: Column, literal: bool = False) -> DataFrame:
-        return df.select(
-            s.alias("s"), F.lit("iri").alias("s_kind"), F.lit(p).alias("p"), o.alias("o"), F.lit("literal" if literal else "iri").alias("o_kind"),
-            F.lit("").alias("o_dt"), F.lit(lang if literal else "").alias("o_lang"),
-        )
+    lit, bare = F.lit, base.rstrip("#/")
+
+    def star(df: DataFrame, *rows: tuple[Column, str, Column, bool]) -> DataFrame:
+        """All triples of each row in one pass; those with a null object are none."""
+        cells = [
+            F.struct(s.alias("s"), lit("iri").alias("s_kind"), lit(p).alias("p"), o.alias("o"), lit("literal" if literal else "iri").alias("o_kind"), lit("").alias("o_dt"), lit(lang if literal else "").alias("o_lang"))
+            for s, p, o, literal in rows
+        ]
+        return df.select(F.explode(F.filter(F.array(*cells), lambda x: x["o"].isNotNull())).alias("x")).select("x.*")
 
-    head = classes.sparkSession.range(1)
     uri, owner = F.concat(namespace(base, F.col("package")), "name"), F.concat(namespace(base, F.col("package")), "class")
     known = names(classes, base)
     a, b = (known.select(F.col("name").alias(end), F.col("uri").alias(f"{end}_uri"), F.col("ns").alias(f"{end}_ns")) for end in ("source", "target"))
-    linked = relations.join(a, "source").join(b, "target")
-    own = F.coalesce(label_to_property(F.col("label")), F.concat(F.lit("has"), "target"))
-    assoc = linked.where("kind <> 'inheritance'").select("source_uri", "target_uri", "label", own.alias("own"), F.concat("source_ns", own).alias("path"))
-    path, iri = F.col("path"), F.lit
+    own = F.coalesce(label_to_property(F.col("label")), F.concat(lit("has"), "target"))
+    linked = relations.join(a, "source").join(b, "target").withColumn("own", own).withColumn("path", F.concat("source_ns", "own"))
+    path, assoc = F.col("path"), lambda x: F.when(F.col("kind") != "inheritance", x)
     parts = [
-        triples(head, iri(base.rstrip("#/")), v.TYPE, iri(v.ONTOLOGY)), triples(head, iri(base.rstrip("#/")), v.LABEL, iri(title), True),
-        triples(classes, uri, v.TYPE, iri(v.OWL_CLASS)), triples(classes, uri, v.LABEL, F.coalesce("display", camel_to_label(F.col("name"))), True),
-        triples(classes.where("note IS NOT NULL"), uri, v.COMMENT, F.col("note"), True),
-        triples(attributes, uri, v.TYPE, iri(v.DATATYPE_PROPERTY)), triples(attributes, uri, v.DOMAIN, owner), triples(attributes, uri, v.LABEL, camel_to_label(F.col("name")), True),
-        triples(attributes.where("datatype IS NOT NULL"), uri, v.RANGE, datatype(F.col("datatype"))),
-        triples(linked.where("kind = 'inheritance'"), F.col("source_uri"), v.SUBCLASS, F.col("target_uri")),
-        triples(assoc, path, v.TYPE, iri(v.OBJECT_PROPERTY)), triples(assoc, path, v.DOMAIN, F.col("source_uri")), triples(assoc, path, v.RANGE, F.col("target_uri")),
-        triples(assoc, path, v.LABEL, F.coalesce("label", camel_to_label(F.col("own"))), True),
+        star(classes.sparkSession.range(1), (lit(bare), v.TYPE, lit(v.ONTOLOGY), False), (lit(bare), v.LABEL, lit(title), True)),
+        star(classes, (uri, v.TYPE, lit(v.OWL_CLASS), False), (uri, v.LABEL, F.coalesce("display", camel_to_label(F.col("name"))), True), (uri, v.COMMENT, F.col("note"), True)),
+        star(
+            attributes, (uri, v.TYPE, lit(v.DATATYPE_PROPERTY), False), (uri, v.DOMAIN, owner, False), (uri, v.LABEL, camel_to_label(F.col("name")), True),
+            (uri, v.RANGE, F.when(F.col("datatype").isNotNull(), datatype(F.col("datatype"))), False),
+        ),
+        star(
+            linked, (F.col("source_uri"), v.SUBCLASS, F.when(F.col("kind") == "inheritance", F.col("target_uri")), False), (path, v.TYPE, assoc(lit(v.OBJECT_PROPERTY)), False),
+            (path, v.DOMAIN, assoc(F.col("source_uri")), False), (path, v.RANGE, assoc(F.col("target_uri")), False), (path, v.LABEL, assoc(F.coalesce("label", camel_to_label(F.col("own")))), True),
+        ),
     ]
     return reduce(DataFrame.unionByName, parts).select(*select.TERM).distinct()

@@ -192,12 +192,15 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = SHIN
     return fps.join(by_fp, fps.fp == by_fp.of).select("doc_id", "fp", "component_id")
 
 
-# Similar texts: the same search with wider fingerprints, for pairs that three bits of one word cannot hold.
+# Similar texts: pairs of a shingle similarity (Jaccard, of the sets) that is asked for.
 
-#: Bits of the fingerprint that is compared (of five-word shingles) and of the one that gives the blocks (of single words).
-COMPARED, BLOCKED, BLOCK = 256, 512, 24
-#: Differing bits of 256 at a shingle similarity of 0.8: acos(2·0.8 / 1.8) / pi of them are expected, 39, with a deviation of 5.7.
-SIMILAR = 50
+#: Least similarity of two linked texts.
+SIMILAR = 0.8
+#: Minima of a text: two texts agree in each with a chance of their similarity, whatever the edit. At 0.8 a pair shares none of the
+#: 20 bands of five with a chance of (1 - 0.8^5)^20 = 0.0004, and agrees in fewer than ``AGREE`` of the 100 with one of about 0.000001.
+BANDS, BAND, AGREE = 20, 5, 60
+#: Bytes of text in a chunk of a candidate group.
+CHUNK = 16 << 20
 
 
 def spread(h: np.ndarray, words: int) -> np.ndarray:
@@ -208,62 +211,93 @@ def spread(h: np.ndarray, words: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide(h: np.ndarray, bits: int) -> np.ndarray:
-    """A fingerprint of ``bits`` bits, packed: a bit is 1 if it is set for over half of the hashes."""
-    ones = np.zeros(bits, np.int64)
-    for k in range(0, len(h), 255):  # sums of 255 bits fit in a byte
-        ones += np.unpackbits(spread(h[k : k + 255], bits // 64).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
-    return np.packbits(ones * 2 > len(h), bitorder="little")
+SALTS, ODDS = spread(np.array([SEED, SEED << 32], np.uint64), BANDS * BAND)
+ODDS = ODDS | np.uint64(1)
 
 
-def sketch(text: bytes | None, width: int) -> tuple[bytes, bytes]:
-    """(fingerprint of the distinct words, fingerprint of the distinct shingles); empty texts have none set."""
-    words = (text or b"").lower().split()
-    if not words:
-        return b"\0" * (BLOCKED // 8), b"\0" * (COMPARED // 8)
+def shingles(words: list[bytes], width: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; fewer words than a shingle are one."""
     digest = xxhash.xxh3_64_intdigest
-    own = {digest(w) for w in set(words)}
     grams = {digest(b" ".join(words[i : i + width])) for i in range(max(1, len(words) - width + 1))}
-    one, many = (np.fromiter(x, np.uint64, len(x)) for x in (own, grams))
-    return wide(one, BLOCKED).tobytes(), wide(many, COMPARED).tobytes()
+    return np.sort(np.fromiter(grams, np.uint64, len(grams)))
 
 
-def similar(docs: DataFrame, width: int = 5, distance: int = SIMILAR, hot: int = HOT) -> DataFrame:
-    """``doc_id, component_id``: groups of texts whose shingles agree in about four fifths or more.
+def minima(h: np.ndarray) -> np.ndarray:
+    """The least value of all shingles under each of the hash functions."""
+    return np.min([((h[k : k + 512, None] ^ SALTS) * ODDS).min(axis=0) for k in range(0, len(h), 512)], axis=0)
 
-    Blocks of ``BLOCK`` bits come from a fingerprint of single words, which a copy with scattered edits
-    changes least; texts that share a block are compared by the fingerprint of their shingles. Hot
-    blocks are dealt out in pairs of chunks as in ``links``.
-    """
-    ship(docs.sparkSession)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
-            both = [sketch(t, width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in zip(*both, strict=True))], ["doc_id", "blocks", "fp"])
-
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id bigint, blocks binary, fp binary")
-    made = written(made, "sketches")
-    distinct = made.groupBy("blocks", "fp").agg(F.min("doc_id").alias("low")).withColumn("node", F.monotonically_increasing_id())
-    distinct = written(distinct, "distinct")
-    step = BLOCK // 8
-    keys = F.array(*[F.conv(F.hex(F.concat(F.lit(bytes([k])), F.substring("blocks", k * step + 1, step))), 16, 10).cast("long") for k in range(BLOCKED // BLOCK)])
-    keyed = distinct.select("node", F.explode(keys).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    shared = keyed.join(sizes, "key").withColumn("chunks", F.ceil(F.col("n") / hot).cast("int"))
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets."""
+    both = np.sort(np.concatenate([a, b]))
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared / (len(both) - shared)
+
+
+def dealt(shared: DataFrame, key: str) -> DataFrame:
+    """``key, pair, chunk, node`` of the rows ``key, node, chunks``: a row goes to each pair of chunks that its own is in."""
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     other = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(
         (F.least(j, F.col("own")) * F.col("chunks") + F.greatest(j, F.col("own"))).cast("int").alias("pair"),
         F.when(j == F.col("own"), 0).when(F.col("own") < j, 1).otherwise(2).cast("byte").alias("chunk"),
     ))
-    dealt = shared.withColumn("own", own).select("key", "node", F.explode(other).alias("x")).select("key", "x.pair", "x.chunk", "node")
-    dealt = dealt.join(distinct.select("node", "fp"), "node").select("key", "pair", "chunk", "node", "fp")
+    return shared.withColumn("own", own).select(key, "node", F.explode(other).alias("x")).select(key, "x.pair", "x.chunk", "node")
+
+
+def similar(rows: DataFrame, width: int = 5, least: float = SIMILAR, hot: int = HOT) -> DataFrame:
+    """``row_id, root`` for the rows ``row_id, text`` of a written table: groups of texts linked by a shingle similarity of ``least`` or more.
+
+    Texts that share a band of minima and agree in enough of them are candidates. The
+    groups that candidates form hold all links, so each group's texts are sent to one place (hot ones
+    as pairs of chunks) and linked there by the exact similarity. ``root`` is a row of the group.
+    """
+    ship(rows.sparkSession)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 8 << 20):
+            same, keys, mins, size = [], [], [], []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                words = (text or b"").lower().split()
+                low = minima(shingles(words, width))
+                same.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                keys.append([xxhash.xxh3_64_intdigest(low[k * BAND : (k + 1) * BAND].tobytes(), k) for k in range(BANDS)])
+                mins.append(spread(low, 1)[:, 0].astype(np.uint8).tobytes())
+                size.append(len(text or b""))
+            flat = pa.array(np.array(keys, np.uint64).view(np.int64).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(same) + 1, dtype=np.int32) * BANDS), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), lists, pa.array(mins, pa.binary()), pa.array(size, pa.int64())], ["row_id", "same", "keys", "mins", "size"])
+
+    made = written(rows.select("row_id", "text").mapInArrow(make, "row_id bigint, same binary, keys array<bigint>, mins binary, size bigint"), "sketches")
+    nodes = written(made.groupBy("same").agg(F.min("row_id").alias("node")), "nodes")
+    distinct = written(made.join(nodes.select(F.col("node").alias("row_id")), "row_id").select(F.col("row_id").alias("node"), "keys", "mins", "size"), "distinct")
+    keyed = distinct.select("node", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    met = dealt(keyed.join(sizes, "key").withColumn("chunks", F.ceil(F.col("n") / hot).cast("int")), "key")
+    met = met.join(distinct.select("node", "mins"), "node").select("key", "pair", "chunk", "node", "mins")
+    maybe = _linked(met, "key")
+    group = written(components(maybe), "candidates")
+    held = group.join(distinct.select("node", "size"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    chunks = F.greatest(F.ceil(F.col("n") / hot), F.ceil(F.col("bytes") / CHUNK)).cast("int")
+    sent = dealt(group.join(held.select("root", chunks.alias("chunks")), "root"), "root")
+    sent = sent.join(distinct.select("node", "mins"), "node").join(rows.select(F.col("row_id").alias("node"), "text"), "node")
+    sent = sent.select("root", "pair", "chunk", "node", "mins", "text")
+    sure = _linked(sent, "root", width, least)
+    member = components(sure)
+    known = nodes.join(member, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
+    return made.select("row_id", "same").join(known, "same").select("row_id", "root")
+
+
+def _linked(rows: DataFrame, key: str, width: int = 0, least: float = 0.0) -> DataFrame:
+    """``a, b``: spanning forests of the links within each key and pair of the rows ``key, pair, chunk, node, mins[, text]``; with a width links are checked by the texts."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
         for batch in batches:
-            fp = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, COMPARED // 64)
-            now = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)), fp]
+            sets = np.empty(batch.num_rows, object)
+            for i, text in enumerate(batch.column(5).cast(pa.binary()).to_pylist() if width else ()):
+                sets[i] = shingles((text or b"").lower().split(), width)
+            mins = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, BANDS * BAND)
+            now = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)), mins, sets]
             now = [np.concatenate(x) for x in zip(left, now, strict=True)] if left else now
             cut = int(np.argmax((now[0] == now[0][-1]) & (now[1] == now[1][-1])))  # the last key may go on in the next batch
             left = [x[cut:] for x in now]
@@ -274,25 +308,23 @@ def similar(docs: DataFrame, width: int = 5, distance: int = SIMILAR, hot: int =
 
     def linked(rows: list[np.ndarray]) -> pa.RecordBatch:
         group = np.cumsum(np.concatenate([[0], (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)]))
-        a, b = wide_forest(group, rows[2], rows[3], rows[4], distance)
+        a, b = similar_forest(group, *rows[2:5], rows[5] if width else None, least)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    met = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(compare, "a bigint, b bigint").distinct()
-    member = components(met)
-    known = written(distinct.join(member, "node", "left").select("node", "blocks", "fp", "low", F.coalesce("root", "node").alias("root")), "members")
-    least = known.groupBy("root").agg(F.min("low").alias("component_id"))
-    return made.join(known.join(least, "root").select("blocks", "fp", "component_id"), ["blocks", "fp"]).select("doc_id", "component_id")
+    return rows.repartition(key, "pair").sortWithinPartitions(key, "pair").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def wide_forest(group: np.ndarray, chunk: np.ndarray, node: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """``forest`` for nodes with fingerprints of several words; compares no pair that is already connected when much is."""
+def similar_forest(group: np.ndarray, chunk: np.ndarray, node: np.ndarray, mins: np.ndarray, sets: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """``forest`` for nodes with minima and, if given, sets of shingles; compares no pair that is already connected when much is."""
     values, code = np.unique(node, return_inverse=True)
     root, live, d = np.arange(len(values)), np.arange(len(node)), 1
     while len(live):
         live = live[live + d < len(node)]
         live = live[group[live] == group[live + d]]
         ask = live[((chunk[live] == 0) | (chunk[live] != chunk[live + d])) & (root[code[live]] != root[code[np.minimum(live + d, len(node) - 1)]])]
-        near = ask[np.bitwise_count(fp[ask] ^ fp[ask + d]).sum(axis=1) <= distance]
+        near = ask[np.count_nonzero(mins[ask] == mins[ask + d], axis=1) >= AGREE]
+        if sets is not None:
+            near = near[[jaccard(sets[i], sets[i + d]) >= least for i in near.tolist()]] if len(near) else near
         if len(near):
             root = roots(len(values), np.concatenate([np.arange(len(values)), code[near]]), np.concatenate([root, code[near + d]]))
         d += 1

@@ -91,3 +91,39 @@ def test_components_of_a_long_chain(spark):
 @given(st.text(alphabet="aB é\n\t\x85xyz", max_size=60))
 def test_fingerprint(text):
     assert simhash.fingerprint(text.encode()) == brute(text)
+
+
+def words_of(text):
+    return (text or "").encode().lower().split()
+
+
+def test_similar_finds_copies_whatever_the_edit(spark, documents):
+    base = [words_of(r.text) for r in documents.select("text").distinct().collect()]
+    base = [w for w in base if 60 <= len(w) <= 3000][:60]
+    texts = []
+    for k, w in enumerate(base):
+        cut = w[: int(len(w) * 0.83)]
+        more = w + [b"new%d_%d" % (k, i) for i in range(int(len(w) * 0.2))]
+        middle = w[: len(w) // 2] + [b"own%d_%d" % (k, i) for i in range(int(len(w) * 0.2))] + w[len(w) // 2 :]
+        strewn = [b"odd%d" % k if i % 60 == 30 else x for i, x in enumerate(w)]
+        texts += [w, cut, more, middle, strewn]
+    sets = [simhash.shingles(w, 5) for w in texts]
+    like = lambda i, j: len(set(sets[i].tolist()) & set(sets[j].tolist())) / len(set(sets[i].tolist()) | set(sets[j].tolist()))
+    rows = spark.createDataFrame([(i, b" ".join(w).decode()) for i, w in enumerate(texts)], "row_id bigint, text string")
+    got = {r.row_id: r.root for r in simhash.similar(rows).collect()}
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if like(i, j) >= 0.8:
+                a, b = want[i], want[j]
+                want = [min(a, b) if x in (a, b) else x for x in want]
+    assert sum(like(5 * k, 5 * k + e) >= 0.8 for k in range(len(base)) for e in (1, 2, 3)) >= 150
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_similar_odd_documents_and_chunks(spark, odd, none):
+    rows = odd.coalesce(1).select(F.col("row").cast("long").alias("row_id"), "text")
+    for hot in (2048, 2):
+        got = {r.row_id: r.root for r in simhash.similar(rows, hot=hot).collect()}
+        assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7, 8: 8, 9: 9, 10: 10}
+    assert simhash.similar(none.select(F.col("row").cast("long").alias("row_id"), "text")).count() == 0

@@ -84,3 +84,11 @@ def test_odd_documents_pass_every_stage(spark, odd, none):
         for name, f in corpus_pipeline.STAGES:
             now = f(spark, now, DATA)
             assert now.count() <= docs_now.count() or name == "best-fit packing"
+
+
+def test_near_duplicate_stage_tells_rows_apart_by_their_texts(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2) + " more"), (7, text(3)), (7, text(4)), (7, text(4)), (9, text(1) + " end"), (None, text(5)), (None, text(5))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()]
+    assert sorted(got, key=str) == sorted([(9, text(1) + " end"), (None, text(2)), (7, text(3)), (7, text(4)), (None, text(5))], key=str)

@@ -5,7 +5,8 @@ Only how many pieces each length has decides a packing, and there are at most
 the counts, plan the bins on those counts on the driver, and give each piece its place
 from its number among the pieces of its length. No task or driver ever holds more than
 ``capacity`` counters of the corpus, and the packing is that of one sequential pass over
-all pieces.
+all pieces. Pieces carry their ids, ``sequences`` joins them to the packed ids, and what ``pack``
+says of each piece is read back from the written sequences.
 
 The plan fills a bin greedily (longest piece that fits, again and again), then takes out the
 smallest piece if two unpacked pieces together fill the gap it leaves more tightly. A bin
@@ -19,7 +20,6 @@ rows are separate documents; an empty table gives no row; other columns are igno
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import ship, slices, written
 
-PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
-PLACED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
+PIECES = "doc_id bigint, piece int, start bigint, length bigint, planes binary, part int, nth bigint"
+PLACED = "doc_id bigint, piece int, start bigint, length bigint, planes binary, sequence_id bigint, offset bigint"
+#: Rows of counts (a task, a length) that are broadcast at most; a row has three numbers.
+FEW = 1 << 19
 
 
 def encoder(vocabulary: str, ranks: str | None = None) -> Callable[[str], np.ndarray]:
@@ -66,9 +68,9 @@ def encoder(vocabulary: str, ranks: str | None = None) -> Callable[[str], np.nda
 
 
 def pieces(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: int = 1024, end: int = 2) -> DataFrame:
-    """One row per piece; ``part`` is the task that made it, ``nth`` counts the task's pieces of that length."""
+    """One row per piece with its ids as four planes of their bytes, which compress better than whole ids; ``part`` is the task that made it, ``nth`` counts the task's pieces of that length."""
     ship(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("planes", pa.binary()), ("part", pa.int32()), ("nth", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -81,7 +83,7 @@ def pieces(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity:
                 n, start, k = len(ids), 0, 0
                 while start < n:
                     size = (n - start) % capacity or capacity
-                    rows.append((doc_id, k, start, size, zlib.crc32(ids[start : start + size].tobytes()), part, int(seen[size])))
+                    rows.append((doc_id, k, start, size, ids[start : start + size].view(np.uint8).reshape(-1, 4).T.tobytes(), part, int(seen[size])))
                     seen[size] += 1
                     start, k = start + size, k + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -155,7 +157,7 @@ def place(made: DataFrame, capacity: int = 1024) -> DataFrame:
     where = runs(plan(totals, capacity))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("part", "length", before.alias("before"))
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("planes", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,9 +171,32 @@ def place(made: DataFrame, capacity: int = 1024) -> DataFrame:
                 offset[at] = row[:, 3] + nth % row[:, 2] * one
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], schema=schema)
 
-    numbered = made.join(offsets, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("before")).alias("number"))
+    if counts.count() <= FEW:
+        offsets = F.broadcast(offsets)  # the ids stay where they are
+    numbered = made.join(offsets, ["part", "length"]).select("doc_id", "piece", "start", "length", "planes", (F.col("nth") + F.col("before")).alias("number"))
     return numbered.mapInArrow(put, PLACED)
 
 
+def sequences(placed: DataFrame) -> DataFrame:
+    """``sequence_id, ids, pieces``: the packed ids (32 bits each, little-endian) of every sequence, and which piece of which document lies where in them."""
+    held = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "piece", "start", "planes"))).alias("held"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [b"".join(np.frombuffer(x, np.uint8).reshape(4, -1).T.tobytes() for x in row) for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), batch.column(2)], ["sequence_id", "ids", "pieces"])
+
+    rows = held.select("sequence_id", "held.planes", F.transform("held", lambda x: x.dropFields("planes")).alias("pieces"))
+    return rows.mapInArrow(joined, "sequence_id bigint, ids binary, pieces array<struct<offset:bigint,length:bigint,doc_id:bigint,piece:int,start:bigint>>")
+
+
+def members(packed: DataFrame) -> DataFrame:
+    """The pieces of ``sequences``, each with its ids as the sequence holds them and their CRC."""
+    own = packed.select("sequence_id", F.col("ids").alias("all"), F.explode("pieces").alias("x")).select("sequence_id", "all", "x.*")
+    own = own.withColumn("ids", F.substring("all", (F.col("offset") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int")))
+    return own.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "ids")
+
+
 def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: int = 1024, end: int = 2) -> DataFrame:
-    return place(written(pieces(docs, vocabulary, ranks, capacity, end), "pieces"), capacity)
+    placed = place(written(pieces(docs, vocabulary, ranks, capacity, end), "pieces"), capacity)
+    return members(written(sequences(placed), "sequences"))

@@ -71,8 +71,8 @@ def vocabulary_files() -> tuple[str, str]:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, tokenized and packed into sequences of 1024 tokens."""
-    return packing.pack(table(spark, sf_dir, "documents"), *vocabulary_files(), capacity=1024, end=2)
+    """All documents, tokenized and packed into written sequences of 1024 tokens, and their pieces as read back from these."""
+    return packing.pack(table(spark, sf_dir, "documents"), *vocabulary_files(), capacity=1024, end=2).drop("ids")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,3 +80,19 @@ def test_plan_is_the_sequential_packing(lengths):
     assert Counter(x for b in flat for x in b) == Counter(lengths)
     assert all(sum(b) <= 30 for b in flat)
     assert len(flat) == len(sequential(lengths, 30))
+
+
+def test_sequences_give_the_texts_back(spark, odd):
+    placed = packing.place(packing.written(packing.pieces(odd, JSON, RANKS, 64), "pieces"), 64)
+    packed = packing.sequences(placed).collect()
+    slow, docs = Tokenizer.from_file(JSON), {}
+    for r in packed:
+        assert len(r.ids) == 4 * sum(x.length for x in r.pieces) <= 4 * 64
+        ids = np.frombuffer(r.ids, "<u4")
+        for x in r.pieces:
+            docs.setdefault(x.doc_id, []).append((x.piece, x.start, ids[x.offset : x.offset + x.length].tolist()))
+    for r in odd.where("doc_id in (0, 2, 6, 7, 8)").collect():
+        own = sorted(docs[r.doc_id])
+        assert [i for _, _, ids in own for i in ids] == [*slow.encode(r.text or "", add_special_tokens=False).ids, 2]
+    rows = packing.pack(odd, JSON, RANKS, capacity=64).collect()
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)

@@ -4,15 +4,17 @@ Evidence of a document: log odds of the features it has (words, runs of signs, w
 shapes), one head for low quality and one for toxic, learned by grouped counts over labelled
 documents and calibrated on a fold that the counts don't see. The site then moves
 the prior: hosts shrink towards the corpus, paths of a host towards their host, each by
-as much as the spread between them bears out (moments of grouped sums). A document is rejected
-if its posterior says so.
+as much as the spread between them bears out (moments of grouped sums). A document's prior comes from the other
+documents of its path and host only, so its own evidence counts once. A document is rejected if its posterior says so.
+The host is the column ``source``, the path within it ``lang``.
 
 Copies would make the words of one text look like marks of its label, so labelled documents that share a
 sketch (the least hash of their five-word shingles, of two kinds) weigh as much as one together; and only
 features that speak for a label count, as no word speaks against one.
 
-Only the fit uses a sample, of ``FIT_ROWS`` labelled rows at most, those with the smallest hash of
-their id; all documents are scored and all enter the site sums. Tables of sites are broadcast when
+Only the fit uses a sample, of ``FIT_ROWS`` labelled documents at most, those with the smallest hash of
+their id (one row of each id); all documents are scored once and all enter the site sums. Every feature of the fitted documents that
+passes the tests below is used; ``MIN_SHARE`` is a share of the fitted documents, whatever the corpus's size. Tables of sites are broadcast when
 they have ``SITES`` rows at most, else joined, where the adaptive skew join splits a host with many
 rows.
 
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import ship, slices, written
 
-FIT_ROWS, FEATURES, SITES = 20_000, 20_000, 50_000
+FIT_ROWS, SITES = 20_000, 50_000
 #: A feature counts if it is in so many fitted documents and such a share of them, with so large log odds, so many deviations from chance.
 MIN_DOCS, MIN_SHARE, MIN_ODDS, MIN_Z, MAX_ODDS = 5, 0.002, 1.5, 4.0, 12.0
 tokens = re.compile(r"\w+|[^\w\s]+").findall
@@ -142,7 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     )
     mixed = F.xxhash64(F.col("of"), F.lit(17))
     sample = one.orderBy(mixed, "of").limit(rows)  # `rows` small rows at most
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("of")).select("text", "low", "toxic")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("of"))
+    one_each = found.groupBy("of").agg(F.min(F.struct("text", "low", "toxic")).alias("x"))  # rows may repeat an id
+    labelled = one_each.select("x.*")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,9 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         odds = F.log(pos / (every[h] + 1)) - F.log(neg / (total - every[h] + 1))
         z = (F.col(h) - F.col("n") * p) / F.sqrt(F.col("n") * max(p * (1 - p), 1e-9))
         use = (F.col("n") >= MIN_SHARE * total) & (odds >= MIN_ODDS) & (z >= MIN_Z) & F.lit(0 < p < 1)
-        scored = scored.withColumn(f"{h}_w", F.when(use, F.least(F.lit(MAX_ODDS), odds)).otherwise(0.0)).withColumn(f"{h}_z", F.when(use, z).otherwise(0.0))
-    best = scored.where("low_z > 0 OR toxic_z > 0").orderBy(F.greatest("low_z", "toxic_z").desc(), "feature").limit(FEATURES)
-    weights = {r.feature: (r.low_w, r.toxic_w) for r in best.collect()}
+        scored = scored.withColumn(f"{h}_w", F.when(use, F.least(F.lit(MAX_ODDS), odds)).otherwise(0.0))
+    # features of `rows` documents, each in MIN_DOCS of them at least
+    weights = {r.feature: (r.low_w, r.toxic_w) for r in scored.where("low_w > 0 OR toxic_w > 0").collect()}
     model = Model(weights, [(1.0, 0.0)] * 2, prior)
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +206,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``row`` (a struct of all columns), ``p_low``, ``p_toxic`` and ``p`` (either)."""
     ship(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    given = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES entries at most
+    given = docs.sparkSession.sparkContext.broadcast(model)  # features of FIT_ROWS documents
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
@@ -228,26 +232,40 @@ def concentration(k: int, n: float, nn: float, d: float, mean: float) -> float:
     return min(1e9, max(2.0, within / between - 1)) if between > 0 else 1e9
 
 
-def site_priors(evidence: DataFrame) -> tuple[DataFrame, float]:
-    """``host, path, prior`` shrunken path → host → corpus, from ``host, path, p``; and the corpus's mean."""
+@dataclass
+class Priors:
+    """sites: ``host, path, n, s, hn, hs`` (rows and sums of the path and of its host); the corpus's mean; what a host's and a path's prior is worth in rows."""
+
+    sites: DataFrame
+    mean: float
+    alpha: float
+    beta: float
+
+    def without(self, p: Column) -> Column:
+        """The prior of a document with probability ``p`` by all others, shrunken path → host → corpus."""
+        host = (F.col("hs") - p + self.alpha * self.mean) / (F.col("hn") - 1 + self.alpha)
+        return (F.col("s") - p + self.beta * host) / (F.col("n") - 1 + self.beta)
+
+
+def site_priors(evidence: DataFrame) -> Priors:
+    """The sums of all sites of ``host, path, p``, added up before they are shuffled."""
     sites = written(evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "sites")
     hosts = sites.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     all_ = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s")).first()
     mean = min(max(all_.s / all_.n, 1e-6), 1 - 1e-6) if all_.n else 0.5
     alpha = concentration(*hosts.agg(*strength("hn", "hs", mean)).first(), mean)
-    hosts = hosts.withColumn("h", (F.col("hs") + alpha * mean) / (F.col("hn") + alpha))
-    both = sites.join(hosts.select("host", "h"), "host")
-    beta = concentration(*both.agg(*strength("n", "s", F.col("h"))).first(), mean)
-    return both.select("host", "path", ((F.col("s") + beta * F.col("h")) / (F.col("n") + beta)).alias("prior")), mean
+    both = written(sites.join(hosts, "host"), "priors")
+    post = (F.col("hs") + alpha * mean) / (F.col("hn") + alpha)
+    return Priors(both, mean, alpha, concentration(*both.agg(*strength("n", "s", post)).first(), mean))
 
 
-def decided(evidence: DataFrame, priors: DataFrame, mean: float, threshold: float = 0.5) -> DataFrame:
+def decided(evidence: DataFrame, priors: Priors, threshold: float = 0.5) -> DataFrame:
     """Adds ``prior``, ``p_reject`` and ``keep`` to rows with ``host, path, p``."""
-    few = priors.limit(SITES + 1).count() <= SITES
+    few = priors.sites.limit(SITES + 1).count() <= SITES
     odds = lambda p: F.log(p / (1 - p))
-    clipped = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("p")))
-    logit = odds(clipped) - math.log(mean / (1 - mean)) + odds(F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("prior"))))
-    joined = evidence.join(F.broadcast(priors) if few else priors, ["host", "path"])
+    clipped = lambda p: F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), p))
+    joined = evidence.join(F.broadcast(priors.sites) if few else priors.sites, ["host", "path"]).withColumn("prior", clipped(priors.without(F.col("p"))))
+    logit = odds(clipped(F.col("p"))) - math.log(priors.mean / (1 - priors.mean)) + odds(F.col("prior"))
     return joined.withColumn("p_reject", 1 / (1 + F.exp(-logit))).withColumn("keep", F.col("p_reject") < threshold)
 
 
@@ -260,14 +278,10 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold
     skinny = docs.select("doc_id", "text", "source", "lang")
     evidence = scored(skinny, fit(docs, labels, rows)).select("row.doc_id", *site(), "p_low", "p_toxic", "p")
     evidence = written(evidence, "evidence")
-    priors, mean = site_priors(evidence)
-    return decided(evidence, priors, mean, threshold).select("doc_id", "host", "path", "p_low", "p_toxic", "prior", "p_reject", "keep")
+    return decided(evidence, site_priors(evidence), threshold).select("doc_id", "host", "path", "p_low", "p_toxic", "prior", "p_reject", "keep")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
-    """The documents that aren't rejected, columns as they are. Texts are scored twice rather than shuffled."""
-    model = fit(docs, labels, rows)
-    full = scored(docs, model).select("row", *site(), "p")
-    sums = scored(docs.select("text", "source", "lang"), model).select(*site(), "p")
-    priors, mean = site_priors(sums)
-    return decided(full, written(priors, "priors"), mean, threshold).where("keep").select("row.*")
+    """The documents that aren't rejected, columns as they are. Texts are scored once and written with their scores."""
+    full = written(scored(docs, fit(docs, labels, rows)).select("row", *site(), "p"), "evidence")
+    return decided(full, site_priors(full.select("host", "path", "p")), threshold).where("keep").select("row.*")

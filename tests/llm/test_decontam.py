@@ -29,17 +29,31 @@ def brute_tiles(doc, item, least):
         mi.update(range(b, b + n))
 
 
-def places(doc, item, width):
-    pairs = [(a, b) for a in range(len(doc) - width + 1) for b in range(len(item) - width + 1) if doc[a : a + width] == item[b : b + width]]
-    return np.array(pairs, np.int64).reshape(-1, 2).T
-
-
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.text("abc", max_size=24), st.text("abc", min_size=1, max_size=12), st.integers(1, 4))
 def test_tiling(doc, item, width):
-    a, b = places(doc, item, width)
-    got = decontam.tile(a, b, width, len(item)) if len(a) else []
-    assert got == brute_tiles(doc, item, width)
+    as_ids = lambda s: np.array([ord(c) for c in s], np.int64)
+    assert decontam.tile(as_ids(doc), as_ids(item), width) == brute_tiles(doc, item, width)
+
+
+def test_repeated_words_take_memory_in_proportion():
+    import tracemalloc
+
+    known = decontam.Items([(1, "a " * 2000), (2, "a b " * 1000), (3, "b " * 20)], 5)
+    text = "a " * 20000 + "c " + "a b " * 3000
+    tracemalloc.start()
+    found = {r["item_id"]: r["matched"] for r in known.leaks([text], 0.8)[0]}
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert found == {1: 2000, 2: 2000}
+
+
+def test_tiles_lie_where_they_say():
+    w = ITEM.split()
+    text = "x y z " + " ".join(w[8:]) + " gap gap " + " ".join(w[:8]) + " z"
+    (leak,) = decontam.Items([(1, ITEM)], 5).leaks([text], 0.8)[0]
+    said = text.split()
+    assert [said[t["doc_at"] : t["doc_at"] + t["length"]] == w[t["item_at"] : t["item_at"] + t["length"]] for t in leak["tiles"]] == [True, True]
 
 
 def brute(rows, items, least=5, threshold=0.8):

@@ -112,9 +112,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts as telephony audio in a column, read back and decoded."""
-    stored = telephony.stored(table(spark, sf_dir, "documents"), 576)
-    return telephony.features(written(stored, "media"))
+    """All texts as telephony audio in a column; it is read back and decoded, its resampled PCM is stored, and that, read back, gives the features."""
+    stored = written(telephony.stored(table(spark, sf_dir, "documents"), 576), "media")
+    return telephony.features(written(telephony.decoded(stored), "pcm"))
 
 
 def op3_brown(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,12 @@ the class that fits their neighbours' classes best, many words at a time, half o
 How it runs: documents become blocks of about ``BLOCK`` bytes of text, each with its own dictionary
 and the text as numbers in it. Counts are grouped over the blocks' dictionaries, joined to them on the
 word, and the blocks written with the counts beside their dictionaries; after that no word is
-shuffled. Words seen often (at least ``MIN_COUNT`` times and a share ``SHARE`` of all tokens, so at most
-1/``SHARE`` words by arithmetic) are clustered; their class table is what is broadcast. Rarer words, and
+shuffled. Words seen ``MIN_COUNT`` times or more are clustered, at every size of corpus, numbered by frequency (so nothing depends on
+partitions). Their classes, a byte for each, are broadcast for up to ``MOST`` words; with more they are a table by ranges of words that is
+joined to the blocks' dictionaries. Rarer words, and
 words never seen, have a class that follows from their shape alone. Each round sums the neighbours' classes
-of the moving words per task before it shuffles them, packed by ranges of words.
+of the moving words per task before it shuffles them, packed by ranges of words. A round whose moves together lower the
+likelihood of the classes is undone; a round that gains less than a ``GAIN``-th of it, or ``ROUNDS``, ends the exchange.
 
 Tokens: A-Z lower-cased, words without white space (space, \\t to \\r), one end for each document.
 Defined cases: null and empty texts are one end token; repeated rows count as often as
@@ -28,13 +30,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, slices, written
 
-BLOCK, CLASSES, SHAPES, ROUNDS, RANGE = 8 << 20, 64, 16, 4, 512
-MIN_COUNT, SHARE = 20, 2.0**-22
+BLOCK, CLASSES, SHAPES, ROUNDS, RANGE = 8 << 20, 64, 16, 6, 512
+MIN_COUNT, MOST, GAIN = 20, 1 << 26, 0.002
 #: The class before a document's first and after its last word.
 EDGE = CLASSES + SHAPES
 ALL = EDGE + 1
@@ -106,24 +108,34 @@ def resolve(built: DataFrame, vocab: DataFrame) -> DataFrame:
     """
     ship(built.sparkSession)
     each = built.select("block", F.posexplode("words").alias("i", "word"))
-    # count and number of a word of the training part in one long: less to shuffle
-    found = each.join(vocab, "word").select(F.col("block").alias("of"), "i", (F.shiftleft("c", 23) + F.col("cand") + 1).alias("x"))
+    # count and number of a word of the training part in one long where they fit: less to shuffle
+    top = vocab.agg(F.coalesce(F.max("c"), F.lit(0)).alias("c"), F.coalesce(F.max("cand"), F.lit(0)).alias("n")).first()
+    bits = (top.n + 1).bit_length()
+    one = bits + top.c.bit_length() < 63
+    columns = [(F.shiftleft("c", bits) + F.col("cand") + 1).alias("x")] if one else [F.col("c").alias("x"), "cand"]
+    found = each.join(vocab, "word").select(F.col("block").alias("of"), "i", *columns)
     schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("starts", pa.list_(pa.int32())), ("codes", pa.binary()), ("counts", pa.binary()), ("cand", pa.binary()), ("shapes", pa.binary())])
 
     def attach(rows: pa.Table, words: pa.Table) -> pa.Table:
         shapes = rows.column("shapes")[0].as_py()
-        x = np.zeros(len(unpacked(shapes, np.uint8)), np.int64)
-        x[words.column("i").to_numpy()] = words.column("x").to_numpy()
-        extra = [packed(x >> 23), packed(((x & (1 << 23) - 1) - 1).astype(np.int32)), shapes]
+        x, i = np.zeros(len(unpacked(shapes, np.uint8)), np.int64), words.column("i").to_numpy()
+        x[i] = words.column("x").to_numpy()
+        if one:
+            count, cand = x >> bits, (x & (1 << bits) - 1) - 1
+        else:
+            count, cand = x, np.full(len(x), -1, np.int64)
+            cand[i] = words.column("cand").to_numpy()
+        extra = [packed(count), packed(cand.astype(np.int32)), shapes]
         return pa.Table.from_arrays([*(rows.column(n).cast(schema.field(n).type) for n in ("block", "doc_ids", "held", "starts", "codes")), *(pa.array([e], pa.binary()) for e in extra)], schema=schema)
 
     return built.drop("words", "seen", "train_docs").groupBy("block").cogroup(found.groupBy("of")).applyInArrow(attach, RESOLVED)
 
 
 def with_candidates(vocab: DataFrame, least: int) -> tuple[DataFrame, int]:
-    """``word, c, cand``: words with ``c >= least`` numbered from 0 without gaps, others -1; and how many."""
+    """``word, c, cand``: words with ``c >= least`` numbered by (count, word) from 0 without gaps, others -1; and how many."""
     at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    often = written(vocab.where(F.col("c") >= least).select("word", "c", F.spark_partition_id().alias("part"), at.alias("at")), "often")
+    ranked = vocab.where(F.col("c") >= least).select("word", "c").orderBy(F.desc("c"), "word")  # by ranges, in order of their partitions
+    often = written(ranked.select("word", "c", F.spark_partition_id().alias("part"), at.alias("at")), "often")
     sizes = sorted((r.part, r.n) for r in often.groupBy("part").agg(F.count("*").alias("n")).collect())
     rare, first, total = vocab.where(F.col("c") < least).withColumn("cand", F.lit(-1)), [], 0
     for part, n in sizes:
@@ -135,13 +147,85 @@ def with_candidates(vocab: DataFrame, least: int) -> tuple[DataFrame, int]:
     return often.join(base, "part").select("word", "c", (F.col("first") + F.col("at")).cast("int").alias("cand")).unionByName(rare), total
 
 
-def classes_of(cand: np.ndarray, shapes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The class of each word of a dictionary."""
-    own = CLASSES + shapes.astype(np.int64)
-    if len(table):
-        given = table[np.maximum(cand, 0)]
-        own = np.where((cand >= 0) & (given != MOVES_NOT), given, own)
-    return own
+@dataclass
+class Classes:
+    """The class of each clustered word: ``range, classes`` with ``RANGE`` words a row, and as an array where that is broadcast."""
+
+    table: DataFrame
+    array: np.ndarray | None
+
+    @classmethod
+    def of(cls, table: DataFrame, words: int, most: int) -> Classes:
+        if words > most:
+            return cls(table, None)
+        array = np.full(words, MOVES_NOT, np.uint8)
+        for r in table.collect():  # a byte for each of `most` words at most
+            array[r.range * RANGE : r.range * RANGE + len(r.classes)] = np.frombuffer(r.classes, np.uint8)
+        return cls(table, array)
+
+    @classmethod
+    def start(cls, spark: SparkSession, words: int, most: int) -> Classes:
+        """Each of the most frequent words starts a class of its own."""
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    own = np.full(min(RANGE, words - k * RANGE), MOVES_NOT, np.uint8)
+                    if not k:
+                        own[:CLASSES] = np.arange(min(CLASSES, words))
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["range", "classes"])
+
+        return cls.of(written(spark.range(-(-words // RANGE)).mapInArrow(rows, CLASS_ROWS), "classes"), words, most)
+
+    def each(self) -> DataFrame:
+        """``cand, class``, one row for each word."""
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array(first * RANGE + np.arange(len(own)), pa.int32()), pa.array(np.frombuffer(own, np.uint8).astype(np.int16))], ["cand", "class"])
+
+        return self.table.mapInArrow(rows, "cand int, class smallint")
+
+    def on(self, resolved: DataFrame) -> tuple[DataFrame, object]:
+        """The blocks and the array for them; without an array the classes of a block's dictionary come in its row."""
+        if self.array is not None:
+            return resolved, resolved.sparkSession.sparkContext.broadcast(self.array)
+
+        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, cand in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    cand = unpacked(cand, np.int32)
+                    i = np.flatnonzero(cand >= 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), block)), pa.array(i.astype(np.int32)), pa.array(cand[i])], ["of", "i", "cand"])
+
+        def attach(rows: pa.Table, words: pa.Table) -> pa.Table:
+            own = np.full(len(unpacked(rows.column("cand")[0].as_py(), np.int32)), MOVES_NOT, np.uint8)
+            own[words.column("i").to_numpy()] = words.column("class").to_numpy()
+            return rows.append_column("classes", pa.array([packed(own)], pa.binary()))
+
+        found = resolved.select("block", "cand").mapInArrow(words, "of bigint, i int, cand int").join(self.each(), "cand").select("of", "i", "class")
+        return resolved.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(attach, RESOLVED + ", classes binary"), None
+
+
+CLASS_ROWS = "range int, classes binary"
+
+
+def likelihood(pairs: np.ndarray) -> float:
+    """What the choice of classes adds to the log likelihood of the training part."""
+    n = pairs.sum(axis=1).astype(float)
+    p = pairs[pairs > 0].astype(float)
+    return float((p * np.log(p)).sum() - 2 * (n[n > 0] * np.log(n[n > 0])).sum())
+
+
+def classes_of(cand: np.ndarray, shapes: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """The class of each word of a dictionary; ``given``: of all clustered words."""
+    return settled(shapes, np.where(cand >= 0, given[np.maximum(cand, 0)], MOVES_NOT) if len(given) else np.full(len(cand), MOVES_NOT))
+
+
+def settled(shapes: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """The given classes, and the shape's where a word has none."""
+    return np.where(given != MOVES_NOT, given, CLASSES + shapes.astype(np.int64)).astype(np.int64)
 
 
 def with_edges(codes: np.ndarray, starts: np.ndarray, keep: np.ndarray) -> np.ndarray:
@@ -152,40 +236,40 @@ def with_edges(codes: np.ndarray, starts: np.ndarray, keep: np.ndarray) -> np.nd
     return np.insert(codes, np.concatenate([[0], ends]), -1)
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[tuple]:
+def _parts(batch: pa.RecordBatch, given) -> Iterator[tuple]:
+    """Row, held documents, starts, codes, numbers of the clustered words and classes of the dictionary."""
     for r in batch.to_pylist():
-        yield r, np.array(r["held"], bool), np.array(r["starts"]), unpacked(r["codes"], np.int32), unpacked(r["cand"], np.int32), unpacked(r["shapes"], np.uint8)
+        cand, shapes = unpacked(r["cand"], np.int32), unpacked(r["shapes"], np.uint8)
+        own = classes_of(cand, shapes, given.value) if given is not None else settled(shapes, unpacked(r["classes"], np.uint8))
+        yield r, np.array(r["held"], bool), np.array(r["starts"]), unpacked(r["codes"], np.int32), cand, own
 
 
-def transitions(resolved: DataFrame, table: np.ndarray) -> np.ndarray:
+def transitions(resolved: DataFrame, classes: Classes) -> np.ndarray:
     """Counts of class pairs over the training part, ALL × ALL."""
-    spark = resolved.sparkSession
-    given = spark.sparkContext.broadcast(table)  # a byte for each clustered word
+    blocks, given = classes.on(resolved)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ALL * ALL, np.int64)
         for batch in batches:
-            for _, held, starts, codes, cand, shapes in _parts(batch):
-                own = np.append(classes_of(cand, shapes, given.value), EDGE)
-                c = own[with_edges(codes, starts, ~held)]
+            for _, held, starts, codes, _, own in _parts(batch, given):
+                c = np.append(own, EDGE)[with_edges(codes, starts, ~held)]
                 total += np.bincount(c[:-1] * ALL + c[1:], minlength=ALL * ALL)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["pair", "n"])
 
     out = np.zeros(ALL * ALL, np.int64)
-    for r in resolved.mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # ALL² rows at most
+    for r in blocks.mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # ALL² rows at most
         out[r.pair] = r.n
     return out.reshape(ALL, ALL)
 
 
-def exchange(resolved: DataFrame, table: np.ndarray, pairs: np.ndarray, turn: int) -> np.ndarray:
+def exchange(resolved: DataFrame, classes: Classes, pairs: np.ndarray, turn: int, words: int, most: int = MOST) -> Classes:
     """One round: the clustered words of this turn go to the class that makes their neighbours likeliest.
 
     A word's gain in class k is sum L[c] log N(c,k) + sum R[c] log N(k,c) - 2 n log N(k), with the word taken
     out of its own class: the exchange criterion with all other words where they are.
     """
-    spark = resolved.sparkSession
-    given = spark.sparkContext.broadcast(table)
+    blocks, given = classes.on(resolved)
     side = 2 * ALL
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +280,9 @@ def exchange(resolved: DataFrame, table: np.ndarray, pairs: np.ndarray, turn: in
             return k, np.bincount(inverse, np.concatenate(sums)).astype(np.int64)
 
         for batch in batches:
-            for _, held, starts, codes, cand, shapes in _parts(batch):
-                own = np.append(classes_of(cand, shapes, given.value), EDGE)
+            for _, held, starts, codes, cand, own in _parts(batch, given):
                 code = with_edges(codes, starts, ~held)
-                c, w = own[code], np.append(cand, -1)[code].astype(np.int64)
+                c, w = np.append(own, EDGE)[code], np.append(cand, -1)[code].astype(np.int64)
                 if turn:
                     w = np.where(mixed(w) % 2 == turn % 2, w, -1)
                 left, right = w[1:] >= 0, w[:-1] >= 0
@@ -222,8 +305,8 @@ def exchange(resolved: DataFrame, table: np.ndarray, pairs: np.ndarray, turn: in
     near = np.log(pairs[:CLASSES].astype(float) + 0.5), np.log(pairs[:, :CLASSES].astype(float) + 0.5)
     size = np.log(pairs[:CLASSES].sum(axis=1) + 0.5 * ALL)
 
-    def settle(first: int, counts: np.ndarray) -> pa.RecordBatch:
-        own = given.value[first * RANGE : (first + 1) * RANGE].copy()
+    def settle(first: int, before: bytes, counts: np.ndarray) -> pa.RecordBatch:
+        own = np.frombuffer(before, np.uint8).copy()
         counts = counts[: len(own)]
         left, right = counts[:, :ALL].astype(float), counts[:, ALL:].astype(float)
         n = left.sum(axis=1)
@@ -239,22 +322,21 @@ def exchange(resolved: DataFrame, table: np.ndarray, pairs: np.ndarray, turn: in
         return pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["range", "classes"])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, counts = None, None
+        at, before, counts = None, None, None
         for batch in batches:
-            for first, k, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for first, now, k, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if first != at:
                     if at is not None:
-                        yield settle(at, counts.reshape(RANGE, side))
-                    at, counts = first, np.zeros(RANGE * side, np.int64)
-                counts[np.cumsum(unpacked(k, np.int32), dtype=np.int64)] += unpacked(n, np.int32)
+                        yield settle(at, before, counts.reshape(RANGE, side))
+                    at, before, counts = first, now, np.zeros(RANGE * side, np.int64)
+                if k is not None:
+                    counts[np.cumsum(unpacked(k, np.int32), dtype=np.int64)] += unpacked(n, np.int32)
         if at is not None:
-            yield settle(at, counts.reshape(RANGE, side))
+            yield settle(at, before, counts.reshape(RANGE, side))
 
-    sent = resolved.mapInArrow(gather, "range int, keys binary, sums binary").repartition("range").sortWithinPartitions("range")
-    out = table.copy()
-    for r in sent.mapInArrow(assign, "range int, classes binary").collect():  # a byte for each clustered word
-        out[r.range * RANGE : r.range * RANGE + len(r.classes)] = np.frombuffer(r.classes, np.uint8)
-    return out
+    sent = blocks.mapInArrow(gather, "range int, keys binary, sums binary")
+    met = classes.table.join(sent, "range", "left").select("range", "classes", "keys", "sums").repartition("range").sortWithinPartitions("range")
+    return Classes.of(written(met.mapInArrow(assign, CLASS_ROWS), "classes"), words, most)
 
 
 def mixed(w: np.ndarray) -> np.ndarray:
@@ -263,9 +345,8 @@ def mixed(w: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ClassModel:
-    """table: class of each clustered word; log10 of transitions; of each class: occurrences, words, discount."""
+    """log10 of transitions; of each class: occurrences, words, discount."""
 
-    table: np.ndarray
     trans: np.ndarray
     occurrences: np.ndarray
     types: np.ndarray
@@ -278,24 +359,24 @@ class ClassModel:
         """log10 of each dictionary word in its class. Words of a shape that were never seen are one word, which gets what discounting leaves."""
         total = np.maximum(self.occurrences[own], 1e-9)
         left = np.where(self.types[own] > 0, self.discount[own] * self.types[own] / total, 1.0)
-        return np.log10(np.where(counts > 0, np.maximum(counts - self.discount[own], 1e-9) / total, left))
+        return np.log10(np.maximum(np.where(counts > 0, np.maximum(counts - self.discount[own], 1e-9) / total, left), 1e-300))
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1.0) / (self.tokens + self.words + 1.0))
 
 
-def class_model(vocab: DataFrame, table: np.ndarray, pairs: np.ndarray, tokens: int, words: int, ends: int) -> ClassModel:
-    given = vocab.sparkSession.sparkContext.broadcast(table)
+def class_model(vocab: DataFrame, classes: Classes, pairs: np.ndarray, tokens: int, words: int, ends: int) -> ClassModel:
+    named = vocab.join(classes.each(), "cand", "left").select("word", "c", F.coalesce("class", F.lit(MOVES_NOT)).cast("int").alias("class"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((ALL, 4), np.int64)
         for batch in batches:
-            c, own = batch.column(1).to_numpy(), classes_of(batch.column(2).to_numpy(), shape(batch.column(0)), given.value)
+            c, own = batch.column(1).to_numpy(), settled(shape(batch.column(0)), batch.column(2).to_numpy())
             for k, n in enumerate((c, np.ones_like(c), c == 1, c == 2)):
                 sums[:, k] += np.bincount(own, n, minlength=ALL).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(ALL)), *(pa.array(x) for x in sums.T)], ["class", "c", "types", "ones", "twos"])
 
-    rows = vocab.select("word", "c", "cand").mapInArrow(count, "class bigint, c bigint, types bigint, ones bigint, twos bigint")
+    rows = named.mapInArrow(count, "class bigint, c bigint, types bigint, ones bigint, twos bigint")
     sums = np.zeros((ALL, 4))
     for r in rows.groupBy("class").agg(*(F.sum(x).alias(x) for x in ("c", "types", "ones", "twos"))).collect():
         sums[r["class"]] = r.c, r.types, r.ones, r.twos
@@ -308,22 +389,22 @@ def class_model(vocab: DataFrame, table: np.ndarray, pairs: np.ndarray, tokens:
     follow = (pairs > 0).sum(axis=1, keepdims=True)
     alone = (pairs.sum(axis=0) + 1.0) / (pairs.sum() + ALL)
     trans = (pairs + np.maximum(follow, 1) * alone) / (n + np.maximum(follow, 1))  # Witten-Bell
-    return ClassModel(table, np.log10(trans), sums[:, 0], sums[:, 1], discount, tokens, words, ends)
+    return ClassModel(np.log10(trans), sums[:, 0], sums[:, 1], discount, tokens, words, ends)
 
 
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def scores(resolved: DataFrame, model: ClassModel) -> DataFrame:
-    given = resolved.sparkSession.sparkContext.broadcast(model)
+def scores(resolved: DataFrame, classes: Classes, model: ClassModel) -> DataFrame:
+    blocks, given = classes.on(resolved)
+    told = resolved.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = given.value
+        m = told.value
         end_base = float(m.base(np.array([m.ends]))[0])
         for batch in batches:
-            for r, held, starts, codes, cand, shapes in _parts(batch):
+            for r, held, starts, codes, _, own in _parts(batch, given):
                 counts = unpacked(r["counts"], np.int64)
-                own = classes_of(cand, shapes, m.table)
                 emit, base = np.append(m.emission(counts, own), 0.0), np.append(m.base(counts), end_base)
                 known, own = np.append(counts > 0, m.ends > 0), np.append(own, EDGE)
                 code = with_edges(codes, starts, np.ones(len(held), bool))
@@ -334,10 +415,10 @@ def scores(resolved: DataFrame, model: ClassModel) -> DataFrame:
                 sums = [np.add.reduceat(x, first) for x in (each, base[code[1:]], known[code[1:]].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(held), pa.array(np.diff(starts).astype(np.int64) + 1), pa.array(sums[2]), pa.array(np.full(len(held), m.tokens)), pa.array(sums[1]), pa.array(sums[0])], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return resolved.mapInArrow(score, SCORED)
+    return blocks.mapInArrow(score, SCORED)
 
 
-def score_documents(docs: DataFrame, held_out, rounds: int = ROUNDS, min_count: int = MIN_COUNT) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, rounds: int = ROUNDS, min_count: int = MIN_COUNT, most: int = MOST) -> DataFrame:
     """Every document of ``doc_id, text`` scored by a model of those where the column ``held_out`` is false."""
     built = written(blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held"))), "blocks", "zstd")
     each = built.select(F.explode(F.arrays_zip("words", "seen")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.seen").cast("long").alias("n")).where("n > 0")
@@ -345,13 +426,16 @@ def score_documents(docs: DataFrame, held_out, rounds: int = ROUNDS, min_count:
     sums = vocab.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     ends = built.agg(F.coalesce(F.sum("train_docs"), F.lit(0)).alias("n")).first().n
     tokens, words = sums.n + ends, sums.v + (ends > 0)
-    vocab, clustered = with_candidates(vocab, max(min_count, math.ceil(sums.n * SHARE)))
+    vocab, clustered = with_candidates(vocab, min_count)
     resolved = written(resolve(built, vocab), "resolved", "none")
-    table = np.full(clustered, MOVES_NOT, np.uint8)
-    for k, r in enumerate(vocab.where("cand >= 0").orderBy(F.desc("c"), "word").limit(CLASSES).collect()):
-        table[r.cand] = k  # each of the most frequent words starts a class of its own
-    pairs = transitions(resolved, table)
+    classes = Classes.start(docs.sparkSession, clustered, most)
+    pairs = transitions(resolved, classes)
     for turn in range(rounds if clustered else 0):
-        table = exchange(resolved, table, pairs, turn)
-        pairs = transitions(resolved, table)
-    return scores(resolved, class_model(vocab, table, pairs, tokens, words, ends))
+        moved = exchange(resolved, classes, pairs, turn, clustered, most)
+        after = transitions(resolved, moved)
+        gain = likelihood(after) - likelihood(pairs)
+        if gain > 0:
+            classes, pairs = moved, after
+        if turn and abs(gain) < GAIN * abs(likelihood(pairs)):
+            break
+    return scores(resolved, classes, class_model(vocab, classes, pairs, tokens, words, ends))

@@ -73,10 +73,14 @@ def test_probabilities_sum_to_one(spark, documents):
     vocab = vocab.cache()
     resolved = brown.resolve(built, vocab).cache()
     table = np.arange(n).astype(np.uint8) % brown.CLASSES
-    pairs = brown.transitions(resolved, table)
+    rows = [(k, table[k * brown.RANGE : (k + 1) * brown.RANGE].tobytes()) for k in range(-(-n // brown.RANGE))]
+    classes = brown.Classes.of(spark.createDataFrame(rows, brown.CLASS_ROWS), n, brown.MOST)
+    assert (classes.array == table).all()
+    pairs = brown.transitions(resolved, classes)
+    assert (brown.transitions(resolved, brown.Classes.of(classes.table, n, 0)) == pairs).all()
     rows = vocab.collect()
     tokens = sum(r.c for r in rows) + documents.count()
-    model = brown.class_model(vocab, table, pairs, tokens, len(rows) + 1, documents.count())
+    model = brown.class_model(vocab, classes, pairs, tokens, len(rows) + 1, documents.count())
     assert np.allclose((10.0**model.trans).sum(axis=1), 1)
     own = brown.classes_of(np.array([r.cand for r in rows]), brown.shape(pa.array([r.word for r in rows])), table)
     mass = np.bincount(own, 10.0 ** model.emission(np.array([r.c for r in rows]), own), minlength=brown.ALL)
@@ -86,17 +90,28 @@ def test_probabilities_sum_to_one(spark, documents):
             assert mass[k] == 0 or abs(mass[k] - 1) < 1e-9
         elif k < brown.EDGE and model.types[k]:
             assert abs(mass[k] + unseen[k] - 1) < 1e-9
-    # a round of exchange doesn't lower the likelihood of the classes by much and mostly raises it
-
-    def fit(p):
-        n = p.sum(axis=1)
-        return (p[p > 0] * np.log(p[p > 0])).sum() - 2 * (n[n > 0] * np.log(n[n > 0])).sum()
-
-    before = fit(pairs)
+    before = brown.likelihood(pairs)
     for turn in range(2):
-        table = brown.exchange(resolved, table, pairs, turn)
-        pairs = brown.transitions(resolved, table)
-    assert fit(pairs) > before
+        classes = brown.exchange(resolved, classes, pairs, turn, n)
+        pairs = brown.transitions(resolved, classes)
+    assert brown.likelihood(pairs) > before
+
+
+def test_scores_depend_neither_on_partitions_nor_on_what_is_broadcast(spark, documents):
+    held = F.col("doc_id") % 7 == 2
+    want = {r.doc_id: r for r in brown.score_documents(documents.repartition(1), held, rounds=3).collect()}
+    for docs, most in ((documents.repartition(7), brown.MOST), (documents, 0)):
+        got = {r.doc_id: r for r in brown.score_documents(docs, held, rounds=3, most=most).collect()}
+        assert set(got) == set(want)
+        assert all(abs(got[d].score - want[d].score) <= 1e-9 * abs(want[d].score) for d in want)
+
+
+def test_words_are_numbered_by_frequency(spark):
+    vocab = spark.createDataFrame([(f"w{i}", 5 + i % 7) for i in range(500)], "word string, c bigint").repartition(9)
+    out, n = brown.with_candidates(vocab, 8)
+    rows = sorted((r for r in out.collect() if r.cand >= 0), key=lambda r: r.cand)
+    assert [(-r.c, r.word) for r in rows] == sorted((-r.c, r.word) for r in rows)
+    assert [r.cand for r in rows] == list(range(n)) and all(r.c < 8 for r in out.collect() if r.cand < 0)
 
 
 def test_tokens():

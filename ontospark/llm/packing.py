@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import ship, slices, written
 
-PIECES = "doc_id bigint, piece int, start bigint, length bigint, planes binary, part int, nth bigint"
-PLACED = "doc_id bigint, piece int, start bigint, length bigint, planes binary, sequence_id bigint, offset bigint"
-#: Rows of counts (a task, a length) that are broadcast at most; a row has three numbers.
-FEW = 1 << 19
+PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary, part int, nth bigint"
+PLACED = "doc_id bigint, piece int, start bigint, length bigint, ids binary, sequence_id bigint, offset bigint"
+#: Numbers (one for each length of each task, 8 bytes) that are broadcast at most; with more the pieces are joined to them by a shuffle.
+FEW = 1 << 23
 
 
 def encoder(vocabulary: str, ranks: str | None = None) -> Callable[[str], np.ndarray]:
@@ -67,10 +67,18 @@ def encoder(vocabulary: str, ranks: str | None = None) -> Callable[[str], np.nda
     return encode
 
 
+def kind_of(vocabulary: str, end: int) -> str:
+    """How pieces hold their ids: 16 bits where the vocabulary allows it, else 32."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(vocabulary).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
+
+
 def pieces(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: int = 1024, end: int = 2) -> DataFrame:
-    """One row per piece with its ids as four planes of their bytes, which compress better than whole ids; ``part`` is the task that made it, ``nth`` counts the task's pieces of that length."""
+    """One row per piece with its ids (``kind_of``); ``part`` is the task that made it, ``nth`` counts the task's pieces of that length."""
     ship(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("planes", pa.binary()), ("part", pa.int32()), ("nth", pa.int64())])
+    kind = kind_of(vocabulary, end)
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("nth", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -79,11 +87,11 @@ def pieces(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity:
         for batch in slices(batches, "text", 16 << 20):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(encode(text) if text else np.empty(0, np.uint32), np.uint32(end)).astype("<u4")
+                ids = np.append(encode(text) if text else np.empty(0, np.uint32), np.uint32(end)).astype(kind)
                 n, start, k = len(ids), 0, 0
                 while start < n:
                     size = (n - start) % capacity or capacity
-                    rows.append((doc_id, k, start, size, ids[start : start + size].view(np.uint8).reshape(-1, 4).T.tobytes(), part, int(seen[size])))
+                    rows.append((doc_id, k, start, size, ids[start : start + size].tobytes(), part, int(seen[size])))
                     seen[size] += 1
                     start, k = start + size, k + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -103,7 +111,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
             gap -= length * uses[length]
             there = there[: k - 1]
         needed = dict(uses)
-        if gap and sum(uses.values()) > 1:
+        if gap:
             smallest = min(uses)
             left = counts.copy()
             for length, n in uses.items():
@@ -156,8 +164,10 @@ def place(made: DataFrame, capacity: int = 1024) -> DataFrame:
         totals[r.length] = r.n
     where = runs(plan(totals, capacity))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("part", "length", before.alias("before"))
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("planes", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    each = counts.select("part", "length", before.alias("before"))
+    firsts = each.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct(F.col("length").cast("int"), "before"))).alias("m"))
+    offsets = firsts.select("part", F.transform(F.sequence(F.lit(1), F.lit(capacity)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("firsts"))
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,22 +181,23 @@ def place(made: DataFrame, capacity: int = 1024) -> DataFrame:
                 offset[at] = row[:, 3] + nth % row[:, 2] * one
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], schema=schema)
 
-    if counts.count() <= FEW:
+    if counts.select("part").distinct().count() * capacity <= FEW:
         offsets = F.broadcast(offsets)  # the ids stay where they are
-    numbered = made.join(offsets, ["part", "length"]).select("doc_id", "piece", "start", "length", "planes", (F.col("nth") + F.col("before")).alias("number"))
+    first = F.element_at("firsts", F.col("length").cast("int"))
+    numbered = made.join(offsets, "part").select("doc_id", "piece", "start", "length", "ids", (F.col("nth") + first).alias("number"))
     return numbered.mapInArrow(put, PLACED)
 
 
-def sequences(placed: DataFrame) -> DataFrame:
+def sequences(placed: DataFrame, kind: str) -> DataFrame:
     """``sequence_id, ids, pieces``: the packed ids (32 bits each, little-endian) of every sequence, and which piece of which document lies where in them."""
-    held = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "piece", "start", "planes"))).alias("held"))
+    held = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "piece", "start", "ids"))).alias("held"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [b"".join(np.frombuffer(x, np.uint8).reshape(4, -1).T.tobytes() for x in row) for row in batch.column(1).to_pylist()]
+            ids = [np.frombuffer(b"".join(row), kind).astype("<u4").tobytes() for row in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), batch.column(2)], ["sequence_id", "ids", "pieces"])
 
-    rows = held.select("sequence_id", "held.planes", F.transform("held", lambda x: x.dropFields("planes")).alias("pieces"))
+    rows = held.select("sequence_id", "held.ids", F.transform("held", lambda x: x.dropFields("ids")).alias("pieces"))
     return rows.mapInArrow(joined, "sequence_id bigint, ids binary, pieces array<struct<offset:bigint,length:bigint,doc_id:bigint,piece:int,start:bigint>>")
 
 
@@ -199,4 +210,4 @@ def members(packed: DataFrame) -> DataFrame:
 
 def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: int = 1024, end: int = 2) -> DataFrame:
     placed = place(written(pieces(docs, vocabulary, ranks, capacity, end), "pieces"), capacity)
-    return members(written(sequences(placed), "sequences"))
+    return members(written(sequences(placed, kind_of(vocabulary, end)), "sequences"))

@@ -58,7 +58,7 @@ def sequential(lengths, capacity):
             used.append(fits[-1])
             left.remove(fits[-1])
             gap -= fits[-1]
-        if gap and len(used) > 1:
+        if gap:
             room, small = gap + min(used), min(used)
             best = max(((a + b, a, b) for i, a in enumerate(left) for j, b in enumerate(left) if j < i and a + b <= room), default=(0, 0, 0))
             if best[0] > small:
@@ -84,7 +84,7 @@ def test_plan_is_the_sequential_packing(lengths):
 
 def test_sequences_give_the_texts_back(spark, odd):
     placed = packing.place(packing.written(packing.pieces(odd, JSON, RANKS, 64), "pieces"), 64)
-    packed = packing.sequences(placed).collect()
+    packed = packing.sequences(placed, packing.kind_of(JSON, 2)).collect()
     slow, docs = Tokenizer.from_file(JSON), {}
     for r in packed:
         assert len(r.ids) == 4 * sum(x.length for x in r.pieces) <= 4 * 64

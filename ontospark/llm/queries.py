@@ -102,13 +102,12 @@ FROM m GROUP BY r, doc_id
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents dealt uniformly to shards 0 to 39, whose counts differ by one at most."""
-    text = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    rows = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
-    )
-    dealt = sharding.uniform_shards(sharding.with_places(rows, "rows"), 40, seed=42)
-    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """All documents, texts and all, dealt uniformly to shards 0 to 39, whose counts differ by one at most; sizes and checksums are of what the shards hold."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
+    dealt = sharding.uniform_shards(docs, 40, seed=42)
+    text = F.encode(F.coalesce("row.text", F.lit("")), "utf-8")
+    size = (F.octet_length(text) + 16).cast("long")
+    return dealt.select("row.doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:

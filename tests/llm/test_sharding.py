@@ -3,8 +3,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ontospark.llm import queries, sharding
+from ontospark.llm.common import written
 
 DATA = "/root/testdata/sf0.001"
 
@@ -23,21 +25,43 @@ def test_query(spark):
 
 
 def test_odd_and_empty(spark, odd, none):
-    rows = sharding.uniform_shards(sharding.with_places(odd.select("doc_id", "text")), 4).collect()
+    docs = written(odd, "odd").withColumn("at", F.lit(1)).withColumn("shard", F.lit(2)).withColumn("slot", F.lit(3)).withColumn("cell", F.lit(4))
+    done = sharding.uniform_shards(docs, 4)
+    rows = done.collect()
+    assert done.select("row.*").columns == docs.columns
+    key = lambda r: str(tuple(r))
+    assert sorted((r.row for r in rows), key=key) == sorted(docs.collect(), key=key)
     assert sorted(Counter(r.shard for r in rows).values()) == [2, 3, 3, 3]
-    assert sharding.uniform_shards(sharding.with_places(none.select("doc_id", "text")), 4).count() == 0
+    assert sharding.uniform_shards(none, 4).count() == 0
 
 
-def test_more_groups_of_partitions_than_one(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "GROUP", 3)
-    monkeypatch.setattr(sharding, "CELL", 16)
-    rows = sharding.uniform_shards(sharding.with_places(spark.range(1000).repartition(20)), 7).collect()
-    assert {r.id for r in rows} == set(range(1000)) and len(rows) == 1000
-    by = {}
-    for r in rows:
-        by.setdefault(r.shard, []).append(r.slot)
-    assert all(sorted(x) == list(range(len(x))) for x in by.values())
-    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+def test_more_groups_of_partitions_than_one(spark):
+    many = written(spark.range(1000).repartition(20), "many")
+    for few in (sharding.FEW, 0):
+        rows = sharding.uniform_shards(many, 7, group=3, cell_rows=16, few=few).collect()
+        assert {r.row.id for r in rows} == set(range(1000)) and len(rows) == 1000
+        by = {}
+        for r in rows:
+            by.setdefault(r.shard, []).append(r.slot)
+        assert all(sorted(x) == list(range(len(x))) for x in by.values())
+        assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+
+
+def test_partitions_draw_what_their_group_was_dealt():
+    counts = np.array([5, 0, 17, 3, 40, 1, 9], np.int64)
+    shares = sharding.group_shares(counts, 4, 1)
+    each = np.array([sharding.quotas(counts, shares, k, 1) for k in range(len(counts))])
+    assert each.sum(1).tolist() == counts.tolist() and each.sum(0).tolist() == [19, 19, 19, 18]
+
+
+def test_every_place_is_equally_likely(spark):
+    """Mean slot and spread of the first partition's rows over many seeds."""
+    rows, hits = spark.range(0, 24, 1, 3), np.zeros((24, 3))
+    for seed in range(12):
+        for r in sharding.uniform_shards(rows, 3, seed).collect():
+            hits[r.row.id, r.shard] += 1
+    by_part = hits.reshape(3, 8, 3).sum(axis=1)
+    assert np.abs(by_part / 96 - 1 / 3).max() < 0.15
 
 
 def test_matrix_sums_and_mean():

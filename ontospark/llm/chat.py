@@ -109,6 +109,31 @@ def loss_spans(parsed: DataFrame, role: str = "assistant") -> DataFrame:
     return parsed.withColumn("loss_text", F.array_join(texts, ""))
 
 
+def mask(parsed: DataFrame, role: str = "assistant") -> DataFrame:
+    """Adds ``spans``: where the texts of one role lie in ``formatted`` (start and length in code points, escapes included), in order.
+
+    Lengths are added up within runs of ``RUN`` turns, then over the runs.
+    """
+    whole, head = len(TURN) + len(SAID) + len(END), len(TURN) + len(SAID)
+    size = lambda t: F.length(escape(t))
+    sizes = F.transform("turns", lambda t: F.struct(
+        (head + size(t["role"])).cast("long").alias("head"), size(t["text"]).cast("long").alias("text"),
+        (whole + size(t["role"]) + size(t["text"])).cast("long").alias("whole"), (t["role"] == role).alias("counts"),
+    ))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("sizes") - 1) / RUN).cast("int")), lambda k: F.slice("sizes", k * RUN + 1, RUN))
+    lengths = F.transform("runs", lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda a, x: a + x["whole"]))
+    starts = F.aggregate("lengths", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    none = F.expr("CAST(array() AS array<struct<start:bigint,length:bigint>>)")
+    spans = F.transform(F.arrays_zip(F.col("runs").alias("run"), F.slice("starts", F.lit(1), F.size("runs")).alias("begin")), lambda z: F.aggregate(
+        z["run"], F.struct(z["begin"].alias("at"), none.alias("spans")),
+        lambda a, x: F.struct((a["at"] + x["whole"]).alias("at"), F.when(x["counts"], F.concat(a["spans"], F.array(F.struct((a["at"] + x["head"]).alias("start"), x["text"].alias("length"))))).otherwise(a["spans"]).alias("spans")),
+        lambda a: a["spans"],
+    ))
+    out = parsed.withColumn("sizes", sizes).withColumn("runs", F.when(F.size("sizes") > 0, runs).otherwise(F.expr("CAST(array() AS array<array<struct<head:bigint,text:bigint,whole:bigint,counts:boolean>>>)")))
+    out = out.withColumn("lengths", lengths).withColumn("starts", starts)
+    return out.withColumn("spans", F.flatten(spans)).drop("sizes", "runs", "lengths", "starts")
+
+
 def as_events(conversations: DataFrame) -> DataFrame:
     """A table of turns as the log that would have streamed it: each row opens a message, then
     streams a draft, has it regenerated, streams the first half of the text, gets it edited to itself and streams the rest."""

@@ -1,10 +1,8 @@
-"""What the operators share: the shared scratch folder, written intermediates, Arrow batches."""
+"""What the operators share: written intermediates, Arrow batches."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -12,34 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset (local tests) one temporary folder per application takes its place.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="ontospark-")
-        folder = _own[app]
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back.
-
-    It cuts the lineage with a table that outlives any executor, and fixes what
-    ``spark_partition_id`` or ``monotonically_increasing_id`` gave.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ontospark-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.scratch import shared_dir, written
 
+__all__ = ["shared_dir", "ship", "slices", "table", "written"]
 
 def ship(spark: SparkSession) -> None:
     """Let local Python workers import this package wherever the driver was started from.

@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import ship
 
 FRAME, BUNDLE, LEVEL = 256 << 10, 16 << 20, 3
+#: Records of a lookup whose places are broadcast at most.
+FEW = 1 << 20
 #: Fixed values of the seekable format: magic numbers of the skippable frame and of the seek table's footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -186,20 +188,22 @@ def parse_record(data: bytes) -> dict:
     }
 
 
-def split_records(frame: bytes) -> Iterator[bytes]:
-    """The records of a decompressed frame, by their own Content-Length."""
-    at = 0
-    while at < len(frame):
-        end = frame.index(b"\r\n\r\n", at)
-        length = next(int(x[15:]) for x in frame[at:end].split(b"\r\n") if x.startswith(b"Content-Length:"))
-        stop = end + 4 + length + 4
-        yield frame[at:stop]
-        at = stop
+def opened(content: bytes, places: list[dict]) -> Iterator[bytes]:
+    """The records at ``places`` (frame, offset, length), each frame that holds any decompressed once."""
+    ranges, opener = frame_ranges(content), zstandard.ZstdDecompressor()
+    by_frame: dict[int, list[dict]] = {}
+    for p in places:
+        by_frame.setdefault(p["frame"], []).append(p)
+    for frame, own in sorted(by_frame.items()):
+        start, packed, plain = ranges[frame]
+        data = opener.decompress(content[start : start + packed], max_output_size=plain)
+        for p in own:
+            yield data[p["offset"] : p["offset"] + p["length"]]
 
 
-def read(bundle_rows: DataFrame, payloads: bool = True) -> DataFrame:
-    """Every record of every bundle, one frame decompressed at a time; digests and lengths of responses are verified."""
-    ship(bundle_rows.sparkSession)
+def _records(rows: DataFrame, payloads: bool) -> DataFrame:
+    """The records of ``path, content, places``, as ``PARSED``, a frame's worth or so in a batch; digests and lengths of responses are verified."""
+    ship(rows.sparkSession)
     schema = pa.schema([
         ("path", pa.string()), ("record_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()),
         ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()),
@@ -208,17 +212,24 @@ def read(bundle_rows: DataFrame, payloads: bool = True) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                path, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                opener = zstandard.ZstdDecompressor()
-                for start, packed, plain in frame_ranges(content):
-                    frame = opener.decompress(content[start : start + packed], max_output_size=plain)
-                    rows = [{"path": path} | parse_record(x) for x in split_records(frame)]
+                path, held, size = batch.column(0)[i].as_py(), [], 0
+                for data in opened(batch.column(1)[i].as_py(), batch.column(2)[i].as_py()):
+                    held.append({"path": path} | parse_record(data))
+                    size += len(data)
                     if not payloads:
-                        for r in rows:
-                            r["payload"] = None
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        held[-1]["payload"] = None
+                    if size > FRAME:
+                        yield pa.RecordBatch.from_pylist(held, schema=schema)
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+    return rows.select("path", "content", "places").mapInArrow(unpack, PARSED)
 
-    return bundle_rows.select("path", "content").mapInArrow(unpack, PARSED)
+
+def read(bundle_rows: DataFrame, payloads: bool = True) -> DataFrame:
+    """Every record of every bundle, found by the map of its bundle."""
+    return _records(bundle_rows.select("path", "content", F.transform("records", lambda r: r.dropFields("record_id")).alias("places")), payloads)
 
 
 def index(bundle_rows: DataFrame) -> DataFrame:
@@ -226,38 +237,30 @@ def index(bundle_rows: DataFrame) -> DataFrame:
     return bundle_rows.select("path", F.explode("records").alias("r")).select("path", "r.*")
 
 
-def fetch(bundle_rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The records whose ids are in ``wanted.record_id``: only the frames that hold them are opened."""
-    ship(bundle_rows.sparkSession)
-    found = index(bundle_rows).join(wanted.select("record_id").distinct(), "record_id").groupBy("path").agg(
-        F.collect_list(F.struct("frame", "offset", "length")).alias("places")
-    )
-    schema = "path string, record_id bigint, record_type string, refers_to bigint, url string, payload_bytes bigint, payload_digest string, payload binary"
+def fetch(bundle_rows: DataFrame, wanted: DataFrame, few: int = FEW) -> DataFrame:
+    """The records whose ids are in ``wanted.record_id``: only the frames that hold them are opened.
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                frames = {p["frame"]: read_frame(content, p["frame"]) for p in places}
-                rows = [{"path": path} | parse_record(frames[p["frame"]][p["offset"] : p["offset"] + p["length"]]) for p in places]
-                yield pa.RecordBatch.from_pylist(rows)
-
-    def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("path", pa.string()), ("record_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
-        for b in take(batches):
-            yield pa.RecordBatch.from_pylist(b.to_pylist(), schema=kinds)
-
-    return bundle_rows.join(found, "path").select("path", "content", "places").mapInArrow(typed, schema)
+    The map is joined without the content. The bundles that are hit are found by a broadcast of their paths and places where these are
+    ``few`` records at most, so that no content is shuffled; a lookup of more records joins.
+    """
+    hits = index(bundle_rows).join(wanted.select("record_id").distinct(), "record_id")
+    places = hits.groupBy("path").agg(F.collect_list(F.struct("frame", "offset", "length")).alias("places"))  # as many as a bundle has at most
+    if hits.limit(few + 1).count() <= few:
+        places = F.broadcast(places)
+    return _records(bundle_rows.select("path", "content").join(places, "path"), True)
 
 
 def export(bundle_rows: DataFrame, folder: str) -> None:
-    """Each bundle as a file of its own under a folder that executors can open (a mounted store)."""
-    import os
+    """Each bundle as a file of its own under a folder, given as a URI that Arrow's file systems know or a mounted path."""
 
     def put(rows) -> None:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(base, recursive=True)
         for r in rows:
-            os.makedirs(folder, exist_ok=True)
-            with open(f"{folder}/{r.path}.tmp", "wb") as f:
+            with store.open_output_stream(f"{base}/{r.path}.tmp") as f:
                 f.write(r.content)
-            os.replace(f"{folder}/{r.path}.tmp", f"{folder}/{r.path}")
+            store.move(f"{base}/{r.path}.tmp", f"{base}/{r.path}")
 
     bundle_rows.select("path", "content").foreachPartition(put)

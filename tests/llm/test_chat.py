@@ -43,6 +43,13 @@ def test_render_and_read_back(spark):
         assert r.loss_text == "".join(text for _, role, text in mine if role == "assistant")
         assert r.formatted.count(chat.END) == len(mine)
     assert chat.render(df.limit(0), ["turn"]).count() == 0
+    masked = chat.mask(chat.parse(chat.render(df, ["turn", "role", "text"])))
+    parts = masked.select("conv_id", F.posexplode("spans").alias("nth", "s"), "formatted").select("conv_id", "nth", chat.unescape(F.substr("formatted", F.col("s.start") + 1, F.col("s.length"))).alias("said"))
+    by = {}
+    for r in parts.orderBy("conv_id", "nth").collect():
+        by.setdefault(r.conv_id, []).append(r.said)
+    assert {r.conv_id: r.loss_text for r in parsed} == {r.conv_id: "".join(by.get(r.conv_id, [])) for r in parsed}
+    assert "Python" not in masked._jdf.queryExecution().toString()
 
 
 def test_table_of_turns_as_a_log(spark):

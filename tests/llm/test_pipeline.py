@@ -39,7 +39,7 @@ def test_line_dedup_stage(stages):
     want = {}
     for r in before.collect():
         kept = [x for i, x in enumerate(r.text.split("\n")) if key(x) not in often or r.doc_id == min(docs[key(x)]) and key(x) not in [key(y) for y in r.text.split("\n")[:i]]]
-        if kept == r.text.split("\n") or "\n".join(kept).strip(" "):
+        if kept == r.text.split("\n") or "\n".join(kept).strip(" \t\n\x0b\x0c\r"):
             want[r.doc_id] = "\n".join(kept)
     assert {r.doc_id: r.text for r in after.collect()} == want
 
@@ -92,3 +92,9 @@ def test_near_duplicate_stage_tells_rows_apart_by_their_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()]
     assert sorted(got, key=str) == sorted([(9, text(1) + " end"), (None, text(2)), (7, text(3)), (7, text(4)), (None, text(5))], key=str)
+
+
+def test_documents_of_repeated_and_blank_lines_go(spark):
+    docs = spark.createDataFrame([(i, "Repeated line\n\n \t\n") for i in range(12)] + [(20, " \n"), (21, None), (22, "own\n\n")], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, DATA).collect()}
+    assert got == {0: "Repeated line\n\n \t\n", 20: " \n", 21: "", 22: "own\n\n"}

@@ -48,8 +48,22 @@ def test_bundles_are_zstd_and_seekable(spark, tmp_path):
     some = pages.where("page_id % 7 = 3")
     got = {r.record_id: r.payload for r in warc.fetch(stored, some.select(F.col("page_id").alias("record_id"))).collect() if r.payload is not None}
     assert got and all(got[r.page_id] == r.html.encode() for r in some.collect() if r.page_id in got)
-    warc.export(stored, str(tmp_path))
-    assert sorted(p.name for p in tmp_path.iterdir()) == sorted(r.path for r in stored.collect())
+    joined = warc.fetch(stored, some.select(F.col("page_id").alias("record_id")), few=0)
+    assert {r.record_id: r.payload for r in joined.collect() if r.payload is not None} == got
+    assert joined.count() == some.count()
+    for folder in (str(tmp_path / "a"), f"file://{tmp_path}/b"):
+        warc.export(stored, folder)
+        assert sorted(p.name for p in (tmp_path / folder[-1]).iterdir()) == sorted(r.path for r in stored.collect())
+
+
+def test_records_at_given_places():
+    b = warc._Bundle()
+    for i in range(50):
+        b.add(i, warc.record(i, "u", b"x" * 20_000, hashlib.sha1(b"x" * 20_000).hexdigest(), None, "2024-01-01T00:00:00Z"))
+    content = b.content()
+    assert len(warc.frame_ranges(content)) > 1
+    got = [warc.parse_record(x)["record_id"] for x in warc.opened(content, [r for r in b.index if r["record_id"] in (0, 1, 2, 40)])]
+    assert got == [0, 1, 2, 40]
 
 
 def test_empty_and_broken(spark, pages):

@@ -47,7 +47,7 @@ def turtle(o: Column, kind: Column, dt: Column, lang: Column, prefixes: dict[str
 
 
 def category(p: Column) -> Column:
-    """What a changed predicate is about; tests in this order, on substrings."""
+    """What a changed predicate is about. The words and the order of the tests."""
     low, has = F.lower(p), lambda c, *xs: reduce(Column.__or__, [c.contains(x) for x in xs])
     axiom = low.contains("owl") & has(p, "disjoint", "inverse", "functional", "cardinality", "restriction", "union", "intersection")
     return (

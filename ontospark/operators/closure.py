@@ -1,7 +1,9 @@
-"""Graph traversal: semi-naive loops whose rounds are written tables.
+"""Graph traversal in rounds that are written tables.
 
-Each round joins only what the last one found. Rounds are written, so lineage stays short and a lost executor costs
-tasks of one round; the driver sees only whether a round found anything.
+Short paths are followed edge by edge; after ``STEPS`` rounds the steps double: from the edges follow the pairs joined by a walk of
+exactly 2, 4, 8 ... edges (``leaps``), so a chain of n edges takes about log n rounds. Only ``reach``, whose result is all pairs, makes all
+pairs. Rounds are written, so lineage stays short and a lost executor costs tasks of one round; the driver sees only whether a round
+found anything.
 """
 
 from __future__ import annotations
@@ -13,30 +15,54 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 
+#: Rounds of one edge before steps double.
+STEPS = 3
 
-def reach(edges: DataFrame, most: int | None = None) -> DataFrame:
-    """``src, dst, dist`` for every pair with a path of one edge or more; dist is the shortest. Cycles end by themselves."""
-    edges = written(edges.select("src", "dst").distinct(), "edges")
-    rounds, step = [edges.withColumn("dist", F.lit(1))], 1
-    while most is None or step < most:
-        step += 1
-        seen = reduce(DataFrame.unionByName, rounds)
-        ahead = rounds[-1].select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-        new = written(ahead.join(seen, ["src", "dst"], "left_anti").withColumn("dist", F.lit(step)), "round")
+
+def _edges(edges: DataFrame) -> DataFrame:
+    return written(edges.select("src", "dst").distinct(), "edges")
+
+
+def _leap(leaps: DataFrame) -> DataFrame:
+    """Walks of twice the length."""
+    ahead = leaps.select(F.col("src").alias("mid"), F.col("dst").alias("end"))
+    return written(leaps.join(ahead, F.col("dst") == F.col("mid")).select("src", F.col("end").alias("dst")).distinct(), "leaps")
+
+
+def reach(edges: DataFrame, most: int | None = None, to: DataFrame | None = None) -> DataFrame:
+    """``src, dst, dist`` for every pair with a path of one edge or more (``most`` at most); dist is the shortest. Cycles end by themselves.
+
+    With ``to.uri`` only the pairs that end there are ever made.
+    """
+    leaps, length = _edges(edges), 1
+    pairs = leaps.withColumn("dist", F.lit(1))
+    if to is not None:
+        pairs = written(pairs.join(to.select(F.col("uri").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", "dist"), "pairs")
+    while most is None or length < most:
+        # pairs has all shortest paths of `length` edges or fewer: a longer one of up to 2 · length goes on from a walk of exactly `length`
+        if length > 1:
+            leaps = _leap(leaps)
+        ahead = pairs.select(F.col("src").alias("mid"), F.col("dst").alias("end"), F.col("dist").alias("more"))
+        far = leaps.join(ahead, F.col("dst") == F.col("mid")).groupBy("src", F.col("end").alias("dst")).agg((F.min("more") + length).alias("dist"))
+        if most is not None:
+            far = far.where(F.col("dist") <= most)
+        new = written(far.join(pairs, ["src", "dst"], "left_anti"), "round")
         if new.isEmpty():
             break
-        rounds.append(new)
-    return reduce(DataFrame.unionByName, rounds)
+        pairs, length = written(pairs.unionByName(new), "pairs"), 2 * length
+    return pairs
 
 
 def walk(edges: DataFrame, start: DataFrame, most: int | None = None, within: DataFrame | None = None) -> DataFrame:
-    """``uri, depth``: breadth first along ``src → dst`` from ``start.uri`` (depth 0), each node once."""
-    edges = edges.select("src", "dst").distinct()
+    """``uri, depth``: breadth first along ``src → dst`` from ``start.uri`` (depth 0), each node once, only to nodes of ``within.uri`` if given."""
+    edges = edges.select("src", "dst")
     if within is not None:
         edges = edges.join(within.select(F.col("uri").alias("dst")), "dst", "left_semi")
-    edges = written(edges, "edges")
+    edges = _edges(edges)
     rounds, step = [written(start.select("uri").distinct().withColumn("depth", F.lit(0)), "round")], 0
     while most is None or step < most:
+        if step == STEPS and most is None:
+            return _far(edges, reduce(DataFrame.unionByName, rounds), rounds[-1])
         step += 1
         seen = reduce(DataFrame.unionByName, rounds)
         ahead = rounds[-1].join(edges, F.col("uri") == F.col("src")).select(F.col("dst").alias("uri")).distinct()
@@ -47,35 +73,96 @@ def walk(edges: DataFrame, start: DataFrame, most: int | None = None, within: Da
     return reduce(DataFrame.unionByName, rounds)
 
 
+def _far(edges: DataFrame, seen: DataFrame, frontier: DataFrame) -> DataFrame:
+    """``seen`` and all that lies beyond ``frontier``, its deepest nodes, with doubling steps."""
+    leaps = written(edges.join(seen.select(F.col("uri").alias("dst")), "dst", "left_anti"), "leaps")
+    found, length = frontier, 1
+    while True:
+        # found has all nodes up to `length` - 1 edges beyond the frontier
+        new = found.join(leaps, F.col("uri") == F.col("src")).groupBy(F.col("dst").alias("uri")).agg((F.min("depth") + length).alias("depth"))
+        new = written(new.join(found, "uri", "left_anti"), "round")
+        if new.isEmpty():
+            break
+        found, leaps, length = written(found.unionByName(new), "found"), _leap(leaps), 2 * length
+    return seen.unionByName(found.join(seen.select("uri"), "uri", "left_anti"))
+
+
+def nearest(edges: DataFrame, marked: DataFrame) -> DataFrame:
+    """``uri, mark, dist`` for nodes with a marked node (``marked.uri``) ahead of them: the nearest, ties to the smallest; marked ones are their own.
+
+    Marks go from node to node against the edges, the smallest of each distance on, so no pair is made.
+    """
+    edges = _edges(edges)
+    rounds, step = [written(marked.select("uri").distinct().select("uri", F.col("uri").alias("mark"), F.lit(0).alias("dist")), "round")], 0
+    while True:
+        step += 1
+        seen = reduce(DataFrame.unionByName, rounds).select("uri")
+        back = rounds[-1].join(edges, F.col("uri") == F.col("dst")).groupBy(F.col("src").alias("uri")).agg(F.min("mark").alias("mark"))
+        new = written(back.join(seen, "uri", "left_anti").withColumn("dist", F.lit(step)), "round")
+        if new.isEmpty():
+            return reduce(DataFrame.unionByName, rounds)
+        rounds.append(new)
+
+
 def descendants(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """``uri, depth`` of the roots and all below them, for ``src → dst`` from child to parent."""
     return walk(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots, most)
 
 
+def _inner(edges: DataFrame) -> DataFrame:
+    """The edges among nodes that lie on cycles or between cycles; nodes without an edge in or out are peeled off first."""
+    left, before = _edges(edges), None
+    for _ in range(STEPS):
+        into, out = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
+        left = written(left.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"), "peeled")
+        after = left.count()
+        if after in (0, before):
+            return left
+        before = after
+    # what is left is deep: walks of ever more edges end, unless they run into a cycle
+    nodes, leaps, length = left.select("src").unionByName(left.select(F.col("dst").alias("src"))).distinct().count(), left, 1
+    while length < nodes and not leaps.isEmpty():
+        leaps, length = _leap(leaps), 2 * length
+    # a node of a cycle has endless walks behind it and before it
+    both = leaps.select(F.col("dst").alias("src")).distinct().join(leaps.select("src"), "src", "left_semi")
+    return written(left.join(both, "src", "left_semi").join(both.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst"), "inner")
+
+
 def cycle_members(edges: DataFrame) -> DataFrame:
     """``uri`` of the nodes that reach themselves."""
-    return reach(edges).where("src = dst").select(F.col("src").alias("uri"))
+    return reach(_inner(edges)).where("src = dst").select(F.col("src").alias("uri"))
 
 
 def acyclic(edges: DataFrame) -> DataFrame:
     """The edges whose ends don't reach each other: without those inside a cycle."""
-    pairs = reach(edges)
-    back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    back = reach(_inner(edges)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return edges.select("src", "dst").distinct().join(back, ["src", "dst"], "left_anti")
 
 
 def longest_depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``uri, depth``: the longest path up to a node without a parent, edges inside cycles left out."""
     open_ = written(acyclic(edges), "acyclic")
-    up = open_.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    rounds = [written(nodes.select("uri").join(open_, F.col("uri") == F.col("src"), "left_anti").withColumn("depth", F.lit(0)), "round")]
-    while True:
-        new = rounds[-1].join(up, F.col("uri") == F.col("src")).select(F.col("dst").alias("uri")).distinct()
-        new = written(new.withColumn("depth", F.lit(len(rounds))), "round")
-        if new.isEmpty():
+    level = written(nodes.select("uri").distinct().join(open_.select(F.col("src").alias("uri")), "uri", "left_anti").withColumn("depth", F.lit(0)), "level")
+    levels = [level]
+    # level by level: a node whose last edge goes to this level has the next depth
+    for step in range(1, STEPS + 1):
+        if open_.isEmpty():
             break
-        rounds.append(new)
-    return reduce(DataFrame.unionByName, rounds).groupBy("uri").agg(F.max("depth").alias("depth"))
+        here = level.select(F.col("uri").alias("dst"))
+        rest = written(open_.join(here, "dst", "left_anti").select("src", "dst"), "open")
+        freed = open_.join(here, "dst", "left_semi").select(F.col("src").alias("uri")).distinct()
+        level = written(freed.join(rest.select(F.col("src").alias("uri")), "uri", "left_anti").withColumn("depth", F.lit(step)), "level")
+        levels.append(level)
+        open_ = rest
+    if open_.isEmpty():
+        return reduce(DataFrame.unionByName, levels)
+    # deeper ones: the longest walks down from the last level, by doubling steps
+    below, leaps, length = level, written(open_.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "leaps"), 1
+    while not leaps.isEmpty():
+        far = below.join(leaps, F.col("uri") == F.col("src")).select(F.col("dst").alias("uri"), (F.col("depth") + length).alias("depth"))
+        below = written(below.unionByName(far).groupBy("uri").agg(F.max("depth").alias("depth")), "below")
+        leaps, length = _leap(leaps), 2 * length
+    return reduce(DataFrame.unionByName, [*levels, below.join(level, "uri", "left_anti")])
 
 
 def list_items(g: DataFrame, heads: DataFrame) -> DataFrame:

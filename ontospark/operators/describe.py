@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions import vocab as v
-from . import closure, select, stats
+from . import closure, order, select, stats
 
 
 def namespace_usage(g: DataFrame) -> DataFrame:
@@ -136,5 +136,4 @@ def class_tree(g: DataFrame, prefixes: dict[str, str]) -> DataFrame:
     inside = select.edges(g).join(c.select(F.col("uri").alias("src")), "src", "left_semi").join(c.select(F.col("uri").alias("dst")), "dst", "left_semi").distinct()
     roots = c.join(inside.select(F.col("src").alias("uri")), "uri", "left_anti")
     all_ = inside.select(F.col("dst").alias("parent"), F.col("src").alias("child")).unionByName(roots.select(F.lit("").alias("parent"), F.col("uri").alias("child")))
-    place = F.row_number().over(Window.partitionBy("parent").orderBy(terms.qname(F.col("child"), prefixes)))
-    return all_.select("parent", "child", place.cast("long").alias("place"))
+    return order.placed(all_, "parent", terms.qname(F.col("child"), prefixes)).select("parent", "child", "place")

@@ -69,7 +69,7 @@ def as_json(df: DataFrame, name: str = "json") -> DataFrame:
 def inherited_properties(g: DataFrame) -> DataFrame:
     """``class, property``: properties whose domain is above the class and not the class itself."""
     d = g.where((F.col("p") == v.DOMAIN) & (F.col("s_kind") == "iri") & (F.col("o_kind") == "iri")).select(F.col("s").alias("property"), F.col("o").alias("dst"))
-    above = closure.reach(select.edges(g)).where("src <> dst")
+    above = closure.reach(select.edges(g), to=d.select(F.col("dst").alias("uri"))).where("src <> dst")
     return above.join(d, "dst").select(F.col("src").alias("class"), "property").distinct().join(d.select(F.col("dst").alias("class"), "property"), ["class", "property"], "left_anti")
 
 
@@ -129,8 +129,8 @@ def styles(g: DataFrame, by_class: DataFrame, by_namespace: list[tuple[str, str]
     """``uri, style, how`` of the classes: an own style, else the nearest styled class above (ties: the smallest URI), else
     that of the first namespace, else the default. ``by_class`` has ``uri, style``."""
     c = select.classes(g, True)
-    s = by_class.select(F.col("uri").alias("dst"), "style")
-    above = closure.reach(select.edges(g)).join(s, "dst").where("src <> dst").groupBy(F.col("src").alias("uri")).agg(F.min_by("style", F.struct("dist", "dst")).alias("above"))
+    marks = by_class.select(F.col("uri").alias("mark"), F.col("style").alias("above"))
+    above = closure.nearest(select.edges(g), by_class).where("dist > 0").join(marks, "mark").select("uri", "above")
     spaced = F.lit(None).cast("string")
     for ns, style in reversed(by_namespace):
         spaced = F.when(F.col("uri").startswith(ns), style).otherwise(spaced)

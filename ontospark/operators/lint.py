@@ -112,8 +112,8 @@ def redundant_subclass(g: DataFrame) -> DataFrame:
     """Pairs of direct parents of which one is above the other; the detail names the pair."""
     e = select.edges(g).join(select.classes(g, True), F.col("src") == F.col("uri"), "left_semi")
     e = written(e, "edges")
-    above = closure.reach(select.edges(g)).select("src", "dst")
-    pairs = e.select("src", F.col("dst").alias("a")).join(e.select("src", F.col("dst").alias("b")), "src").where("a < b")
+    pairs = written(e.select("src", F.col("dst").alias("a")).join(e.select("src", F.col("dst").alias("b")), "src").where("a < b"), "pairs")
+    above = closure.reach(select.edges(g), to=pairs.select(F.explode(F.array("a", "b")).alias("uri"))).select("src", "dst")
     up = pairs.join(above, (F.col("a") == above.src) & (F.col("b") == above.dst), "left_semi")
     down = pairs.join(above, (F.col("b") == above.src) & (F.col("a") == above.dst), "left_semi")
     return up.unionByName(down).distinct().select(F.col("src").alias("entity"), F.concat_ws(" ", "a", "b").alias("detail"))
@@ -122,9 +122,8 @@ def redundant_subclass(g: DataFrame) -> DataFrame:
 def without_inherited(g: DataFrame, predicate: str) -> DataFrame:
     """Object properties that neither they nor any property above give a domain or range."""
     given = g.where(F.col("p") == predicate).select(F.col("s").alias("uri"))
-    above = closure.reach(select.edges(g, v.SUBPROPERTY))
-    through = above.join(given, F.col("dst") == F.col("uri"), "left_semi").select(F.col("src").alias("uri"))
-    return select.typed(g, [v.OBJECT_PROPERTY], True).join(given.unionByName(through), "uri", "left_anti")
+    below = closure.descendants(select.edges(g, v.SUBPROPERTY), given).select("uri")
+    return select.typed(g, [v.OBJECT_PROPERTY], True).join(below, "uri", "left_anti")
 
 
 @rule("property-no-domain", "info")

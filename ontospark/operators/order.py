@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions import vocab as v
+from ..sources.scratch import written
 from . import closure, select
 
 
@@ -40,15 +41,28 @@ def header(prefixes: dict[str, str]) -> str:
     return "".join(f"PREFIX {p}: <{ns}>\n" for p, ns in sorted(prefixes.items()))
 
 
+def placed(df: DataFrame, group: str, key: Column) -> DataFrame:
+    """Adds ``place``, counted from 1 in each ``group`` in the order of ``key``.
+
+    All rows are sorted by ranges; a row's place is its number in its range, less that of the group's first row there, and the rows of the
+    group in earlier ranges. So no task holds a group, however large.
+    """
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = written(df.withColumn("_key", key).orderBy(group, "_key").select("*", F.spark_partition_id().alias("_part"), at.alias("_at")), "sorted")
+    parts = rows.groupBy(group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    starts = parts.select(group, "_part", "_first", before.alias("_before"))
+    return rows.join(starts, [group, "_part"]).withColumn("place", F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_key", "_part", "_at", "_first", "_before")
+
+
 def topological(g: DataFrame, chosen: DataFrame, prefixes: dict[str, str]) -> DataFrame:
     """``uri, level, place``: parents before children, by longest path and then qualified name; edges inside cycles don't count.
 
-    ``place`` counts within a level, so no task orders more than one level.
+    ``place`` counts within a level.
     """
     inside = select.edges(g).join(chosen.select(F.col("uri").alias("src")), "src", "left_semi").join(chosen.select(F.col("uri").alias("dst")), "dst", "left_semi")
     level = closure.longest_depth(inside, chosen)
-    q = terms.qname(F.col("uri"), prefixes)
-    return level.select("uri", F.col("depth").cast("long").alias("level"), F.row_number().over(Window.partitionBy("depth").orderBy(q)).cast("long").alias("place"))
+    return placed(level.select("uri", F.col("depth").cast("long").alias("level")), "level", terms.qname(F.col("uri"), prefixes)).select("uri", "level", "place")
 
 
 def sections(g: DataFrame, names: list[str]) -> DataFrame:

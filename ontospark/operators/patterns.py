@@ -56,16 +56,24 @@ def either(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
-def path_plus(g: DataFrame, predicate: str, s: str = "s", o: str = "o") -> DataFrame:
-    """Pairs joined by one step or more."""
-    return closure.reach(select.edges(g, predicate)).select(F.col("src").alias(s), F.col("dst").alias(o))
+def path_plus(g: DataFrame, predicate: str, s: str = "s", o: str = "o", to: DataFrame | None = None) -> DataFrame:
+    """Pairs joined by one step or more; with ``to.uri`` those that end there."""
+    return closure.reach(select.edges(g, predicate), to=to).select(F.col("src").alias(s), F.col("dst").alias(o))
 
 
-def path_star(g: DataFrame, predicate: str, s: str = "s", o: str = "o") -> DataFrame:
+def path_star(g: DataFrame, predicate: str, s: str = "s", o: str = "o", to: DataFrame | None = None) -> DataFrame:
     """The same and each node of the predicate with itself."""
+    nodes = select.edges(g, predicate).select(F.explode(F.array("src", "dst")).alias("uri")).distinct()
+    if to is not None:
+        nodes = nodes.join(to, "uri", "left_semi")
+    return path_plus(g, predicate, s, o, to).unionByName(nodes.select(F.col("uri").alias(s), F.col("uri").alias(o))).distinct()
+
+
+def path_optional(g: DataFrame, predicate: str, s: str = "s", o: str = "o") -> DataFrame:
+    """Pairs joined by one step, and each node of the predicate with itself (``p?``)."""
     e = select.edges(g, predicate)
     nodes = e.select(F.explode(F.array("src", "dst")).alias(s)).distinct()
-    return path_plus(g, predicate, s, o).unionByName(nodes.select(s, F.col(s).alias(o))).distinct()
+    return e.select(F.col("src").alias(s), F.col("dst").alias(o)).unionByName(nodes.select(s, F.col(s).alias(o))).distinct()
 
 
 def path_sequence(g: DataFrame, *predicates: str) -> DataFrame:

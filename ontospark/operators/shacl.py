@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions import vocab as v
+from ..sources.scratch import written
 from . import closure, select
 
 SH = v.SH
@@ -78,6 +79,6 @@ def shapes(g: DataFrame, ns: str) -> DataFrame:
 
 def inherited(g: DataFrame) -> DataFrame:
     """``class, path, from_class``: constraints of classes above, where the class has none on the path; the nearest, then smallest, class gives it."""
-    own = constraints(g).select("class", "path")
-    above = closure.reach(select.edges(g)).where("src <> dst").join(own.select(F.col("class").alias("dst"), "path"), "dst")
+    own = written(constraints(g).select("class", "path"), "constraints")
+    above = closure.reach(select.edges(g), to=own.select(F.col("class").alias("uri"))).where("src <> dst").join(own.select(F.col("class").alias("dst"), "path"), "dst")
     return above.select(F.col("src").alias("class"), "path", "dst", "dist").join(own, ["class", "path"], "left_anti").groupBy("class", "path").agg(F.min_by("dst", F.struct("dist", "dst")).alias("from_class"))

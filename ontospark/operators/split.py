@@ -51,6 +51,7 @@ def by_namespace(g: DataFrame) -> DataFrame:
     """``uri, module``: each entity in the module of its namespace, the web's own vocabularies left out."""
     e = select.classes(g, True).unionByName(select.properties(g, True)).distinct()
     ns = terms.namespace(F.col("uri"))
+    # fixed values: the domains that are left out
     return e.where(~ns.rlike("w3\\.org|purl\\.org|xmlns\\.com")).select("uri", ns.alias("module"))
 
 

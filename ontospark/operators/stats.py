@@ -128,7 +128,5 @@ def compare(old: DataFrame, new: DataFrame) -> DataFrame:
     both = value(old, "old").join(value(new, "new"), ["category", "metric"], "full").na.fill(0.0, ["old", "new"])
     delta = F.col("new") - F.col("old")
     key = F.concat_ws(".", "category", "metric")
-    names = lambda pairs: [f"{a}.{b}" for a, b in pairs]
-    ratios = [("documentation", x) for x in ("classes_labelled_pct", "classes_documented_pct", "properties_labelled_pct")] + [("properties", "domain_coverage"), ("properties", "range_coverage")]
-    better = F.when(key.isin(names(v.HIGHER + ratios)), delta > 0).when(key.isin(names([*v.LOWER, ("hierarchy", "orphan_rate")])), delta < 0)
+    better = F.when(key.isin(v.HIGHER), delta > 0).when(key.isin(v.LOWER), delta < 0)
     return both.where(delta != 0).select("category", "metric", "old", "new", delta.alias("delta"), F.when(F.col("old") != 0, delta / F.col("old") * 100).alias("pct_change"), better.alias("improved"))

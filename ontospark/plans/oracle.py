@@ -3,17 +3,72 @@
 from __future__ import annotations
 
 from ..functions import vocab as v
-from ..operators.model import DATATYPES
-from ..sources.projection import EX, FIXED
 
 ORACLE_SQL: dict[str, str] = {}
+EX = "http://example.org/tpch#"
+
+# Lists of this file's own, so that a wrong entry in the operators' lists shows.
+CLASS_TYPES = [f"{v.OWL}Class", f"{v.RDFS}Class"]
+PROPERTY_TYPES = [f"{v.OWL}ObjectProperty", f"{v.OWL}DatatypeProperty", f"{v.OWL}AnnotationProperty", f"{v.RDF}Property"]
+LABELS = [f"{v.RDFS}label", f"{v.SKOS}prefLabel"]
+DEFINITIONS = [f"{v.RDFS}comment", f"{v.SKOS}definition", f"{v.DCTERMS}description"]
+HEADER_NOTES = [f"{v.RDFS}label", f"{v.RDFS}comment", f"{v.OWL}versionInfo", f"{v.OWL}versionIRI"]
+SPACES = [v.RDF, v.RDFS, v.OWL, v.XSD]
+TOPS = [f"{v.OWL}Thing", f"{v.RDFS}Resource"]
+STOPPED = [
+    "all", "also", "and", "any", "are", "been", "being", "both", "but", "can", "could", "did", "does", "each", "every", "few", "for", "from", "had", "has", "have", "how", "just", "may",
+    "might", "more", "most", "must", "need", "not", "only", "other", "same", "shall", "should", "some", "such", "than", "that", "the", "this", "too", "very", "was", "were", "what", "when", "where",
+    "which", "who", "whom", "whose", "why", "will", "with", "would",
+]
+EXPRESSIVE = [v.OWL + x for x in (
+    "Restriction", "AllDisjointClasses", "AllDifferent", "equivalentClass", "disjointWith", "unionOf", "intersectionOf", "complementOf", "oneOf", "hasValue", "someValuesFrom", "allValuesFrom",
+    "minCardinality", "maxCardinality", "cardinality", "minQualifiedCardinality", "maxQualifiedCardinality", "qualifiedCardinality", "hasSelf", "propertyChainAxiom", "hasKey",
+)]
+BASIC = [v.OWL + x for x in ("Ontology", "Class", "ObjectProperty", "DatatypeProperty", "AnnotationProperty", "NamedIndividual")]
+TRAITS = [v.OWL + f"{x}Property" for x in ("Functional", "InverseFunctional", "Transitive", "Symmetric", "Asymmetric", "Reflexive", "Irreflexive")]
+BETTER_HIGH = [
+    "basic.classes", "basic.object_properties", "basic.datatype_properties", "documentation.classes_documented", "documentation.classes_documented_pct", "documentation.classes_labelled",
+    "documentation.classes_labelled_pct", "documentation.properties_labelled", "documentation.properties_labelled_pct", "properties.domain_coverage", "properties.range_coverage", "properties.with_domain",
+    "properties.with_range",
+]
+BETTER_LOW = ["connectivity.isolated_classes", "hierarchy.orphan_classes", "hierarchy.orphan_rate"]
+DATATYPES = dict(x.split() for x in (
+    "string string,str string,text string,integer integer,int integer,decimal decimal,float float,double double,number decimal,boolean boolean,bool boolean,date date,datetime dateTime,"
+    "time time,gyear gYear,duration duration,uri anyURI,anyuri anyURI,url anyURI,base64 base64Binary,language language,token token"
+).split(","))
+#: Constant triples as ``subject kind predicate object kind``; ex: is the graph's own namespace.
+CONSTANTS = """ex:Ontology iri rdf:type owl:Ontology iri
+ex:Entity iri rdf:type owl:Class iri
+ex:type_ECONOMY iri rdfs:subClassOf ex:type_LARGE iri
+ex:type_LARGE iri rdfs:subClassOf ex:type_MEDIUM iri
+ex:type_MEDIUM iri rdfs:subClassOf ex:type_ECONOMY iri
+ex:type_PROMO iri rdfs:subClassOf ex:type_SMALL iri
+ex:Segment_AUTOMOBILE iri owl:disjointWith ex:Segment_BUILDING iri
+ex:Segment_MACHINERY iri owl:equivalentClass ex:Segment_HOUSEHOLD iri
+ex:totalPrice iri rdf:type owl:DatatypeProperty iri
+ex:totalPrice iri rdfs:domain ex:Entity iri
+ex:totalPrice iri rdfs:range xsd:decimal iri
+ex:status iri rdf:type owl:DatatypeProperty iri
+ex:status iri rdfs:domain ex:Entity iri
+ex:status iri rdfs:range ex:StatusEnum iri
+ex:contains iri rdf:type owl:ObjectProperty iri
+ex:contains iri rdfs:domain ex:Entity iri
+ex:note iri rdf:type owl:AnnotationProperty iri
+ex:weight iri rdfs:domain ex:Entity iri
+ex:height iri rdfs:range xsd:decimal iri
+ex:StatusEnum iri owl:oneOf l0 bnode
+l0 bnode rdf:first F literal
+l0 bnode rdf:rest l1 bnode
+l1 bnode rdf:first O literal
+l1 bnode rdf:rest l2 bnode
+l2 bnode rdf:first P literal
+l2 bnode rdf:rest rdf:nil iri"""
 
 
 def _fixed() -> str:
-    def term(x: str) -> str:
-        return f"'{x[2:]}', 'bnode'" if x.startswith("_:") else f"'{x[1:]}', 'literal'" if x.startswith('"') else f"'{x}', 'iri'"
-
-    return ", ".join(f"({term(s)}, '{p}', {term(o)}, '', '')" for s, p, o in FIXED)
+    spaces = {"ex": EX, "rdf": v.RDF, "rdfs": v.RDFS, "owl": v.OWL, "xsd": v.XSD}
+    full = lambda x: spaces[x.split(":")[0]] + x.split(":")[1] if ":" in x else x
+    return ", ".join(f"('{full(s)}', '{sk}', '{full(p)}', '{full(o)}', '{ok}', '', '')" for s, sk, p, o, ok in (x.split() for x in CONSTANTS.split("\n")))
 
 
 def _iri(name: str, key: str) -> str:
@@ -31,6 +86,8 @@ def graph_sql(version: int) -> str:
 
     reg, nat, cu, seg, sup, order = _iri("Region_", "r_regionkey"), _iri("Nation_", "n_nationkey"), _iri("Customer_", "c_custkey"), _iri("Segment_", "c_mktsegment"), _iri("supplies_", "s_suppkey"), _iri("order_", "o_orderkey")
     topic, event, r4, cls = _iri("Topic_", "(doc_id // 4)"), _iri("event_", "event_id"), "s_suppkey % 4 = 1", f"'{v.OWL_CLASS}'"
+    cell = lambda a: f"'part_' || k || '_' || {a}"
+    pending = "(SELECT k, a, lead(a) OVER (PARTITION BY k ORDER BY a) AS n FROM (SELECT DISTINCT l_orderkey AS k, l_partkey AS a FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')))"
     money = lambda x: f"CAST(CAST({x} AS DECIMAL(18,2)) AS VARCHAR)"
     parts = [
         f"SELECT * FROM (VALUES {_fixed()}) AS t(s, s_kind, p, o, o_kind, o_dt, o_lang)",
@@ -50,8 +107,10 @@ def graph_sql(version: int) -> str:
         b(_iri("Nation_", "s_nationkey"), v.SUBCLASS, "'r_' || s_suppkey", "supplier", "bnode", where=r4),
         b(order, v.TYPE, _iri("Customer_", "o_custkey"), "orders"), b(order, EX + "totalPrice", money("o_totalprice"), "orders", "literal", dec), b(order, EX + "status", "o_orderstatus", "orders", "literal"),
         b(_iri("order_", "l_orderkey"), EX + "contains", _iri("part_", "l_partkey"), "lineitem", distinct="DISTINCT"),
-        b(topic, v.TYPE, f"'{v.NAMED_INDIVIDUAL}'", "documents", where="doc_id % 4 = 0"), b(topic, v.LABEL, "substr(text, 1, 40)", "documents", "literal", lang="lang", where="length(text) > 0", distinct="DISTINCT"),
-        b(topic, v.COMMENT, "substr(text, 41, 60)", "documents", "literal", lang="'en'", where="doc_id % 2 = 0 AND length(text) > 40", distinct="DISTINCT"),
+        b(topic, v.TYPE, f"'{v.NAMED_INDIVIDUAL}'", "documents", distinct="DISTINCT"), b(topic, v.LABEL, "split_part(text, chr(10), 1)", "documents", "literal", lang="lang", where="length(split_part(text, chr(10), 1)) > 0", distinct="DISTINCT"),
+        b(topic, v.COMMENT, "substr(text, instr(text, chr(10)) + 1)", "documents", "literal", lang="'en'", where="instr(text, chr(10)) > 0 AND length(text) > instr(text, chr(10))", distinct="DISTINCT"),
+        b(_iri("parts_of_", "k"), v.ONE_OF, cell("min(a)"), pending, "bnode") + " GROUP BY k", b(cell("a"), v.FIRST, _iri("part_", "a"), pending, s_kind="bnode"),
+        f"SELECT {cell('a')}, 'bnode', '{v.REST}', CASE WHEN n IS NULL THEN '{v.NIL}' ELSE {cell('n')} END, CASE WHEN n IS NULL THEN 'iri' ELSE 'bnode' END, '', '' FROM {pending}",
         b(_iri("EventType_", "event_type"), v.TYPE, cls, "events", distinct="DISTINCT"), b(event, v.TYPE, _iri("EventType_", "event_type"), "events"), b(event, EX + "by", _iri("user_", "user_id"), "events"),
         b(event, EX + "value", money("value"), "events", "literal", dec),
     ]
@@ -79,13 +138,13 @@ def qname(x: str) -> str:
     return "CASE " + " ".join(f"WHEN starts_with({x}, '{n}') THEN '{p}:' || substr({x}, {len(n) + 1})" for p, n in PREFIXED) + f" ELSE '<' || {x} || '>' END"
 
 
-BUILTIN = "(" + " OR ".join(f"starts_with(uri, '{n}')" for n in v.BUILTIN) + ")"
+BUILTIN = "(" + " OR ".join(f"starts_with(uri, '{n}')" for n in SPACES) + ")"
 G = f"g AS MATERIALIZED ({graph_sql(1)}),\n"
 BOTH = f"g AS MATERIALIZED ({graph_sql(1)}), h AS MATERIALIZED ({graph_sql(2)}),\n"
 #: Classes and properties, blank nodes too or IRIs only, and edges.
-BASE = f"""c AS (SELECT DISTINCT s AS uri FROM g WHERE p = '{v.TYPE}' AND o IN {_in(*v.CLASS_TYPES)}),
-ci AS (SELECT DISTINCT s AS uri FROM g WHERE s_kind = 'iri' AND p = '{v.TYPE}' AND o IN {_in(*v.CLASS_TYPES)}),
-q AS (SELECT DISTINCT s AS uri FROM g WHERE p = '{v.TYPE}' AND o IN {_in(*v.PROPERTY_TYPES)}),
+BASE = f"""c AS (SELECT DISTINCT s AS uri FROM g WHERE p = '{v.TYPE}' AND o IN {_in(*CLASS_TYPES)}),
+ci AS (SELECT DISTINCT s AS uri FROM g WHERE s_kind = 'iri' AND p = '{v.TYPE}' AND o IN {_in(*CLASS_TYPES)}),
+q AS (SELECT DISTINCT s AS uri FROM g WHERE p = '{v.TYPE}' AND o IN {_in(*PROPERTY_TYPES)}),
 e AS (SELECT s AS src, o AS dst FROM g WHERE p = '{v.SUBCLASS}' AND s_kind = 'iri' AND o_kind = 'iri'),
 up AS (SELECT src, dst FROM e UNION SELECT up.src, e.dst FROM up JOIN e ON up.dst = e.src),
 """
@@ -115,7 +174,7 @@ sql("pattern_match", f"SELECT s FROM g WHERE p = '{v.TYPE}' AND o = '{v.OBJECT_P
 sql("sel_classes", "SELECT uri FROM c")
 sql("sel_classes_iri", "SELECT uri FROM ci")
 sql("sel_properties", "SELECT uri FROM q")
-KNOWN = f"SELECT s FROM g WHERE p = '{v.TYPE}' AND o IN {_in(*v.CLASS_TYPES, *v.PROPERTY_TYPES, v.ONTOLOGY)}"
+KNOWN = f"SELECT s FROM g WHERE p = '{v.TYPE}' AND o IN {_in(*CLASS_TYPES, *PROPERTY_TYPES, v.ONTOLOGY)}"
 sql("sel_individuals", f"SELECT DISTINCT s AS uri FROM g WHERE p = '{v.TYPE}' AND s NOT IN ({KNOWN})")
 sql("sel_named_individuals", f"SELECT DISTINCT s AS uri FROM g WHERE p = '{v.TYPE}' AND s_kind = 'iri' AND s NOT IN ({KNOWN})")
 sql("sel_selector_individuals", "SELECT s AS uri FROM g EXCEPT (SELECT uri FROM c UNION SELECT uri FROM q)")
@@ -160,44 +219,58 @@ def stats_sql(of: str = "g", c: str = "c", q: str = "q") -> dict[str, dict]:
             "inverse_pairs": f"SELECT count(DISTINCT s) FROM {of} WHERE p = '{v.INVERSE_OF}'", "functional": n_typed(v.FUNCTIONAL, of=of), "symmetric": n_typed(v.SYMMETRIC, of=of),
         },
         "documentation": {
-            "classes_labelled": has(c, v.LABELS, of), "classes_labelled_pct": (has(c, v.LABELS, of), f"SELECT count(*) FROM {c}"), "classes_documented": has(c, v.DEFINITIONS, of),
-            "classes_documented_pct": (has(c, v.DEFINITIONS, of), f"SELECT count(*) FROM {c}"), "properties_labelled": has(q, v.LABELS, of), "properties_labelled_pct": (has(q, v.LABELS, of), f"SELECT count(*) FROM {q}"),
+            "classes_labelled": has(c, LABELS, of), "classes_labelled_pct": (has(c, LABELS, of), f"SELECT count(*) FROM {c}"), "classes_documented": has(c, DEFINITIONS, of),
+            "classes_documented_pct": (has(c, DEFINITIONS, of), f"SELECT count(*) FROM {c}"), "properties_labelled": has(q, LABELS, of), "properties_labelled_pct": (has(q, LABELS, of), f"SELECT count(*) FROM {q}"),
         },
     }
 
 
 for _n, _m in stats_sql().items():
     sql(f"stats_{_n}", long_sql(_n, _m))
-CE = f"""ce AS (SELECT DISTINCT s AS src, o AS dst FROM g WHERE p = '{v.SUBCLASS}' AND s IN (SELECT uri FROM c) AND o IN (SELECT uri FROM c)),
-cup AS (SELECT src, dst FROM ce UNION SELECT cup.src, ce.dst FROM cup JOIN ce ON cup.dst = ce.src),
-ac AS (SELECT src, dst FROM ce WHERE NOT EXISTS (SELECT 1 FROM cup WHERE cup.src = ce.dst AND cup.dst = ce.src)),
-lv AS (SELECT uri, 0 AS depth FROM c WHERE uri NOT IN (SELECT src FROM ac) UNION SELECT ac.src, lv.depth + 1 FROM lv JOIN ac ON ac.dst = lv.uri),
-ld AS (SELECT uri, max(depth) AS depth FROM lv GROUP BY uri),
+
+
+def class_edges_sql(t: str = "", of: str = "g", c: str = "c") -> str:
+    """Subclass edges among classes, those outside cycles, and longest depths; names end in ``t``."""
+    return f"""ce{t} AS (SELECT DISTINCT s AS src, o AS dst FROM {of} WHERE p = '{v.SUBCLASS}' AND s IN (SELECT uri FROM {c}) AND o IN (SELECT uri FROM {c})),
+cup{t} AS (SELECT src, dst FROM ce{t} UNION SELECT cup{t}.src, ce{t}.dst FROM cup{t} JOIN ce{t} ON cup{t}.dst = ce{t}.src),
+ac{t} AS (SELECT src, dst FROM ce{t} WHERE NOT EXISTS (SELECT 1 FROM cup{t} WHERE cup{t}.src = ce{t}.dst AND cup{t}.dst = ce{t}.src)),
+lv{t} AS (SELECT uri, 0 AS depth FROM {c} WHERE uri NOT IN (SELECT src FROM ac{t}) UNION SELECT ac{t}.src, lv{t}.depth + 1 FROM lv{t} JOIN ac{t} ON ac{t}.dst = lv{t}.uri),
+ld{t} AS (SELECT uri, max(depth) AS depth FROM lv{t} GROUP BY uri),
+rf{t} AS (SELECT o AS uri, count(*) AS n FROM {of} WHERE p IN {_in(v.DOMAIN, v.RANGE)} GROUP BY o),
+cn{t} AS (SELECT uri, coalesce(n, 0) AS n FROM {c} LEFT JOIN rf{t} USING (uri)),
 """
-sql("stats_hierarchy", CE + "x AS (SELECT 1) " + long_sql("hierarchy", {
-    "root_classes": "SELECT count(*) FROM c WHERE uri NOT IN (SELECT src FROM ce)", "leaf_classes": "SELECT count(*) FROM c WHERE uri NOT IN (SELECT dst FROM ce)", "max_depth": "SELECT max(depth) FROM ld",
-    "avg_depth": ("SELECT sum(depth) FROM ld", "SELECT count(*) FROM ld"), "avg_branching": ("SELECT count(*) FROM ce", "SELECT count(DISTINCT dst) FROM ce"),
-    "orphan_classes": "SELECT count(*) FROM c WHERE uri NOT IN (SELECT src FROM ce) AND uri NOT IN (SELECT dst FROM ce)",
-    "orphan_rate": ("SELECT count(*) FROM c WHERE uri NOT IN (SELECT src FROM ce) AND uri NOT IN (SELECT dst FROM ce)", "SELECT count(*) FROM c"),
-}))
-REFS = f"SELECT count(*) FROM g WHERE p IN {_in(v.DOMAIN, v.RANGE)} AND o IN (SELECT uri FROM c)"
-SUPERS = f"SELECT count(*) FROM g WHERE p = '{v.SUBCLASS}' AND o_kind = 'iri' AND s IN (SELECT uri FROM c)"
-sql("stats_complexity", long_sql("complexity", {
-    "avg_properties_per_class": (REFS, "SELECT count(*) FROM c"), "avg_superclasses_per_class": (SUPERS, "SELECT count(*) FROM c"),
-    "multiple_inheritance_count": f"SELECT count(*) FROM (SELECT s FROM g WHERE p = '{v.SUBCLASS}' AND o_kind = 'iri' AND s IN (SELECT uri FROM c) GROUP BY s HAVING count(*) >= 2)",
-    "owl_restriction_count": n_typed(v.RESTRICTION), "owl_equivalent_count": f"SELECT count(*) FROM g WHERE p = '{v.EQUIVALENT_CLASS}'",
-}))
-CN = f"cn AS (SELECT uri, (SELECT count(*) FROM g WHERE p IN {_in(v.DOMAIN, v.RANGE)} AND o = uri) AS n FROM c)"
-sql("stats_connectivity", CN + " " + long_sql("connectivity", {"most_connected_count": "SELECT max(n) FROM cn", "isolated_classes": "SELECT count(*) FROM cn WHERE n = 0"}))
-sql("stats_most_connected", CN + " SELECT (SELECT uri FROM cn WHERE n > 0 ORDER BY n DESC, uri LIMIT 1) AS most_connected_class, max(n) AS most_connected_count, CAST(count(*) FILTER (WHERE n = 0) AS BIGINT) AS isolated_classes FROM cn")
-_kind2 = f"c2 AS (SELECT DISTINCT s AS uri FROM h WHERE p = '{v.TYPE}' AND o IN {_in(*v.CLASS_TYPES)}), q2 AS (SELECT DISTINCT s AS uri FROM h WHERE p = '{v.TYPE}' AND o IN {_in(*v.PROPERTY_TYPES)}),"
-_old = " UNION ALL ".join(long_sql(n, m) for n, m in stats_sql().items())
-_new = " UNION ALL ".join(long_sql(n, m) for n, m in stats_sql("h", "c2", "q2").items())
-_pct = ["documentation.classes_labelled_pct", "documentation.classes_documented_pct", "documentation.properties_labelled_pct", "properties.domain_coverage", "properties.range_coverage"]
+
+
+def more_stats_sql(t: str = "", of: str = "g", c: str = "c") -> dict[str, dict]:
+    no_parent, no_child = f"uri NOT IN (SELECT src FROM ce{t})", f"uri NOT IN (SELECT dst FROM ce{t})"
+    refs = f"SELECT count(*) FROM {of} WHERE p IN {_in(v.DOMAIN, v.RANGE)} AND o IN (SELECT uri FROM {c})"
+    supers = f"FROM {of} WHERE p = '{v.SUBCLASS}' AND o_kind = 'iri' AND s IN (SELECT uri FROM {c})"
+    return {
+        "hierarchy": {
+            "root_classes": f"SELECT count(*) FROM {c} WHERE {no_parent}", "leaf_classes": f"SELECT count(*) FROM {c} WHERE {no_child}", "max_depth": f"SELECT max(depth) FROM ld{t}",
+            "avg_depth": (f"SELECT sum(depth) FROM ld{t}", f"SELECT count(*) FROM ld{t}"), "avg_branching": (f"SELECT count(*) FROM ce{t}", f"SELECT count(DISTINCT dst) FROM ce{t}"),
+            "orphan_classes": f"SELECT count(*) FROM {c} WHERE {no_parent} AND {no_child}", "orphan_rate": (f"SELECT count(*) FROM {c} WHERE {no_parent} AND {no_child}", f"SELECT count(*) FROM {c}"),
+        },
+        "complexity": {
+            "avg_properties_per_class": (refs, f"SELECT count(*) FROM {c}"), "avg_superclasses_per_class": (f"SELECT count(*) {supers}", f"SELECT count(*) FROM {c}"),
+            "multiple_inheritance_count": f"SELECT count(*) FROM (SELECT s {supers} GROUP BY s HAVING count(*) >= 2)",
+            "owl_restriction_count": n_typed(v.RESTRICTION, of=of), "owl_equivalent_count": f"SELECT count(*) FROM {of} WHERE p = '{v.EQUIVALENT_CLASS}'",
+        },
+        "connectivity": {"most_connected_count": f"SELECT max(n) FROM cn{t}", "isolated_classes": f"SELECT count(*) FROM cn{t} WHERE n = 0"},
+    }
+
+
+CE = class_edges_sql()
+for _n, _m in more_stats_sql().items():
+    sql(f"stats_{_n}", CE + "x AS (SELECT 1) " + long_sql(_n, _m))
+sql("stats_most_connected", CE + "x AS (SELECT 1) SELECT (SELECT uri FROM cn WHERE n > 0 ORDER BY n DESC, uri LIMIT 1) AS most_connected_class, max(n) AS most_connected_count, CAST(count(*) FILTER (WHERE n = 0) AS BIGINT) AS isolated_classes FROM cn")
+_kind2 = f"c2 AS (SELECT DISTINCT s AS uri FROM h WHERE p = '{v.TYPE}' AND o IN {_in(*CLASS_TYPES)}), q2 AS (SELECT DISTINCT s AS uri FROM h WHERE p = '{v.TYPE}' AND o IN {_in(*PROPERTY_TYPES)}), {class_edges_sql()} {class_edges_sql('2', 'h', 'c2')}"
+_old = " UNION ALL ".join(long_sql(n, m) for n, m in (stats_sql() | more_stats_sql()).items())
+_new = " UNION ALL ".join(long_sql(n, m) for n, m in (stats_sql("h", "c2", "q2") | more_stats_sql("2", "h", "c2")).items())
 sql("stats_compare", f"""{_kind2} a AS ({_old}), b AS ({_new}),
 d AS (SELECT category, metric, CASE WHEN a.den > 0 THEN a.num / a.den ELSE 0.0 END AS old, CASE WHEN b.den > 0 THEN b.num / b.den ELSE 0.0 END AS new FROM a JOIN b USING (category, metric))
 SELECT category, metric, CAST(old AS DOUBLE) AS old, CAST(new AS DOUBLE) AS new, new - old AS delta, CASE WHEN old <> 0 THEN (new - old) / old * 100 END AS pct_change,
-CASE WHEN category || '.' || metric IN {_in(*(f'{a}.{b}' for a, b in v.HIGHER), *_pct)} THEN new > old WHEN category || '.' || metric IN {_in(*(f'{a}.{b}' for a, b in v.LOWER), 'hierarchy.orphan_rate')} THEN new < old END AS improved
+CASE WHEN category || '.' || metric IN {_in(*BETTER_HIGH)} THEN new > old WHEN category || '.' || metric IN {_in(*BETTER_LOW)} THEN new < old END AS improved
 FROM d WHERE new <> old""", True)
 sql("class_depths", CE + "x AS (SELECT 1) SELECT CAST(depth AS BIGINT) AS depth, count(*) AS n FROM ld GROUP BY depth")
 
@@ -213,7 +286,7 @@ sql("descendants", walk_sql(f"SELECT * FROM (VALUES ('{EX}Region_0', 0), ('{EX}R
 sql("descendants_depth2", walk_sql(f"SELECT '{EX}Entity' AS uri, 0 AS depth", 2) + " SELECT uri, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY uri")
 sql("ancestors", "d AS (SELECT src, dst, 1 AS k FROM e UNION SELECT d.src, e.dst, k + 1 FROM d JOIN e ON d.dst = e.src WHERE k < 12), m AS (SELECT src, dst, min(k) AS k FROM d GROUP BY src, dst) SELECT src, count(*) AS n, CAST(max(k) AS BIGINT) AS far FROM m GROUP BY src")
 sql("cycle_members", "SELECT src AS uri FROM up WHERE src = dst")
-_roots = f"SELECT uri, 0 AS depth FROM ci WHERE uri NOT IN (SELECT src FROM e WHERE dst NOT IN {_in(*v.TOP_CLASSES)})"
+_roots = f"SELECT uri, 0 AS depth FROM ci WHERE uri NOT IN (SELECT src FROM e WHERE dst NOT IN {_in(*TOPS)})"
 sql("bfs_depth", f"ie AS (SELECT src, dst FROM e WHERE src IN (SELECT uri FROM ci) AND dst IN (SELECT uri FROM ci)), {walk_sql(_roots, edges='ie')} SELECT uri, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY uri")
 LIST = f"li AS (SELECT o AS head, o AS cell, 0 AS position FROM g WHERE p = '{v.ONE_OF}' UNION SELECT li.head, g.o, li.position + 1 FROM li JOIN g ON g.s = li.cell AND g.p = '{v.REST}' AND g.o <> '{v.NIL}')"
 sql("list_items", f"{LIST} SELECT head, CAST(position AS BIGINT) AS position, g.o FROM li JOIN g ON g.s = li.cell AND g.p = '{v.FIRST}'")
@@ -233,7 +306,7 @@ ISSUES = {
     "dangling-reference": ("error", f"SELECT uri AS entity, '' AS detail FROM ({NODE3}) WHERE NOT {BUILTIN} AND uri NOT IN (SELECT s FROM g WHERE p = '{v.TYPE}') AND {ns('uri')} IN (SELECT {ns('s')} FROM g WHERE p = '{v.TYPE}' AND s_kind = 'iri')"),
     "circular-subclass": ("error", "SELECT src AS entity, '' AS detail FROM up WHERE src = dst AND src IN (SELECT uri FROM ci)"),
     "property-no-type": ("error", f"SELECT s AS entity, 'domain' AS detail FROM g WHERE p = '{v.DOMAIN}' AND s NOT IN (SELECT uri FROM q) UNION ALL SELECT s, 'range' FROM g WHERE p = '{v.RANGE}' AND s NOT IN (SELECT uri FROM q) AND s NOT IN (SELECT s FROM g WHERE p = '{v.DOMAIN}')"),
-    "empty-ontology": ("error", f"SELECT s AS entity, '' AS detail FROM g WHERE p = '{v.TYPE}' AND o = '{v.ONTOLOGY}' AND s NOT IN (SELECT s FROM g WHERE p IN {_in(*v.HEADER_NOTES)})"),
+    "empty-ontology": ("error", f"SELECT s AS entity, '' AS detail FROM g WHERE p = '{v.TYPE}' AND o = '{v.ONTOLOGY}' AND s NOT IN (SELECT s FROM g WHERE p IN {_in(*HEADER_NOTES)})"),
     "missing-label": ("warning", f"SELECT uri AS entity, 'class' AS detail FROM ci WHERE uri NOT IN (SELECT s FROM g WHERE p = '{v.LABEL}') UNION ALL SELECT uri, 'property' FROM q WHERE uri NOT IN (SELECT s FROM g WHERE p = '{v.LABEL}')"),
     "missing-comment": ("warning", f"SELECT uri AS entity, 'class' AS detail FROM ci WHERE uri NOT IN (SELECT s FROM g WHERE p = '{v.COMMENT}') UNION ALL SELECT uri, 'property' FROM q WHERE uri NOT IN (SELECT s FROM g WHERE p = '{v.COMMENT}')"),
     "redundant-subclass": ("info", "SELECT DISTINCT a.src AS entity, a.dst || ' ' || b.dst AS detail FROM e a JOIN e b ON a.src = b.src AND a.dst < b.dst WHERE a.src IN (SELECT uri FROM ci) AND (EXISTS (SELECT 1 FROM up WHERE up.src = a.dst AND up.dst = b.dst) OR EXISTS (SELECT 1 FROM up WHERE up.src = b.dst AND up.dst = a.dst))"),
@@ -264,14 +337,14 @@ sql("diff_superclasses", "SELECT src AS uri, string_agg(DISTINCT dst, ' ' ORDER
 USE = "nu AS (SELECT s AS uri FROM g WHERE s_kind = 'iri' UNION ALL SELECT p FROM g UNION ALL SELECT o FROM g WHERE o_kind = 'iri')"
 sql("namespace_usage", f"{USE} SELECT {ns('uri')} AS ns, count(*) AS n FROM nu GROUP BY 1")
 sql("namespace_categories", f"{USE}, l AS (SELECT {ns('uri')} AS ns, count(*) AS n FROM ci GROUP BY 1 ORDER BY n DESC, ns LIMIT 1) SELECT {ns('uri')} AS ns, count(*) AS n, CASE WHEN {ns('uri')} IN (SELECT ns FROM l) THEN 'local' ELSE 'external' END AS category FROM nu GROUP BY 1, 3")
-_types, _preds = _in(*v.EXPRESSIVE_TYPES, *v.BASIC_TYPES, *v.CHARACTERISTICS), _in(*v.EXPRESSIVE_PREDICATES, v.INVERSE_OF, v.SUBCLASS, v.SUBPROPERTY, v.DOMAIN, v.RANGE)
+_types, _preds = _in(*EXPRESSIVE, *BASIC, *TRAITS), _in(*EXPRESSIVE, v.INVERSE_OF, v.SUBCLASS, v.SUBPROPERTY, v.DOMAIN, v.RANGE)
 CONSTRUCTS = f"cc AS (SELECT o AS construct, count(*) AS n FROM g WHERE p = '{v.TYPE}' AND o IN {_types} GROUP BY o UNION ALL SELECT p, count(*) FROM g WHERE p IN {_preds} GROUP BY p)"
 sql("owl_construct_counts", f"{CONSTRUCTS} SELECT construct, n FROM cc")
 _sum = lambda xs: f"CAST((SELECT count(*) FROM cc WHERE construct IN {_in(*xs)}) AS BIGINT)"
-sql("owl_profile", f"""{CONSTRUCTS}, fi AS (SELECT DISTINCT s FROM g WHERE p = '{v.TYPE}' AND o NOT IN {_in(*v.CLASS_TYPES, v.NAMED_INDIVIDUAL)} AND s IN (SELECT uri FROM c) AND o IN (SELECT uri FROM c)),
-k AS (SELECT (SELECT count(*) FROM fi) AS "full", {_sum([*v.EXPRESSIVE_TYPES, *v.EXPRESSIVE_PREDICATES])} AS expressive, {_sum([*v.BASIC_TYPES, *v.CHARACTERISTICS, v.INVERSE_OF])} AS basic, {_sum([v.SUBCLASS, v.SUBPROPERTY, v.DOMAIN, v.RANGE])} AS rdfs)
+sql("owl_profile", f"""{CONSTRUCTS}, fi AS (SELECT DISTINCT s FROM g WHERE p = '{v.TYPE}' AND o NOT IN {_in(*CLASS_TYPES, v.NAMED_INDIVIDUAL)} AND s IN (SELECT uri FROM c) AND o IN (SELECT uri FROM c)),
+k AS (SELECT (SELECT count(*) FROM fi) AS "full", {_sum(EXPRESSIVE)} AS expressive, {_sum([*BASIC, *TRAITS, v.INVERSE_OF])} AS basic, {_sum([v.SUBCLASS, v.SUBPROPERTY, v.DOMAIN, v.RANGE])} AS rdfs)
 SELECT CASE WHEN "full" > 0 THEN 'owl_full' WHEN expressive > 0 THEN 'owl_dl_expressive' WHEN basic > 0 THEN 'owl_dl_simple' WHEN rdfs > 0 THEN 'rdfs' ELSE 'rdf' END AS profile, * FROM k""")
-_cov = lambda n, k: f"SELECT '{n}' AS kind, count(*) AS total, CAST(count(*) FILTER (WHERE uri IN (SELECT s FROM g WHERE p IN {_in(*v.LABELS)})) AS BIGINT) AS labelled, CAST(count(*) FILTER (WHERE uri IN (SELECT s FROM g WHERE p IN {_in(*v.DEFINITIONS)})) AS BIGINT) AS documented FROM {k}"
+_cov = lambda n, k: f"SELECT '{n}' AS kind, count(*) AS total, CAST(count(*) FILTER (WHERE uri IN (SELECT s FROM g WHERE p IN {_in(*LABELS)})) AS BIGINT) AS labelled, CAST(count(*) FILTER (WHERE uri IN (SELECT s FROM g WHERE p IN {_in(*DEFINITIONS)})) AS BIGINT) AS documented FROM {k}"
 sql("doc_coverage", f"{_cov('class', 'ci')} UNION ALL {_cov('property', 'q')}")
 
 
@@ -280,7 +353,7 @@ def best(preds: list[str]) -> str:
     return f"SELECT s AS uri, o AS x FROM g WHERE p IN {_in(*preds)} AND o_kind = 'literal' QUALIFY row_number() OVER (PARTITION BY s ORDER BY o_lang NOT IN ('en', ''), {rank}, o) = 1"
 
 
-BEST = f"bl AS ({best(v.LABELS)}), bd AS ({best(v.DEFINITIONS)})"
+BEST = f"bl AS ({best(LABELS)}), bd AS ({best(DEFINITIONS)})"
 sql("best_labels", f"{BEST} SELECT uri, bl.x AS label, bd.x AS definition FROM bl FULL JOIN bd USING (uri)")
 sql("ontology_metadata", f"SELECT '{EX}Ontology' AS uri, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS version, CAST(0 AS BIGINT) AS n_imports")
 sql("top_roots", "SELECT uri FROM ci WHERE uri NOT IN (SELECT src FROM e) ORDER BY uri LIMIT 10")
@@ -296,13 +369,14 @@ cf AS (SELECT s, p, CASE WHEN p = '{v.TYPE}' THEN 'type' WHEN p IN {_in(v.SUBCLA
 
 _some = f"p NOT IN {_in(v.COMMENT, EX + 'contains')}"
 sql("merge_union", f"SELECT p, count(*) AS n FROM (SELECT {T} FROM g UNION SELECT {T} FROM h) GROUP BY p", True)
-sql("merge_conflicts", f"{conflict_sql(_some)} SELECT s, p, conflict_type, n_values FROM cf", True)
+sql("merge_conflicts_ignoring", f"{conflict_sql(_some)} SELECT s, p, conflict_type, n_values FROM cf", True)
+sql("merge_conflicts", f"{conflict_sql('true')} SELECT s, p, conflict_type, n_values FROM cf", True)
 sql("merge_semantic_conflicts", f"{conflict_sql('true')} SELECT s, p, conflict_type, n_values FROM cf WHERE conflict_type IN ('hierarchy', 'contradiction')", True)
 for _n, _o in (("priority", "priority DESC, first, term"), ("first", "first, term"), ("last", "last DESC, term")):
-    sql(f"merge_resolve_{_n}", f"{conflict_sql(_some)} SELECT v.s, v.p, v.o AS winner FROM v JOIN cf USING (s, p) WHERE conflict_type = 'value' QUALIFY row_number() OVER (PARTITION BY v.s, v.p ORDER BY {_o}) = 1", True)
+    sql(f"merge_resolve_{_n}", f"{conflict_sql('true')} SELECT v.s, v.p, v.o AS winner FROM v JOIN cf USING (s, p) WHERE conflict_type = 'value' QUALIFY row_number() OVER (PARTITION BY v.s, v.p ORDER BY {_o}) = 1", True)
 _lab = f"p = '{v.LABEL}'"
-sql("merge_resolved_graph", f"{conflict_sql(_lab)}, wi AS (SELECT v.s, v.p, v.o AS winner FROM v JOIN cf USING (s, p) QUALIFY row_number() OVER (PARTITION BY v.s, v.p ORDER BY priority DESC, first, term) = 1) SELECT d.s, d.o FROM (SELECT DISTINCT {T} FROM m WHERE {_lab}) d LEFT JOIN wi USING (s, p) WHERE winner IS NULL OR winner = d.o", True)
-sql("merge_authoritative", f"SELECT s, o, o_lang FROM (SELECT {T} FROM h WHERE {_lab} UNION SELECT {T} FROM g WHERE {_lab} AND s NOT IN (SELECT s FROM h WHERE {_lab}))", True)
+sql("merge_resolved_graph", f"{conflict_sql('true')}, wi AS (SELECT v.s, v.p, v.o AS winner FROM v JOIN cf USING (s, p) QUALIFY row_number() OVER (PARTITION BY v.s, v.p ORDER BY priority DESC, first, term) = 1) SELECT d.s, d.p, d.o FROM (SELECT DISTINCT {T} FROM m) d LEFT JOIN wi USING (s, p) WHERE winner IS NULL OR winner = d.o", True)
+sql("merge_authoritative", f"SELECT s, p, o, o_lang FROM (SELECT {T} FROM h UNION SELECT {T} FROM g WHERE NOT ({_lab}) OR s NOT IN (SELECT s FROM h WHERE {_lab}))", True)
 
 # refactoring
 NEW = "http://example.org/v2#"
@@ -315,9 +389,9 @@ sql("rename_literal_mentions", "SELECT name, count(*) AS n FROM g JOIN (VALUES (
 sql("deprecate_bulk", f"""SELECT s, p, o, o_lang FROM g WHERE s IN {_in(EX + 'Segment_BUILDING', EX + 'Customer_0', EX + 'Nowhere')}
 UNION ALL VALUES ('{EX}Segment_BUILDING', '{v.DEPRECATED}', 'true', ''), ('{EX}Segment_BUILDING', '{v.REPLACED_BY}', '{EX}Segment_HOUSEHOLD', ''), ('{EX}Segment_BUILDING', '{v.COMMENT}', 'DEPRECATED in 2.0: use households', 'en'),
 ('{EX}Customer_0', '{v.DEPRECATED}', 'true', ''), ('{EX}Customer_0', '{v.COMMENT}', 'DEPRECATED: gone', 'en')""")
-sql("migrate_uri_map", f"SELECT p, contains(o, '#Customer_') AS mapped, count(*) AS n FROM g WHERE p IN {_in(v.TYPE, EX + 'status')} GROUP BY ALL")
+sql("migrate_uri_map", f"SELECT p, o_kind = 'iri' AND contains(o, '#Customer_') AS mapped, count(*) AS n FROM g GROUP BY ALL")
 sql("migrate_strbefore", f"m AS (SELECT s, o FROM g WHERE p = '{v.COMMENT}' AND contains(o, ' of ')) SELECT DISTINCT s, '{EX}before' AS p, split_part(o, ' of ', 1) AS o FROM m UNION SELECT s, '{EX}after', substr(o, instr(o, ' of ') + 4) FROM m")
-sql("migrate_arith", f"SELECT DISTINCT s, '{EX}net' AS p, CAST(CAST((CAST(o AS DECIMAL(18,2)) - 10.00) * 0.80 AS DECIMAL(18,2)) AS VARCHAR) AS o, '{v.XSD}decimal' AS o_dt FROM g WHERE p = '{EX}totalPrice'")
+sql("migrate_arith", f"SELECT DISTINCT s, p, o, o_dt FROM g WHERE p <> '{EX}totalPrice' UNION ALL SELECT DISTINCT s, '{EX}net' AS p, CAST(CAST((CAST(o AS DECIMAL(18,2)) - 10.00) * 0.80 AS DECIMAL(18,2)) AS VARCHAR) AS o, '{v.XSD}decimal' AS o_dt FROM g WHERE p = '{EX}totalPrice'")
 
 # splitting
 ASSIGN = f"""kn AS (SELECT uri, 'class' AS kind FROM ci UNION ALL SELECT uri, 'property' FROM q WHERE uri NOT IN (SELECT uri FROM ci)), {walk_sql(f"SELECT '{EX}Region_1' AS uri, 0 AS depth")},
@@ -340,8 +414,8 @@ sql("localise_extract", f"{LOC} {EXTRACT.format('de')}")
 sql("localise_status", f"{LOC} SELECT status, count(*) AS n FROM ({EXTRACT.format('es')}) GROUP BY status")
 sql("localise_missing", f"{LOC} SELECT DISTINCT uri FROM tx WHERE lang = 'en' AND uri NOT IN (SELECT uri FROM tx WHERE lang = 'fr')")
 sql("localise_coverage", f"{LOC} SELECT language, property, count(DISTINCT uri) FILTER (WHERE lang = 'en') AS total, count(DISTINCT uri) FILTER (WHERE lang = language) AS translated FROM tx CROSS JOIN (VALUES ('de'), ('fr'), ('es'), ('en')) AS l(language) GROUP BY ALL")
-sql("localise_merge", f"""{LOC}, tr AS (SELECT uri, o FROM tx WHERE property = '{v.LABEL}' AND lang = 'en' AND uri NOT IN (SELECT uri FROM tx WHERE property = '{v.LABEL}' AND lang = 'de') AND length(o) % 2 = 0),
-r AS (SELECT s, o, o_lang, o_kind, o_dt FROM g WHERE p = '{v.LABEL}' UNION SELECT uri, o || ' (de)', 'de', 'literal', '' FROM tr) SELECT o_lang, count(*) AS n, max(o) AS last FROM r GROUP BY o_lang""")
+sql("localise_merge", f"""{LOC}, tr AS (SELECT a.uri, a.property, a.o FROM tx a WHERE lang = 'en' AND length(o) % 2 = 0 AND NOT EXISTS (SELECT 1 FROM tx b WHERE b.uri = a.uri AND b.property = a.property AND b.lang = 'de')),
+r AS (SELECT s, p, o, o_lang, o_kind, o_dt FROM g WHERE o_kind = 'literal' UNION SELECT uri, property, o || ' (de)', 'de', 'literal', '' FROM tr) SELECT p, o_lang, count(*) AS n, max(o) AS last FROM r GROUP BY ALL""")
 
 # shapes
 SHD = f"sr AS (SELECT d.o AS class, d.s AS path, r.range FROM g d LEFT JOIN (SELECT s, min(o) AS range FROM g WHERE p = '{v.RANGE}' AND o_kind = 'iri' GROUP BY s) r ON r.s = d.s WHERE d.p = '{v.DOMAIN}'), sd AS (SELECT class, path, CASE WHEN starts_with(range, '{v.XSD}') THEN range END AS datatype, CASE WHEN NOT starts_with(range, '{v.XSD}') THEN range END AS node_class FROM sr)"
@@ -376,11 +450,11 @@ _agg = lambda p: f"coalesce((SELECT string_agg(DISTINCT o, ' ' ORDER BY o) FROM
 _is = lambda t: f"uri IN (SELECT s FROM g WHERE p = '{v.TYPE}' AND o = '{t}')"
 sql("docs_properties", f"SELECT uri, CASE WHEN {_is(v.OBJECT_PROPERTY)} THEN 'object' WHEN {_is(v.DATATYPE_PROPERTY)} THEN 'datatype' WHEN {_is(v.ANNOTATION_PROPERTY)} THEN 'annotation' ELSE 'rdf' END AS kind, {_agg(v.DOMAIN)} AS domains, {_agg(v.RANGE)} AS ranges, {_agg(v.SUBPROPERTY)} AS supers FROM q")
 sql("docs_instances", f"SELECT s AS uri, string_agg(DISTINCT o, ' ' ORDER BY o) FILTER (WHERE p = '{v.TYPE}') AS types, CAST(count(*) FILTER (WHERE p <> '{v.TYPE}') AS BIGINT) AS n_values FROM g WHERE s_kind = 'iri' AND s NOT IN ({KNOWN}) AND s IN (SELECT s FROM g WHERE p = '{v.TYPE}') GROUP BY s")
-_stop = _in(*v.STOP_WORDS)
+_stop = _in(*STOPPED)
 sql("docs_search_keywords", f"""{BEST}, en AS (SELECT uri FROM ci UNION SELECT uri FROM q), k AS (SELECT en.uri, coalesce(bl.x, {local('en.uri')}) AS label, coalesce(bd.x, '') AS def FROM en LEFT JOIN bl ON bl.uri = en.uri LEFT JOIN bd ON bd.uri = en.uri)
 SELECT uri, label, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(concat_ws(' ', label, def, {local('uri')})), '[^a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN {_stop}))), ' ') AS words FROM k""")
 sql("docs_markdown", f"{DOCC} SELECT uri, '# ' || label || chr(10) || chr(10) || '`' || uri || '`' || CASE WHEN definition IS NOT NULL THEN chr(10) || chr(10) || definition ELSE '' END || CASE WHEN supers = '' THEN '' ELSE chr(10) || chr(10) || '**Superclasses:** ' || supers END || chr(10) AS page FROM dc")
-CH = "ch AS (SELECT uri FROM ci WHERE NOT contains(uri, '#Customer_'))"
+CH = "ch AS (SELECT uri FROM ci)"
 DOMS = f"SELECT DISTINCT s AS uri FROM g WHERE p = '{v.DOMAIN}' AND o IN (SELECT uri FROM ch)"
 sql("uml_select_domain_based", f"{CH} {DOMS}")
 sql("uml_select_connected", f"{CH} {DOMS} AND s IN (SELECT s FROM g WHERE p = '{v.RANGE}' AND o IN (SELECT uri FROM ch))")
@@ -391,8 +465,8 @@ _fmt = f"CASE o_kind WHEN 'iri' THEN {qname('o')} WHEN 'bnode' THEN '_:' || o EL
 _pp = f"CASE WHEN p = '{v.TYPE}' THEN 'a' ELSE {qname('p')} END"
 _place = f"CASE p WHEN '{v.TYPE}' THEN -1 WHEN '{v.SUBCLASS}' THEN 0 WHEN '{v.LABEL}' THEN 1 WHEN '{v.COMMENT}' THEN 20000 ELSE 10000 END"
 LINES = "tl AS (SELECT s, CASE WHEN s_kind = 'bnode' THEN '_:' || s ELSE {q} END AS subject, row_number() OVER (PARTITION BY s ORDER BY place, pp) AS ord, pp || ' ' || objects AS line FROM (SELECT s, s_kind, {pp} AS pp, {place} AS place, string_agg(DISTINCT {fmt}, ', ' ORDER BY {fmt}) AS objects FROM g WHERE {w} GROUP BY ALL))"
-sql("turtle_lines", LINES.format(q=qname("s"), pp=_pp, place=_place, fmt=_fmt, w=f"p NOT IN {_in(EX + 'contains', EX + 'by', EX + 'value')}") + " SELECT subject, ord, line FROM tl")
-sql("turtle_blocks", LINES.format(q=qname("s"), pp=_pp, place=_place, fmt=_fmt, w="s IN (SELECT uri FROM q)") + " SELECT subject, subject || ' ' || string_agg(line, ' ;' || chr(10) || '    ' ORDER BY ord) || ' .' AS block FROM tl GROUP BY subject")
+sql("turtle_lines", LINES.format(q=qname("s"), pp=_pp, place=_place, fmt=_fmt, w="true") + " SELECT subject, ord, line FROM tl")
+sql("turtle_blocks", LINES.format(q=qname("s"), pp=_pp, place=_place, fmt=_fmt, w="true") + " SELECT subject, subject || ' ' || string_agg(line, ' ;' || chr(10) || '    ' ORDER BY ord) || ' .' AS block FROM tl GROUP BY subject")
 sql("order_sections", f"a AS (SELECT uri, 0 AS k, 'classes' AS section FROM c UNION ALL SELECT s, 1, 'obj_props' FROM g WHERE p = '{v.TYPE}' AND o = '{v.OBJECT_PROPERTY}' UNION ALL SELECT s, 2, 'data_props' FROM g WHERE p = '{v.TYPE}' AND o = '{v.DATATYPE_PROPERTY}' UNION ALL SELECT s, 3, 'ann_props' FROM g WHERE p = '{v.TYPE}' AND o = '{v.ANNOTATION_PROPERTY}' UNION ALL SELECT s, 4, 'individuals' FROM g WHERE s NOT IN (SELECT uri FROM c) AND s NOT IN (SELECT uri FROM q)), b AS (SELECT uri, min_by(section, k) AS section FROM a GROUP BY uri) SELECT section, count(*) AS n, min(uri) AS first_uri FROM b GROUP BY section")
 sql("order_topological", CE + f"x AS (SELECT 1) SELECT uri, CAST(depth AS BIGINT) AS level, row_number() OVER (PARTITION BY depth ORDER BY {qname('uri')}) AS place FROM ld")
 
@@ -404,6 +478,7 @@ sql("bgp_minus", f"SELECT s AS c FROM g WHERE p = '{v.TYPE}' AND o = '{v.OWL_CLA
 sql("bgp_exists", f"SELECT s AS p FROM g WHERE p = '{v.TYPE}' AND o = '{v.OBJECT_PROPERTY}' AND s IN (SELECT s FROM g WHERE p = '{v.RANGE}')")
 sql("bgp_group_by", f"SELECT a.o AS customer, count(*) AS orders, CAST(sum(CAST(b.o AS DECIMAL(18,2)))::DECIMAL(18,2) AS VARCHAR) AS total FROM g a JOIN g b ON a.s = b.s AND b.p = '{EX}totalPrice' WHERE a.p = '{v.TYPE}' GROUP BY a.o HAVING count(*) >= 5")
 sql("bgp_path_star", f"n AS (SELECT src AS x FROM e UNION SELECT dst FROM e), st AS (SELECT src, dst FROM up UNION SELECT x, x FROM n) SELECT src AS c, dst AS top FROM st WHERE dst IN {_in(EX + 'Region_4', EX + 'type_SMALL')}")
+sql("bgp_path_optional", f"so AS (SELECT s, o FROM g WHERE p = '{v.SUBPROPERTY}' AND s_kind = 'iri' AND o_kind = 'iri') SELECT s AS p, o AS q FROM so UNION SELECT s, s FROM so UNION SELECT o, o FROM so")
 sql("bgp_top", f"SELECT o AS part, count(*) AS n FROM g WHERE p = '{EX}contains' GROUP BY o ORDER BY n DESC, part LIMIT 25")
 sql("bgp_filter", f"SELECT a.o AS status, count(*) AS n FROM g a JOIN g b ON a.s = b.s AND b.p = '{EX}totalPrice' WHERE a.p = '{EX}status' AND a.o <> 'O' AND TRY_CAST(b.o AS DECIMAL(18,2)) > 300000 GROUP BY a.o")
 ORACLE_SQL["bgp_expectations"] = "SELECT * FROM (VALUES ('segments', 'passed'), ('building', 'passed'), ('six', 'failed'), ('any', 'passed'), ('none', 'passed'), ('broken', 'error')) AS t(name, status)"
@@ -423,12 +498,12 @@ ORACLE_SQL["cq_totals"] = f"SELECT count(*) AS total, count(*) FILTER (WHERE sta
 
 # more descriptions, diagrams, modules
 _in_c = "ie AS (SELECT DISTINCT src, dst FROM e WHERE src IN (SELECT uri FROM ci) AND dst IN (SELECT uri FROM ci))"
-_top = f"dst IN {_in(*v.TOP_CLASSES)}"
+_top = f"dst IN {_in(*TOPS)}"
 sql("describe_hierarchy", f"""{_in_c}, ro AS (SELECT uri FROM ci WHERE uri NOT IN (SELECT src FROM e WHERE NOT {_top})), bd AS ({ORACLE_SQL['bfs_depth']})
 SELECT (SELECT count(*) FROM ci) AS classes, (SELECT count(*) FROM ro) AS roots, (SELECT count(*) FROM ro WHERE uri NOT IN (SELECT dst FROM ie)) AS orphans, (SELECT max(depth) FROM bd) AS max_depth, (SELECT count(*) FROM up WHERE src = dst AND src IN (SELECT uri FROM ci)) AS in_cycles""")
-ORACLE_SQL["describe_unimported"] = f"SELECT ns, n FROM ({ORACLE_SQL['namespace_categories']}) WHERE category = 'external' AND ns NOT IN {_in(*v.BUILTIN)} AND ns <> ''"
+ORACLE_SQL["describe_unimported"] = f"SELECT ns, n FROM ({ORACLE_SQL['namespace_categories']}) WHERE category = 'external' AND ns NOT IN {_in(*SPACES)} AND ns <> ''"
 sql("class_tree", f"{_in_c}, al AS (SELECT dst AS parent, src AS child FROM ie UNION ALL SELECT '', uri FROM ci WHERE uri NOT IN (SELECT src FROM ie)) SELECT parent, child, row_number() OVER (PARTITION BY parent ORDER BY {qname('child')}) AS place FROM al")
-EVC = f"ev AS (SELECT uri FROM ci WHERE contains(uri, '#EventType_') OR contains(uri, '#Customer_') AND uri LIKE '%1'), io AS (SELECT s AS uri, o AS class FROM g WHERE p = '{v.TYPE}' AND s_kind = 'iri' AND o IN (SELECT uri FROM ev) AND s NOT IN (SELECT uri FROM c))"
+EVC = f"ev AS (SELECT uri FROM ci), io AS (SELECT s AS uri, o AS class FROM g WHERE p = '{v.TYPE}' AND s_kind = 'iri' AND o IN (SELECT uri FROM ev) AND s NOT IN (SELECT uri FROM c))"
 _dot = lambda x: f"replace({qname(x)}, ':', '.')"
 sql("uml_instances", f"{EVC} SELECT class, count(*) AS n, min(uri) AS first_uri FROM io GROUP BY class")
 sql("uml_type_arrows", f"{EVC} SELECT {_dot('uri')} || ' -u[#FF0000]-> ' || {_dot('class')} || ' : <<rdf:type>>' AS line FROM io")
@@ -444,7 +519,7 @@ ORACLE_SQL["split_totals"] = f"SELECT count(*) AS modules, CAST(sum(classes) AS
 _re = lambda x, w: f"CASE WHEN {w} AND starts_with({x}, '{EX}') THEN 'http://example.org/v2#' || substr({x}, {len(EX) + 1}) ELSE {x} END"
 _iri_s, _iri_o = "s_kind = 'iri'", "o_kind = 'iri'"
 sql("merge_remapped", f"rm AS (SELECT s, s_kind, p, o, o_kind, o_dt, o_lang FROM g UNION SELECT {_re('s', _iri_s)}, s_kind, {_re('p', 'true')}, {_re('o', _iri_o)}, o_kind, o_dt, o_lang FROM h) SELECT {ns('s')} AS ns, count(*) AS n, count(DISTINCT p) AS predicates FROM rm GROUP BY 1", True)
-sql("scan_nquads", f"SELECT CASE WHEN o_kind = 'iri' THEN {ns('o')} ELSE '' END AS g, count(*) AS n, CAST(0 AS BIGINT) AS errors, count(DISTINCT p) AS predicates FROM g WHERE p NOT IN {_in(EX + 'by', EX + 'value')} GROUP BY 1")
+sql("scan_nquads", f"SELECT CASE WHEN o_kind = 'iri' THEN {ns('o')} ELSE '' END AS g, count(*) AS n, CAST(0 AS BIGINT) AS errors, count(DISTINCT p) AS predicates FROM g GROUP BY 1")
 
 # class models
 _ty = lambda t: f"SELECT s FROM g WHERE p = '{v.TYPE}' AND s_kind = 'iri' AND o = '{t}'"

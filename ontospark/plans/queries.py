@@ -120,8 +120,7 @@ def stats_most_connected(g):
 
 @versions
 def stats_compare(old, new):
-    keep = ["basic", "documentation", "properties"]
-    return stats.compare(stats.collect(old, keep), stats.collect(new, keep))
+    return stats.compare(stats.collect(old), stats.collect(new))
 
 
 @query
@@ -280,6 +279,12 @@ def merge_union(old, new):
 
 @versions
 def merge_conflicts(old, new):
+    return merge.conflicts(merge.tagged(_sources(old, new))).select("s", "p", "conflict_type", "n_values")
+
+
+@versions
+def merge_conflicts_ignoring(old, new):
+    """The same without the predicates that a configuration ignores."""
     return merge.conflicts(merge.tagged(_sources(old, new)), [v.COMMENT, EX + "contains"]).select("s", "p", "conflict_type", "n_values")
 
 
@@ -290,7 +295,7 @@ def merge_semantic_conflicts(old, new):
 
 def _resolve(name: str, column: str) -> None:
     def f(spark, sf):
-        found = merge.conflicts(merge.tagged(_sources(graph(spark, sf), graph(spark, sf, 2))), [v.COMMENT, EX + "contains"])
+        found = merge.conflicts(merge.tagged(_sources(graph(spark, sf), graph(spark, sf, 2))))
         return found.where(F.col("conflict_type") == "value").select("s", "p", F.col(column).alias("winner"))
 
     QUERIES[name] = f
@@ -303,13 +308,13 @@ _resolve("merge_resolve_last", "value_last")
 
 @versions
 def merge_resolved_graph(old, new):
-    all_ = merge.tagged(_sources(old, new)).where(F.col("p") == v.LABEL)
-    return merge.resolved(all_, merge.conflicts(all_)).select("s", "o")
+    all_ = merge.tagged(_sources(old, new))
+    return merge.resolved(all_, merge.conflicts(all_)).select("s", "p", "o")
 
 
 @versions
 def merge_authoritative(old, new):
-    return merge.authoritative(new, old, [v.LABEL]).where(F.col("p") == v.LABEL).select("s", "o", "o_lang")
+    return merge.authoritative(new, old, [v.LABEL]).select("s", "p", "o", "o_lang")
 
 
 # --- refactoring and migration
@@ -354,21 +359,21 @@ def deprecate_bulk(g):
 
 @query
 def migrate_uri_map(g):
-    out = refactor.rename_entities(g.where(F.col("p").isin(v.TYPE, EX + "status")), _mapping(g), predicates=False)
+    out = refactor.rename_entities(g, _mapping(g), predicates=False)
     return out.groupBy("p", F.col("o").contains("#Client_").alias("mapped")).agg(F.count("*").alias("n"))
 
 
 @query
 def migrate_strbefore(g):
     o = F.col("o")
-    out = refactor.transform(g.where(F.col("p").isin(v.COMMENT, v.LABEL)), v.COMMENT, [(EX + "before", refactor.strbefore(o, " of "), ""), (EX + "after", refactor.strafter(o, " of "), "")])
-    return out.where(F.col("p").startswith(EX)).select("s", "p", "o")
+    out = refactor.transform(g, v.COMMENT, [(EX + "before", refactor.strbefore(o, " of "), ""), (EX + "after", refactor.strafter(o, " of "), "")])
+    return out.where(F.col("p").isin(EX + "before", EX + "after")).select("s", "p", "o")
 
 
 @query
 def migrate_arith(g):
     price = EX + "totalPrice"
-    out = refactor.transform(g.where(F.col("p") == price), price, [(EX + "net", refactor.scaled(F.col("o"), "10.00", "0.80"), v.XSD + "decimal")])
+    out = refactor.transform(g, price, [(EX + "net", refactor.scaled(F.col("o"), "10.00", "0.80"), v.XSD + "decimal")])
     return out.select("s", "p", "o", "o_dt")
 
 
@@ -430,8 +435,8 @@ def localise_coverage(g):
 
 @query
 def localise_merge(g):
-    t = localise.extract(g, "en", "de", missing_only=True).where(F.col("property") == v.LABEL).select("uri", "property", F.concat("source", F.lit(" (de)")).alias("translation"), F.when(F.length("source") % 2 == 0, "approved").otherwise("needs_review").alias("status"))
-    return localise.merge(g.where(F.col("p") == v.LABEL), t, "de").groupBy("o_lang").agg(F.count("*").alias("n"), F.max("o").alias("last"))
+    t = localise.extract(g, "en", "de", missing_only=True).select("uri", "property", F.concat("source", F.lit(" (de)")).alias("translation"), F.when(F.length("source") % 2 == 0, "approved").otherwise("needs_review").alias("status"))
+    return localise.merge(g, t, "de").where("o_kind = 'literal'").groupBy("p", "o_lang").agg(F.count("*").alias("n"), F.max("o").alias("last"))
 
 
 # --- shapes
@@ -503,7 +508,7 @@ def docs_markdown(g):
 
 
 def _chosen(g: DataFrame) -> DataFrame:
-    return select.classes(g, True).where(~F.col("uri").contains("#Customer_"))
+    return select.classes(g, True)
 
 
 uris("uml_select_domain_based", lambda g: docs.domain_properties(g, _chosen(g)))
@@ -522,12 +527,12 @@ def uml_class_lines(g):
 
 @query
 def turtle_lines(g):
-    return order.lines(g.where(~F.col("p").isin(EX + "contains", EX + "by", EX + "value")), PREFIXES)
+    return order.lines(g, PREFIXES)
 
 
 @query
 def turtle_blocks(g):
-    return order.blocks(select.section(g, select.properties(g)), PREFIXES)
+    return order.blocks(g, PREFIXES)
 
 
 @query
@@ -579,7 +584,13 @@ def bgp_group_by(g):
 
 @query
 def bgp_path_star(g):
-    return patterns.path_star(g, v.SUBCLASS, "c", "top").where(F.col("top").isin(EX + "Region_4", EX + "type_SMALL")).select("c", "top")
+    tops = few(g, f"('{EX}Region_4'), ('{EX}type_SMALL')", "uri")
+    return patterns.path_star(g, v.SUBCLASS, "c", "top", to=tops).select("c", "top")
+
+
+@query
+def bgp_path_optional(g):
+    return patterns.path_optional(g, v.SUBPROPERTY, "p", "q")
 
 
 @query
@@ -682,7 +693,7 @@ QUERIES["class_tree"] = lambda spark, sf: describe.class_tree(graph(spark, sf),
 
 
 def _events(g: DataFrame) -> DataFrame:
-    return select.classes(g, True).where(F.col("uri").contains("#EventType_") | (F.col("uri").contains("#Customer_") & F.col("uri").endswith("1")))
+    return select.classes(g, True)
 
 
 @query
@@ -725,8 +736,7 @@ def merge_remapped(old, new):
 @query
 def scan_nquads(g):
     """The graph as N-Quads in a named graph for each namespace, parsed and flattened again."""
-    some = g.where(~F.col("p").isin(EX + "by", EX + "value"))
-    back = ntriples.parse(ntriples.quad_lines(some, terms.namespace(F.when(F.col("o_kind") == "iri", F.col("o")))))
+    back = ntriples.parse(ntriples.quad_lines(g, terms.namespace(F.when(F.col("o_kind") == "iri", F.col("o")))))
     return back.groupBy("g").agg(F.count("*").alias("n"), F.count("error").alias("errors"), F.count_distinct("p").alias("predicates"))
 
 

@@ -1,19 +1,23 @@
 """Tables projected to an RDF graph: a direct mapping of the star schema to classes, properties and individuals.
 
-Each source is one branch of a union with its predicate as a constant, so a filter on ``p`` leaves only the branches
-that can hold it and reads only their columns. Keys make every branch a set; only ``contains`` needs a distinct.
+The triples are written once, in folders by predicate, into the shared folder, and every query reads that table: a filter on ``p``
+leaves only the folders that can match. Writing shuffles nothing but the branches that need a distinct or a join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
+from .scratch import shared_dir
 
 EX = "http://example.org/tpch#"
 PREFIXES = {"ex": EX, "rdf": v.RDF, "rdfs": v.RDFS, "owl": v.OWL, "xsd": v.XSD, "skos": v.SKOS}
 COLUMNS = ["s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang"]
+TABLES = ("region", "nation", "customer", "part", "supplier", "orders", "lineitem", "documents", "events")
 
 #: Constant triples: subject, predicate, object; kinds as in ``constants``.
 FIXED = [
@@ -43,39 +47,42 @@ def _iri(name: str, key: Column | str) -> Column:
     return F.concat(F.lit(EX + name), (F.col(key) if isinstance(key, str) else key).cast("string"))
 
 
-def _triples(df: DataFrame, s: Column, p: str, o: Column | str, kind: str = "iri", dt: str = "", lang: Column | str = "", s_kind: str = "iri") -> DataFrame:
+def _triples(df: DataFrame, s: Column, p: str, o: Column | str, kind: Column | str = "iri", dt: str = "", lang: Column | str = "", s_kind: str = "iri") -> DataFrame:
     text = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return df.select(s.alias("s"), F.lit(s_kind).alias("s_kind"), F.lit(p).alias("p"), text(o).alias("o"), F.lit(kind).alias("o_kind"), F.lit(dt).alias("o_dt"), text(lang).alias("o_lang"))
+    return df.select(s.alias("s"), F.lit(s_kind).alias("s_kind"), F.lit(p).alias("p"), text(o).alias("o"), text(kind).alias("o_kind"), F.lit(dt).alias("o_dt"), text(lang).alias("o_lang"))
 
 
 def money(x: str) -> Column:
     return F.col(x).cast("decimal(18,2)").cast("string")
 
 
-#: Optimizer rule that copies the right side of a semi or anti join into every branch of a union on its left; with
-#: unions on both sides plans grow to thousands of scans.
-COPYING_RULES = ["org.apache.spark.sql.catalyst.optimizer.PushDownLeftSemiAntiJoin"]
-_plans: dict[tuple[str, str, int], DataFrame] = {}
+_stored: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(at)
+    return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in found))
 
 
 def graph(spark: SparkSession, sf_dir: str, version: int = 1) -> DataFrame:
     """The graph of one version: version 2 lacks some customers, has some other labels and some new classes.
 
-    Only the plan is remembered for a session and folder, as its many branches take seconds to analyze; no data is.
+    It is written when it is first asked for in an application, and again when a table's files have changed.
     """
-    for rule in COPYING_RULES:
-        excluded = spark.conf.get("spark.sql.optimizer.excludedRules", None) or ""
-        if rule not in excluded:
-            spark.conf.set("spark.sql.optimizer.excludedRules", ",".join(filter(None, [excluded, rule])))
-    key = (spark._jsparkSession.sessionUUID(), sf_dir, version)
-    if key not in _plans:
-        _plans[key] = _graph(spark, sf_dir, version)
-    return _plans[key]
+    key = (spark.sparkContext.applicationId, sf_dir, version, tuple(_state(spark, f"{sf_dir}/{n}.parquet") for n in TABLES))
+    if key not in _stored:
+        path = f"{shared_dir(spark)}/{uuid.uuid4().hex}-graph-v{version}"
+        _graph(spark, sf_dir, version).write.partitionBy("p").parquet(path)
+        _stored[key] = path
+    schema = ", ".join(f"{c} string" for c in COLUMNS)
+    return spark.read.schema(schema).parquet(_stored[key]).select(*COLUMNS)
 
 
 def _graph(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    region, nation, customer, part, supplier, orders, lineitem, documents, events = map(read, ("region", "nation", "customer", "part", "supplier", "orders", "lineitem", "documents", "events"))
+    region, nation, customer, part, supplier, orders, lineitem, documents, events = map(read, TABLES)
     if version == 2:
         customer = customer.where("c_custkey % 7 <> 0")
     reg, nat, cus = _iri("Region_", "r_regionkey"), _iri("Nation_", "n_nationkey"), _iri("Customer_", "c_custkey")
@@ -83,6 +90,15 @@ def _graph(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
     restricted = supplier.where("s_suppkey % 4 = 1")
     r = F.concat(F.lit("r_"), F.col("s_suppkey").cast("string"))
     topic = _iri("Topic_", F.floor(F.col("doc_id") / 4))
+    # the first line of a document is a label of its topic, all other lines are a comment
+    line, rest = F.substring_index("text", "\n", 1), F.when(F.instr("text", "\n") > 0, F.substr("text", F.instr("text", "\n") + 1))
+    # a pending order's parts are a closed list, in the order of their keys
+    contains = lineitem.select("l_orderkey", "l_partkey").distinct()
+    pending = contains.join(orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey")).distinct(), "l_orderkey")
+    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_partkey"))
+    pending = pending.select("l_orderkey", "l_partkey", after.alias("after"))
+    cell = lambda part: F.concat(F.lit("part_"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col(part).cast("string"))
+    last = F.col("after").isNull()
     event = _iri("event_", "event_id")
     name = F.col("c_name") if version == 1 else F.when(F.col("c_custkey") % 11 == 0, F.concat("c_name", F.lit(" v2"))).otherwise(F.col("c_name"))
     branches = [
@@ -107,10 +123,13 @@ def _graph(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
         _triples(restricted, _iri("Nation_", "s_nationkey"), v.SUBCLASS, r, "bnode"),
         _triples(orders, order, v.TYPE, _iri("Customer_", "o_custkey")), _triples(orders, order, EX + "totalPrice", money("o_totalprice"), "literal", v.XSD + "decimal"),
         _triples(orders, order, EX + "status", F.col("o_orderstatus"), "literal"),
-        _triples(lineitem.select("l_orderkey", "l_partkey").distinct(), _iri("order_", "l_orderkey"), EX + "contains", _iri("part_", "l_partkey")),
-        _triples(documents.where("doc_id % 4 = 0"), topic, v.TYPE, v.NAMED_INDIVIDUAL),
-        _triples(documents.where("length(text) > 0"), topic, v.LABEL, F.substring("text", 1, 40), "literal", lang=F.col("lang")).distinct(),
-        _triples(documents.where("doc_id % 2 = 0 AND length(text) > 40"), topic, v.COMMENT, F.substring("text", 41, 60), "literal", lang="en").distinct(),
+        _triples(contains, _iri("order_", "l_orderkey"), EX + "contains", _iri("part_", "l_partkey")),
+        _triples(documents.select(F.floor(F.col("doc_id") / 4).alias("topic")).distinct(), _iri("Topic_", "topic"), v.TYPE, v.NAMED_INDIVIDUAL),
+        _triples(documents.where(F.length(line) > 0), topic, v.LABEL, line, "literal", lang=F.col("lang")).distinct(),
+        _triples(documents.where(F.length(rest) > 0), topic, v.COMMENT, rest, "literal", lang="en").distinct(),
+        _triples(pending.groupBy("l_orderkey").agg(F.min("l_partkey").alias("l_partkey")), _iri("parts_of_", "l_orderkey"), v.ONE_OF, cell("l_partkey"), "bnode"),
+        _triples(pending, cell("l_partkey"), v.FIRST, _iri("part_", "l_partkey"), s_kind="bnode"),
+        _triples(pending, cell("l_partkey"), v.REST, F.when(last, F.lit(v.NIL)).otherwise(cell("after")), F.when(last, F.lit("iri")).otherwise(F.lit("bnode")), s_kind="bnode"),
         _triples(events.select("event_type").distinct(), _iri("EventType_", "event_type"), v.TYPE, v.OWL_CLASS),
         _triples(events, event, v.TYPE, _iri("EventType_", "event_type")), _triples(events, event, EX + "by", _iri("user_", "user_id")),
         _triples(events, event, EX + "value", money("value"), "literal", v.XSD + "decimal"),

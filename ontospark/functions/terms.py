@@ -65,3 +65,33 @@ def keywords(text: Column) -> Column:
     """Distinct words of over two letters or digits that aren't stop words, in order of first use."""
     words = F.split(F.lower(text), "[^a-z0-9]+")
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(v.STOP_WORDS)))
+
+
+def expand(text: Column, prefixes: dict[str, str]) -> Column:
+    """A name as an IRI: ``<iri>``, a full IRI, or ``prefix:name``; null for an unbound prefix and anything else."""
+    x = F.trim(text)
+    bound = F.lit(None).cast("string")
+    for prefix, ns in prefixes.items():
+        bound = F.when(F.split_part(x, F.lit(":"), F.lit(1)) == prefix, F.concat(F.lit(ns), F.substr(x, F.lit(len(prefix) + 2)))).otherwise(bound)
+    return F.when(x.startswith("<") & x.endswith(">"), F.substr(x, F.lit(2), F.length(x) - 2)).when(x.contains("://"), x).when(x.contains(":"), bound)
+
+
+def shorten_property(iri: Column) -> Column:
+    """The prefixes of translation files in place of their namespaces."""
+    out = iri
+    for prefix, ns in v.TRANSLATION_PREFIXES.items():
+        out = F.when(iri.startswith(ns), F.concat(F.lit(prefix), F.substr(iri, F.lit(len(ns) + 1)))).otherwise(out)
+    return out
+
+
+def expand_property(name: Column) -> Column:
+    out = name
+    for prefix, ns in v.TRANSLATION_PREFIXES.items():
+        out = F.when(name.startswith(prefix), F.concat(F.lit(ns), F.substr(name, F.lit(len(prefix) + 1)))).otherwise(out)
+    return out
+
+
+def file_name(q: Column) -> Column:
+    """A qualified name as a file name: without its prefix, path signs as underscores."""
+    local = F.when(q.contains(":"), F.substr(q, F.locate(":", q) + 1)).otherwise(q)
+    return F.translate(local, "/\\#", "___")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions import vocab as v
+from ..sources.scratch import written
 from . import closure, order, select, stats
 
 
@@ -102,15 +103,54 @@ def labels(g: DataFrame, lang: str = "en") -> DataFrame:
 
 
 def metadata(g: DataFrame) -> DataFrame:
-    """The ontology header: URI (the smallest), title, description, version, number of imports."""
+    """The ontology header: URI (the smallest), title, description, version, number of imports, license, its label or else the rights, creators.
+
+    Each text comes from the first predicate of its list that has any, English before others. Creators and licenses that are named by IRI have
+    their labels, creators without one their local names.
+    """
     head = select.typed(g, [v.ONTOLOGY], True).agg(F.min("uri").alias("uri"))
-    own = g.join(F.broadcast(head), g.s == F.col("uri"))
-    return own.groupBy("uri").agg(
-        best_literal([v.LABEL, v.DCTERMS + "title"]).alias("title"), best_literal([v.COMMENT, v.DCTERMS + "description"]).alias("description"),
-        F.min(F.when(F.col("p") == v.VERSION_INFO, F.col("o"))).alias("version"), stats.counted(F.col("p") == v.IMPORTS).alias("n_imports"),
+    own = written(g.join(F.broadcast(head), g.s == F.col("uri")), "header")
+    named = own.where(F.col("p").isin(v.DCTERMS + "creator", v.DC + "creator", v.DCTERMS + "license", v.CC + "license") & (F.col("o_kind") == "iri")).select(F.col("o").alias("s")).distinct()
+    names = g.where(F.col("p") == v.LABEL).join(named, "s", "left_semi").groupBy(F.col("s").alias("o")).agg(_told([v.LABEL]).alias("name"))
+    rows = own.join(names, "o", "left")
+    first = lambda *ps: F.coalesce(*(F.min(F.when(F.col("p") == p, F.col("o"))) for p in ps))
+    creator = F.when(F.col("p").isin(v.DCTERMS + "creator", v.DC + "creator"), F.when(F.col("o_kind") == "literal", F.col("o")).when(F.col("o_kind") == "iri", F.coalesce("name", terms.local_name(F.col("o")))))
+    license_, rights = first(v.DCTERMS + "license", v.CC + "license"), _told([v.DCTERMS + "rights", v.DC + "rights"])
+    return rows.groupBy("uri").agg(
+        _told([v.LABEL, v.DCTERMS + "title", v.DC + "title"]).alias("title"), _told([v.COMMENT, v.DCTERMS + "description", v.DC + "description"]).alias("description"),
+        F.min(F.when(F.col("p") == v.VERSION_INFO, F.col("o"))).alias("version"), stats.counted(F.col("p") == v.IMPORTS).alias("n_imports"), license_.alias("license"),
+        F.coalesce(F.min(F.when(F.col("p").isin(v.DCTERMS + "license", v.CC + "license"), F.col("name"))), F.when(license_.isNull(), rights)).alias("license_label"),
+        F.array_join(F.array_sort(F.collect_set(creator)), ", ").alias("creators"),
     )
 
 
+def _told(predicates: list[str]) -> Column:
+    """In a grouping by subject: a literal of the first predicate that has one; English ones before others, then the smallest."""
+    each = []
+    for p in predicates:
+        there = (F.col("p") == p) & (F.col("o_kind") == "literal")
+        each.append(F.min_by(F.when(there, F.col("o")), F.when(there, F.struct((F.col("o_lang") != "en").alias("other"), "o"))))
+    return F.coalesce(*each)
+
+
+def metrics(g: DataFrame) -> DataFrame:
+    """``metric, n``: what a description counts, plain RDF properties (typed as no OWL property) among them."""
+    has = lambda *types: F.max(F.when(F.col("o").isin(*types), 1).otherwise(0))
+    owl = [v.OBJECT_PROPERTY, v.DATATYPE_PROPERTY, v.ANNOTATION_PROPERTY]
+    kinds = {"classes": v.CLASS_TYPES, "object_properties": owl[:1], "datatype_properties": owl[1:2], "annotation_properties": owl[2:], "rdf": [v.RDF_PROPERTY], "owl": owl}
+    per = g.where((F.col("p") == v.TYPE) & F.col("o").isin([*v.CLASS_TYPES, *v.PROPERTY_TYPES])).groupBy("s").agg(*(has(*t).alias(n) for n, t in kinds.items()))
+    one = per.agg(*(stats.counted(F.col(n) == 1).alias(n) for n in list(kinds)[:4]), stats.counted((F.col("rdf") == 1) & (F.col("owl") == 0)).alias("rdf_properties"))
+    both = one.join(F.broadcast(g.agg(F.count("*").alias("total_triples")))).join(F.broadcast(select.described_individuals(g).agg(F.count("*").alias("individuals"))))  # one row each
+    names = ["total_triples", "classes", "object_properties", "datatype_properties", "annotation_properties", "rdf_properties", "individuals"]
+    return both.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("n")) for n in names])).alias("x")).select("x.*")
+
+
+def profile_texts(found: DataFrame) -> DataFrame:
+    """Adds ``display`` and ``guidance`` to the row of ``profile``."""
+    text = lambda k: F.element_at(F.create_map(*[F.lit(x) for n, t in v.PROFILE_TEXTS.items() for x in (n, t[k])]), F.col("profile"))
+    return found.withColumn("display", text(0)).withColumn("guidance", text(1))
+
+
 def hierarchy_summary(g: DataFrame) -> DataFrame:
     """One row: classes, roots, orphans (neither parents nor children among the classes), deepest level, members of cycles."""
     c = select.classes(g, True)

@@ -137,3 +137,49 @@ def styles(g: DataFrame, by_class: DataFrame, by_namespace: list[tuple[str, str]
     own = c.join(by_class.select("uri", F.col("style").alias("own")), "uri", "left").join(above, "uri", "left").withColumn("spaced", spaced)
     how = F.when(F.col("own").isNotNull(), "own").when(F.col("above").isNotNull(), "inherited").when(F.col("spaced").isNotNull(), "namespace").otherwise("default")
     return own.select("uri", F.coalesce("own", "above", "spaced", F.lit(default)).alias("style"), how.alias("how"))
+
+
+def annotations(g: DataFrame) -> DataFrame:
+    """``uri, name, values``: the values of the standard annotations of each subject, sorted."""
+    name = F.element_at(F.create_map(*[F.lit(x) for n, p in v.ANNOTATIONS.items() for x in (p, n)]), F.col("p"))
+    rows = g.where(F.col("p").isin(list(v.ANNOTATIONS.values())) & (F.col("o_kind") != "bnode"))
+    return rows.groupBy(F.col("s").alias("uri"), name.alias("name")).agg(F.array_join(F.array_sort(F.collect_list("o")), " | ").alias("values"))
+
+
+def files(g: DataFrame, prefixes: dict[str, str], include: list[str] | None = None, extension: str = ".md", base_url: str = "") -> DataFrame:
+    """``uri, kind, path``: where the page of each entity goes; ``include`` limits the kinds, ``properties`` stands for all three of them."""
+    wanted = [y for x in include or list(v.FOLDERS) for y in (("object_property", "datatype_property", "annotation_property") if x == "properties" else (x,))]
+    kinds = [("class", v.CLASS_TYPES), ("object_property", [v.OBJECT_PROPERTY]), ("datatype_property", [v.DATATYPE_PROPERTY]), ("annotation_property", [v.ANNOTATION_PROPERTY])]
+    parts = [select.typed(g, types, True).select("uri", F.lit(k).alias("kind")) for k, types in kinds if k in wanted]
+    if "instance" in wanted:
+        parts.append(select.named_individuals(g).select("uri", F.lit("instance").alias("kind")))
+    all_ = parts[0]
+    for x in parts[1:]:
+        all_ = all_.unionByName(x)
+    folder = F.element_at(F.create_map(*[F.lit(x) for pair in v.FOLDERS.items() for x in pair]), F.col("kind"))
+    path = F.concat(folder, F.lit("/"), terms.file_name(terms.qname(F.col("uri"), prefixes)), F.lit(extension))
+    return all_.select("uri", "kind", (F.concat(F.lit(base_url + "/"), path) if base_url else path).alias("path"))
+
+
+def instance_links(g: DataFrame, chosen: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """``line``: an arrow for each object property between two instances of the chosen classes."""
+    inst = instances_of(g, chosen).select("uri").distinct()
+    links = g.where("o_kind = 'iri'").join(select.typed(g, [v.OBJECT_PROPERTY]).withColumnRenamed("uri", "p"), "p", "left_semi")
+    links = links.join(inst.withColumnRenamed("uri", "s"), "s", "left_semi").join(inst.withColumnRenamed("uri", "o"), "o", "left_semi")
+    dot = lambda c: F.replace(terms.qname(F.col(c), prefixes), F.lit(":"), F.lit("."))
+    return links.select(F.concat(dot("s"), F.lit(" --> "), dot("o"), F.lit(" : "), terms.qname(F.col("p"), prefixes)).alias("line"))
+
+
+def shown_labels(g: DataFrame, prefixes: dict[str, str], camel: bool = False) -> DataFrame:
+    """``uri, shown``: the smallest label of each subject, in camel case if wanted, else its qualified name."""
+    told = g.where((F.col("p") == v.LABEL) & (F.col("o_kind") == "literal")).groupBy(F.col("s").alias("uri")).agg(F.min("o").alias("label"))
+    words = F.split("label", r"\s+")
+    text = F.array_join(F.transform(words, lambda w, i: F.when(i == 0, w).otherwise(F.concat(F.upper(F.substr(w, F.lit(1), F.lit(1))), F.substr(w, F.lit(2))))), "") if camel else F.col("label")
+    subjects = g.where("s_kind = 'iri'").select(F.col("s").alias("uri")).distinct()
+    return subjects.join(told, "uri", "left").select("uri", F.coalesce(text, terms.qname(F.col("uri"), prefixes)).alias("shown"))
+
+
+def stereotypes(g: DataFrame, chosen: DataFrame, prefixes: dict[str, str], most: int = 3) -> DataFrame:
+    """``uri, stereotype``: the first types of each instance by name."""
+    own = instances_of(g, chosen).groupBy("uri").agg(F.array_sort(F.collect_set(terms.qname(F.col("class"), prefixes))).alias("types"))
+    return own.select("uri", F.concat(F.lit("<<"), F.array_join(F.slice("types", 1, most), ", "), F.lit(">>")).alias("stereotype"))

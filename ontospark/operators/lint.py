@@ -31,7 +31,11 @@ def run(g: DataFrame, rules: list[str] | None = None, severities: dict[str, str]
     for name in rules or list(RULES):
         severity, f = RULES[name]
         severity = (severities or {}).get(name, severity)
-        found.append(f(g).select(F.lit(name).alias("rule_id"), F.lit(severity).alias("severity"), "entity", "detail"))
+        try:
+            issues = f(g)
+        except Exception as e:  # a rule that can't be planned is an issue of its own, the others still run
+            issues, name, severity = g.sparkSession.createDataFrame([(name, type(e).__name__)], "entity string, detail string"), "rule-error", "error"
+        found.append(issues.select(F.lit(name).alias("rule_id"), F.lit(severity).alias("severity"), "entity", "detail"))
     return reduce(DataFrame.unionByName, found)
 
 

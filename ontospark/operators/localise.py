@@ -69,3 +69,10 @@ def merge(g: DataFrame, translations: DataFrame, lang: str, least: str = "transl
         return g.select(*TERM).unionByName(new.join(there, ["s", "p"], "left_anti").select(*TERM)).distinct()
     gone = new.select("s", "p", F.lit("literal").alias("o_kind"), F.lit(lang).alias("o_lang")).distinct()
     return g.join(gone, ["s", "p", "o_kind", "o_lang"], "left_anti").select(*TERM).unionByName(new).distinct()
+
+
+def merge_all(g: DataFrame, files: list[tuple[DataFrame, str]], least: str = "translated", overwrite: bool = False) -> DataFrame:
+    """Several translation tables with their languages, one after the other."""
+    for translations, lang in files:
+        g = merge(g, translations, lang, least, overwrite)
+    return g

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import terms
 from ..functions import vocab as v
 from . import select
 
@@ -78,3 +79,17 @@ def authoritative(new: DataFrame, existing: DataFrame, predicates: list[str]) ->
     """``new`` over ``existing``: where new has an authoritative predicate of a subject, the existing values go."""
     replaced = new.where(F.col("p").isin(predicates)).select("s", "p").distinct()
     return union(new, existing.join(replaced, ["s", "p"], "left_anti"))
+
+
+def markers(all_: DataFrame, found: DataFrame, prefixes: dict[str, str], resolved_by: str | None = None) -> DataFrame:
+    """``s, p, marker``: a comment block for each conflict that names its values and their sources, for the head of the merged file.
+
+    Without ``resolved_by`` (a column of ``found``) the conflict is marked as unresolved; all its values stay in the merged graph then.
+    """
+    values = all_.join(found.select("s", "p"), ["s", "p"], "left_semi").where("s_kind = 'iri'").select("s", "p", "source", "priority", "ord", "o").distinct()
+    line = F.concat(F.lit("# Source: "), "source", F.lit(" (priority "), F.col("priority").cast("string"), F.lit("): "), "o")
+    told = values.groupBy("s", "p").agg(F.array_sort(F.collect_list(F.struct("ord", "o", line.alias("line")))).alias("told"))  # the values of one subject and predicate
+    end = F.concat(F.lit("# Resolution: Used "), F.col(resolved_by), F.lit(" (highest priority)")) if resolved_by else F.lit("# Resolution: UNRESOLVED - values differ, manual review required")
+    head = F.concat(F.lit("# === CONFLICT: "), terms.qname(F.col("s"), prefixes), F.lit(" "), terms.qname(F.col("p"), prefixes), F.lit(" ==="))
+    text = F.concat_ws("\n", head, F.array_join(F.transform("told", lambda x: x["line"]), "\n"), end, F.lit("# === END CONFLICT ==="))
+    return told.join(found, ["s", "p"]).select("s", "p", text.alias("marker"))

@@ -72,3 +72,27 @@ def sections(g: DataFrame, names: list[str]) -> DataFrame:
         one = select.select_subjects(g, n).select("uri", F.lit(k).alias("k"), F.lit(n).alias("section"))
         found = one if found is None else found.unionByName(one)
     return found.groupBy("uri").agg(F.min_by("section", "k").alias("section"))
+
+
+def sort_subjects(g: DataFrame, chosen: DataFrame, mode: str, prefixes: dict[str, str], roots: list[str] = ()) -> DataFrame:
+    """``uri, branch, level, place`` of ``chosen.uri``.
+
+    ``topological`` and ``topological_then_alpha``: the branch of each root in the order of ``roots``, then all others, each by level and
+    name; without roots one branch. Any other mode: by name alone. Subproperties count instead of subclasses where properties are chosen.
+    """
+    q = terms.qname(F.col("uri"), prefixes)
+    if mode.lower() not in ("topological", "topological_then_alpha"):
+        return placed(chosen.select("uri", F.lit(0).alias("branch"), F.lit(0).cast("long").alias("level")), "branch", q).select("uri", "branch", "level", "place")
+    props = not select.typed(g, [v.OBJECT_PROPERTY, v.DATATYPE_PROPERTY]).join(chosen, "uri", "left_semi").isEmpty()
+    edges = select.edges(g, v.SUBPROPERTY if props else v.SUBCLASS)
+    inside = written(edges.join(chosen.select(F.col("uri").alias("src")), "src", "left_semi").join(chosen.select(F.col("uri").alias("dst")), "dst", "left_semi").select("src", "dst"), "inside")
+    branch = None
+    for k, root in enumerate(roots):
+        one = closure.descendants(inside, chosen.where(F.col("uri") == root)).select("uri", F.lit(k).alias("k"))
+        branch = one if branch is None else branch.unionByName(one)
+    level = closure.longest_depth(inside, chosen).select("uri", F.col("depth").cast("long").alias("level"))
+    if branch is None:
+        own = level.withColumn("branch", F.lit(0))
+    else:
+        own = level.join(branch.groupBy("uri").agg(F.min("k").alias("branch")), "uri", "left").select("uri", "level", F.coalesce("branch", F.lit(len(roots))).alias("branch"))
+    return placed(own, "branch", F.struct("level", q)).select("uri", "branch", "level", "place")

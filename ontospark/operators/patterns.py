@@ -101,6 +101,17 @@ def construct(answers: DataFrame, *templates: tuple[str, str, str]) -> DataFrame
     return reduce(DataFrame.unionByName, made).where("s IS NOT NULL AND o IS NOT NULL").distinct()
 
 
+def describe(g: DataFrame, resources: DataFrame) -> DataFrame:
+    """DESCRIBE: all triples of ``resources.uri``, and of the blank nodes that they lead to."""
+    through = g.where("o_kind = 'bnode'").select(F.col("s").alias("src"), F.col("o").alias("dst"))
+    return g.join(closure.walk(through, resources).select(F.col("uri").alias("s")), "s", "left_semi").select(*select.TERM)
+
+
+def by_tags(tests: list[dict], include: list[str] = (), exclude: list[str] = ()) -> list[dict]:
+    """Tests with any of the tags ``include`` (all if empty) and none of ``exclude``."""
+    return [t for t in tests if (not include or set(include) & set(t.get("tags", ()))) and not set(exclude) & set(t.get("tags", ()))]
+
+
 def totals(results: DataFrame) -> DataFrame:
     """One row: how many tests passed, failed, broke and were skipped."""
     n = lambda x: F.coalesce(F.sum(F.when(F.col("status") == x, 1).otherwise(0)), F.lit(0)).alias(x)
@@ -127,10 +138,18 @@ def expect_contains(df: DataFrame, rows: DataFrame) -> bool:
     return rows.join(df, rows.columns, "left_anti").isEmpty()
 
 
-def assertions(spark, tests: list[tuple[str, DataFrame, str, DataFrame | int | bool]]) -> DataFrame:
-    """``name, status, message`` of named tests: kind ``values``, ``contains``, ``count``, ``has_results`` or ``ask``; failures of a plan are errors."""
+def assertions(spark, tests: list[tuple[str, DataFrame, str, DataFrame | int | bool]], skip: dict[str, str] | None = None, fail_fast: bool = False) -> DataFrame:
+    """``name, status, message`` of named tests: kind ``values``, ``contains``, ``count``, ``has_results`` or ``ask``; failures of a plan are errors.
+
+    ``skip`` gives reasons for tests that aren't run; ``fail_fast`` ends after the first that fails or breaks.
+    """
     out = []
     for name, df, kind, expected in tests:
+        if name in (skip or {}):
+            out.append((name, "skipped", skip[name]))
+            continue
+        if fail_fast and any(status in ("failed", "error") for _, status, _ in out):
+            break
         try:
             ok = {
                 "values": lambda: expect_values(df, expected), "contains": lambda: expect_contains(df, expected), "count": lambda: expect_count(df, exact=expected),

@@ -131,3 +131,70 @@ def deprecated(g: DataFrame) -> DataFrame:
     flag = (F.col("p") == v.DEPRECATED) & F.lower("o").isin("true", "1")
     kind = (F.col("p") == v.TYPE) & F.col("o").isin(v.OWL + "DeprecatedClass", v.OWL + "DeprecatedProperty")
     return g.where(flag | kind).select(F.col("s").alias("uri")).distinct()
+
+
+def select_classes(g: DataFrame, roots: list[str] = (), focus: list[str] = (), selector: str | None = None, descendants: bool = False, max_depth: int | None = None) -> DataFrame:
+    """``uri`` of a diagram's classes: given roots before given classes before a selector; with all below them if ``descendants``."""
+    from . import closure
+
+    chosen = list(roots or focus)
+    if not chosen:
+        return select_subjects(g, selector) if selector else typed(g, [])
+    start = g.sparkSession.createDataFrame([(x,) for x in chosen], "uri string")
+    return closure.descendants(edges(g), start, max_depth).select("uri") if descendants else start.distinct()
+
+
+#: Kinds of properties by precedence.
+PROPERTY_KINDS = [("object", v.OBJECT_PROPERTY), ("datatype", v.DATATYPE_PROPERTY), ("annotation", v.ANNOTATION_PROPERTY)]
+
+
+def select_properties(g: DataFrame, mode: str, chosen: DataFrame, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+    """``uri, kind`` of a diagram's properties.
+
+    Modes: ``none``; ``all``; ``explicit`` (those of ``include``); ``domain_based`` (a domain among ``chosen.uri``); ``connected`` (object
+    properties with a domain and a range among them, datatype properties with a domain). Those of ``exclude`` go.
+    """
+    each = [typed(g, [kind]).select("uri", F.lit(name).alias("kind")) for name, kind in PROPERTY_KINDS]
+    every = each[0].unionByName(each[1]).unionByName(each[2])
+    one = every.groupBy("uri").agg(F.min_by("kind", F.when(F.col("kind") == "object", 0).when(F.col("kind") == "datatype", 1).otherwise(2)).alias("kind"))
+    ends = lambda p: g.where(F.col("p") == p).join(chosen.select(F.col("uri").alias("o")), "o", "left_semi").select(F.col("s").alias("uri"))
+    if mode == "none":
+        found = one.where("false")
+    elif mode == "all":
+        found = every
+    elif mode == "explicit":
+        found = one.where(F.col("uri").isin(list(include)))
+    elif mode == "domain_based":
+        found = one.join(ends(v.DOMAIN), "uri", "left_semi")
+    elif mode == "connected":
+        near = every.where("kind <> 'annotation'").join(ends(v.DOMAIN), "uri", "left_semi")
+        found = near.where("kind = 'datatype'").unionByName(near.where("kind = 'object'").join(ends(v.RANGE), "uri", "left_semi"))
+    else:
+        raise ValueError(f"unknown mode {mode!r}; known: none, all, explicit, domain_based, connected")
+    return found.where(~F.col("uri").isin(list(exclude))) if exclude else found
+
+
+def explicit_entities(g: DataFrame, names: list[str], prefixes: dict[str, str]) -> DataFrame:
+    """``uri, kind`` of entities listed by name; a name with an unbound prefix raises, an entity the graph doesn't type is ``unknown``."""
+    given = g.sparkSession.createDataFrame([(x,) for x in names], "name string").select("name", terms.expand(F.col("name"), prefixes).alias("uri"))
+    if bad := [r.name for r in given.where("uri IS NULL").collect()]:  # as many as the user listed
+        raise ValueError(f"names that can't be expanded: {bad}")
+    kinds = {"class": v.CLASS_TYPES, "object": [v.OBJECT_PROPERTY], "datatype": [v.DATATYPE_PROPERTY], "annotation": [v.ANNOTATION_PROPERTY]}
+    kind = F.lit(None).cast("string")
+    for name, types in reversed(kinds.items()):
+        kind = F.when(F.max(F.when((F.col("p") == v.TYPE) & F.col("o").isin(types), 1).otherwise(0)) == 1, name).otherwise(kind)
+    own = g.where(F.col("p") == v.TYPE).join(F.broadcast(given.select(F.col("uri").alias("s"))), "s", "left_semi").groupBy(F.col("s").alias("uri")).agg(F.coalesce(kind, F.lit("instance")).alias("kind"))
+    return given.select("uri").distinct().join(own, "uri", "left").select("uri", F.coalesce("kind", F.lit("unknown")).alias("kind"))
+
+
+def named_like(entities: DataFrame, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+    """Entities whose URI contains one of ``include`` (all if empty) and none of ``exclude``."""
+    has = lambda xs: F.exists(F.array(*[F.lit(x) for x in xs]), lambda x: F.contains(F.col("uri"), x))
+    out = entities.where(has(include)) if include else entities
+    return out.where(~has(exclude)) if exclude else out
+
+
+def described_individuals(g: DataFrame) -> DataFrame:
+    """Individuals as a description counts them: typed subjects, blank nodes too, but for classes, properties, ontologies and OWL's own terms."""
+    there = g.where(F.col("p") == v.TYPE).select(F.col("s").alias("uri")).distinct().where(~F.col("uri").isin(v.NO_INDIVIDUALS))
+    return there.join(typed(g, [*v.CLASS_TYPES, *v.PROPERTY_TYPES, v.ONTOLOGY]), "uri", "left_anti")

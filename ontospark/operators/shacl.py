@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms
@@ -23,16 +25,31 @@ def ranges(g: DataFrame) -> DataFrame:
 
 
 def cardinalities(g: DataFrame) -> DataFrame:
-    """``class, path, min_count, max_count, node_class`` of the restrictions above a class; a count of 0 says nothing."""
+    """``class, path, min_count, max_count, node_class, datatype`` of the restrictions above a class; a count of 0 says nothing.
+
+    A qualified count goes before a plain one, and brings its class or data range with it; a ``someValuesFrom`` is at least one; a type from
+    ``allValuesFrom`` goes before that of ``someValuesFrom``, and both before a qualification's.
+    """
     up = g.where((F.col("p") == v.SUBCLASS) & (F.col("o_kind") == "bnode")).select(F.col("s").alias("class"), F.col("o").alias("node"))
-    value = lambda p: F.min(F.when(F.col("p") == p, F.col("o")))
-    of = g.where((F.col("s_kind") == "bnode") & F.col("p").isin(v.TYPE, v.ON_PROPERTY, v.MIN_CARD, v.MAX_CARD, v.CARD, v.SOME_VALUES, v.ALL_VALUES)).groupBy(F.col("s").alias("node")).agg(
-        F.max(F.when(F.col("p") == v.TYPE, (F.col("o") == v.RESTRICTION).cast("int"))).alias("is_r"), value(v.ON_PROPERTY).alias("path"), value(v.MIN_CARD).alias("lo"), value(v.MAX_CARD).alias("hi"),
-        value(v.CARD).alias("exact"), value(v.SOME_VALUES).alias("some"), value(v.ALL_VALUES).alias("all"),
+    value = lambda p, kind=None: F.min(F.when((F.col("p") == p) & ((F.col("o_kind") == kind) if kind else F.lit(True)), F.col("o")))
+    parts = {
+        "path": (v.ON_PROPERTY, "iri"), "lo": (v.MIN_CARD, None), "hi": (v.MAX_CARD, None), "exact": (v.CARD, None), "qlo": (v.MIN_QUALIFIED, None), "qhi": (v.MAX_QUALIFIED, None),
+        "qexact": (v.QUALIFIED, None), "on_class": (v.ON_CLASS, None), "on_data": (v.ON_DATA_RANGE, None), "some": (v.SOME_VALUES, None), "some_iri": (v.SOME_VALUES, "iri"), "all_iri": (v.ALL_VALUES, "iri"),
+    }
+    own = select.typed(g, [v.RDFS + "Datatype"]).select(F.col("uri").alias("type"), F.lit(1).alias("own"))
+    of = g.where((F.col("s_kind") == "bnode") & F.col("p").isin([v.TYPE, *{p for p, _ in parts.values()}])).groupBy(F.col("s").alias("node")).agg(
+        F.max(F.when(F.col("p") == v.TYPE, (F.col("o") == v.RESTRICTION).cast("int"))).alias("is_r"), *(value(p, kind).alias(n) for n, (p, kind) in parts.items())
     ).where("is_r = 1 AND path IS NOT NULL")
     number = lambda c: F.nullif(F.expr(f"try_cast({c} AS INT)"), F.lit(0))
-    least = F.coalesce(number("exact"), number("lo"), F.when(F.col("some").isNotNull(), 1))
-    return up.join(of, "node").select("class", "path", least.alias("min_count"), F.coalesce(number("exact"), number("hi")).alias("max_count"), F.coalesce("some", "all").alias("node_class"))
+    least = F.coalesce(F.when(F.col("some").isNotNull(), 1), number("qlo"), number("qexact"), number("lo"), number("exact"))
+    most = F.coalesce(number("qhi"), number("qexact"), number("hi"), number("exact"))
+    qualified = F.coalesce(number("qlo"), number("qhi"), number("qexact")).isNotNull()
+    of = of.select("node", "path", least.alias("min_count"), most.alias("max_count"), F.coalesce("all_iri", "some_iri").alias("type"), F.when(qualified, F.col("on_class")).alias("on_class"), F.when(number("qexact").isNotNull(), F.col("on_data")).alias("on_data"))
+    of = of.join(own, "type", "left")
+    data = F.col("type").startswith(v.XSD) | (F.coalesce("own", F.lit(0)) == 1)
+    of = of.select("node", "path", "min_count", "max_count", F.coalesce(F.when(~data, F.col("type")), "on_class").alias("node_class"), F.coalesce(F.when(data, F.col("type")), "on_data").alias("datatype"))
+    told = F.coalesce(F.col("min_count").cast("string"), F.col("max_count").cast("string"), "node_class", "datatype").isNotNull()
+    return up.join(of.where(told), "node").select("class", "path", "min_count", "max_count", "node_class", "datatype")
 
 
 def functional(g: DataFrame) -> DataFrame:
@@ -50,16 +67,93 @@ def enumerations(g: DataFrame) -> DataFrame:
     return d.join(r, "path").join(heads, "range").join(listed, "head").select("class", "path", "n", "items")
 
 
-def constraints(g: DataFrame) -> DataFrame:
-    """``class, path, min_count, max_count, datatype, node_class, sh_order``: all constraints of a class and path in one:
-    the largest minimum, the smallest maximum, and restrictions over ranges; ordered by path."""
-    none = F.lit(None)
-    a = ranges(g).select("class", "path", none.cast("int").alias("min_count"), none.cast("int").alias("max_count"), "datatype", "node_class", F.lit(0).alias("step"))
-    b = cardinalities(g).select("class", "path", "min_count", "max_count", none.cast("string").alias("datatype"), "node_class", F.lit(1).alias("step"))
-    c = functional(g).select("class", "path", none.cast("int").alias("min_count"), F.lit(1).alias("max_count"), none.cast("string").alias("datatype"), none.cast("string").alias("node_class"), F.lit(2).alias("step"))
-    last = lambda x: F.max_by(F.col(x), F.when(F.col(x).isNotNull(), F.struct("step", x)))
-    one = a.unionByName(b).unionByName(c).groupBy("class", "path").agg(F.max("min_count").alias("min_count"), F.min("max_count").alias("max_count"), last("datatype").alias("datatype"), last("node_class").alias("node_class"))
-    return one.join(select.classes(g, True).withColumnRenamed("uri", "class"), "class", "left_semi").withColumn("sh_order", F.row_number().over(Window.partitionBy("class").orderBy("path")).cast("long"))
+#: Converters of each level: names of what ``_parts`` makes.
+LEVELS = {"minimal": ["ranges"], "standard": ["ranges", "cardinalities", "functional"], "strict": ["ranges", "cardinalities", "functional", "enumerations"]}
+CONVERTERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def converter(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Registers a converter: ``class, path`` and any of ``min_count, max_count, datatype, node_class, items, name, description``."""
+    CONVERTERS[f.__name__] = f
+    return f
+
+
+for _f in (ranges, cardinalities, enumerations):
+    converter(_f)
+CONVERTERS["functional"] = lambda g: functional(g).withColumn("max_count", F.lit(1))
+
+
+def _parts(g: DataFrame, names: list[str]) -> DataFrame:
+    """What the named converters give, in their order (``step``), all with the same columns."""
+    kinds = {"min_count": "int", "max_count": "int", "datatype": "string", "node_class": "string", "items": "string", "name": "string", "description": "string"}
+    out = None
+    for k, n in enumerate(names):
+        one = CONVERTERS[n](g)
+        one = one.select("class", "path", *((F.col(c) if c in one.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()), F.lit(k).alias("step"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    """One constraint of a class and path: the largest minimum, the smallest maximum, the last type that is given."""
+    last = lambda x: F.max_by(F.col(x), F.when(F.col(x).isNotNull(), F.struct("step", x))).alias(x)
+    return parts.groupBy("class", "path").agg(F.max("min_count").alias("min_count"), F.min("max_count").alias("max_count"), last("datatype"), last("node_class"), last("items"), (F.min("step") == 0).alias("ranged"))
+
+
+def constraints(g: DataFrame, level: str = "standard", inherit: bool = False) -> DataFrame:
+    """``class, path, min_count, max_count, datatype, node_class, items, ranged, sh_order``: all constraints of a class and path in one, ordered by path.
+
+    With ``inherit`` a class also has those of all classes above it on paths that it has none on, merged.
+    """
+    parts = _parts(g, LEVELS[level])
+    if inherit:
+        parts = written(parts, "constraints")
+        above = closure.reach(select.edges(g), to=parts.select(F.col("class").alias("uri"))).where("src <> dst")
+        from_above = above.select("src", F.col("dst").alias("class")).join(parts, "class").drop("class").withColumnRenamed("src", "class")
+        parts = parts.unionByName(from_above.join(parts.select("class", "path"), ["class", "path"], "left_anti"))
+    one = _merged(parts).join(select.classes(g, True).withColumnRenamed("uri", "class"), "class", "left_semi")
+    return one.withColumn("sh_order", F.row_number().over(Window.partitionBy("class").orderBy("path")).cast("long"))
+
+
+def namespace(g: DataFrame) -> DataFrame:
+    """``ns``, one row: that of the shapes, from the smallest ontology's IRI."""
+    head = select.typed(g, [v.ONTOLOGY], True).agg(F.min("uri").alias("uri"))
+    return head.select(F.coalesce(F.concat(F.regexp_replace("uri", "[#/]$", ""), F.lit("-shapes#")), F.lit("http://example.org/shapes#")).alias("ns"))
+
+
+def full_shapes(g: DataFrame, ns: str, level: str = "strict", closed: bool = True, ignored: list[str] = (), inherit: bool = True) -> DataFrame:
+    """Shapes with names, descriptions, closed lists and inherited constraints as triples; every class has one. Blank nodes are named by digests."""
+    c = constraints(g, level, inherit)
+    shape = F.concat(F.lit(ns), terms.local_name(F.col("class")), F.lit("Shape"))
+    node = F.sha2(F.concat_ws(" ", "class", "path"), 256)
+    kind = "struct<s:string,s_kind:string,p:string,o:string,o_kind:string,o_dt:string,o_lang:string>"
+    row = lambda s, sk, p, o, ok, dt="": F.struct(s.alias("s"), F.lit(sk).alias("s_kind"), F.lit(p).alias("p"), o.cast("string").alias("o"), (ok if isinstance(ok, Column) else F.lit(ok)).alias("o_kind"), F.lit(dt).alias("o_dt"), F.lit("").alias("o_lang")).cast(kind)
+    integer, boolean = v.XSD + "integer", v.XSD + "boolean"
+    texts = {n: g.where((F.col("p") == p) & (F.col("o_kind") == "literal")).groupBy(F.col("s").alias("about")).agg(F.min("o").alias(n)) for n, p in (("name", v.LABEL), ("description", v.COMMENT))}
+    told = texts["name"].join(texts["description"], "about", "full")
+    heads = select.classes(g, True).withColumnRenamed("uri", "class").join(told, F.col("class") == F.col("about"), "left")
+    first = [row(shape, "iri", v.TYPE, F.lit(SH + "NodeShape"), "iri"), row(shape, "iri", SH + "targetClass", F.col("class"), "iri"), row(shape, "iri", SH + "name", F.col("name"), "literal"), row(shape, "iri", SH + "description", F.col("description"), "literal")]
+    if closed and level == "strict":
+        list_of = lambda k: F.concat(F.sha2(F.concat(F.lit("ignored "), "class"), 256), F.lit(f"_{k}"))
+        all_ignored = [v.TYPE, *ignored]
+        first += [row(shape, "iri", SH + "closed", F.lit("true"), "literal", boolean), row(shape, "iri", SH + "ignoredProperties", list_of(0), "bnode")]
+        for k, iri in enumerate(all_ignored):
+            end = k == len(all_ignored) - 1
+            first += [row(list_of(k), "bnode", v.FIRST, F.lit(iri), "iri"), row(list_of(k), "bnode", v.REST, F.lit(v.NIL) if end else list_of(k + 1), "iri" if end else "bnode")]
+    items = F.split("items", " ")
+    each = [
+        row(shape, "iri", SH + "property", node, "bnode"), row(node, "bnode", SH + "path", F.col("path"), "iri"), row(node, "bnode", SH + "minCount", F.col("min_count"), "literal", integer),
+        row(node, "bnode", SH + "maxCount", F.col("max_count"), "literal", integer), row(node, "bnode", SH + "datatype", F.col("datatype"), "iri"), row(node, "bnode", SH + "class", F.col("node_class"), "iri"),
+        row(node, "bnode", SH + "order", F.col("sh_order"), "literal", integer), row(node, "bnode", SH + "name", F.col("name"), "literal"), row(node, "bnode", SH + "description", F.col("description"), "literal"),
+        row(node, "bnode", SH + "in", F.when(F.col("items").isNotNull(), F.concat(node, F.lit("_0"))), "bnode"),
+    ]
+    cell = lambda k: F.concat(F.col("node"), F.lit("_"), k.cast("string"))
+    cells = c.where("items IS NOT NULL").select(node.alias("node"), F.posexplode(items).alias("k", "item"), F.size(items).alias("n"))
+    last = F.col("k") == F.col("n") - 1
+    lists = F.array(row(cell(F.col("k")), "bnode", v.FIRST, F.col("item"), F.when(F.col("item").contains("://"), "iri").otherwise("literal")), row(cell(F.col("k")), "bnode", v.REST, F.when(last, F.lit(v.NIL)).otherwise(cell(F.col("k") + 1)), F.when(last, "iri").otherwise("bnode")))
+    props = c.join(told, (F.col("path") == F.col("about")) & F.col("ranged"), "left")  # domains bring a property's texts with them
+    all_ = heads.select(F.explode(F.array(*first)).alias("x")).unionAll(props.select(F.explode(F.array(*each)).alias("x"))).unionAll(cells.select(F.explode(lists).alias("x")))
+    return all_.select("x.*").where("o IS NOT NULL").distinct()
 
 
 def shapes(g: DataFrame, ns: str) -> DataFrame:

@@ -81,6 +81,31 @@ def imports(needed: DataFrame, explicit: dict[str, list[str]], base: str = "http
     return reduce(DataFrame.unionByName, [*own, *given]).distinct()
 
 
+def manifest(g: DataFrame, assigned: DataFrame, explicit: dict[str, list[str]], suffix: str = ".ttl") -> DataFrame:
+    """``module, file, classes, properties, triples, imports, dependencies``: what the split made, a row a module."""
+    needed = written(dependencies(g, assigned), "dependencies").groupBy("module").agg(F.array_join(F.array_sort(F.collect_set("needs")), " ").alias("dependencies"))
+    given = F.lit("")
+    for name, xs in explicit.items():
+        given = F.when(F.col("module") == name, " ".join(sorted(xs))).otherwise(given)
+    return module_stats(g, assigned).join(needed, "module", "left").select("module", F.concat("module", F.lit(suffix)).alias("file"), "classes", "properties", "triples", given.alias("imports"), F.coalesce("dependencies", F.lit("")).alias("dependencies"))
+
+
+def tree(needed: DataFrame, modules: list[str], suffix: str = ".ttl") -> list[str]:
+    """Lines of a tree of modules: those that no module needs, and below each module those that need it."""
+    pairs = sorted((r.module, r.needs) for r in needed.select("module", "needs").distinct().collect())  # modules are the user's own few
+    out: list[str] = []
+
+    def show(name: str, indent: str, path: tuple[str, ...]) -> None:
+        out.append(f"{indent}{name}{suffix}")
+        below = [m for m in modules if (m, name) in pairs] if name not in path else []
+        for m in below:
+            show(m, indent + "  ", (*path, name))
+
+    for root in [m for m in modules if m not in {n for _, n in pairs}] or modules[:1]:
+        show(root, "", ())
+    return out
+
+
 def totals(stats: DataFrame) -> DataFrame:
     """One row over ``module_stats``."""
     return stats.agg(F.count("*").alias("modules"), *(F.sum(c).alias(c) for c in ("classes", "properties", "triples")))

@@ -37,7 +37,10 @@ DATATYPES = dict(x.split() for x in (
     "time time,gyear gYear,duration duration,uri anyURI,anyuri anyURI,url anyURI,base64 base64Binary,language language,token token"
 ).split(","))
 #: Constant triples as ``subject kind predicate object kind``; ex: is the graph's own namespace.
-CONSTANTS = """ex:Ontology iri rdf:type owl:Ontology iri
+CONSTANTS = """ex:Ontology iri dc:title Trade literal
+ex:Ontology iri dcterms:license ex:licence iri
+ex:licence iri rdfs:label Open literal
+ex:Ontology iri rdf:type owl:Ontology iri
 ex:Entity iri rdf:type owl:Class iri
 ex:type_ECONOMY iri rdfs:subClassOf ex:type_LARGE iri
 ex:type_LARGE iri rdfs:subClassOf ex:type_MEDIUM iri
@@ -66,7 +69,7 @@ l2 bnode rdf:rest rdf:nil iri"""
 
 
 def _fixed() -> str:
-    spaces = {"ex": EX, "rdf": v.RDF, "rdfs": v.RDFS, "owl": v.OWL, "xsd": v.XSD}
+    spaces = {"ex": EX, "rdf": v.RDF, "rdfs": v.RDFS, "owl": v.OWL, "xsd": v.XSD, "dc": "http://purl.org/dc/elements/1.1/", "dcterms": v.DCTERMS}
     full = lambda x: spaces[x.split(":")[0]] + x.split(":")[1] if ":" in x else x
     return ", ".join(f"('{full(s)}', '{sk}', '{full(p)}', '{full(o)}', '{ok}', '', '')" for s, sk, p, o, ok in (x.split() for x in CONSTANTS.split("\n")))
 
@@ -86,6 +89,7 @@ def graph_sql(version: int) -> str:
 
     reg, nat, cu, seg, sup, order = _iri("Region_", "r_regionkey"), _iri("Nation_", "n_nationkey"), _iri("Customer_", "c_custkey"), _iri("Segment_", "c_mktsegment"), _iri("supplies_", "s_suppkey"), _iri("order_", "o_orderkey")
     topic, event, r4, cls = _iri("Topic_", "(doc_id // 4)"), _iri("event_", "event_id"), "s_suppkey % 4 = 1", f"'{v.OWL_CLASS}'"
+    q4 = "s_suppkey % 4 = 3"
     cell = lambda a: f"'part_' || k || '_' || {a}"
     pending = "(SELECT k, a, lead(a) OVER (PARTITION BY k ORDER BY a) AS n FROM (SELECT DISTINCT l_orderkey AS k, l_partkey AS a FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')))"
     money = lambda x: f"CAST(CAST({x} AS DECIMAL(18,2)) AS VARCHAR)"
@@ -105,6 +109,10 @@ def graph_sql(version: int) -> str:
         b("'r_' || s_suppkey", v.MAX_CARD, "CAST(s_suppkey % 4 AS VARCHAR)", "supplier", "literal", nn, s_kind="bnode", where=f"{r4} AND s_suppkey % 3 = 1"),
         b("'r_' || s_suppkey", v.SOME_VALUES, f"'{EX}type_PROMO'", "supplier", s_kind="bnode", where=f"{r4} AND s_suppkey % 3 = 2"),
         b(_iri("Nation_", "s_nationkey"), v.SUBCLASS, "'r_' || s_suppkey", "supplier", "bnode", where=r4),
+        b("'q_' || s_suppkey", v.TYPE, f"'{v.RESTRICTION}'", "supplier", s_kind="bnode", where=q4), b("'q_' || s_suppkey", v.ON_PROPERTY, sup, "supplier", s_kind="bnode", where=q4), b(_iri("Nation_", "s_nationkey"), v.SUBCLASS, "'q_' || s_suppkey", "supplier", "bnode", where=q4),
+        *(b("'q_' || s_suppkey", v.OWL + n, "CAST(s_suppkey % 4 AS VARCHAR)", "supplier", "literal", nn, s_kind="bnode", where=f"{q4} AND s_suppkey % 3 = {k}") for k, n in enumerate(("minQualifiedCardinality", "maxQualifiedCardinality", "qualifiedCardinality"))),
+        *(b("'q_' || s_suppkey", v.OWL + n, f"'{of}'", "supplier", s_kind="bnode", where=f"{q4} AND s_suppkey % 3 = {k}") for k, (n, of) in enumerate((("onClass", EX + "type_PROMO"), ("onClass", EX + "type_SMALL"), ("onDataRange", v.XSD + "string")))),
+        b(f"'{EX}Ontology'", v.DCTERMS + "creator", reg, "region"), b(nat, v.RDFS + "isDefinedBy", f"'{EX}Ontology'", "nation"), b(cu, v.SKOS + "note", money("c_acctbal"), cus, "literal", where="c_acctbal < 0"), b(_iri("part_", "p_partkey"), v.TYPE, _iri("type_", "p_type"), "part"),
         b(order, v.TYPE, _iri("Customer_", "o_custkey"), "orders"), b(order, EX + "totalPrice", money("o_totalprice"), "orders", "literal", dec), b(order, EX + "status", "o_orderstatus", "orders", "literal"),
         b(_iri("order_", "l_orderkey"), EX + "contains", _iri("part_", "l_partkey"), "lineitem", distinct="DISTINCT"),
         b(topic, v.TYPE, f"'{v.NAMED_INDIVIDUAL}'", "documents", distinct="DISTINCT"), b(topic, v.LABEL, "split_part(text, chr(10), 1)", "documents", "literal", lang="lang", where="length(split_part(text, chr(10), 1)) > 0", distinct="DISTINCT"),
@@ -355,7 +363,16 @@ def best(preds: list[str]) -> str:
 
 BEST = f"bl AS ({best(LABELS)}), bd AS ({best(DEFINITIONS)})"
 sql("best_labels", f"{BEST} SELECT uri, bl.x AS label, bd.x AS definition FROM bl FULL JOIN bd USING (uri)")
-sql("ontology_metadata", f"SELECT '{EX}Ontology' AS uri, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS version, CAST(0 AS BIGINT) AS n_imports")
+_li = "SELECT o FROM g WHERE s = h.uri AND p = '{}license'"
+sql("ontology_metadata", f"""h AS (SELECT min(s) AS uri FROM g WHERE p = '{v.TYPE}' AND o = '{v.ONTOLOGY}' AND s_kind = 'iri')
+SELECT uri, coalesce((SELECT min(o) FROM g WHERE s = h.uri AND p = '{v.LABEL}'), (SELECT min(o) FROM g WHERE s = h.uri AND p = '{v.DCTERMS}title'), (SELECT min(o) FROM g WHERE s = h.uri AND p = 'http://purl.org/dc/elements/1.1/title')) AS title,
+(SELECT min(o) FROM g WHERE s = h.uri AND p = '{v.COMMENT}') AS description, (SELECT min(o) FROM g WHERE s = h.uri AND p = '{v.OWL}versionInfo') AS version, (SELECT count(*) FROM g WHERE s = h.uri AND p = '{v.IMPORTS}') AS n_imports,
+({_li.format(v.DCTERMS)}) AS license, (SELECT min(o) FROM g WHERE p = '{v.LABEL}' AND s IN ({_li.format(v.DCTERMS)})) AS license_label,
+(SELECT string_agg(DISTINCT l.o, ', ' ORDER BY l.o) FROM g c JOIN g l ON l.s = c.o AND l.p = '{v.LABEL}' WHERE c.s = h.uri AND c.p = '{v.DCTERMS}creator') AS creators FROM h""")
+sql("describe_metrics", f"""rp AS (SELECT DISTINCT s FROM g WHERE p = '{v.TYPE}' AND o = '{v.RDF_PROPERTY}' AND s NOT IN ({n_typed(v.OBJECT_PROPERTY, v.DATATYPE_PROPERTY, v.ANNOTATION_PROPERTY).replace('count(DISTINCT s)', 's')}))
+SELECT 'total_triples' AS metric, count(*) AS n FROM g UNION ALL SELECT 'classes', count(*) FROM c UNION ALL SELECT 'object_properties', ({n_typed(v.OBJECT_PROPERTY)}) UNION ALL SELECT 'datatype_properties', ({n_typed(v.DATATYPE_PROPERTY)})
+UNION ALL SELECT 'annotation_properties', ({n_typed(v.ANNOTATION_PROPERTY)}) UNION ALL SELECT 'rdf_properties', count(*) FROM rp UNION ALL SELECT 'individuals', count(DISTINCT s) FROM g WHERE p = '{v.TYPE}' AND s NOT IN ({KNOWN})""")
+ORACLE_SQL["owl_profile_text"] = f"SELECT profile, CASE profile WHEN 'owl_dl_expressive' THEN 'OWL 2 DL (expressive)' END AS display, CASE profile WHEN 'owl_dl_expressive' THEN 'Full DL reasoning; may be computationally expensive' END AS guidance FROM ({ORACLE_SQL['owl_profile']})"
 sql("top_roots", "SELECT uri FROM ci WHERE uri NOT IN (SELECT src FROM e) ORDER BY uri LIMIT 10")
 
 # merging
@@ -420,14 +437,18 @@ r AS (SELECT s, p, o, o_lang, o_kind, o_dt FROM g WHERE o_kind = 'literal' UNION
 # shapes
 SHD = f"sr AS (SELECT d.o AS class, d.s AS path, r.range FROM g d LEFT JOIN (SELECT s, min(o) AS range FROM g WHERE p = '{v.RANGE}' AND o_kind = 'iri' GROUP BY s) r ON r.s = d.s WHERE d.p = '{v.DOMAIN}'), sd AS (SELECT class, path, CASE WHEN starts_with(range, '{v.XSD}') THEN range END AS datatype, CASE WHEN NOT starts_with(range, '{v.XSD}') THEN range END AS node_class FROM sr)"
 _val = lambda p: f"(SELECT min(o) FROM g x WHERE x.s = u.o AND x.p = '{p}')"
-SHC = f"""sc AS (SELECT u.s AS class, {_val(v.ON_PROPERTY)} AS path, CASE WHEN {_val(v.SOME_VALUES)} IS NOT NULL THEN 1 ELSE nullif(try_cast({_val(v.MIN_CARD)} AS INT), 0) END AS min_count, nullif(try_cast({_val(v.MAX_CARD)} AS INT), 0) AS max_count, {_val(v.SOME_VALUES)} AS node_class
-FROM g u WHERE u.p = '{v.SUBCLASS}' AND u.o_kind = 'bnode')"""
+_num = lambda n: f"nullif(try_cast({_val(v.OWL + n)} AS INT), 0)"
+SHC = f"""sc AS (SELECT * FROM (SELECT u.s AS class, {_val(v.ON_PROPERTY)} AS path, CASE WHEN {_val(v.SOME_VALUES)} IS NOT NULL THEN 1 ELSE coalesce({_num('minQualifiedCardinality')}, {_num('qualifiedCardinality')}, {_num('minCardinality')}) END AS min_count,
+coalesce({_num('maxQualifiedCardinality')}, {_num('qualifiedCardinality')}, {_num('maxCardinality')}) AS max_count,
+coalesce({_val(v.SOME_VALUES)}, CASE WHEN coalesce({_num('minQualifiedCardinality')}, {_num('maxQualifiedCardinality')}, {_num('qualifiedCardinality')}) IS NOT NULL THEN {_val(v.OWL + 'onClass')} END) AS node_class,
+CASE WHEN {_num('qualifiedCardinality')} IS NOT NULL THEN {_val(v.OWL + 'onDataRange')} END AS datatype
+FROM g u WHERE u.p = '{v.SUBCLASS}' AND u.o_kind = 'bnode') WHERE coalesce(CAST(min_count AS VARCHAR), CAST(max_count AS VARCHAR), node_class, datatype) IS NOT NULL)"""
 SHF = f"sf AS (SELECT o AS class, s AS path FROM g WHERE p = '{v.DOMAIN}' AND s IN (SELECT s FROM g WHERE p = '{v.TYPE}' AND o = '{v.FUNCTIONAL}'))"
-SHA = f"""{SHD}, {SHC}, {SHF}, sa AS (SELECT class, path, NULL::INT AS min_count, NULL::INT AS max_count, datatype, node_class, 0 AS step FROM sd UNION ALL SELECT class, path, min_count, max_count, NULL, node_class, 1 FROM sc UNION ALL SELECT class, path, NULL, 1, NULL, NULL, 2 FROM sf),
+SHA = f"""{SHD}, {SHC}, {SHF}, sa AS (SELECT class, path, NULL::INT AS min_count, NULL::INT AS max_count, datatype, node_class, 0 AS step FROM sd UNION ALL SELECT class, path, min_count, max_count, datatype, node_class, 1 FROM sc UNION ALL SELECT class, path, NULL, 1, NULL, NULL, 2 FROM sf),
 sx AS (SELECT class, path, max(min_count) AS min_count, min(max_count) AS max_count, max_by(datatype, (step, datatype)) FILTER (WHERE datatype IS NOT NULL) AS datatype, max_by(node_class, (step, node_class)) FILTER (WHERE node_class IS NOT NULL) AS node_class FROM sa WHERE class IN (SELECT uri FROM ci) GROUP BY class, path),
 sy AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY path) AS sh_order FROM sx)"""
 sql("shacl_domain_range", f"{SHD} SELECT class, path, datatype, node_class FROM sd")
-sql("shacl_cardinality", f"{SHC} SELECT class, path, CAST(min_count AS BIGINT) AS min_count, CAST(max_count AS BIGINT) AS max_count, node_class FROM sc")
+sql("shacl_cardinality", f"{SHC} SELECT class, path, CAST(min_count AS BIGINT) AS min_count, CAST(max_count AS BIGINT) AS max_count, node_class, datatype FROM sc")
 sql("shacl_functional", f"{SHF} SELECT class, path FROM sf")
 sql("shacl_enumeration", f"{LIST}, it AS (SELECT head, string_agg(g.o, ' ' ORDER BY position) AS items, count(*) AS n FROM li JOIN g ON g.s = li.cell AND g.p = '{v.FIRST}' GROUP BY head) SELECT d.o AS class, d.s AS path, it.n, it.items FROM g d JOIN g r ON r.s = d.s AND r.p = '{v.RANGE}' JOIN g o ON o.s = r.o AND o.p = '{v.ONE_OF}' JOIN it ON it.head = o.o WHERE d.p = '{v.DOMAIN}'")
 sql("shacl_property_shapes", f"{SHA} SELECT class, path, CAST(min_count AS BIGINT) AS min_count, CAST(max_count AS BIGINT) AS max_count, datatype, node_class, sh_order FROM sy")
@@ -439,6 +460,30 @@ sql("shacl_inherited", f"""{SHA}, dd AS (SELECT src, dst, 1 AS k FROM e UNION SE
 ih AS (SELECT dm.src AS class, sy.path, dm.dst AS from_class FROM dm JOIN sy ON sy.class = dm.dst WHERE NOT EXISTS (SELECT 1 FROM sy s2 WHERE s2.class = dm.src AND s2.path = sy.path) QUALIFY row_number() OVER (PARTITION BY dm.src, sy.path ORDER BY k, dm.dst) = 1)
 SELECT class, count(*) AS n, min(from_class) AS first_from FROM ih GROUP BY class""")
 
+# the same with closed lists and inherited constraints: strict, closed
+_step = [("SELECT class, path, NULL::INT AS min_count, NULL::INT AS max_count, datatype, node_class, NULL::VARCHAR AS items, 0 AS step FROM sd"), ("SELECT class, path, min_count, max_count, datatype, node_class, NULL, 1 FROM sc"), ("SELECT class, path, NULL, 1, NULL, NULL, NULL, 2 FROM sf"), ("SELECT class, path, NULL, NULL, NULL, NULL, items, 3 FROM en")]
+_en = ORACLE_SQL["shacl_enumeration"]
+_en = _en[_en.index("li AS (") :]
+SHX = f"""{SHD}, {SHC}, {SHF}, {_en[: _en.rindex(' SELECT d.o AS class')]}, en AS ({_en[_en.rindex('SELECT d.o AS class') :]}), pa AS ({' UNION ALL '.join(_step)}),
+ha AS (SELECT up.src AS class, pa.path, min_count, max_count, datatype, node_class, items, step FROM up JOIN pa ON up.dst = pa.class WHERE up.src <> up.dst AND NOT EXISTS (SELECT 1 FROM pa o WHERE o.class = up.src AND o.path = pa.path)),
+pb AS (SELECT * FROM pa UNION ALL SELECT * FROM ha),
+pc AS (SELECT class, path, max(min_count) AS min_count, min(max_count) AS max_count, max_by(datatype, (step, datatype)) FILTER (WHERE datatype IS NOT NULL) AS datatype, max_by(node_class, (step, node_class)) FILTER (WHERE node_class IS NOT NULL) AS node_class, max(items) AS items, min(step) = 0 AS ranged FROM pb WHERE class IN (SELECT uri FROM ci) GROUP BY class, path),
+pd AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY path) AS sh_order FROM pc),
+tn AS (SELECT s, min(o) AS x FROM g WHERE p = '{v.LABEL}' AND o_kind = 'literal' GROUP BY s), td AS (SELECT s, min(o) AS x FROM g WHERE p = '{v.COMMENT}' AND o_kind = 'literal' GROUP BY s),
+it2 AS (SELECT {_node} AS node, unnest(string_split(items, ' ')) AS item, generate_subscripts(string_split(items, ' '), 1) - 1 AS k, len(string_split(items, ' ')) AS n FROM pd WHERE items IS NOT NULL)"""
+_sh2 = [x for x in _sh if "NodeShape" not in x[2] and "targetClass" not in x[1]]
+_own = "ci LEFT JOIN tn ON tn.s = ci.uri LEFT JOIN td ON td.s = ci.uri"
+_cshape = f"'http://example.org/tpch-shapes#' || {local('ci.uri')} || 'Shape'"
+_ig = lambda k: f"sha256('ignored ' || uri) || '_{k}'"
+sql("shacl_strict_shapes", f"""{SHX}, st AS ({' UNION '.join(f'SELECT {a} AS s, {b} AS p, {c} AS o FROM pd' for a, b, c in _sh2)}
+UNION SELECT {_node}, '{v.SH}name', tn.x FROM pd JOIN tn ON tn.s = path WHERE ranged UNION SELECT {_node}, '{v.SH}description', td.x FROM pd JOIN td ON td.s = path WHERE ranged UNION SELECT {_node}, '{v.SH}in', {_node} || '_0' FROM pd WHERE items IS NOT NULL
+UNION SELECT {_cshape}, '{v.TYPE}', '{v.SH}NodeShape' FROM {_own} UNION SELECT {_cshape}, '{v.SH}targetClass', uri FROM {_own} UNION SELECT {_cshape}, '{v.SH}name', tn.x FROM {_own} UNION SELECT {_cshape}, '{v.SH}description', td.x FROM {_own}
+UNION SELECT {_cshape}, '{v.SH}closed', 'true' FROM ci UNION SELECT {_cshape}, '{v.SH}ignoredProperties', {_ig(0)} FROM ci UNION SELECT {_ig(0)}, '{v.FIRST}', '{v.TYPE}' FROM ci UNION SELECT {_ig(0)}, '{v.REST}', {_ig(1)} FROM ci
+UNION SELECT {_ig(1)}, '{v.FIRST}', '{v.LABEL}' FROM ci UNION SELECT {_ig(1)}, '{v.REST}', '{v.NIL}' FROM ci
+UNION SELECT node || '_' || k, '{v.FIRST}', item FROM it2 UNION SELECT node || '_' || k, '{v.REST}', CASE WHEN k = n - 1 THEN '{v.NIL}' ELSE node || '_' || (k + 1) END FROM it2)
+SELECT p, count(*) AS n, min(s) AS first_s, max(o) AS last_o FROM st WHERE o IS NOT NULL GROUP BY p""")
+sql("shacl_namespace", f"SELECT regexp_replace(min(s), '[#/]$', '') || '-shapes#' AS ns FROM g WHERE p = '{v.TYPE}' AND o = '{v.ONTOLOGY}'")
+
 # documentation and diagrams
 _cnt = lambda p: f"(SELECT count(*) FROM g WHERE p = '{p}' AND s_kind = 'iri' AND o = ci.uri)"
 DOCC = f"""{BEST}, bk AS (SELECT o AS uri, count(*) FILTER (WHERE p = '{v.SUBCLASS}') AS a, count(*) FILTER (WHERE p = '{v.DOMAIN}') AS b, count(*) FILTER (WHERE p = '{v.RANGE}') AS d, count(*) FILTER (WHERE p = '{v.TYPE}') AS f FROM g WHERE s_kind = 'iri' GROUP BY o),
@@ -573,3 +618,38 @@ mp AS (SELECT *, source_sp || own AS path FROM mo), mg AS ({' UNION '.join(rows)
 ORACLE_SQL["model_to_graph"] = MODEL + model_sql("http://example.org/model#") + " SELECT s, p, o, o_lang FROM mg"
 _existing = f"SELECT s, s_kind, p, o, o_kind, o_dt, o_lang FROM g UNION SELECT * FROM mg WHERE NOT (p = '{v.LABEL}' AND s IN (SELECT s FROM g WHERE p = '{v.LABEL}'))"
 ORACLE_SQL["model_merged"] = MODEL + G + model_sql(EX) + f" SELECT p, count(*) AS n, count(DISTINCT s) AS subjects FROM ({_existing}) GROUP BY p"
+
+
+# selections of diagrams, names, orders, manifests
+_walk2 = walk_sql(f"SELECT '{EX}Region_1' AS uri, 0 AS depth", 1)
+sql("uml_select_roots", f"{_walk2} SELECT DISTINCT uri FROM w")
+_pk = f"pk AS (SELECT DISTINCT s AS uri, CASE o WHEN '{v.OBJECT_PROPERTY}' THEN 'object' WHEN '{v.DATATYPE_PROPERTY}' THEN 'datatype' ELSE 'annotation' END AS kind FROM g WHERE p = '{v.TYPE}' AND o IN {_in(v.OBJECT_PROPERTY, v.DATATYPE_PROPERTY, v.ANNOTATION_PROPERTY)})"
+_dom, _rng = f"uri IN (SELECT s FROM g WHERE p = '{v.DOMAIN}' AND o IN (SELECT uri FROM w))", f"uri IN (SELECT s FROM g WHERE p = '{v.RANGE}' AND o IN (SELECT uri FROM ci))"
+_rng = _rng.replace("FROM ci", "FROM w")
+sql("uml_select_properties", f"""{walk_sql(f"SELECT '{EX}Entity' AS uri, 0 AS depth UNION ALL SELECT '{EX}type_PROMO', 0")}, {_pk}, al AS (SELECT 'all' AS mode, * FROM pk UNION ALL SELECT 'explicit', * FROM pk WHERE uri IN {_in(EX + 'status', EX + 'note')} UNION ALL SELECT 'domain_based', * FROM pk WHERE {_dom}
+UNION ALL SELECT 'connected', * FROM pk WHERE {_dom} AND (kind = 'datatype' OR kind = 'object' AND {_rng})) SELECT mode, kind, count(*) AS n, min(uri) AS first_uri FROM al WHERE uri <> '{EX}totalPrice' GROUP BY ALL""")
+ORACLE_SQL["uml_select_explicit"] = f"SELECT * FROM (VALUES ('{EX}Entity', 'class'), ('{EX}status', 'datatype'), ('{EX}contains', 'object'), ('{EX}note', 'annotation'), ('{EX}Nowhere', 'unknown'), ('{EX}Ontology', 'instance')) AS t(uri, kind)"
+_q = lambda x: qname(x)
+sql("uml_instance_links", f"{EVC} SELECT {_dot('s')} || ' --> ' || {_dot('o')} || ' : ' || {qname('p')} AS line FROM g WHERE o_kind = 'iri' AND p IN (SELECT s FROM g WHERE p = '{v.TYPE}' AND o = '{v.OBJECT_PROPERTY}') AND s IN (SELECT uri FROM io) AND o IN (SELECT uri FROM io)")
+_words = "regexp_split_to_array(x, '[ \t\n\x0b\f\r]+')"
+sql("uml_labels", f"l AS (SELECT s, min(o) AS x FROM g WHERE p = '{v.LABEL}' AND o_kind = 'literal' GROUP BY s), sb AS (SELECT DISTINCT s AS uri FROM g WHERE s_kind = 'iri') SELECT uri, coalesce({_words}[1] || array_to_string(list_transform({_words}[2:], lambda w: replace(replace(upper(w[1]), 'ß', 'SS'), 'ẞ', 'SS') || w[2:]), ''), {qname('uri')}) AS shown FROM sb LEFT JOIN l ON l.s = sb.uri")
+sql("uml_stereotypes", f"{EVC}, ty AS (SELECT uri, list_sort(list(DISTINCT {qname('class')})) AS t FROM io GROUP BY uri) SELECT uri, '<<' || array_to_string(t[1:3], ', ') || '>>' AS stereotype FROM ty")
+_names = " ".join(f"WHEN '{p}' THEN '{n}'" for n, p in (("isDefinedBy", v.RDFS + "isDefinedBy"), ("note", v.SKOS + "note"), ("creator", v.DCTERMS + "creator"), ("seeAlso", v.RDFS + "seeAlso")))
+sql("docs_annotations", f"SELECT s AS uri, CASE p {_names} END AS name, string_agg(o, ' | ' ORDER BY o) AS values FROM g WHERE p IN {_in(v.RDFS + 'isDefinedBy', v.SKOS + 'note', v.DCTERMS + 'creator', v.RDFS + 'seeAlso')} GROUP BY ALL")
+_file = lambda d: f"'{d}/' || translate(substr({qname('uri')}, instr({qname('uri')}, ':') + 1), '/\\#', '___') || '.md'"
+_kinds = [("class", "classes", "SELECT uri FROM ci")] + [(k, d, f"SELECT DISTINCT s AS uri FROM g WHERE p = '{v.TYPE}' AND s_kind = 'iri' AND o = '{t}'") for k, d, t in (("object_property", "properties/object", v.OBJECT_PROPERTY), ("datatype_property", "properties/datatype", v.DATATYPE_PROPERTY), ("annotation_property", "properties/annotation", v.ANNOTATION_PROPERTY))] + [("instance", "instances", ORACLE_SQL["sel_named_individuals"][ORACLE_SQL["sel_named_individuals"].rindex("SELECT DISTINCT s AS uri") :])]
+sql("docs_files", "x AS (SELECT 1) " + " UNION ALL ".join(f"SELECT uri, '{k}' AS kind, {_file(d)} AS path FROM ({q})" for k, d, q in _kinds))
+sql("names_expanded", f"r AS ({NODE3}), q2 AS (SELECT uri, {qname('uri')} AS q FROM r) SELECT CASE WHEN starts_with(q, '<') THEN '<>' ELSE split_part(q, ':', 1) END AS prefix, count(*) AS n, count(*) AS n_back FROM q2 GROUP BY 1")
+_sp = [("rdfs:", v.RDFS), ("skos:", v.SKOS), ("owl:", v.OWL), ("rdf:", v.RDF), ("dc:", "http://purl.org/dc/elements/1.1/"), ("dcterms:", v.DCTERMS)]
+sql("property_prefixes", "SELECT DISTINCT p, CASE " + " ".join(f"WHEN starts_with(p, '{n}') THEN '{x}' || substr(p, {len(n) + 1})" for x, n in _sp) + " ELSE p END AS short, p AS back FROM g")
+_cv = "SELECT DISTINCT m.s, m.p, ord, priority, CASE ord WHEN 0 THEN 'core' ELSE 'extension' END AS source, o FROM m JOIN cf USING (s, p) WHERE s_kind = 'iri'"
+sql("merge_markers", f"{conflict_sql('true')}, cv AS ({_cv}), cm AS (SELECT s, p, string_agg('# Source: ' || source || ' (priority ' || priority || '): ' || o, chr(10) ORDER BY ord, o) AS told FROM cv GROUP BY s, p) SELECT s, p, '# === CONFLICT: ' || {qname('s')} || ' ' || {qname('p')} || ' ===' || chr(10) || told || chr(10) || '# Resolution: UNRESOLVED - values differ, manual review required' || chr(10) || '# === END CONFLICT ===' AS marker FROM cm", True)
+sql("order_alphabetical", f"SELECT uri, row_number() OVER (ORDER BY {qname('uri')}) AS place FROM ci")
+_br = " UNION ALL ".join(f"SELECT uri, {k} AS branch FROM w{k}" for k in (0, 1))
+sql("order_root_branches", f"""{CE} ie3 AS (SELECT src, dst FROM e WHERE src IN (SELECT uri FROM ci) AND dst IN (SELECT uri FROM ci)), {walk_sql(f"SELECT '{EX}Region_2' AS uri, 0 AS depth", edges='ie3').replace('w AS', 'w0 AS').replace('FROM w JOIN', 'FROM w0 w JOIN')}, {walk_sql(f"SELECT '{EX}Segment_BUILDING' AS uri, 0 AS depth", edges='ie3').replace('w AS', 'w1 AS').replace('FROM w JOIN', 'FROM w1 w JOIN')},
+br AS (SELECT uri, min(branch) AS branch FROM ({_br}) GROUP BY uri), lb AS (SELECT ld.uri, coalesce(branch, 2) AS branch, depth AS level FROM ld LEFT JOIN br USING (uri) WHERE ld.uri IN (SELECT uri FROM ci))
+SELECT uri, branch, CAST(level AS BIGINT) AS level, row_number() OVER (PARTITION BY branch ORDER BY level, {qname('uri')}) AS place FROM lb""")
+ORACLE_SQL["split_manifest"] = f"WITH ms AS ({ORACLE_SQL['split_module_stats']}), dp AS ({ORACLE_SQL['split_dependencies']}), dd AS (SELECT module, string_agg(DISTINCT needs, ' ' ORDER BY needs) AS d FROM dp GROUP BY module) SELECT module, module || '.ttl' AS file, classes, properties, triples, CASE module WHEN 'nations' THEN 'http://example.org/upper.ttl' ELSE '' END AS imports, coalesce(d, '') AS dependencies FROM ms LEFT JOIN dd USING (module)"
+sql("bgp_describe", f"bw AS (SELECT '{EX}Nation_3' AS s UNION SELECT '{EX}Segment_BUILDING' UNION SELECT g.o FROM bw JOIN g ON g.s = bw.s AND g.o_kind = 'bnode') SELECT s, p, o FROM g WHERE s IN (SELECT s FROM bw)")
+ORACLE_SQL["cq_skipped"] = "SELECT * FROM (VALUES ('segments', 'skipped'), ('six', 'failed')) AS t(name, status)"
+sql("sel_named_like", "SELECT uri FROM ci WHERE (contains(uri, 'Nation_1') OR contains(uri, 'Region')) AND NOT contains(uri, '_13')")

@@ -450,7 +450,7 @@ def shacl_domain_range(g):
 @query
 def shacl_cardinality(g):
     c = shacl.cardinalities(g)
-    return c.select("class", "path", F.col("min_count").cast("long").alias("min_count"), F.col("max_count").cast("long").alias("max_count"), "node_class")
+    return c.select("class", "path", F.col("min_count").cast("long").alias("min_count"), F.col("max_count").cast("long").alias("max_count"), "node_class", "datatype")
 
 
 @query
@@ -474,6 +474,16 @@ def shacl_shapes(g):
     return shacl.shapes(g, "http://example.org/tpch-shapes#").groupBy("p").agg(F.count("*").alias("n"), F.max("o").alias("last"))
 
 
+@query
+def shacl_strict_shapes(g):
+    """Closed shapes of all constraints, own and inherited, with names, descriptions and closed lists."""
+    found = shacl.full_shapes(g, "http://example.org/tpch-shapes#", ignored=[v.LABEL])
+    return found.groupBy("p").agg(F.count("*").alias("n"), F.min("s").alias("first_s"), F.max("o").alias("last_o"))
+
+
+uris("shacl_namespace", shacl.namespace)
+
+
 @query
 def shacl_inherited(g):
     return shacl.inherited(g).groupBy("class").agg(F.count("*").alias("n"), F.min("from_class").alias("first_from"))
@@ -740,6 +750,81 @@ def scan_nquads(g):
     return back.groupBy("g").agg(F.count("*").alias("n"), F.count("error").alias("errors"), F.count_distinct("p").alias("predicates"))
 
 
+# --- selections of diagrams, names, orders, manifests
+
+uris("uml_select_roots", lambda g: select.select_classes(g, roots=[EX + "Region_1"], descendants=True, max_depth=1))
+
+
+@query
+def uml_select_properties(g):
+    """Properties of a diagram in each mode, one of them excluded."""
+    chosen = written(select.select_classes(g, focus=[EX + "Entity", EX + "type_PROMO"], descendants=True))
+    out = None
+    for mode in ("none", "all", "explicit", "domain_based", "connected"):
+        one = select.select_properties(g, mode, chosen, [EX + "status", EX + "note"], [EX + "totalPrice"]).select(F.lit(mode).alias("mode"), "uri", "kind")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("mode", "kind").agg(F.count("*").alias("n"), F.min("uri").alias("first_uri"))
+
+
+@query
+def uml_select_explicit(g):
+    return select.explicit_entities(g, ["ex:Entity", "ex:status", f"<{EX}contains>", EX + "note", "ex:Nowhere", "ex:Ontology"], PREFIXES)
+
+
+uris("uml_instance_links", lambda g: docs.instance_links(g, _events(g), PREFIXES))
+uris("uml_labels", lambda g: docs.shown_labels(g, PREFIXES, camel=True))
+uris("uml_stereotypes", lambda g: docs.stereotypes(g, _events(g), PREFIXES))
+uris("docs_annotations", docs.annotations)
+uris("docs_files", lambda g: docs.files(g, PREFIXES))
+uris("describe_metrics", describe.metrics)
+uris("owl_profile_text", lambda g: describe.profile_texts(describe.profile(g)).select("profile", "display", "guidance"))
+uris("sel_named_like", lambda g: select.named_like(select.classes(g, True), ["Nation_1", "Region"], ["_13"]))
+
+
+@query
+def names_expanded(g):
+    """All IRIs as qualified names and back."""
+    q = terms.qname(F.col("uri"), PREFIXES)
+    back = (terms.expand(q, PREFIXES) == F.col("uri")).cast("int")
+    prefix = F.when(q.startswith("<"), "<>").otherwise(F.split_part(q, F.lit(":"), F.lit(1)))
+    return select.referenced(g).groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n"), F.sum(back).alias("n_back"))
+
+
+@query
+def property_prefixes(g):
+    short = terms.shorten_property(F.col("p"))
+    return g.select("p").distinct().select("p", short.alias("short"), terms.expand_property(short).alias("back"))
+
+
+@versions
+def merge_markers(old, new):
+    """Comment blocks of the conflicts that are left to be resolved by hand."""
+    all_ = merge.tagged(_sources(old, new))
+    return merge.markers(all_, merge.conflicts(all_), PREFIXES)
+
+
+uris("order_alphabetical", lambda g: order.sort_subjects(g, select.classes(g, True), "qname_alpha", PREFIXES).select("uri", "place"))
+uris("order_root_branches", lambda g: order.sort_subjects(g, select.classes(g, True), "topological", PREFIXES, [EX + "Region_2", EX + "Segment_BUILDING"]))
+
+
+@query
+def split_manifest(g):
+    return split.manifest(g, written(split.assign(g, MODULES)), {"nations": ["http://example.org/upper.ttl"]})
+
+
+@query
+def bgp_describe(g):
+    return patterns.describe(g, few(g, f"('{EX}Nation_3'), ('{EX}Segment_BUILDING')", "uri")).select("s", "p", "o")
+
+
+@query
+def cq_skipped(g):
+    """The suite with one question skipped, up to the first that fails."""
+    seg = patterns.pattern(g, "?x", v.TYPE, v.RDFS_CLASS)
+    tests = [("segments", seg, "has_results", True), ("six", seg, "count", 6), ("never", seg, "count", 5)]
+    return patterns.assertions(g.sparkSession, tests, skip={"segments": "later"}, fail_fast=True).select("name", "status")
+
+
 # --- class models
 
 

@@ -21,6 +21,7 @@ TABLES = ("region", "nation", "customer", "part", "supplier", "orders", "lineite
 
 #: Constant triples: subject, predicate, object; kinds as in ``constants``.
 FIXED = [
+    (EX + "Ontology", v.DC + "title", '"Trade'), (EX + "Ontology", v.DCTERMS + "license", EX + "licence"), (EX + "licence", v.LABEL, '"Open'),
     (EX + "Ontology", v.TYPE, v.ONTOLOGY), (EX + "Entity", v.TYPE, v.OWL_CLASS),
     (EX + "type_ECONOMY", v.SUBCLASS, EX + "type_LARGE"), (EX + "type_LARGE", v.SUBCLASS, EX + "type_MEDIUM"),
     (EX + "type_MEDIUM", v.SUBCLASS, EX + "type_ECONOMY"), (EX + "type_PROMO", v.SUBCLASS, EX + "type_SMALL"),
@@ -89,6 +90,8 @@ def _graph(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
     seg, sup, order = _iri("Segment_", "c_mktsegment"), _iri("supplies_", "s_suppkey"), _iri("order_", "o_orderkey")
     restricted = supplier.where("s_suppkey % 4 = 1")
     r = F.concat(F.lit("r_"), F.col("s_suppkey").cast("string"))
+    qualified, q = supplier.where("s_suppkey % 4 = 3"), F.concat(F.lit("q_"), F.col("s_suppkey").cast("string"))
+    counts = [(v.MIN_QUALIFIED, v.ON_CLASS, EX + "type_PROMO"), (v.MAX_QUALIFIED, v.ON_CLASS, EX + "type_SMALL"), (v.QUALIFIED, v.ON_DATA_RANGE, v.XSD + "string")]
     topic = _iri("Topic_", F.floor(F.col("doc_id") / 4))
     # the first line of a document is a label of its topic, all other lines are a comment
     line, rest = F.substring_index("text", "\n", 1), F.when(F.instr("text", "\n") > 0, F.substr("text", F.instr("text", "\n") + 1))
@@ -121,6 +124,13 @@ def _graph(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
         _triples(restricted.where("s_suppkey % 3 = 1"), r, v.MAX_CARD, (F.col("s_suppkey") % 4).cast("string"), "literal", v.XSD + "nonNegativeInteger", s_kind="bnode"),
         _triples(restricted.where("s_suppkey % 3 = 2"), r, v.SOME_VALUES, EX + "type_PROMO", s_kind="bnode"),
         _triples(restricted, _iri("Nation_", "s_nationkey"), v.SUBCLASS, r, "bnode"),
+        _triples(qualified, q, v.TYPE, v.RESTRICTION, s_kind="bnode"), _triples(qualified, q, v.ON_PROPERTY, sup, s_kind="bnode"), _triples(qualified, _iri("Nation_", "s_nationkey"), v.SUBCLASS, q, "bnode"),
+        *(t for k, (p, kind, of) in enumerate(counts) for t in (
+            _triples(qualified.where(f"s_suppkey % 3 = {k}"), q, p, (F.col("s_suppkey") % 4).cast("string"), "literal", v.XSD + "nonNegativeInteger", s_kind="bnode"),
+            _triples(qualified.where(f"s_suppkey % 3 = {k}"), q, kind, of, s_kind="bnode"),
+        )),
+        _triples(region, F.lit(EX + "Ontology"), v.DCTERMS + "creator", reg), _triples(nation, nat, v.RDFS + "isDefinedBy", EX + "Ontology"),
+        _triples(customer.where("c_acctbal < 0"), cus, v.SKOS + "note", money("c_acctbal"), "literal"), _triples(part, _iri("part_", "p_partkey"), v.TYPE, _iri("type_", "p_type")),
         _triples(orders, order, v.TYPE, _iri("Customer_", "o_custkey")), _triples(orders, order, EX + "totalPrice", money("o_totalprice"), "literal", v.XSD + "decimal"),
         _triples(orders, order, EX + "status", F.col("o_orderstatus"), "literal"),
         _triples(contains, _iri("order_", "l_orderkey"), EX + "contains", _iri("part_", "l_partkey")),

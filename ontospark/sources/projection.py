@@ -1,12 +1,13 @@
 """Tables projected to an RDF graph: a direct mapping of the star schema to classes, properties and individuals.
 
 The triples are written once, in folders by predicate, into the shared folder, and every query reads that table: a filter on ``p``
-leaves only the folders that can match. Writing shuffles nothing but the branches that need a distinct or a join.
+leaves only the folders that can match. Writing reads each table once or twice and shuffles nothing but what needs a distinct or a join.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,9 +49,16 @@ def _iri(name: str, key: Column | str) -> Column:
     return F.concat(F.lit(EX + name), (F.col(key) if isinstance(key, str) else key).cast("string"))
 
 
-def _triples(df: DataFrame, s: Column, p: str, o: Column | str, kind: Column | str = "iri", dt: str = "", lang: Column | str = "", s_kind: str = "iri") -> DataFrame:
+def _triple(s: Column, p: str, o: Column | str, kind: Column | str = "iri", dt: str = "", lang: Column | str = "", s_kind: str = "iri", when: Column | str | None = None) -> Column:
     text = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return df.select(s.alias("s"), F.lit(s_kind).alias("s_kind"), F.lit(p).alias("p"), text(o).alias("o"), text(kind).alias("o_kind"), F.lit(dt).alias("o_dt"), text(lang).alias("o_lang"))
+    parts = zip(COLUMNS, (s, s_kind, p, o, kind, dt, lang), strict=True)
+    whole = F.struct(*(text(x).cast("string").alias(n) for n, x in parts))
+    return whole if when is None else F.when(F.expr(when) if isinstance(when, str) else when, whole)
+
+
+def _of(df: DataFrame, *triples: Column) -> DataFrame:
+    """All triples that each row gives, in one pass over the table."""
+    return df.select(F.explode(F.array(*triples)).alias("x")).where("x IS NOT NULL").select("x.*")
 
 
 def money(x: str) -> Column:
@@ -86,67 +94,63 @@ def _graph(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
     region, nation, customer, part, supplier, orders, lineitem, documents, events = map(read, TABLES)
     if version == 2:
         customer = customer.where("c_custkey % 7 <> 0")
-    reg, nat, cus = _iri("Region_", "r_regionkey"), _iri("Nation_", "n_nationkey"), _iri("Customer_", "c_custkey")
-    seg, sup, order = _iri("Segment_", "c_mktsegment"), _iri("supplies_", "s_suppkey"), _iri("order_", "o_orderkey")
-    restricted = supplier.where("s_suppkey % 4 = 1")
-    r = F.concat(F.lit("r_"), F.col("s_suppkey").cast("string"))
-    qualified, q = supplier.where("s_suppkey % 4 = 3"), F.concat(F.lit("q_"), F.col("s_suppkey").cast("string"))
-    counts = [(v.MIN_QUALIFIED, v.ON_CLASS, EX + "type_PROMO"), (v.MAX_QUALIFIED, v.ON_CLASS, EX + "type_SMALL"), (v.QUALIFIED, v.ON_DATA_RANGE, v.XSD + "string")]
-    topic = _iri("Topic_", F.floor(F.col("doc_id") / 4))
+    reg, nat, cus, t = _iri("Region_", "r_regionkey"), _iri("Nation_", "n_nationkey"), _iri("Customer_", "c_custkey"), _triple
+    seg, sup, order, event = _iri("Segment_", "c_mktsegment"), _iri("supplies_", "s_suppkey"), _iri("order_", "o_orderkey"), _iri("event_", "event_id")
+    count = v.XSD + "nonNegativeInteger"
+    # restrictions above the nations of some suppliers, with plain counts and with qualified ones
+    r, q = (F.concat(F.lit(x), F.col("s_suppkey").cast("string")) for x in ("r_", "q_"))
+    bound = lambda node, part, kinds: [x for k, (p, o, kind) in enumerate(kinds) for x in [t(node, p, o, kind, count if kind == "literal" else "", s_kind="bnode", when=f"s_suppkey % 4 = {part} AND s_suppkey % 3 = {k}")]]
+    plain = [(v.MIN_CARD, F.col("s_suppkey") % 5, "literal"), (v.MAX_CARD, F.col("s_suppkey") % 4, "literal"), (v.SOME_VALUES, EX + "type_PROMO", "iri")]
+    qualified = [(p, F.col("s_suppkey") % 4, "literal") for p in (v.MIN_QUALIFIED, v.MAX_QUALIFIED, v.QUALIFIED)]
+    ranges = [(v.ON_CLASS, EX + "type_PROMO", "iri"), (v.ON_CLASS, EX + "type_SMALL", "iri"), (v.ON_DATA_RANGE, v.XSD + "string", "iri")]
     # the first line of a document is a label of its topic, all other lines are a comment
+    topic = _iri("Topic_", F.floor(F.col("doc_id") / 4))
     line, rest = F.substring_index("text", "\n", 1), F.when(F.instr("text", "\n") > 0, F.substr("text", F.instr("text", "\n") + 1))
     # a pending order's parts are a closed list, in the order of their keys
     contains = lineitem.select("l_orderkey", "l_partkey").distinct()
     pending = contains.join(orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey")).distinct(), "l_orderkey")
-    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_partkey"))
-    pending = pending.select("l_orderkey", "l_partkey", after.alias("after"))
+    before, after = (f("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_partkey")) for f in (F.lag, F.lead))
+    pending = pending.select("l_orderkey", "l_partkey", before.alias("before"), after.alias("after"))
     cell = lambda part: F.concat(F.lit("part_"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col(part).cast("string"))
     last = F.col("after").isNull()
-    event = _iri("event_", "event_id")
     name = F.col("c_name") if version == 1 else F.when(F.col("c_custkey") % 11 == 0, F.concat("c_name", F.lit(" v2"))).otherwise(F.col("c_name"))
+    vip, extra = _iri("VIP_", "c_custkey"), []
+    if version == 2:
+        extra = [t(vip, v.TYPE, v.OWL_CLASS, when="c_custkey % 13 = 0"), t(vip, v.SUBCLASS, cus, when="c_custkey % 13 = 0")]
     branches = [
         constants(spark, FIXED),
-        _triples(region, reg, v.TYPE, v.OWL_CLASS), _triples(region, reg, v.SUBCLASS, EX + "Entity"), _triples(region, reg, v.LABEL, F.col("r_name"), "literal", lang="en"),
-        _triples(nation, nat, v.TYPE, v.OWL_CLASS), _triples(nation, nat, v.SUBCLASS, _iri("Region_", "n_regionkey")), _triples(nation, nat, v.LABEL, F.col("n_name"), "literal", lang="en"),
-        _triples(nation, nat, v.PREF_LABEL, F.lower("n_name"), "literal"),
-        _triples(customer, cus, v.TYPE, v.OWL_CLASS), _triples(customer, cus, v.SUBCLASS, _iri("Nation_", "c_nationkey")),
-        _triples(customer.where("c_custkey % 2 = 0"), cus, v.SUBCLASS, seg), _triples(customer.where("c_custkey % 10 = 0"), cus, v.SUBCLASS, EX + "Entity"),
-        _triples(customer.where("c_acctbal >= 0"), cus, v.LABEL, name, "literal", lang="en"),
-        _triples(customer.where("c_custkey % 3 = 0"), cus, v.COMMENT, F.concat(F.lit("Customer of "), "c_mktsegment"), "literal"),
-        _triples(customer.select("c_mktsegment").distinct(), seg, v.TYPE, v.RDFS_CLASS),
-        _triples(part.select("p_type").distinct(), _iri("type_", "p_type"), v.TYPE, v.OWL_CLASS),
-        _triples(supplier, sup, v.TYPE, v.OBJECT_PROPERTY), _triples(supplier.where("s_suppkey >= 10"), sup, v.SUBPROPERTY, _iri("supplies_", F.floor(F.col("s_suppkey") / 10))),
-        _triples(supplier.where("s_suppkey % 4 <> 0"), sup, v.DOMAIN, _iri("Nation_", "s_nationkey")), _triples(supplier.where("s_acctbal >= 0"), sup, v.RANGE, EX + "type_PROMO"),
-        _triples(supplier.where("s_suppkey % 5 = 0"), sup, v.TYPE, v.FUNCTIONAL), _triples(supplier.where("s_suppkey % 6 = 0"), sup, v.TYPE, v.SYMMETRIC),
-        _triples(supplier.where("s_suppkey % 7 = 0"), sup, v.INVERSE_OF, _iri("supplies_", F.col("s_suppkey") + 1)),
-        _triples(restricted, r, v.TYPE, v.RESTRICTION, s_kind="bnode"), _triples(restricted, r, v.ON_PROPERTY, sup, s_kind="bnode"),
-        _triples(restricted.where("s_suppkey % 3 = 0"), r, v.MIN_CARD, (F.col("s_suppkey") % 5).cast("string"), "literal", v.XSD + "nonNegativeInteger", s_kind="bnode"),
-        _triples(restricted.where("s_suppkey % 3 = 1"), r, v.MAX_CARD, (F.col("s_suppkey") % 4).cast("string"), "literal", v.XSD + "nonNegativeInteger", s_kind="bnode"),
-        _triples(restricted.where("s_suppkey % 3 = 2"), r, v.SOME_VALUES, EX + "type_PROMO", s_kind="bnode"),
-        _triples(restricted, _iri("Nation_", "s_nationkey"), v.SUBCLASS, r, "bnode"),
-        _triples(qualified, q, v.TYPE, v.RESTRICTION, s_kind="bnode"), _triples(qualified, q, v.ON_PROPERTY, sup, s_kind="bnode"), _triples(qualified, _iri("Nation_", "s_nationkey"), v.SUBCLASS, q, "bnode"),
-        *(t for k, (p, kind, of) in enumerate(counts) for t in (
-            _triples(qualified.where(f"s_suppkey % 3 = {k}"), q, p, (F.col("s_suppkey") % 4).cast("string"), "literal", v.XSD + "nonNegativeInteger", s_kind="bnode"),
-            _triples(qualified.where(f"s_suppkey % 3 = {k}"), q, kind, of, s_kind="bnode"),
-        )),
-        _triples(region, F.lit(EX + "Ontology"), v.DCTERMS + "creator", reg), _triples(nation, nat, v.RDFS + "isDefinedBy", EX + "Ontology"),
-        _triples(customer.where("c_acctbal < 0"), cus, v.SKOS + "note", money("c_acctbal"), "literal"), _triples(part, _iri("part_", "p_partkey"), v.TYPE, _iri("type_", "p_type")),
-        _triples(orders, order, v.TYPE, _iri("Customer_", "o_custkey")), _triples(orders, order, EX + "totalPrice", money("o_totalprice"), "literal", v.XSD + "decimal"),
-        _triples(orders, order, EX + "status", F.col("o_orderstatus"), "literal"),
-        _triples(contains, _iri("order_", "l_orderkey"), EX + "contains", _iri("part_", "l_partkey")),
-        _triples(documents.select(F.floor(F.col("doc_id") / 4).alias("topic")).distinct(), _iri("Topic_", "topic"), v.TYPE, v.NAMED_INDIVIDUAL),
-        _triples(documents.where(F.length(line) > 0), topic, v.LABEL, line, "literal", lang=F.col("lang")).distinct(),
-        _triples(documents.where(F.length(rest) > 0), topic, v.COMMENT, rest, "literal", lang="en").distinct(),
-        _triples(pending.groupBy("l_orderkey").agg(F.min("l_partkey").alias("l_partkey")), _iri("parts_of_", "l_orderkey"), v.ONE_OF, cell("l_partkey"), "bnode"),
-        _triples(pending, cell("l_partkey"), v.FIRST, _iri("part_", "l_partkey"), s_kind="bnode"),
-        _triples(pending, cell("l_partkey"), v.REST, F.when(last, F.lit(v.NIL)).otherwise(cell("after")), F.when(last, F.lit("iri")).otherwise(F.lit("bnode")), s_kind="bnode"),
-        _triples(events.select("event_type").distinct(), _iri("EventType_", "event_type"), v.TYPE, v.OWL_CLASS),
-        _triples(events, event, v.TYPE, _iri("EventType_", "event_type")), _triples(events, event, EX + "by", _iri("user_", "user_id")),
-        _triples(events, event, EX + "value", money("value"), "literal", v.XSD + "decimal"),
+        _of(region, t(reg, v.TYPE, v.OWL_CLASS), t(reg, v.SUBCLASS, EX + "Entity"), t(reg, v.LABEL, F.col("r_name"), "literal", lang="en"), t(F.lit(EX + "Ontology"), v.DCTERMS + "creator", reg)),
+        _of(
+            nation, t(nat, v.TYPE, v.OWL_CLASS), t(nat, v.SUBCLASS, _iri("Region_", "n_regionkey")), t(nat, v.LABEL, F.col("n_name"), "literal", lang="en"),
+            t(nat, v.PREF_LABEL, F.lower("n_name"), "literal"), t(nat, v.RDFS + "isDefinedBy", EX + "Ontology"),
+        ),
+        _of(
+            customer, t(cus, v.TYPE, v.OWL_CLASS), t(cus, v.SUBCLASS, _iri("Nation_", "c_nationkey")), t(cus, v.SUBCLASS, seg, when="c_custkey % 2 = 0"), t(cus, v.SUBCLASS, EX + "Entity", when="c_custkey % 10 = 0"),
+            t(cus, v.LABEL, name, "literal", lang="en", when="c_acctbal >= 0"), t(cus, v.COMMENT, F.concat(F.lit("Customer of "), "c_mktsegment"), "literal", when="c_custkey % 3 = 0"),
+            t(cus, v.SKOS + "note", money("c_acctbal"), "literal", when="c_acctbal < 0"), *extra,
+        ),
+        _of(customer.select("c_mktsegment").distinct(), t(seg, v.TYPE, v.RDFS_CLASS)),
+        _of(part.select("p_type").distinct(), t(_iri("type_", "p_type"), v.TYPE, v.OWL_CLASS)), _of(part, t(_iri("part_", "p_partkey"), v.TYPE, _iri("type_", "p_type"))),
+        _of(
+            supplier, t(sup, v.TYPE, v.OBJECT_PROPERTY), t(sup, v.SUBPROPERTY, _iri("supplies_", F.floor(F.col("s_suppkey") / 10)), when="s_suppkey >= 10"), t(sup, v.DOMAIN, _iri("Nation_", "s_nationkey"), when="s_suppkey % 4 <> 0"),
+            t(sup, v.RANGE, EX + "type_PROMO", when="s_acctbal >= 0"), t(sup, v.TYPE, v.FUNCTIONAL, when="s_suppkey % 5 = 0"), t(sup, v.TYPE, v.SYMMETRIC, when="s_suppkey % 6 = 0"),
+            t(sup, v.INVERSE_OF, _iri("supplies_", F.col("s_suppkey") + 1), when="s_suppkey % 7 = 0"),
+            *(x for node, k in ((r, 1), (q, 3)) for x in (
+                t(node, v.TYPE, v.RESTRICTION, s_kind="bnode", when=f"s_suppkey % 4 = {k}"), t(node, v.ON_PROPERTY, sup, s_kind="bnode", when=f"s_suppkey % 4 = {k}"),
+                t(_iri("Nation_", "s_nationkey"), v.SUBCLASS, node, "bnode", when=f"s_suppkey % 4 = {k}"),
+            )),
+            *bound(r, 1, plain), *bound(q, 3, qualified), *bound(q, 3, ranges),
+        ),
+        _of(orders, t(order, v.TYPE, _iri("Customer_", "o_custkey")), t(order, EX + "totalPrice", money("o_totalprice"), "literal", v.XSD + "decimal"), t(order, EX + "status", F.col("o_orderstatus"), "literal")),
+        _of(contains, t(_iri("order_", "l_orderkey"), EX + "contains", _iri("part_", "l_partkey"))),
+        _of(
+            pending, t(_iri("parts_of_", "l_orderkey"), v.ONE_OF, cell("l_partkey"), "bnode", when="before IS NULL"), t(cell("l_partkey"), v.FIRST, _iri("part_", "l_partkey"), s_kind="bnode"),
+            t(cell("l_partkey"), v.REST, F.when(last, F.lit(v.NIL)).otherwise(cell("after")), F.when(last, F.lit("iri")).otherwise(F.lit("bnode")), s_kind="bnode"),
+        ),
+        _of(
+            documents, t(topic, v.TYPE, v.NAMED_INDIVIDUAL), t(topic, v.LABEL, line, "literal", lang=F.col("lang"), when=F.length(line) > 0), t(topic, v.COMMENT, rest, "literal", lang="en", when=F.length(rest) > 0),
+        ).distinct(),
+        _of(events.select("event_type").distinct(), t(_iri("EventType_", "event_type"), v.TYPE, v.OWL_CLASS)),
+        _of(events, t(event, v.TYPE, _iri("EventType_", "event_type")), t(event, EX + "by", _iri("user_", "user_id")), t(event, EX + "value", money("value"), "literal", v.XSD + "decimal")),
     ]
-    if version == 2:
-        vip = customer.where("c_custkey % 13 = 0")
-        branches += [_triples(vip, _iri("VIP_", "c_custkey"), v.TYPE, v.OWL_CLASS), _triples(vip, _iri("VIP_", "c_custkey"), v.SUBCLASS, cus)]
-    while len(branches) > 1:  # in pairs: each level is analyzed once
-        branches = [a.unionAll(b) if b is not None else a for a, b in zip(branches[::2], [*branches[1::2], None], strict=False)]
-    return branches[0]
+    return reduce(DataFrame.unionAll, branches)

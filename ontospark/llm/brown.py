@@ -366,12 +366,16 @@ class ClassModel:
 
 
 def class_model(vocab: DataFrame, classes: Classes, pairs: np.ndarray, tokens: int, words: int, ends: int) -> ClassModel:
-    named = vocab.join(classes.each(), "cand", "left").select("word", "c", F.coalesce("class", F.lit(MOVES_NOT)).cast("int").alias("class"))
+    given = None if classes.array is None else vocab.sparkSession.sparkContext.broadcast(classes.array)
+    named = vocab.select("word", "c", F.col("cand").alias("x"))
+    if given is None:
+        named = vocab.join(classes.each().hint("merge"), "cand", "left").select("word", "c", F.coalesce("class", F.lit(MOVES_NOT)).cast("int").alias("x"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((ALL, 4), np.int64)
         for batch in batches:
-            c, own = batch.column(1).to_numpy(), settled(shape(batch.column(0)), batch.column(2).to_numpy())
+            c, x, shapes = batch.column(1).to_numpy(), batch.column(2).to_numpy(), shape(batch.column(0))
+            own = settled(shapes, x) if given is None else classes_of(x, shapes, given.value)
             for k, n in enumerate((c, np.ones_like(c), c == 1, c == 2)):
                 sums[:, k] += np.bincount(own, n, minlength=ALL).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(ALL)), *(pa.array(x) for x in sums.T)], ["class", "c", "types", "ones", "twos"])

@@ -64,3 +64,17 @@ def categories(old: DataFrame, new: DataFrame) -> DataFrame:
 def superclasses(g: DataFrame) -> DataFrame:
     """``uri, supers``: named superclasses, sorted and joined."""
     return select.edges(g).groupBy(F.col("src").alias("uri")).agg(F.array_join(F.array_sort(F.collect_set("dst")), " ").alias("supers"))
+
+
+def changes(old: DataFrame, new: DataFrame, ignore: list[str] | None = None) -> DataFrame:
+    """``uri, added, removed``: what changed of each subject, its statements as sorted lines. A subject's changes are one value."""
+    line = F.concat_ws(" ", "p", "o")
+    of = lambda x: F.array_join(F.array_sort(F.collect_list(F.when(F.col("change") == x, line))), "\n").alias(x)
+    return triples(old, new, ignore).where("s_kind = 'iri'").groupBy(F.col("s").alias("uri")).agg(of("added"), of("removed"))
+
+
+def listed(found: DataFrame) -> DataFrame:
+    """``entities`` with ``place``: by label, else URI, for a report."""
+    from .order import placed
+
+    return placed(found.withColumn("of", F.lit(0)), "of", F.struct(F.coalesce("label", "uri"), "uri")).drop("of")

@@ -183,3 +183,9 @@ def stereotypes(g: DataFrame, chosen: DataFrame, prefixes: dict[str, str], most:
     """``uri, stereotype``: the first types of each instance by name."""
     own = instances_of(g, chosen).groupBy("uri").agg(F.array_sort(F.collect_set(terms.qname(F.col("class"), prefixes))).alias("types"))
     return own.select("uri", F.concat(F.lit("<<"), F.array_join(F.slice("types", 1, most), ", "), F.lit(">>")).alias("stereotype"))
+
+
+def page_counts(found: DataFrame) -> DataFrame:
+    """``kind, n``: the pages of ``files`` and their sum as ``total``."""
+    each = found.groupBy("kind").agg(F.count("*").alias("n"))
+    return each.unionByName(each.agg(F.lit("total").alias("kind"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))

@@ -76,3 +76,14 @@ def merge_all(g: DataFrame, files: list[tuple[DataFrame, str]], least: str = "tr
     for translations, lang in files:
         g = merge(g, translations, lang, least, overwrite)
     return g
+
+
+def merge_counts(g: DataFrame, translations: DataFrame, lang: str, least: str = "translated", overwrite: bool = False) -> DataFrame:
+    """``outcome, n``: translations that a merge adds, that replace others, that are there already, that are empty, and that lack the status."""
+    there = g.where((F.col("o_kind") == "literal") & (F.col("o_lang") == lang)).groupBy(F.col("s").alias("uri"), F.col("p").alias("property")).agg(F.lit(1).alias("there"))
+    known = g.select(F.col("s").alias("uri")).distinct().withColumn("known", F.lit(1))
+    outcome = (
+        F.when(F.coalesce("translation", F.lit("")) == "", "empty").when(~F.col("status").isin(STATUSES[STATUSES.index(least) :]), "status").when(F.col("known").isNull(), "missing entity")
+        .when(F.col("there").isNull(), "added").otherwise("updated" if overwrite else "existing")
+    )
+    return translations.join(there, ["uri", "property"], "left").join(known, "uri", "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))

@@ -104,3 +104,19 @@ def scaled(text: Column, minus: str, times: str, over: str = "1") -> Column:
 def namespaces_of(g: DataFrame) -> DataFrame:
     """``ns, n`` of the subjects."""
     return g.where("s_kind = 'iri'").groupBy(terms.namespace(F.col("s")).alias("ns")).agg(F.count_distinct("s").alias("n"))
+
+
+def rename_stats_by_source(all_: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``source, position, n`` for triples with a ``source``."""
+    parts = F.array(
+        F.struct(F.lit("subject").alias("position"), F.when(F.col("s_kind") == "iri", F.col("s")).alias("iri")), F.struct(F.lit("predicate").alias("position"), F.col("p").alias("iri")),
+        F.struct(F.lit("object").alias("position"), F.when(F.col("o_kind") == "iri", F.col("o")).alias("iri")),
+    )
+    each = all_.select("source", F.explode(parts).alias("x")).select("source", "x.*").where("iri IS NOT NULL")
+    return each.join(mapping, F.col("iri") == F.col("old"), "left_semi").groupBy("source", "position").agg(F.count("*").alias("n"))
+
+
+def transform_counts(g: DataFrame, predicate: str, makes: list[tuple[str, Column, str]]) -> DataFrame:
+    """One row: how many triples a rule matches and how many it makes."""
+    made = F.size(F.filter(F.array(*[o.cast("string") for _, o, _ in makes]), lambda x: x.isNotNull()))
+    return g.where(F.col("p") == predicate).agg(F.count("*").alias("matched"), F.coalesce(F.sum(made), F.lit(0)).alias("made"))

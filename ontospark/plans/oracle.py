@@ -653,3 +653,16 @@ ORACLE_SQL["split_manifest"] = f"WITH ms AS ({ORACLE_SQL['split_module_stats']})
 sql("bgp_describe", f"bw AS (SELECT '{EX}Nation_3' AS s UNION SELECT '{EX}Segment_BUILDING' UNION SELECT g.o FROM bw JOIN g ON g.s = bw.s AND g.o_kind = 'bnode') SELECT s, p, o FROM g WHERE s IN (SELECT s FROM bw)")
 ORACLE_SQL["cq_skipped"] = "SELECT * FROM (VALUES ('segments', 'skipped'), ('six', 'failed')) AS t(name, status)"
 sql("sel_named_like", "SELECT uri FROM ci WHERE (contains(uri, 'Nation_1') OR contains(uri, 'Region')) AND NOT contains(uri, '_13')")
+
+
+# reports
+_ln = "p || ' ' || o"
+sql("diff_changes", f"{DIFF} SELECT s AS uri, coalesce(string_agg({_ln}, chr(10) ORDER BY {_ln}) FILTER (WHERE change = 'added'), '') AS added, coalesce(string_agg({_ln}, chr(10) ORDER BY {_ln}) FILTER (WHERE change = 'removed'), '') AS removed FROM dt WHERE s_kind = 'iri' AND p <> '{v.COMMENT}' GROUP BY s", True)
+sql("diff_listed", f"{ENT} SELECT uri, label, row_number() OVER (ORDER BY coalesce(label, uri), uri) AS place FROM de", True)
+_pos = lambda t, n: f"SELECT '{n}' AS source, 'subject' AS position, s AS x FROM {t} WHERE s_kind = 'iri' UNION ALL SELECT '{n}', 'predicate', p FROM {t} UNION ALL SELECT '{n}', 'object', o FROM {t} WHERE o_kind = 'iri'"
+sql("rename_stats_by_source", f"{MP} r AS ({_pos('g', 'core')} UNION ALL {_pos('h', 'extension')}) SELECT source, position, count(*) AS n FROM r WHERE x IN (SELECT old FROM mp) GROUP BY ALL", True)
+sql("migrate_counts", f"SELECT count(*) AS matched, CAST(2 * count(*) FILTER (WHERE contains(o, ' of ')) AS BIGINT) AS made FROM g WHERE p = '{v.COMMENT}'")
+sql("localise_merge_counts", f"""{LOC}, sc AS (SELECT uri, property, o, EXISTS (SELECT 1 FROM g WHERE g.s = tx.uri AND g.p = tx.property AND g.o_kind = 'literal' AND g.o_lang = 'de') AS there FROM tx WHERE lang = 'en')
+SELECT CASE WHEN length(o) % 5 = 0 THEN 'empty' WHEN length(o) % 2 = 1 THEN 'status' WHEN there THEN 'existing' ELSE 'added' END AS outcome, count(*) AS n FROM sc GROUP BY 1""")
+_pc = f"SELECT kind, count(*) AS n FROM ({ORACLE_SQL['docs_files'][ORACLE_SQL['docs_files'].index('x AS (SELECT 1) ') + 16 :]}) WHERE kind <> 'instance' GROUP BY kind"
+sql("docs_page_counts", f"pc AS ({_pc}) SELECT * FROM pc UNION ALL SELECT 'total', CAST(sum(n) AS BIGINT) FROM pc")

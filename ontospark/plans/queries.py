@@ -825,6 +825,38 @@ def cq_skipped(g):
     return patterns.assertions(g.sparkSession, tests, skip={"segments": "later"}, fail_fast=True).select("name", "status")
 
 
+@versions
+def diff_changes(old, new):
+    return diff.changes(old, new, [v.COMMENT])
+
+
+@versions
+def diff_listed(old, new):
+    return diff.listed(diff.entities(old, new)).select("uri", "label", "place")
+
+
+@versions
+def rename_stats_by_source(old, new):
+    return refactor.rename_stats_by_source(merge.tagged(_sources(old, new)), written(_mapping(old)))
+
+
+@query
+def migrate_counts(g):
+    o = F.col("o")
+    return refactor.transform_counts(g, v.COMMENT, [(EX + "before", refactor.strbefore(o, " of "), ""), (EX + "after", refactor.strafter(o, " of "), "")])
+
+
+@query
+def localise_merge_counts(g):
+    """What a merge does with German texts made of the English ones: some approved, some to be reviewed, some empty."""
+    n = F.length("source")
+    t = localise.extract(g, "en", "de").select("uri", "property", F.when(n % 5 > 0, F.concat("source", F.lit(" (de)"))).otherwise("").alias("translation"), F.when(n % 2 == 0, "approved").otherwise("needs_review").alias("status"))
+    return localise.merge_counts(g, t, "de")
+
+
+uris("docs_page_counts", lambda g: docs.page_counts(docs.files(g, PREFIXES, ["class", "properties"])))
+
+
 # --- class models
 
 

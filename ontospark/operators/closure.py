@@ -90,18 +90,17 @@ def _far(edges: DataFrame, seen: DataFrame, frontier: DataFrame) -> DataFrame:
 def nearest(edges: DataFrame, marked: DataFrame) -> DataFrame:
     """``uri, mark, dist`` for nodes with a marked node (``marked.uri``) ahead of them: the nearest, ties to the smallest; marked ones are their own.
 
-    Marks go from node to node against the edges, the smallest of each distance on, so no pair is made.
+    A node has one mark, so no pairs are made.
     """
-    edges = _edges(edges)
-    rounds, step = [written(marked.select("uri").distinct().select("uri", F.col("uri").alias("mark"), F.lit(0).alias("dist")), "round")], 0
+    leaps, length = _edges(edges), 1
+    found = written(marked.select("uri").distinct().select("uri", F.col("uri").alias("mark"), F.lit(0).alias("dist")), "found")
     while True:
-        step += 1
-        seen = reduce(DataFrame.unionByName, rounds).select("uri")
-        back = rounds[-1].join(edges, F.col("uri") == F.col("dst")).groupBy(F.col("src").alias("uri")).agg(F.min("mark").alias("mark"))
-        new = written(back.join(seen, "uri", "left_anti").withColumn("dist", F.lit(step)), "round")
+        # found has all nodes nearer than `length`: others up to twice as far have a walk of exactly `length` to one of them
+        best = leaps.join(found, F.col("dst") == F.col("uri")).groupBy(F.col("src").alias("node")).agg(F.min(F.struct((F.col("dist") + length).alias("dist"), "mark")).alias("x"))
+        new = written(best.select(F.col("node").alias("uri"), "x.mark", "x.dist").join(found, "uri", "left_anti"), "round")
         if new.isEmpty():
-            return reduce(DataFrame.unionByName, rounds)
-        rounds.append(new)
+            return found
+        found, leaps, length = written(found.unionByName(new), "found"), _leap(leaps), 2 * length
 
 
 def descendants(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
@@ -166,17 +165,16 @@ def longest_depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def list_items(g: DataFrame, heads: DataFrame) -> DataFrame:
-    """``head, position, o, o_kind`` of the RDF lists that begin at ``heads.head``."""
+    """``head, position, o, o_kind`` of the RDF lists that begin at ``heads.head``; steps along the list double."""
     from ..functions import vocab as v
 
     first = g.where(F.col("p") == v.FIRST).select(F.col("s").alias("cell"), "o", "o_kind")
-    rest = g.where(F.col("p") == v.REST).select(F.col("s").alias("cell"), F.col("o").alias("next"))
-    rounds = [written(heads.select("head", F.col("head").alias("cell")).withColumn("position", F.lit(0)), "round")]
+    leaps = _edges(g.where((F.col("p") == v.REST) & (F.col("o") != v.NIL)).select(F.col("s").alias("src"), F.col("o").alias("dst")))
+    found, length = written(heads.select("head", F.col("head").alias("cell")).distinct().withColumn("position", F.lit(0)), "found"), 1
     while True:
-        new = rounds[-1].join(rest, "cell").where(F.col("next") != v.NIL).select("head", F.col("next").alias("cell"), (F.col("position") + 1).alias("position"))
-        seen = reduce(DataFrame.unionByName, rounds).select("head", "cell")
-        new = written(new.join(seen, ["head", "cell"], "left_anti"), "round")
+        # found has the cells at positions below `length`
+        new = found.join(leaps, F.col("cell") == F.col("src")).select("head", F.col("dst").alias("cell"), (F.col("position") + length).alias("position"))
+        new = written(new.join(found.select("head", "cell"), ["head", "cell"], "left_anti"), "round")
         if new.isEmpty():
-            break
-        rounds.append(new)
-    return reduce(DataFrame.unionByName, rounds).join(first, "cell").select("head", "position", "o", "o_kind")
+            return found.join(first, "cell").select("head", "position", "o", "o_kind")
+        found, leaps, length = written(found.unionByName(new), "found"), _leap(leaps), 2 * length

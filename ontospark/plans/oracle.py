@@ -598,7 +598,7 @@ def model_sql(base: str) -> str:
     """Tables on the WITH list up to ``mg``, the triples of the model."""
     bare = base.rstrip("#/")
     space = lambda p: f"CASE WHEN {p} IS NULL THEN '{base}' ELSE '{bare}/' || {p} || '#' END"
-    words = lambda x: f"lower(regexp_replace(regexp_replace({x}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'))"
+    words = lambda x: f"lower(regexp_replace({x}, '([a-z])([A-Z])|([A-Z])([A-Z][a-z])', '\\1\\3 \\2\\4', 'g'))"
     kinds = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in DATATYPES.items())
     row = lambda s, p, o, src, lit="": f"SELECT {s} AS s, 'iri' AS s_kind, '{p}' AS p, {o} AS o, '{'literal' if lit else 'iri'}' AS o_kind, '' AS o_dt, '{lit}' AS o_lang FROM {src}"
     rows = [

@@ -189,3 +189,11 @@ def page_counts(found: DataFrame) -> DataFrame:
     """``kind, n``: the pages of ``files`` and their sum as ``total``."""
     each = found.groupBy("kind").agg(F.count("*").alias("n"))
     return each.unionByName(each.agg(F.lit("total").alias("kind"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
+
+
+def property_arrows(g: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``line``: an inheritance arrow for each subproperty among the chosen properties."""
+    e = select.edges(g, v.SUBPROPERTY)
+    for end in ("src", "dst"):
+        e = e.join(chosen.select(F.col("uri").alias(end)).distinct(), end, "left_semi")
+    return e.select(F.concat(terms.local_name(F.col("src")), F.lit(" --|> "), terms.local_name(F.col("dst"))).alias("line"))

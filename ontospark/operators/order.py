@@ -66,10 +66,11 @@ def topological(g: DataFrame, chosen: DataFrame, prefixes: dict[str, str]) -> Da
 
 
 def sections(g: DataFrame, names: list[str]) -> DataFrame:
-    """``uri, section``: each subject in the first of the named sections that selects it."""
+    """``uri, section``: each subject in the first of the named sections that selects it; ``header`` is the ontologies' own."""
     found = None
     for k, n in enumerate(names):
-        one = select.select_subjects(g, n).select("uri", F.lit(k).alias("k"), F.lit(n).alias("section"))
+        own = select.typed(g, [v.ONTOLOGY]) if n == "header" else select.select_subjects(g, n)
+        one = own.select("uri", F.lit(k).alias("k"), F.lit(n).alias("section"))
         found = one if found is None else found.unionByName(one)
     return found.groupBy("uri").agg(F.min_by("section", "k").alias("section"))
 

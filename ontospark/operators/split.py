@@ -18,7 +18,7 @@ TERM = select.TERM
 
 @dataclass
 class Module:
-    """classes and properties by IRI (classes with all below them if ``descendants``), and namespaces."""
+    """classes and properties by IRI (with all below them among the graph's entities if ``descendants``), and namespaces."""
 
     name: str
     classes: list[str] = field(default_factory=list)
@@ -36,10 +36,11 @@ def assign(g: DataFrame, modules: list[Module], common: str = "common") -> DataF
         explicit = [x for x in [*m.classes, *m.properties]]
         if explicit:
             claims.append(known.where(F.col("uri").isin(explicit)).select("uri", F.lit(0).alias("step"), F.lit(k).alias("ord"), F.lit(m.name).alias("module")))
-        if m.descendants and m.classes:
-            roots = known.where(F.col("uri").isin(m.classes)).select("uri")
-            below = closure.descendants(select.edges(g), roots).where("depth > 0")
-            claims.append(below.select("uri", F.lit(1).alias("step"), F.lit(k).alias("ord"), F.lit(m.name).alias("module")))
+        for given, predicate in ((m.classes, v.SUBCLASS), (m.properties, v.SUBPROPERTY)):
+            if m.descendants and given:
+                down = select.edges(g, predicate).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+                below = closure.walk(down, known.where(F.col("uri").isin(given)).select("uri"), within=known).where("depth > 0")
+                claims.append(below.select("uri", F.lit(1).alias("step"), F.lit(k).alias("ord"), F.lit(m.name).alias("module")))
         for ns in m.namespaces:
             claims.append(known.where(F.col("uri").startswith(ns)).select("uri", F.lit(2).alias("step"), F.lit(k).alias("ord"), F.lit(m.name).alias("module")))
     empty = spark.sql("SELECT '' uri, 0 step, 0 ord, '' module WHERE false")

@@ -666,3 +666,8 @@ sql("localise_merge_counts", f"""{LOC}, sc AS (SELECT uri, property, o, EXISTS (
 SELECT CASE WHEN length(o) % 5 = 0 THEN 'empty' WHEN length(o) % 2 = 1 THEN 'status' WHEN there THEN 'existing' ELSE 'added' END AS outcome, count(*) AS n FROM sc GROUP BY 1""")
 _pc = f"SELECT kind, count(*) AS n FROM ({ORACLE_SQL['docs_files'][ORACLE_SQL['docs_files'].index('x AS (SELECT 1) ') + 16 :]}) WHERE kind <> 'instance' GROUP BY kind"
 sql("docs_page_counts", f"pc AS ({_pc}) SELECT * FROM pc UNION ALL SELECT 'total', CAST(sum(n) AS BIGINT) FROM pc")
+_two = walk_sql(f"SELECT '{EX}Region_1' AS uri, 0 AS depth UNION ALL SELECT '{EX}Region_3', 0")
+sql("uml_property_arrows", f"{_two}, pr AS (SELECT DISTINCT s AS uri FROM g WHERE p = '{v.DOMAIN}' AND o IN (SELECT uri FROM w) AND s IN (SELECT uri FROM q)) SELECT {local('s')} || ' --|> ' || {local('o')} AS line FROM g WHERE p = '{v.SUBPROPERTY}' AND s IN (SELECT uri FROM pr) AND o IN (SELECT uri FROM pr)")
+sql("split_property_descendants", f"""{walk_sql(f"SELECT '{EX}Region_1' AS uri, 0 AS depth")}, pw AS (SELECT '{EX}supplies_1' AS uri UNION SELECT g.s FROM pw JOIN g ON g.p = '{v.SUBPROPERTY}' AND g.o = pw.uri),
+kn AS (SELECT uri, 'class' AS kind FROM ci UNION ALL SELECT uri, 'property' FROM q WHERE uri NOT IN (SELECT uri FROM ci)) SELECT uri, CASE WHEN uri IN (SELECT uri FROM pw) THEN 'first' WHEN uri IN (SELECT uri FROM w) THEN 'nations' ELSE 'common' END AS module, kind FROM kn""")
+sql("order_sections_header", f"a AS (SELECT s AS uri, 0 AS k, 'header' AS section FROM g WHERE p = '{v.TYPE}' AND o = '{v.ONTOLOGY}' UNION ALL SELECT uri, 1, 'classes' FROM c UNION ALL SELECT s, 2, 'obj_props' FROM g WHERE p = '{v.TYPE}' AND o = '{v.OBJECT_PROPERTY}' UNION ALL SELECT s, 3, 'individuals' FROM g WHERE s NOT IN (SELECT uri FROM c) AND s NOT IN (SELECT uri FROM q)), b AS (SELECT uri, min_by(section, k) AS section FROM a GROUP BY uri) SELECT section, count(*) AS n, min(uri) AS first_uri FROM b GROUP BY section")

@@ -825,6 +825,22 @@ def cq_skipped(g):
     return patterns.assertions(g.sparkSession, tests, skip={"segments": "later"}, fail_fast=True).select("name", "status")
 
 
+@query
+def uml_property_arrows(g):
+    chosen = written(select.select_classes(g, roots=[EX + "Region_1", EX + "Region_3"], descendants=True))
+    return docs.property_arrows(g, select.select_properties(g, "domain_based", chosen))
+
+
+@query
+def split_property_descendants(g):
+    return split.assign(g, [split.Module("first", properties=[EX + "supplies_1"], descendants=True), split.Module("nations", classes=[EX + "Region_1"], descendants=True)])
+
+
+@query
+def order_sections_header(g):
+    return order.sections(g, ["header", "classes", "obj_props", "individuals"]).groupBy("section").agg(F.count("*").alias("n"), F.min("uri").alias("first_uri"))
+
+
 @versions
 def diff_changes(old, new):
     return diff.changes(old, new, [v.COMMENT])

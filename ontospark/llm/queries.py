@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, chat, decontam, linededup, packing, quality, sharding, simhash, telephony, warc
+from . import brown, chat, decontam, linededup, merkle, packing, quality, sharding, simhash, telephony, warc
 from .common import table, written
 
 
@@ -134,8 +134,58 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.select("doc_id", "x.item_id", "x.matched", "x.item_words", "x.coverage", F.size("x.tiles").alias("n_tiles"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as leaves of a stored tree, by language; tampered leaves, those whose doc_id's checksum 7 divides, are folded to the root that they give."""
+    docs = table(spark, sf_dir, "documents")
+    digest = lambda n: merkle.row_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))
+    tampered = (F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 7 == 0) & F.col("n_chars").isNotNull()
+    rows = docs.select(F.col("lang").alias("grp"), F.col("doc_id").alias("key"), F.col("doc_id").alias("id"), digest(F.col("n_chars")).alias("leaf"), F.when(tampered, digest(F.col("n_chars") + 1)).alias("changed"))
+    leaves = rows.select("grp", "key", "id", F.unhex("leaf").alias("leaf"), F.unhex(F.coalesce("changed", "leaf")).alias("changed"))
+    return merkle.fold(merkle.manifest(leaves)).withColumnRenamed("id", "doc_id")
+
+
+_PART = "CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR) END"
+_ROW = lambda n: " || ".join(_PART.format(x=x) for x in ("doc_id", "source", "lang", n, "text"))
+_CRC = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+ lambda a, b: xor(a >> 8, list_reduce(list_prepend(xor(a, b) & 255, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)))"""
+
+
+def _tree(name: str, start: str) -> str:
+    """Levels of binary trees: ``grp, lvl, i, h, n`` (nodes of that level)."""
+    return f"""{name}(grp, lvl, i, h, n) AS ({start} UNION ALL
+ SELECT grp, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY grp, lvl, i // 2, n)"""
+
+
+#: The trees level by level; then each leaf's value, and its siblings, followed up to the root.
+OP11_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS grp, sha256({_ROW('n_chars')}) AS leaf,
+       CASE WHEN xor({_CRC}, 4294967295) % 7 = 0 THEN sha256({_ROW('n_chars + 1')}) END AS other FROM documents),
+ l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM d),
+ {_tree('t', 'SELECT grp, 0, i, leaf, n FROM l')},
+ tm AS MATERIALIZED (SELECT * FROM t),
+ s AS MATERIALIZED (SELECT grp AS g, lvl AS top, h, row_number() OVER (ORDER BY grp) - 1 AS i, count(*) OVER () AS n FROM tm WHERE n = 1),
+ {_tree('u', "SELECT '', 0, i, h, n FROM s")},
+ um AS MATERIALIZED (SELECT * FROM u),
+ v AS MATERIALIZED (SELECT tm.grp, tm.lvl, tm.i, tm.h, tm.n FROM tm WHERE tm.n > 1 UNION ALL SELECT s.g, s.top + um.lvl, um.i, um.h, um.n FROM s, um),
+ f(r, grp, lvl, i, h, proof) AS (
+  SELECT r, grp, 0, i, coalesce(other, leaf), '' FROM l UNION ALL
+  SELECT f.r, f.grp, f.lvl + 1, CASE WHEN f.lvl + 1 = s.top THEN s.i ELSE f.i // 2 END,
+         sha256(CASE WHEN x.h IS NULL THEN f.h WHEN f.i % 2 = 0 THEN f.h || x.h ELSE x.h || f.h END), f.proof || coalesce(x.h, '')
+  FROM f JOIN s ON f.grp = s.g AND f.lvl < s.top LEFT JOIN v AS x ON x.grp = f.grp AND x.lvl = f.lvl AND x.i = xor(f.i, 1) AND x.n > 1),
+ low AS MATERIALIZED (SELECT f.r, f.grp, CASE WHEN s.top = 0 THEN s.i ELSE f.i END AS i, f.h, f.proof FROM f JOIN s ON f.grp = s.g AND f.lvl = s.top),
+ w(r, lvl, i, h, proof) AS (
+  SELECT r, 0, i, h, proof FROM low UNION ALL
+  SELECT w.r, w.lvl + 1, w.i // 2, sha256(CASE WHEN x.h IS NULL THEN w.h WHEN w.i % 2 = 0 THEN w.h || x.h ELSE x.h || w.h END), w.proof || coalesce(x.h, '')
+  FROM w JOIN um AS me ON me.lvl = w.lvl AND me.i = w.i AND me.n > 1 LEFT JOIN um AS x ON x.lvl = w.lvl AND x.i = xor(w.i, 1)),
+ e AS (SELECT w.* FROM w JOIN um ON um.lvl = w.lvl AND um.i = w.i AND um.n = 1)
+SELECT l.doc_id, l.leaf, s.h AS subroot, um.h AS root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = um.h AS verified
+FROM l JOIN s ON l.grp = s.g JOIN e ON e.r = l.r JOIN um ON um.n = 1
+"""
+
+
 QUERIES = {
     "op1_warc": op1_warc, "op2_telephony": op2_telephony, "op3_brown": op3_brown, "op4_quality": op4_quality, "op5_chat": op5_chat,
     "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op8_linededup": op8_linededup, "op9_sharding": op9_sharding, "op10_decontam": op10_decontam,
+    "op11_merkle": op11_merkle,
 }
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op5_chat": OP5_SQL, "op8_linededup": OP8_SQL}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op5_chat": OP5_SQL, "op8_linededup": OP8_SQL, "op11_merkle": OP11_SQL}

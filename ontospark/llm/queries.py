@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, chat, decontam, linededup, merkle, packing, quality, sharding, simhash, telephony, warc
+from . import brown, chat, decontam, fingerprint, linededup, merkle, packing, quality, sharding, simhash, telephony, warc
 from .common import table, written
 
 
@@ -144,6 +144,23 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fold(merkle.manifest(leaves)).withColumnRenamed("id", "doc_id")
 
 
+def op12_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of all texts and of their edited texts, whose second half is the beginning of the next document."""
+    rows, window = fingerprint.neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    text, n = F.coalesce("row.text", F.lit("")), F.length(F.coalesce("row.text", F.lit("")))
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substr(text, F.lit(1), n - half), F.substr("next", F.lit(1), half))
+    at = ["bucket", "ghost", "place", "hash"]
+    texts = rows.select(*at, "row.doc_id", n.cast("long").alias("n_chars"), text.alias("text"), edited.alias("edited"))
+    texts = fingerprint.sketched(texts, {"a": F.col("text"), "b": F.col("edited")})
+    both = texts.select(*at, "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", "b").withColumn("c", F.lead("a").over(window)).where("NOT ghost")
+    likeness = lambda x: fingerprint.resemblance(F.col("a"), F.col(x))
+    return both.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint.text_of(F.col("a")).alias("fingerprint"), fingerprint.text_of(F.col("b")).alias("edited_fingerprint"),
+        likeness("b").alias("near_edited"), likeness("c").alias("near_next"),
+    )
+
+
 _PART = "CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR) END"
 _ROW = lambda n: " || ".join(_PART.format(x=x) for x in ("doc_id", "source", "lang", n, "text"))
 _CRC = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
@@ -186,6 +203,6 @@ FROM l JOIN s ON l.grp = s.g JOIN e ON e.r = l.r JOIN um ON um.n = 1
 QUERIES = {
     "op1_warc": op1_warc, "op2_telephony": op2_telephony, "op3_brown": op3_brown, "op4_quality": op4_quality, "op5_chat": op5_chat,
     "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op8_linededup": op8_linededup, "op9_sharding": op9_sharding, "op10_decontam": op10_decontam,
-    "op11_merkle": op11_merkle,
+    "op11_merkle": op11_merkle, "op12_fingerprint": op12_fingerprint,
 }
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op5_chat": OP5_SQL, "op8_linededup": OP8_SQL, "op11_merkle": OP11_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, chat, decontam, fingerprint, linededup, merkle, packing, quality, sharding, simhash, telephony, warc
+from . import brown, chat, decontam, fingerprint, linededup, merkle, packing, quality, ranked, sharding, simhash, telephony, warc
 from .common import table, written
 
 
@@ -200,9 +200,29 @@ FROM l JOIN s ON l.grp = s.g JOIN e ON e.r = l.r JOIN um ON um.n = 1
 """
 
 
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+_TERMS = r"regexp_extract_all(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13_SQL = f"""
+WITH b AS (SELECT row_number() OVER () AS r, item_id, text FROM benchmark),
+     q AS (SELECT r, item_id, term, count(*) AS times FROM (SELECT r, item_id, unnest({_TERMS.format(x='text')}) AS term FROM b) GROUP BY ALL),
+     d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format(x='text')} AS terms FROM documents WHERE text IS NOT NULL),
+     n AS (SELECT count(*) AS n, sum(len(terms)) AS total FROM d WHERE len(terms) > 0),
+     t AS (SELECT r, doc_id, term, len, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS len, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+     w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, n GROUP BY term),
+     s AS (SELECT q.r AS item, item_id, t.r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + CAST((75 * len * n) // total AS BIGINT))))) AS BIGINT) AS score
+           FROM q JOIN t USING (term) JOIN w USING (term), n GROUP BY ALL),
+     k AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
 QUERIES = {
     "op1_warc": op1_warc, "op2_telephony": op2_telephony, "op3_brown": op3_brown, "op4_quality": op4_quality, "op5_chat": op5_chat,
     "op6_packing": op6_packing, "op7_simhash": op7_simhash, "op8_linededup": op8_linededup, "op9_sharding": op9_sharding, "op10_decontam": op10_decontam,
-    "op11_merkle": op11_merkle, "op12_fingerprint": op12_fingerprint,
+    "op11_merkle": op11_merkle, "op12_fingerprint": op12_fingerprint, "op13_ranked": op13_ranked,
 }
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op5_chat": OP5_SQL, "op8_linededup": OP8_SQL, "op11_merkle": OP11_SQL}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op5_chat": OP5_SQL, "op8_linededup": OP8_SQL, "op11_merkle": OP11_SQL, "op13_ranked": OP13_SQL}

@@ -1,56 +1,98 @@
 """Graph traversal in rounds that are written tables.
 
-Short paths are followed edge by edge; after ``STEPS`` rounds the steps double: from the edges follow the pairs joined by a walk of
-exactly 2, 4, 8 ... edges (``leaps``), so a chain of n edges takes about log n rounds. Only ``reach``, whose result is all pairs, makes all
-pairs. Rounds are written, so lineage stays short and a lost executor costs tasks of one round; the driver sees only whether a round
-found anything.
+Short paths are followed edge by edge. What is left after ``STEPS`` rounds is contracted first: a node with one way on only passes on what
+its way leads to, so such nodes point ahead to the first node that isn't one (``chains``: pointers that double, one row a node), and the rounds
+go on among the others. So a chain or a tree of any depth takes about log n rounds, and a graph with many ways as many as it is deep; no
+table of a traversal has more rows than there are edges, but for ``reach``, whose result is pairs. Cycles are found as strongly connected
+components, one row a node. Rounds are written, so lineage stays short and a lost executor costs tasks of one round; the driver sees counts.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 
-#: Rounds of one edge before steps double.
+#: Rounds of one edge before chains are contracted.
 STEPS = 3
+#: A round of ``reach`` doubles its paths where that makes at most so many times the pairs so far, before equal ones meet.
+MOST = 4
 
 
 def _edges(edges: DataFrame) -> DataFrame:
     return written(edges.select("src", "dst").distinct(), "edges")
 
 
-def _leap(leaps: DataFrame) -> DataFrame:
-    """Walks of twice the length."""
-    ahead = leaps.select(F.col("src").alias("mid"), F.col("dst").alias("end"))
-    return written(leaps.join(ahead, F.col("dst") == F.col("mid")).select("src", F.col("end").alias("dst")).distinct(), "leaps")
+def _flipped(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def reach(edges: DataFrame, most: int | None = None, to: DataFrame | None = None) -> DataFrame:
-    """``src, dst, dist`` for every pair with a path of one edge or more (``most`` at most); dist is the shortest. Cycles end by themselves.
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
-    With ``to.uri`` only the pairs that end there are ever made.
+
+def chains(single: DataFrame) -> DataFrame:
+    """``node, at, far, last, low, ring`` for ``node, at``: nodes with one edge that counts, to ``at``.
+
+    ``at`` becomes the first node ahead that isn't one of them, ``far`` edges on, ``last`` the node before it. Nodes whose way never ends are
+    on or before a ring: ``ring`` is set, and ``low`` is the smallest node of it if all of them are on it.
     """
-    leaps, length = _edges(edges), 1
-    pairs = leaps.withColumn("dist", F.lit(1))
-    if to is not None:
-        pairs = written(pairs.join(to.select(F.col("uri").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", "dist"), "pairs")
-    while most is None or length < most:
-        # pairs has all shortest paths of `length` edges or fewer: a longer one of up to 2 · length goes on from a walk of exactly `length`
-        if length > 1:
-            leaps = _leap(leaps)
-        ahead = pairs.select(F.col("src").alias("mid"), F.col("dst").alias("end"), F.col("dist").alias("more"))
-        far = leaps.join(ahead, F.col("dst") == F.col("mid")).groupBy("src", F.col("end").alias("dst")).agg((F.min("more") + length).alias("dist"))
-        if most is not None:
-            far = far.where(F.col("dist") <= most)
-        new = written(far.join(pairs, ["src", "dst"], "left_anti"), "round")
+    ahead = written(single.select("node", "at", F.lit(1).cast("bigint").alias("far"), F.col("node").alias("last"), F.col("node").alias("low")), "chains")
+    n, length, before = ahead.count(), 1, None
+    while True:
+        nxt = ahead.select(F.col("node").alias("at"), F.col("at").alias("at2"), F.col("far").alias("far2"), F.col("last").alias("last2"), F.col("low").alias("low2"))
+        both = ahead.join(nxt, "at", "left")
+        open_ = F.col("at2").isNotNull()
+        left = both.where(open_).count() if n else 0
+        # where as many ways stay open as before, only rings are left: none is longer than that
+        if left == 0 or (left == before and length >= left):
+            return both.select("node", "at", "far", "last", "low", open_.alias("ring"))
+        before, length = left, 2 * length
+        ahead = written(both.select("node", F.coalesce("at2", "at").alias("at"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.coalesce("last2", "last").alias("last"), F.least("low", F.coalesce("low2", "low")).alias("low")), "chains")
+
+
+def _single(edges: DataFrame, but: DataFrame | None = None) -> DataFrame:
+    """``node, at``: nodes with exactly one edge out, and where it leads; without those of ``but.node``."""
+    one = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("at")).where("n = 1").select("node", "at")
+    return one if but is None else one.join(but.select("node"), "node", "left_anti")
+
+
+def _contracted(edges: DataFrame, ahead: DataFrame) -> DataFrame:
+    """``at, to, far``: the edges of nodes that no chain passes through, each to the end of the chain that it enters."""
+    own = edges.join(ahead.select(F.col("node").alias("src")), "src", "left_anti")
+    on = ahead.where("NOT ring").select(F.col("node").alias("dst"), F.col("at").alias("end"), F.col("far").alias("more"))
+    rows = own.join(on, "dst", "left").select("src", F.coalesce("end", "dst").alias("to"), (F.coalesce("more", F.lit(0)) + 1).alias("far"))
+    return rows.groupBy(F.col("src").alias("at"), "to").agg(F.min("far").alias("far"))
+
+
+def _spread(ways: DataFrame, rounds: list[DataFrame], key: list[str], most: int | None = None, limit: int | None = None) -> bool:
+    """Adds rounds of better values: one at ``ways.at`` gives one at ``ways.to``, ``far`` farther. Values are ``node, *key, dist, mark``, less is better.
+
+    Ends when a round finds nothing (True) or after ``limit`` rounds; nothing beyond ``most`` is made.
+    """
+    same = ["node", *key]
+    for _ in count() if limit is None else range(limit):
+        made = rounds[-1].join(ways, F.col("node") == F.col("at")).select(F.col("to").alias("node"), *key, F.struct((F.col("dist") + F.col("far")).alias("dist"), "mark").alias("x"))
+        made = (made if most is None else made.where(F.col("x.dist") <= most)).groupBy(*same).agg(F.min("x").alias("x"))
+        seen = _union(rounds).select(*(F.col(c).alias(f"_{c}") for c in same), F.struct("dist", "mark").alias("_x"))
+        on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in same])
+        new = written(made.join(seen, on & (F.col("_x") <= F.col("x")), "left_anti").select(*same, "x.dist", "x.mark"), "round")
         if new.isEmpty():
-            break
-        pairs, length = written(pairs.unionByName(new), "pairs"), 2 * length
-    return pairs
+            return True
+        rounds.append(new)
+    return False
+
+
+def _best(rounds: list[DataFrame], key: list[str]) -> DataFrame:
+    return _union(rounds).groupBy("node", *key).agg(F.min(F.struct("dist", "mark")).alias("x")).select("node", *key, "x.dist", "x.mark")
+
+
+def _values(node, dist: int = 0, mark=None):
+    return [node.alias("node"), F.lit(dist).cast("bigint").alias("dist"), (F.lit("") if mark is None else mark).alias("mark")]
 
 
 def walk(edges: DataFrame, start: DataFrame, most: int | None = None, within: DataFrame | None = None) -> DataFrame:
@@ -59,32 +101,22 @@ def walk(edges: DataFrame, start: DataFrame, most: int | None = None, within: Da
     if within is not None:
         edges = edges.join(within.select(F.col("uri").alias("dst")), "dst", "left_semi")
     edges = _edges(edges)
-    rounds, step = [written(start.select("uri").distinct().withColumn("depth", F.lit(0)), "round")], 0
-    while most is None or step < most:
-        if step == STEPS and most is None:
-            return _far(edges, reduce(DataFrame.unionByName, rounds), rounds[-1])
-        step += 1
-        seen = reduce(DataFrame.unionByName, rounds)
-        ahead = rounds[-1].join(edges, F.col("uri") == F.col("src")).select(F.col("dst").alias("uri")).distinct()
-        new = written(ahead.join(seen, "uri", "left_anti").withColumn("depth", F.lit(step)), "round")
-        if new.isEmpty():
-            break
-        rounds.append(new)
-    return reduce(DataFrame.unionByName, rounds)
-
-
-def _far(edges: DataFrame, seen: DataFrame, frontier: DataFrame) -> DataFrame:
-    """``seen`` and all that lies beyond ``frontier``, its deepest nodes, with doubling steps."""
-    leaps = written(edges.join(seen.select(F.col("uri").alias("dst")), "dst", "left_anti"), "leaps")
-    found, length = frontier, 1
-    while True:
-        # found has all nodes up to `length` - 1 edges beyond the frontier
-        new = found.join(leaps, F.col("uri") == F.col("src")).groupBy(F.col("dst").alias("uri")).agg((F.min("depth") + length).alias("depth"))
-        new = written(new.join(found, "uri", "left_anti"), "round")
-        if new.isEmpty():
-            break
-        found, leaps, length = written(found.unionByName(new), "found"), _leap(leaps), 2 * length
-    return seen.unionByName(found.join(seen.select("uri"), "uri", "left_anti"))
+    found = [written(start.select("uri").distinct().select(*_values(F.col("uri"))), "round")]
+    ways = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit(1).alias("far"))
+    if _spread(ways, found, [], most, limit=STEPS if most is None else None):
+        return _union(found).select(F.col("node").alias("uri"), F.col("dist").cast("int").alias("depth"))
+    # nodes beyond with one edge in hang from the node before them
+    seen = written(_union(found), "seen")
+    rest = written(edges.join(seen.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "rest")
+    back = written(chains(_single(_flipped(rest))).where("NOT ring"), "back")
+    own = rest.join(back.select(F.col("node").alias("dst")), "dst", "left_anti")
+    from_ = back.select(F.col("node").alias("src"), F.col("at").alias("head"), F.col("far").alias("more"))
+    ways = written(own.join(from_, "src", "left").groupBy(F.coalesce("head", "src").alias("at"), F.col("dst").alias("to")).agg(F.min(F.coalesce("more", F.lit(0)) + 1).alias("far")), "ways")
+    found = [seen]
+    _spread(ways, found, [])
+    heads = _best(found, [])
+    hung = back.join(heads.select(F.col("node").alias("at"), "dist"), "at").select("node", (F.col("dist") + F.col("far")).alias("dist"))
+    return heads.select("node", "dist").unionByName(hung).select(F.col("node").alias("uri"), F.col("dist").cast("int").alias("depth"))
 
 
 def nearest(edges: DataFrame, marked: DataFrame) -> DataFrame:
@@ -92,76 +124,221 @@ def nearest(edges: DataFrame, marked: DataFrame) -> DataFrame:
 
     A node has one mark, so no pairs are made.
     """
-    leaps, length = _edges(edges), 1
-    found = written(marked.select("uri").distinct().select("uri", F.col("uri").alias("mark"), F.lit(0).alias("dist")), "found")
-    while True:
-        # found has all nodes nearer than `length`: others up to twice as far have a walk of exactly `length` to one of them
-        best = leaps.join(found, F.col("dst") == F.col("uri")).groupBy(F.col("src").alias("node")).agg(F.min(F.struct((F.col("dist") + length).alias("dist"), "mark")).alias("x"))
-        new = written(best.select(F.col("node").alias("uri"), "x.mark", "x.dist").join(found, "uri", "left_anti"), "round")
+    edges = _edges(edges)
+    first = written(marked.select("uri").distinct().select(*_values(F.col("uri"), 0, F.col("uri"))), "found")
+    found = [first]
+    if not _spread(edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(1).alias("far")), found, [], limit=STEPS):
+        ahead = written(chains(_single(edges, first)), "ahead")
+        ways = written(_contracted(edges, ahead).select(F.col("to").alias("at"), F.col("at").alias("to"), "far"), "ways")
+        found = [written(_best(found, []), "found")]
+        _spread(ways, found, [])
+        heads = _best(found, []).join(ahead.where("NOT ring").select("node"), "node", "left_anti")
+        hung = ahead.where("NOT ring").join(heads.select(F.col("node").alias("at"), "dist", "mark"), "at").select("node", (F.col("dist") + F.col("far")).alias("dist"), "mark")
+        found = [heads, hung]
+    return _best(found, []).select(F.col("node").alias("uri"), "mark", F.col("dist").cast("int").alias("dist"))
+
+
+def reach(edges: DataFrame, most: int | None = None, to: DataFrame | None = None) -> DataFrame:
+    """``src, dst, dist`` for every pair with a path of one edge or more (``most`` at most); dist is the shortest. Cycles end by themselves.
+
+    With ``to.uri`` only the pairs that end there are ever made.
+    """
+    edges = _edges(edges)
+    if to is not None:
+        return _reach_to(edges, most, written(to.select(F.col("uri").alias("node")).distinct(), "ends"))
+    pairs, length = edges.withColumn("dist", F.lit(1)), 1
+    while most is None or length < most:
+        # pairs has all shortest paths of `length` edges or fewer: a longer one begins with a shortest one of exactly `length`
+        begin = pairs.where(F.col("dist") == length)
+        ahead, step = pairs, length
+        if length > 1:
+            into, out = begin.groupBy(F.col("dst").alias("mid")).agg(F.count("*").alias("a")), pairs.groupBy(F.col("src").alias("mid")).agg(F.count("*").alias("b"))
+            met, so_far = into.join(out, "mid").agg(F.sum(F.col("a") * F.col("b")).alias("n")).first().n or 0, pairs.count()
+            if met > MOST * so_far:
+                ahead, step = edges.withColumn("dist", F.lit(1)), 1
+        more = ahead.select(F.col("src").alias("mid"), F.col("dst").alias("end"), F.col("dist").alias("more"))
+        far = begin.join(more, F.col("dst") == F.col("mid")).groupBy("src", F.col("end").alias("dst")).agg((F.min("more") + length).alias("dist"))
+        if most is not None:
+            far = far.where(F.col("dist") <= most)
+        new = written(far.join(pairs, ["src", "dst"], "left_anti"), "round")
         if new.isEmpty():
-            return found
-        found, leaps, length = written(found.unionByName(new), "found"), _leap(leaps), 2 * length
+            break
+        pairs, length = written(pairs.unionByName(new), "pairs"), length + step
+    return pairs
+
+
+def _reach_to(edges: DataFrame, most: int | None, ends: DataFrame) -> DataFrame:
+    into = edges.join(ends.select(F.col("node").alias("dst")), "dst", "left_semi")
+    found = [written(into.select(F.col("src").alias("node"), F.col("dst").alias("end"), F.lit(1).cast("bigint").alias("dist"), F.lit("").alias("mark")), "pairs")]
+    ways = edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(1).alias("far"))
+    if most is not None:
+        _spread(ways, found, ["end"], most)
+    elif not _spread(ways, found, ["end"], limit=STEPS):
+        ahead = written(chains(_single(edges, ends)), "ahead")
+        ways = written(_contracted(edges, ahead).select(F.col("to").alias("at"), F.col("at").alias("to"), "far"), "ways")
+        # pairs of nodes inside chains come last, from those of the chains' ends, and an end's own
+        first = _best(found, ["end"]).join(ahead.select("node"), "node", "left_anti")
+        own = ways.join(ends.select(F.col("node").alias("at")), "at", "left_semi").select(F.col("to").alias("node"), F.col("at").alias("end"), F.col("far").alias("dist"), F.lit("").alias("mark"))
+        found = [written(_best([first, own], ["end"]), "pairs")]
+        _spread(ways, found, ["end"])
+        heads = written(_best(found, ["end"]), "heads")
+        line = ahead.where("NOT ring")
+        hung = line.join(heads.select(F.col("node").alias("at"), "end", "dist"), "at").select("node", "end", (F.col("dist") + F.col("far")).alias("dist"), F.lit("").alias("mark"))
+        last = line.join(ends.select(F.col("node").alias("at")), "at", "left_semi").select("node", F.col("at").alias("end"), F.col("far").alias("dist"), F.lit("").alias("mark"))
+        found = [heads, hung, last]
+    return _best(found, ["end"]).select(F.col("node").alias("src"), F.col("end").alias("dst"), F.col("dist").cast("int").alias("dist"))
 
 
 def descendants(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """``uri, depth`` of the roots and all below them, for ``src → dst`` from child to parent."""
-    return walk(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots, most)
+    return walk(_flipped(edges), roots, most)
 
 
-def _inner(edges: DataFrame) -> DataFrame:
-    """The edges among nodes that lie on cycles or between cycles; nodes without an edge in or out are peeled off first."""
-    left, before = _edges(edges), None
-    for _ in range(STEPS):
+def _trimmed(left: DataFrame, rounds: int = STEPS) -> DataFrame:
+    """Without nodes that have no edge in or none out, for some rounds."""
+    before = None
+    for _ in range(rounds):
         into, out = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
-        left = written(left.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"), "peeled")
+        left = written(left.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"), "trimmed")
         after = left.count()
         if after in (0, before):
-            return left
+            break
         before = after
-    # what is left is deep: walks of ever more edges end, unless they run into a cycle
-    nodes, leaps, length = left.select("src").unionByName(left.select(F.col("dst").alias("src"))).distinct().count(), left, 1
-    while length < nodes and not leaps.isEmpty():
-        leaps, length = _leap(leaps), 2 * length
-    # a node of a cycle has endless walks behind it and before it
-    both = leaps.select(F.col("dst").alias("src")).distinct().join(leaps.select("src"), "src", "left_semi")
-    return written(left.join(both, "src", "left_semi").join(both.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst"), "inner")
+    return left
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``uri, component`` of the nodes on cycles (a node with an edge to itself too): strongly connected components, named by their smallest node."""
+    found = _components(_edges(edges), 0)
+    return found.join(found.groupBy("component").agg(F.min("uri").alias("least")), "component").select("uri", F.col("least").alias("component"))
+
+
+def _components(edges: DataFrame, turn: int) -> DataFrame:
+    """Nodes that lead nowhere or come from nowhere are trimmed, nodes with one edge in and one out contracted, and the rest is coloured: a node's
+    colour is the first node, in an order by chance, that reaches it; what of its colour reaches that node is its component. Edges between
+    colours, and found components, go, and the rest begins again: by chance about half of a long way each time."""
+    left = _trimmed(edges)
+    none = left.select(F.col("src").alias("uri"), F.col("dst").alias("component"))
+    if left.isEmpty():
+        return none
+    one_in = _single(_flipped(left)).select("node")
+    thin = _single(left).join(one_in, "node", "left_semi").where("node <> at")
+    if not thin.isEmpty():
+        line = written(chains(thin), "thin")
+        rings = line.where("ring").select(F.col("node").alias("uri"), F.col("low").alias("component"))
+        path = line.where("NOT ring")
+        # a whole chain is an edge from the node before it to the one after it
+        enter = left.join(line.select(F.col("node").alias("src")), "src", "left_anti")
+        if enter.isEmpty():
+            return rings
+        via = enter.join(path.select(F.col("node").alias("dst"), "at", "last"), "dst", "left")
+        whole = written(via.select("src", F.coalesce("at", "dst").alias("dst"), "last"), "whole")
+        inner = written(_components(written(whole.select("src", "dst").distinct(), "contracted"), turn + 1), "inner")
+        name = lambda end: inner.select(F.col("uri").alias(end), F.col("component").alias(f"of_{end}"))
+        inside = whole.where("last IS NOT NULL").join(name("src"), "src").join(name("dst"), "dst").where("of_src = of_dst").select("last", F.col("of_src").alias("component"))
+        hung = path.join(inside, "last").select(F.col("node").alias("uri"), "component")
+        return written(_union([rings, inner, hung]), "components")
+    nodes = left.select(F.explode(F.array("src", "dst")).alias("uri")).distinct()
+    chance = F.concat(F.lpad(F.hex(F.xxhash64("uri", F.lit(turn))), 16, "0"), F.lit(" "), "uri")
+    first = nodes.select("uri", chance.alias("c"))
+    rounds = [written(first.select(F.col("uri").alias("node"), F.lit(0).cast("bigint").alias("dist"), F.col("c").alias("mark")), "colours")]
+    _spread(left.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit(0).alias("far")), rounds, [])
+    colour = written(_best(rounds, []).select(F.col("node").alias("uri"), F.substr("mark", F.lit(18)).alias("component")), "colours")
+    of = lambda end: colour.select(F.col("uri").alias(end), F.col("component").alias(f"of_{end}"))
+    same = written(left.join(of("src"), "src").join(of("dst"), "dst").where("of_src = of_dst").select("src", "dst"), "same")
+    reached = walk(_flipped(same), colour.where("uri = component").select("uri")).select("uri")
+    met = written(colour.join(reached, "uri", "left_semi"), "met")
+    gone = met.select("uri")
+    rest = same.join(gone.select(F.col("uri").alias("src")), "src", "left_anti").join(gone.select(F.col("uri").alias("dst")), "dst", "left_anti")
+    # a component of one node is a cycle only with an edge to itself
+    loops = left.where("src = dst").select(F.col("src").alias("component"))
+    big = met.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component").unionByName(loops).distinct()
+    return written(met.join(big, "component", "left_semi").select("uri", "component").unionByName(_components(written(rest.select("src", "dst"), "rest"), turn + 1)), "components")
 
 
 def cycle_members(edges: DataFrame) -> DataFrame:
     """``uri`` of the nodes that reach themselves."""
-    return reach(_inner(edges)).where("src = dst").select(F.col("src").alias("uri"))
+    return components(edges).select("uri")
+
+
+def _inside(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """``src, dst, component`` of the edges within a component."""
+    of = lambda end: found.select(F.col("uri").alias(end), F.col("component").alias(f"of_{end}"))
+    return edges.select("src", "dst").distinct().join(of("src"), "src").join(of("dst"), "dst").where("of_src = of_dst").select("src", "dst", F.col("of_src").alias("component"))
 
 
 def acyclic(edges: DataFrame) -> DataFrame:
     """The edges whose ends don't reach each other: without those inside a cycle."""
-    back = reach(_inner(edges)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return edges.select("src", "dst").distinct().join(back, ["src", "dst"], "left_anti")
+    return edges.select("src", "dst").distinct().join(_inside(edges, components(edges)).select("src", "dst"), ["src", "dst"], "left_anti")
+
+
+def condensed(edges: DataFrame) -> DataFrame:
+    """``src, dst``: the acyclic graph of components and of the nodes outside them, under their names."""
+    found = written(components(edges), "components")
+    of = lambda end: found.select(F.col("uri").alias(end), F.col("component").alias(f"of_{end}"))
+    both = edges.select("src", "dst").distinct().join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    return both.select(F.coalesce("of_src", "src").alias("src"), F.coalesce("of_dst", "dst").alias("dst")).where("src <> dst").distinct()
+
+
+def cycle_paths(edges: DataFrame) -> DataFrame:
+    """``component, position, uri``: a shortest cycle through each component's smallest node, from it (position 0), each step an edge, the smallest node first where several are as near."""
+    edges = _edges(edges)
+    found = written(components(edges), "components")
+    inside = written(_inside(edges, found), "inside")
+    depth = written(walk(inside, found.where("uri = component").select("uri")), "depth")
+    deep = lambda end: depth.select(F.col("uri").alias(end), F.col("depth").alias(f"{end}_depth"))
+    far = written(inside.join(deep("src"), "src").join(deep("dst"), "dst"), "far")
+    # the node before each on a way from the smallest, and the last node of the cycle
+    back = written(far.where("dst_depth = src_depth + 1").groupBy(F.col("dst").alias("uri")).agg(F.min("src").alias("before")), "before")
+    path = written(far.where("dst = component").groupBy("component").agg(F.min(F.struct("src_depth", "src")).alias("x")).select("component", F.col("x.src").alias("uri")), "path")
+    while True:
+        more = path.join(back, "uri").select("component", F.col("before").alias("uri"))
+        new = written(more.join(path, ["component", "uri"], "left_anti").distinct(), "round")
+        if new.isEmpty():
+            break
+        path = written(path.unionByName(new), "path")
+        ahead = back.select(F.col("uri").alias("before"), F.col("before").alias("farther"))
+        back = written(back.join(ahead, "before").select("uri", F.col("farther").alias("before")), "before")
+    return path.join(depth, "uri").select("component", F.col("depth").cast("long").alias("position"), "uri")
 
 
 def longest_depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``uri, depth``: the longest path up to a node without a parent, edges inside cycles left out."""
     open_ = written(acyclic(edges), "acyclic")
-    level = written(nodes.select("uri").distinct().join(open_.select(F.col("src").alias("uri")), "uri", "left_anti").withColumn("depth", F.lit(0)), "level")
-    levels = [level]
-    # level by level: a node whose last edge goes to this level has the next depth
-    for step in range(1, STEPS + 1):
-        if open_.isEmpty():
+    level = written(nodes.select("uri").distinct().join(open_.select(F.col("src").alias("uri")), "uri", "left_anti"), "level")
+    # the nodes with a path of so many edges; a node's depth is its last one
+    levels = [level.withColumn("depth", F.lit(0))]
+    for step in range(1, STEPS + 2):
+        below = open_.join(levels[-1].select(F.col("uri").alias("dst")), "dst", "left_semi")
+        new = written(below.select(F.col("src").alias("uri")).distinct().withColumn("depth", F.lit(step)), "level")
+        if new.isEmpty():
+            return _union(levels).groupBy("uri").agg(F.max("depth").alias("depth"))
+        levels.append(new)
+    # deeper ones: nodes with one parent left hang from it, the others wait for all of theirs
+    ahead = written(chains(_single(open_)), "ahead")
+    on = ahead.select(F.col("node").alias("dst"), F.col("at").alias("end"), F.col("far").alias("more"))
+    own = open_.join(ahead.select(F.col("node").alias("src")), "src", "left_anti").join(on, "dst", "left")
+    wait = written(own.groupBy("src", F.coalesce("end", "dst").alias("dst")).agg(F.max(F.coalesce("more", F.lit(0)) + 1).alias("far")), "wait")
+    new = level.select("uri", F.lit(0).cast("bigint").alias("depth"))
+    done, got = [new], wait.limit(0).select(F.col("src").alias("uri"), F.col("far").alias("depth"))
+    while not wait.isEmpty():
+        hit = wait.join(new.select(F.col("uri").alias("dst"), "depth"), "dst").select(F.col("src").alias("uri"), (F.col("depth") + F.col("far")).alias("depth"))
+        got = written(got.unionByName(hit).groupBy("uri").agg(F.max("depth").alias("depth")), "got")
+        wait = written(wait.join(new.select(F.col("uri").alias("dst")), "dst", "left_anti").select("src", "dst", "far"), "wait")
+        new = written(got.join(wait.select(F.col("src").alias("uri")), "uri", "left_anti"), "done")
+        if new.isEmpty():
             break
-        here = level.select(F.col("uri").alias("dst"))
-        rest = written(open_.join(here, "dst", "left_anti").select("src", "dst"), "open")
-        freed = open_.join(here, "dst", "left_semi").select(F.col("src").alias("uri")).distinct()
-        level = written(freed.join(rest.select(F.col("src").alias("uri")), "uri", "left_anti").withColumn("depth", F.lit(step)), "level")
-        levels.append(level)
-        open_ = rest
-    if open_.isEmpty():
-        return reduce(DataFrame.unionByName, levels)
-    # deeper ones: the longest walks down from the last level, by doubling steps
-    below, leaps, length = level, written(open_.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "leaps"), 1
-    while not leaps.isEmpty():
-        far = below.join(leaps, F.col("uri") == F.col("src")).select(F.col("dst").alias("uri"), (F.col("depth") + length).alias("depth"))
-        below = written(below.unionByName(far).groupBy("uri").agg(F.max("depth").alias("depth")), "below")
-        leaps, length = _leap(leaps), 2 * length
-    return reduce(DataFrame.unionByName, [*levels, below.join(level, "uri", "left_anti")])
+        got = written(got.join(new.select("uri"), "uri", "left_anti"), "got")
+        done.append(new)
+    tops = _union(done)
+    hung = ahead.join(tops.select(F.col("uri").alias("at"), "depth"), "at").select(F.col("node").alias("uri"), (F.col("depth") + F.col("far")).alias("depth"))
+    return tops.unionByName(hung).select("uri", F.col("depth").cast("int").alias("depth"))
+
+
+def _leap(leaps: DataFrame) -> DataFrame:
+    """Twice as far along lists; a cell has one next cell, so there are no more leaps than cells."""
+    ahead = leaps.select(F.col("src").alias("mid"), F.col("dst").alias("end"))
+    return written(leaps.join(ahead, F.col("dst") == F.col("mid")).select("src", F.col("end").alias("dst")).distinct(), "leaps")
 
 
 def list_items(g: DataFrame, heads: DataFrame) -> DataFrame:

@@ -27,17 +27,21 @@ def entities(old: DataFrame, new: DataFrame, ignore: list[str] | None = None) ->
     A subject is added or removed if the other version has no triple of it, else modified. Type and label come from the
     new version, or the old one for removed subjects.
     """
-    changed = triples(old, new, ignore).where("s_kind = 'iri'").groupBy(F.col("s").alias("uri")).agg(
-        F.sum(F.when(F.col("change") == "added", 1).otherwise(0)).alias("n_added"), F.sum(F.when(F.col("change") == "removed", 1).otherwise(0)).alias("n_removed")
-    )
-    both = old.select(*TERM, F.lit(1).alias("v")).unionByName(new.select(*TERM, F.lit(2).alias("v")))
-    lit = lambda p: F.min(F.when(F.col("p") == p, F.col("o")))
-    about = both.groupBy(F.col("s").alias("uri"), "v").agg(F.min(select.type_rank()).alias("rank"), lit(v.LABEL).alias("a"), lit(v.PREF_LABEL).alias("b"))
-    about = about.groupBy("uri").agg(F.min("v").alias("first"), F.max("v").alias("last"), F.max_by(F.struct("rank", "a", "b"), "v").alias("x"))
+    both = old.select(*TERM, F.lit(1).alias("v")).unionByName(new.select(*TERM, F.lit(2).alias("v"))).where("s_kind = 'iri'")
+    counts = ~F.col("p").isin(list(ignore)) if ignore else F.lit(True)
+    # equal triples meet first, then a subject's: both groupings are by subject, so graphs in buckets by subject don't move
+    one = both.groupBy(*TERM).agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    is_new, is_old = (F.col("a") == 2) & counts, (F.col("b") == 1) & counts
+    lit = lambda p, of: F.min(F.when((F.col("p") == p) & of, F.col("o")))
+    of_old, of_new = F.col("a") == 1, F.col("b") == 2
+    about = lambda of: F.struct(F.min(F.when(of, select.type_rank())).alias("rank"), lit(v.LABEL, of).alias("a"), lit(v.PREF_LABEL, of).alias("b"))
+    each = one.groupBy(F.col("s").alias("uri")).agg(
+        F.sum(F.when(is_new, 1).otherwise(0)).alias("n_added"), F.sum(F.when(is_old, 1).otherwise(0)).alias("n_removed"), F.min("a").alias("first"), F.max("b").alias("last"),
+        about(of_new).alias("now"), about(of_old).alias("then"),
+    ).where("n_added + n_removed > 0")
     kind = F.when(F.col("first") == 2, "added").when(F.col("last") == 1, "removed").otherwise("modified")
-    return changed.join(about, "uri").select(
-        "uri", kind.alias("change_type"), select.rank_name(F.col("x.rank")).alias("entity_type"), F.coalesce("x.a", "x.b", terms.local_name(F.col("uri"))).alias("label"), "n_added", "n_removed"
-    )
+    x = F.when(F.col("last") == 2, F.col("now")).otherwise(F.col("then"))
+    return each.select("uri", kind.alias("change_type"), select.rank_name(x["rank"]).alias("entity_type"), F.coalesce(x["a"], x["b"], terms.local_name(F.col("uri"))).alias("label"), "n_added", "n_removed")
 
 
 def filtered(changed: DataFrame, show: list[str] | None = None, hide: list[str] | None = None, kinds: list[str] | None = None) -> DataFrame:

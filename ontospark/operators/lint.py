@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ def run(g: DataFrame, rules: list[str] | None = None, severities: dict[str, str]
         severity = (severities or {}).get(name, severity)
         try:
             issues = f(g)
-        except Exception as e:  # a rule that can't be planned is an issue of its own, the others still run
-            issues, name, severity = g.sparkSession.createDataFrame([(name, type(e).__name__)], "entity string, detail string"), "rule-error", "error"
+        except AnalysisException as e:  # a rule that can't be planned is an issue of its own, the others still run; whatever fails at run time fails
+            issues, name, severity = g.sparkSession.createDataFrame([(name, str(e).split("\n")[0])], "entity string, detail string"), "rule-error", "error"
         found.append(issues.select(F.lit(name).alias("rule_id"), F.lit(severity).alias("severity"), "entity", "detail"))
     return reduce(DataFrame.unionByName, found)
 

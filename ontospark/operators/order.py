@@ -26,9 +26,11 @@ def lines(g: DataFrame, prefixes: dict[str, str], first: list[str] = (v.SUBCLASS
     objects = F.array_join(F.array_sort(F.collect_set(terms.turtle(F.col("o"), F.col("o_kind"), F.col("o_dt"), F.col("o_lang"), prefixes))), ", ")
     p = F.when(F.col("p") == v.TYPE, "a").otherwise(terms.qname(F.col("p"), prefixes))
     each = g.groupBy("s", "s_kind", "p").agg(objects.alias("objects"))
+    # a subject's lines are sorted as one array: both groupings are by subject
+    line = F.struct(predicate_place(F.col("p"), list(first), list(last)).alias("place"), p.alias("q"), F.concat(p, F.lit(" "), "objects").alias("line"))
     subject = F.when(F.col("s_kind") == "bnode", F.concat(F.lit("_:"), "s")).otherwise(terms.qname(F.col("s"), prefixes))
-    nth = F.row_number().over(Window.partitionBy("s").orderBy(predicate_place(F.col("p"), list(first), list(last)), p))
-    return each.select(subject.alias("subject"), nth.cast("long").alias("ord"), F.concat(p, F.lit(" "), "objects").alias("line"))
+    own = each.groupBy("s").agg(F.min(subject).alias("subject"), F.array_sort(F.collect_list(line)).alias("lines"))
+    return own.select("subject", F.posexplode("lines").alias("ord", "x")).select("subject", (F.col("ord") + 1).cast("long").alias("ord"), "x.line")
 
 
 def blocks(g: DataFrame, prefixes: dict[str, str]) -> DataFrame:

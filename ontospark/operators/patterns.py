@@ -1,7 +1,6 @@
 """Graph patterns as DataFrame joins, and assertions on their answers.
 
-A pattern is (s, p, o) of constants and ``?variables``; answers are columns named like the variables. Catalyst orders
-and plans the joins.
+A pattern is (s, p, o) of constants and ``?variables``; answers are columns named like the variables.
 """
 
 from __future__ import annotations
@@ -35,8 +34,62 @@ def joined(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     return a.join(b, shared, how)
 
 
-def bgp(g: DataFrame, *patterns: tuple[str, str, str]) -> DataFrame:
-    return reduce(joined, (pattern(g, *x) for x in patterns))
+#: A pattern is first reduced to the keys of what is joined so far if it has so many times as many rows.
+LARGER = 8
+
+
+def _size(x: tuple[str, str, str], counts: dict[str, tuple[int, int, int]]) -> tuple[float, dict[str, float]]:
+    """About how many answers a pattern has, and how many values each of its variables."""
+    known = [counts.get(x[1], (0, 0, 0))] if not x[1].startswith("?") else list(counts.values())
+    n, subjects, objects = (float(sum(c[k] for c in known)) for k in range(3))
+    for end, values in ((x[0], subjects), (x[2], objects)):
+        n = n if end.startswith("?") else n / max(values, 1)
+    values = {x[0]: subjects, x[1]: float(len(known)), x[2]: objects}
+    return n, {name[1:]: min(v, n) for name, v in values.items() if name.startswith("?")}
+
+
+def planned(patterns: list[tuple[str, str, str]], counts: dict[str, tuple[int, int, int]]) -> list[tuple[tuple[str, str, str], float, float]]:
+    """The patterns in the order to join them, each with its size and that of what it is joined to.
+
+    The smallest comes first, then always the one that leaves the fewest answers: sizes divide by the values of the shared variables. The
+    order given only counts where a pattern occurs twice.
+    """
+    sizes = {x: _size(x, counts) for x in patterns}
+    left = sorted(patterns, key=lambda x: (sizes[x][0], x))
+    first = left.pop(0)
+    rows, values = sizes[first][0], dict(sizes[first][1])
+    out = [(first, rows, rows)]
+    while left:
+        made = {}
+        for x in left:
+            shared = values.keys() & sizes[x][1].keys()
+            n = rows * sizes[x][0]
+            for v in shared:
+                n /= max(values[v], sizes[x][1][v], 1.0)
+            made[x] = (not shared, n)
+        best = min(left, key=lambda x: (made[x], x))
+        if made[best][0]:
+            raise ValueError("patterns without a shared variable would make a cross product")
+        left.remove(best)
+        out.append((best, sizes[best][0], rows))
+        rows = made[best][1]
+        for v, k in sizes[best][1].items():
+            values[v] = min(values.get(v, k), k, max(rows, 1.0))
+    return out
+
+
+def bgp(g: DataFrame, *patterns: tuple[str, str, str], counts: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
+    """The answers of all patterns together. With ``counts`` of the predicates (triples, subjects, objects) they are joined in the order of
+    ``planned``, whatever order they are given in, and a much larger pattern is first reduced to the keys that can match."""
+    if counts is None:
+        return reduce(joined, (pattern(g, *x) for x in patterns))
+    out = None
+    for x, n, so_far in planned(list(patterns), counts):
+        own = pattern(g, *x)
+        if out is not None and n > LARGER * so_far:
+            own = own.join(out.select(*[c for c in own.columns if c in out.columns]).distinct(), [c for c in own.columns if c in out.columns], "left_semi")
+        out = own if out is None else joined(out, own)
+    return out.select(*sorted(out.columns))
 
 
 def optional(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -32,10 +32,11 @@ BETTER_HIGH = [
     "properties.with_range",
 ]
 BETTER_LOW = ["connectivity.isolated_classes", "hierarchy.orphan_classes", "hierarchy.orphan_rate"]
-DATATYPES = dict(x.split() for x in (
-    "string string,str string,text string,integer integer,int integer,decimal decimal,float float,double double,number decimal,boolean boolean,bool boolean,date date,datetime dateTime,"
-    "time time,gyear gYear,duration duration,uri anyURI,anyuri anyURI,url anyURI,base64 base64Binary,language language,token token"
-).split(","))
+#: Names of datatypes and what they stand for.
+DATATYPES = {
+    "string": "string", "str": "string", "text": "string", "integer": "integer", "int": "integer", "decimal": "decimal", "float": "float", "double": "double", "number": "decimal", "boolean": "boolean", "bool": "boolean",
+    "date": "date", "datetime": "dateTime", "time": "time", "gyear": "gYear", "duration": "duration", "uri": "anyURI", "anyuri": "anyURI", "url": "anyURI", "base64": "base64Binary", "language": "language", "token": "token",
+}
 #: Constant triples as ``subject kind predicate object kind``; ex: is the graph's own namespace.
 CONSTANTS = """ex:Ontology iri dc:title Trade literal
 ex:Ontology iri dcterms:license ex:licence iri
@@ -578,8 +579,8 @@ SELECT code, severity, entity, count(*) AS n FROM al GROUP BY ALL""")
 
 MODEL = """WITH RECURSIVE mc AS (SELECT lower(c_mktsegment) AS package, 'BigCustomer' || c_custkey AS name, CASE WHEN c_custkey % 5 = 0 THEN c_name END AS display, CASE WHEN c_acctbal < 0 THEN 'owes in ' || c_mktsegment END AS note FROM customer
 UNION ALL SELECT NULL, 'Nation' || n_nationkey, n_name, NULL FROM nation UNION ALL SELECT 'supply', 'BigCustomer' || s_suppkey, NULL, NULL FROM supplier WHERE s_suppkey % 10 = 0 UNION ALL SELECT 'supply', 'XMLSource' || s_suppkey, NULL, NULL FROM supplier),
-ma AS (SELECT lower(c_mktsegment) AS package, 'BigCustomer' || o_custkey AS class, 'orderTotalOf' || o_orderkey AS name, CASE WHEN o_orderkey % 11 > 0 THEN ['decimal', 'Int', 'xsd:date', 'money', 'text'][CAST(o_orderkey % 5 + 1 AS INT)] END AS datatype FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 3 > 0),
-mr AS (SELECT lower(c_mktsegment) || '.BigCustomer' || c_custkey AS source, 'Nation' || c_nationkey AS target, 'inheritance' AS kind, CAST(NULL AS VARCHAR) AS label FROM customer WHERE c_custkey % 4 > 0
+ma AS (SELECT lower(c_mktsegment) AS package, 'BigCustomer' || o_custkey AS class, 'orderTotalOf' || o_orderkey AS name, CASE WHEN o_orderkey % 11 > 0 THEN ['decimal', 'Int', 'xsd:date', 'money', 'text'][CAST(o_orderkey % 5 + 1 AS INT)] END AS datatype FROM orders JOIN customer ON o_custkey = c_custkey ),
+mr AS (SELECT lower(c_mktsegment) || '.BigCustomer' || c_custkey AS source, 'Nation' || c_nationkey AS target, 'inheritance' AS kind, CAST(NULL AS VARCHAR) AS label FROM customer WHERE c_acctbal >= 0
 UNION ALL SELECT 'Nation' || n_nationkey, 'Nation' || ((n_nationkey + 1) % 3), 'inheritance', NULL FROM nation WHERE n_nationkey < 3
 UNION ALL SELECT 'Nation' || s_nationkey, CASE WHEN s_suppkey % 20 = 7 THEN 'Ghost' ELSE 'XMLSource' END || s_suppkey, 'association', CASE s_suppkey % 3 WHEN 1 THEN 'supplies goods To' WHEN 2 THEN 'hasSource-' || s_suppkey END FROM supplier),
 mq AS (SELECT *, CASE WHEN package IS NULL THEN name ELSE package || '.' || name END AS full_name FROM mc),
@@ -671,3 +672,12 @@ sql("uml_property_arrows", f"{_two}, pr AS (SELECT DISTINCT s AS uri FROM g WHER
 sql("split_property_descendants", f"""{walk_sql(f"SELECT '{EX}Region_1' AS uri, 0 AS depth")}, pw AS (SELECT '{EX}supplies_1' AS uri UNION SELECT g.s FROM pw JOIN g ON g.p = '{v.SUBPROPERTY}' AND g.o = pw.uri),
 kn AS (SELECT uri, 'class' AS kind FROM ci UNION ALL SELECT uri, 'property' FROM q WHERE uri NOT IN (SELECT uri FROM ci)) SELECT uri, CASE WHEN uri IN (SELECT uri FROM pw) THEN 'first' WHEN uri IN (SELECT uri FROM w) THEN 'nations' ELSE 'common' END AS module, kind FROM kn""")
 sql("order_sections_header", f"a AS (SELECT s AS uri, 0 AS k, 'header' AS section FROM g WHERE p = '{v.TYPE}' AND o = '{v.ONTOLOGY}' UNION ALL SELECT uri, 1, 'classes' FROM c UNION ALL SELECT s, 2, 'obj_props' FROM g WHERE p = '{v.TYPE}' AND o = '{v.OBJECT_PROPERTY}' UNION ALL SELECT s, 3, 'individuals' FROM g WHERE s NOT IN (SELECT uri FROM c) AND s NOT IN (SELECT uri FROM q)), b AS (SELECT uri, min_by(section, k) AS section FROM a GROUP BY uri) SELECT section, count(*) AS n, min(uri) AS first_uri FROM b GROUP BY section")
+
+# cheap forms, from the tables themselves
+ORACLE_SQL["bgp_join"] = f"""SELECT '{EX}order_' || o_orderkey AS "order", '{EX}Customer_' || c_custkey AS customer, '{EX}Nation_' || n_nationkey AS nation
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2"""
+ORACLE_SQL["bgp_minus"] = f"""SELECT '{EX}Entity' AS c UNION ALL SELECT '{EX}Customer_' || c_custkey FROM customer WHERE (c_acctbal >= 0) IS NOT TRUE OR c_name IS NULL
+UNION ALL SELECT DISTINCT '{EX}type_' || p_type FROM part UNION ALL SELECT DISTINCT '{EX}EventType_' || event_type FROM events"""
+ORACLE_SQL["lint_empty_ontology"] = f"""WITH f(s, s_kind, p, o, o_kind, o_dt, o_lang) AS (VALUES {_fixed()})
+SELECT 'empty-ontology' AS rule_id, 'error' AS severity, s AS entity, '' AS detail FROM f WHERE p = '{v.TYPE}' AND o = '{v.ONTOLOGY}' AND s_kind = 'iri'
+AND NOT EXISTS (SELECT 1 FROM f AS h WHERE h.s = f.s AND h.p IN {_in(*HEADER_NOTES)})"""

@@ -12,7 +12,7 @@ from ..functions import vocab as v
 from ..operators import closure, describe, diff, docs, lint, localise, merge, model, order, patterns, refactor, select, shacl, split, stats, validate
 from ..sources import model as diagrams
 from ..sources import ntriples
-from ..sources.projection import EX, PREFIXES, graph
+from ..sources.projection import EX, PREFIXES, counts, graph
 from ..sources.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -558,9 +558,12 @@ def order_topological(g):
 # --- graph patterns
 
 
-@query
-def bgp_join(g):
-    return patterns.bgp(g, ("?order", v.TYPE, "?customer"), ("?customer", v.SUBCLASS, "?nation"), ("?nation", v.SUBCLASS, EX + "Region_2")).select("order", "customer", "nation")
+def bgp_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Joined in the order of the predicates' counts."""
+    return patterns.bgp(graph(spark, sf), ("?order", v.TYPE, "?customer"), ("?customer", v.SUBCLASS, "?nation"), ("?nation", v.SUBCLASS, EX + "Region_2"), counts=counts(spark, sf)).select("order", "customer", "nation")
+
+
+QUERIES["bgp_join"] = bgp_join
 
 
 @query

@@ -1,7 +1,8 @@
 """Tables projected to an RDF graph: a direct mapping of the star schema to classes, properties and individuals.
 
-The triples are written once, in folders by predicate, into the shared folder, and every query reads that table: a filter on ``p``
-leaves only the folders that can match. Writing reads each table once or twice and shuffles nothing but what needs a distinct or a join.
+The triples are written once, into the shared folder, and every query reads that table. It lies in folders by predicate, so a filter on ``p``
+leaves only the folders that can match, and in buckets by subject, as many in both versions, so groupings and joins by subject start from where
+the triples lie, without an exchange. Its name is in the session's catalog only until the application ends.
 """
 
 from __future__ import annotations
@@ -65,6 +66,8 @@ def money(x: str) -> Column:
     return F.col(x).cast("decimal(18,2)").cast("string")
 
 
+#: Bytes of tables for each bucket, and the fewest and most buckets.
+BUCKET_BYTES, BUCKETS = 64 << 20, (8, 1 << 14)
 _stored: dict[tuple, str] = {}
 
 
@@ -80,13 +83,32 @@ def graph(spark: SparkSession, sf_dir: str, version: int = 1) -> DataFrame:
 
     It is written when it is first asked for in an application, and again when a table's files have changed.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, version, tuple(_state(spark, f"{sf_dir}/{n}.parquet") for n in TABLES))
+    return spark.table(_table(spark, sf_dir, version)).select(*COLUMNS)
+
+
+def _table(spark: SparkSession, sf_dir: str, version: int) -> str:
+    states = tuple(_state(spark, f"{sf_dir}/{n}.parquet") for n in TABLES)
+    key = (spark.sparkContext.applicationId, sf_dir, version, states)
     if key not in _stored:
-        path = f"{shared_dir(spark)}/{uuid.uuid4().hex}-graph-v{version}"
-        _graph(spark, sf_dir, version).write.partitionBy("p").parquet(path)
-        _stored[key] = path
-    schema = ", ".join(f"{c} string" for c in COLUMNS)
-    return spark.read.schema(schema).parquet(_stored[key]).select(*COLUMNS)
+        name = f"graph_{uuid.uuid4().hex}"
+        buckets = min(max(sum(x[1] for t in states for x in t) // BUCKET_BYTES, BUCKETS[0]), BUCKETS[1])
+        # one task a bucket, so that a folder has one file of each; a subject's triples are few, and the longest texts are objects
+        rows = _graph(spark, sf_dir, version).repartition(buckets, "s")
+        rows.write.partitionBy("p").bucketBy(buckets, "s").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+        _stored[key] = name
+    return _stored[key]
+
+
+_counted: dict[str, dict[str, tuple[int, int, int]]] = {}
+
+
+def counts(spark: SparkSession, sf_dir: str, version: int = 1) -> dict[str, tuple[int, int, int]]:
+    """Of each predicate: triples, distinct subjects, distinct objects (about); counted once for a stored graph."""
+    name = _table(spark, sf_dir, version)
+    if name not in _counted:
+        each = spark.table(name).groupBy("p").agg(F.count("*"), F.approx_count_distinct("s"), F.approx_count_distinct(F.xxhash64("o")))
+        _counted[name] = {p: (n, s, o) for p, n, s, o in each.collect()}  # a row a predicate
+    return _counted[name]
 
 
 def _graph(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
@@ -149,7 +171,7 @@ def _graph(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
         ),
         _of(
             documents, t(topic, v.TYPE, v.NAMED_INDIVIDUAL), t(topic, v.LABEL, line, "literal", lang=F.col("lang"), when=F.length(line) > 0), t(topic, v.COMMENT, rest, "literal", lang="en", when=F.length(rest) > 0),
-        ).distinct(),
+        ).withColumn("_h", F.xxhash64("s", "p", "o", "o_lang")).dropDuplicates(["s", "p", "o_lang", "_h"]).drop("_h"),
         _of(events.select("event_type").distinct(), t(_iri("EventType_", "event_type"), v.TYPE, v.OWL_CLASS)),
         _of(events, t(event, v.TYPE, _iri("EventType_", "event_type")), t(event, EX + "by", _iri("user_", "user_id")), t(event, EX + "value", money("value"), "literal", v.XSD + "decimal")),
     ]

@@ -92,7 +92,7 @@ def longest(pairs, nodes):
 @settings(max_examples=5, deadline=None)
 @given(st.sets(st.tuples(st.integers(0, 9), st.integers(0, 9)), min_size=1, max_size=14), st.booleans())
 def test_bound_walks_on_any_graph(spark, pairs, chain):
-    pairs = pairs | ({(i, i + 1) for i in range(10, 30)} | {(9, 10)} if chain else set())  # deep enough for doubling steps
+    pairs = pairs | ({(i, i + 1) for i in range(10, 30)} | {(9, 10)} if chain else set())  # deep enough for chains
     e = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "src string, dst string")
     named = {(str(a), str(b)) for a, b in pairs}
     nodes = {x for p in named for x in p}
@@ -109,6 +109,61 @@ def test_bound_walks_on_any_graph(spark, pairs, chain):
     assert {r.uri for r in closure.cycle_members(e).collect()} == {a for a, b in all_ if a == b}
 
 
+def strong(pairs):
+    """Each node of a cycle with the smallest node that it reaches and that reaches it."""
+    all_ = brute_reach(pairs)
+    on = {a for a, b in all_ if a == b}
+    return {a: min(b for b in on if b == a or ((a, b) in all_ and (b, a) in all_)) for a in on}
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.sets(st.tuples(st.integers(0, 8), st.integers(0, 8)), min_size=1, max_size=14), st.booleans())
+def test_components_of_any_graph(spark, pairs, ring):
+    pairs = {(str(a), str(b)) for a, b in pairs} | ({(str(i), str(10 + (i + 1) % 20)) for i in range(10, 30)} if ring else set()) | ({("3", "15"), ("20", "3")} if ring and (1, 2) in pairs else set())
+    e = spark.createDataFrame(list(pairs), "src string, dst string")
+    want = strong(pairs)
+    assert {r.uri: r.component for r in closure.components(e).collect()} == want
+    kept = {(want.get(a, a), want.get(b, b)) for a, b in pairs}
+    assert {(r.src, r.dst) for r in closure.condensed(e).collect()} == {(a, b) for a, b in kept if a != b}
+    paths = {}
+    for r in closure.cycle_paths(e).collect():
+        paths.setdefault(r.component, {})[r.position] = r.uri
+    assert set(paths) == set(want.values())
+    for name, at in paths.items():
+        steps = [at[i] for i in range(len(at))]
+        assert steps[0] == name and all(x in pairs for x in zip(steps, steps[1:] + steps[:1], strict=True))
+        assert len(steps) == _steps(pairs, name)[name]
+
+
+def test_traversal_is_bounded_by_edges(spark, monkeypatch):
+    """Layers with many ways between them: no table of a walk has more rows than twice the edges; a long chain ends in few rounds."""
+    import random
+
+    rng, rows = random.Random(2), []
+    plain = closure.written
+
+    def counted(df, *name):
+        out = plain(df, *name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(closure, "written", counted)
+    layers = sorted({(f"{k}.{i}", f"{k - 1}.{rng.randrange(30)}") for k in range(1, 9) for i in range(30) for _ in range(5)})
+    e = spark.createDataFrame(layers, "src string, dst string").cache()
+    root = spark.createDataFrame([("0.0",)], "uri string")
+    assert {r.uri: r.depth for r in closure.descendants(e, root).collect()} == bfs({(b, a) for a, b in layers}, ["0.0"])
+    every = spark.createDataFrame(sorted({(x,) for p in layers for x in p}), "uri string")
+    assert {r.uri: r.depth for r in closure.longest_depth(e, every).collect()} == {x: int(x.split(".")[0]) for p in layers for x in p}
+    assert closure.nearest(e, root).count() == closure.descendants(e, root).count() and closure.components(e).isEmpty()
+    assert max(rows) <= 2 * len(layers)
+    rows.clear()
+    chain = spark.range(600).select(F.format_string("n%04d", "id").alias("dst"), F.format_string("n%04d", F.col("id") + 1).alias("src"))
+    assert closure.descendants(chain, spark.createDataFrame([("n0000",)], "uri string")).agg(F.max("depth")).first()[0] == 600
+    ring = chain.unionByName(spark.createDataFrame([("n0000", "n0600")], "src string, dst string"))
+    assert closure.components(ring).groupBy("component").count().collect() == [("n0000", 601)]
+    assert max(rows) <= 1300 and len(rows) < 60
+
+
 def _steps(pairs, a):
     """Fewest edges, one at least, from a to each node."""
     first = {b for x, b in pairs if x == a}
@@ -139,7 +194,7 @@ def test_graph_is_stored_once_and_again_when_files_change(spark, tmp_path):
     from ontospark.sources import projection
 
     for t in projection.TABLES:
-        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path)
+        shutil.copyfile(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet")
     first = projection.graph(spark, str(tmp_path))
     assert first.inputFiles() == projection.graph(spark, str(tmp_path)).inputFiles()
     n = first.count()
@@ -228,7 +283,7 @@ def test_entry_without_the_training_subpackage(tmp_path):
     import shutil
 
     shutil.copytree(ROOT / "ontospark", tmp_path / "ontospark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    shutil.copyfile(ROOT / "__spark_entry__.py", tmp_path / "__spark_entry__.py")
     code = "import __spark_entry__ as e; q = e.queries(); assert 'stats_basic' in q and not any(x.startswith('op1_') for x in q) and set(q) == set(e.oracle_sql())"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin", "PYTHONPATH": str(tmp_path)}, timeout=120)
 

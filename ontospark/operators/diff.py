@@ -29,8 +29,8 @@ def entities(old: DataFrame, new: DataFrame, ignore: list[str] | None = None) ->
     """
     both = old.select(*TERM, F.lit(1).alias("v")).unionByName(new.select(*TERM, F.lit(2).alias("v"))).where("s_kind = 'iri'")
     counts = ~F.col("p").isin(list(ignore)) if ignore else F.lit(True)
-    # equal triples meet first, then a subject's: both groupings are by subject, so graphs in buckets by subject don't move
-    one = both.groupBy(*TERM).agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    # one exchange, by subject: equal triples meet in their subject's task, which sorts and spills them if they are many, and then its subjects
+    one = both.repartition("s").groupBy(*TERM).agg(F.min("v").alias("a"), F.max("v").alias("b"))
     is_new, is_old = (F.col("a") == 2) & counts, (F.col("b") == 1) & counts
     lit = lambda p, of: F.min(F.when((F.col("p") == p) & of, F.col("o")))
     of_old, of_new = F.col("a") == 1, F.col("b") == 2

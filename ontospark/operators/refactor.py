@@ -28,7 +28,8 @@ def rename_namespaces(g: DataFrame, namespaces: list[tuple[str, str]]) -> DataFr
     return g.select(iri("s", "s_kind").alias("s"), "s_kind", remap(F.col("p"), namespaces).alias("p"), iri("o", "o_kind").alias("o"), "o_kind", "o_dt", "o_lang").distinct()
 
 
-def _mapped(g: DataFrame, mapping: DataFrame, column: str, kind: str | None) -> DataFrame:
+def mapped(g: DataFrame, mapping: DataFrame, column: str, kind: str | None) -> DataFrame:
+    """One column's IRIs replaced by ``old, new``; a mapping of up to ``FEW`` rows is broadcast."""
     few = mapping.limit(FEW + 1).count() <= FEW
     m = mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
     on = (F.col(column) == F.col("_old")) & ((F.col(kind) == "iri") if kind else F.lit(True))
@@ -37,8 +38,8 @@ def _mapped(g: DataFrame, mapping: DataFrame, column: str, kind: str | None) ->
 
 def rename_entities(g: DataFrame, mapping: DataFrame, predicates: bool = True) -> DataFrame:
     """IRIs replaced by ``old, new``, in subjects, objects and (unless it is a migration) predicates."""
-    out = _mapped(_mapped(g.select(*TERM), mapping, "s", "s_kind"), mapping, "o", "o_kind")
-    return (_mapped(out, mapping, "p", None) if predicates else out).select(*TERM).distinct()
+    out = mapped(mapped(g.select(*TERM), mapping, "s", "s_kind"), mapping, "o", "o_kind")
+    return (mapped(out, mapping, "p", None) if predicates else out).select(*TERM).distinct()
 
 
 def rename_stats(g: DataFrame, mapping: DataFrame) -> DataFrame:

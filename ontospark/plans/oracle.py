@@ -681,3 +681,60 @@ UNION ALL SELECT DISTINCT '{EX}type_' || p_type FROM part UNION ALL SELECT DISTI
 ORACLE_SQL["lint_empty_ontology"] = f"""WITH f(s, s_kind, p, o, o_kind, o_dt, o_lang) AS (VALUES {_fixed()})
 SELECT 'empty-ontology' AS rule_id, 'error' AS severity, s AS entity, '' AS detail FROM f WHERE p = '{v.TYPE}' AND o = '{v.ONTOLOGY}' AND s_kind = 'iri'
 AND NOT EXISTS (SELECT 1 FROM f AS h WHERE h.s = f.s AND h.p IN {_in(*HEADER_NOTES)})"""
+
+# cycles, nested nodes, names, rules and lines
+_LISTS = """li AS MATERIALIZED (SELECT DISTINCT l_orderkey AS k, l_partkey AS a FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'P'))"""
+_TYPES = ["ECONOMY", "LARGE", "MEDIUM"]
+# every list is a circle, so its items are one component, and lists that share an item are too
+ORACLE_SQL["cycle_components"] = f"""WITH RECURSIVE {_LISTS}, nd AS (SELECT DISTINCT a FROM li), hub AS (SELECT k, min(a) AS m FROM li GROUP BY k),
+ed AS MATERIALIZED (SELECT DISTINCT m AS x, a AS y FROM li JOIN hub USING (k) WHERE m <> a UNION SELECT a, m FROM li JOIN hub USING (k) WHERE m <> a),
+cc(a, c) USING KEY (a) AS (SELECT a, '{EX}part_' || a FROM nd UNION SELECT ed.y, min(cc.c) FROM cc JOIN ed ON ed.x = cc.a JOIN recurring.cc AS o ON o.a = ed.y WHERE cc.c < o.c GROUP BY ed.y)
+SELECT '{EX}part_' || a AS uri, c AS component FROM cc UNION ALL SELECT '{EX}type_' || t, '{EX}type_ECONOMY' FROM (VALUES {', '.join(f"('{t}')" for t in _TYPES)}) AS t(t)
+UNION ALL SELECT x, 'F' FROM (VALUES ('F'), ('O'), ('P')) AS t(x)"""
+ORACLE_SQL["cycle_paths"] = f"""WITH {_LISTS}, pl AS (SELECT k, 'part_' || k || '_' || a AS cell, row_number() OVER (PARTITION BY k ORDER BY a) AS i, count(*) OVER (PARTITION BY k) AS n FROM li),
+lo AS (SELECT k, min(cell) AS least, arg_min(i, cell) AS i0 FROM pl GROUP BY k)
+SELECT least AS component, (i - i0 + n) % n AS position, cell AS uri FROM pl JOIN lo USING (k)
+UNION ALL SELECT 'l0', i, 'l' || i FROM range(3) AS t(i) UNION ALL SELECT '{EX}type_ECONOMY', i - 1, '{EX}type_' || ['ECONOMY', 'LARGE', 'MEDIUM'][i] FROM range(1, 4) AS t(i)"""
+_ring = f"CASE WHEN {{x}} IN {_in(*(EX + 'type_' + t for t in _TYPES))} THEN '{EX}type_ECONOMY' ELSE {{x}} END"
+sql("cycle_condensed", f"ce AS (SELECT DISTINCT {_ring.format(x='src')} AS src, {_ring.format(x='dst')} AS dst FROM e) SELECT dst, count(*) AS n, min(src) AS first_src FROM ce WHERE src <> dst GROUP BY dst")
+
+_deep = "replace({x}, chr(10), chr(10) || '    ')"
+_body = "string_agg(line, ' ;' || chr(10) || '    ' ORDER BY place, pp)"
+# restrictions nest nothing; a list's text is put together cell by cell: the openings of all cells, the end, then what closes them
+sql("turtle_nested", f"""bl AS (SELECT s, {_pp} AS pp, {_place} AS place, {_pp} || ' ' || string_agg(DISTINCT {_fmt}, ', ' ORDER BY {_fmt}) AS line FROM g WHERE s_kind = 'bnode' AND p NOT IN ('{v.FIRST}', '{v.REST}')
+  AND EXISTS (SELECT 1 FROM g AS r WHERE r.s = g.s AND r.p = '{v.ON_PROPERTY}') GROUP BY s, p),
+lc AS (SELECT h.s AS owner, h.o AS head, fi.o AS x, fi.o_kind AS kind, row_number() OVER (PARTITION BY h.s ORDER BY TRY_CAST(split_part(fi.s, '_', 3) AS BIGINT), fi.s) AS i, count(*) OVER (PARTITION BY h.s) AS n
+  FROM g AS h JOIN g AS fi ON fi.p = '{v.FIRST}' AND CASE WHEN fi.s LIKE 'part_%' THEN h.s = '{EX}parts_of_' || split_part(fi.s, '_', 2) ELSE h.s = '{EX}StatusEnum' END WHERE h.p = '{v.ONE_OF}'),
+bt AS MATERIALIZED (SELECT s, '[' || chr(10) || '    ' || {_body} || chr(10) || ']' AS t FROM bl GROUP BY s
+  UNION ALL SELECT head, string_agg('[' || chr(10) || repeat('    ', i) || 'rdf:first ' || CASE kind WHEN 'iri' THEN 'ex:' || substr(x, {len(EX) + 1}) ELSE '"' || x || '"' END || ' ;' || chr(10) || repeat('    ', i) || 'rdf:rest ', '' ORDER BY i)
+  || 'rdf:nil' || string_agg(chr(10) || repeat('    ', i - 1) || ']', '' ORDER BY i DESC) FROM lc GROUP BY head),
+ow AS (SELECT s, count(*) AS nested FROM g JOIN (SELECT s AS b FROM bt) ON o = b AND o_kind = 'bnode' WHERE s_kind = 'iri' GROUP BY s),
+ol AS (SELECT s, pp, place, pp || ' ' || string_agg(shown, ', ' ORDER BY label) AS line FROM (SELECT DISTINCT s, {_pp} AS pp, {_place} AS place, {_fmt} AS label, coalesce({_deep.format(x='t')}, {_fmt}) AS shown
+  FROM g LEFT JOIN (SELECT s AS b, t FROM bt) ON o = b AND o_kind = 'bnode' WHERE EXISTS (SELECT 1 FROM ow WHERE ow.s = g.s)) GROUP BY s, pp, place)
+SELECT {qname('ol.s')} AS subject, any_value(nested) AS nested, {qname('ol.s')} || ' ' || {_body} || ' .' AS block
+FROM ol JOIN ow ON ow.s = ol.s GROUP BY ol.s""")
+sql("mentions_many", """na AS (SELECT s_name AS name FROM supplier UNION SELECT n_name FROM nation UNION SELECT r_name FROM region UNION SELECT c_mktsegment FROM customer UNION SELECT p_brand FROM part UNION SELECT p_type FROM part),
+tx AS (SELECT o, count(*) AS k FROM g WHERE o_kind = 'literal' GROUP BY o) SELECT name, CAST(sum(k) AS BIGINT) AS n FROM na JOIN tx ON contains(o, name) GROUP BY name""")
+_SPACES = f"""sp AS MATERIALIZED (SELECT '{EX}Customer_' || c_custkey AS ns, 'customer_' || c_custkey AS pre, -c_custkey AS place FROM customer UNION ALL SELECT '{EX}Nation_' || n_nationkey, 'nation_' || n_nationkey, n_nationkey FROM nation)"""
+sql("namespaces_longest", f"""{_SPACES}, mt AS (SELECT uri, arg_max(pre, length(ns)) AS pre, max(length(ns)) AS n FROM ci JOIN sp ON starts_with(uri, ns) GROUP BY uri)
+SELECT ci.uri AS iri, coalesce(pre || ':' || substr(ci.uri, n + 1), '<' || ci.uri || '>') AS qname FROM ci LEFT JOIN mt ON mt.uri = ci.uri""")
+sql("namespaces_first", f"""{_SPACES}, ir AS (SELECT src AS x FROM e UNION SELECT dst FROM e), mt AS (SELECT x, arg_min('http://example.org/v2#' || pre || '/' || substr(x, length(ns) + 1), (place, ns)) AS y FROM ir JOIN sp ON starts_with(x, ns) GROUP BY x)
+SELECT DISTINCT coalesce(a.y, s) AS s, coalesce(b.y, o) AS o FROM g LEFT JOIN mt AS a ON a.x = s AND s_kind = 'iri' LEFT JOIN mt AS b ON b.x = o AND o_kind = 'iri' WHERE p = '{v.SUBCLASS}'""")
+_RULES = f"""pe AS (SELECT '{EX}order_' || o_orderkey AS o, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS price, o_orderstatus = 'P' AS pending, '{EX}Customer_' || o_custkey AS c, '{EX}Nation_' || c_nationkey AS n, CASE WHEN c_acctbal >= 0 THEN c_name END AS label
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey)"""
+ORACLE_SQL["rules_applied"] = f"""WITH {_RULES} SELECT o AS s, CASE WHEN pending THEN '{EX}pendingPrice' ELSE '{EX}totalPrice' END AS p, price AS o, 'literal' AS o_kind, '{v.XSD}decimal' AS o_dt FROM pe
+UNION ALL SELECT DISTINCT o, '{EX}owedIn', n, 'iri', '' FROM pe WHERE pending AND n IS NOT NULL
+UNION ALL SELECT DISTINCT n, '{EX}owedBy', c, 'iri', '' FROM pe WHERE pending AND n IS NOT NULL AND label IS NULL
+UNION ALL SELECT DISTINCT c, '{EX}debtor', upper(label || ' of ' || regexp_extract(n, '[^#]*$')), 'literal', '' FROM pe WHERE pending AND n IS NOT NULL AND label IS NOT NULL"""
+ORACLE_SQL["rules_counts"] = f"""WITH {_RULES}, m AS (SELECT * FROM pe WHERE pending AND n IS NOT NULL), d AS (SELECT DISTINCT c, n, label FROM m)
+SELECT 'pending' AS rule, count(*) AS matched, count(*) AS removed, count(*) AS made FROM pe WHERE pending
+UNION ALL SELECT 'owing', count(*), 0, count(DISTINCT (n, c)) + count(DISTINCT (o, n)) FROM m UNION ALL SELECT 'debtors', count(*), count(*), count(*) FROM d WHERE label IS NOT NULL"""
+_mv = lambda x, w: f"CASE WHEN NOT ({w}) THEN {x} WHEN {x} = '{EX}type_SMALL' THEN 'http://example.org/v2#kind-LITTLE' WHEN starts_with({x}, '{EX}type_') THEN 'http://example.org/v2#kind-' || substr({x}, {len(EX) + 6}) WHEN starts_with({x}, '{EX}') THEN 'http://example.org/v2#' || substr({x}, {len(EX) + 1}) ELSE {x} END"
+sql("migrate_sources", f"""al AS (SELECT DISTINCT 'old' AS source, * FROM g UNION ALL SELECT DISTINCT 'new', * FROM h),
+mg AS (SELECT source, {_mv('s', _iri_s)} AS s, s_kind, {_mv('p', 'true')} AS p, {_mv('o', _iri_o)} AS o, o_kind, o_dt, o_lang FROM al),
+rl AS (SELECT source, s, p, o FROM mg WHERE p <> '{v.SKOS}note' UNION ALL SELECT DISTINCT 'rules', s, 'http://example.org/v2#balance', o FROM mg WHERE p = '{v.SKOS}note')
+SELECT source, p, count(*) AS n, min(s) AS first_s, max(o) AS last_o FROM rl GROUP BY source, p""", True)
+_subject = "CASE s_kind WHEN 'bnode' THEN '_:' || s ELSE '<' || s || '>' END"
+_object = f"CASE o_kind WHEN 'iri' THEN '<' || o || '>' WHEN 'bnode' THEN '_:' || o ELSE '\"' || {_esc} || '\"' || CASE WHEN o_lang <> '' THEN '@' || o_lang WHEN o_dt <> '' THEN '^^<' || o_dt || '>' ELSE '' END END"
+sql("line_numbers", f"""ln AS (SELECT s, s_kind, substr(md5(s), 1, 1) AS part, row_number() OVER (PARTITION BY substr(md5(s), 1, 1) ORDER BY {_subject} || ' <' || p || '> ' || {_object} || ' .') AS line FROM g)
+SELECT s AS uri, part, min(line) AS line FROM ln WHERE s_kind = 'iri' AND s IN (SELECT uri FROM ci UNION SELECT uri FROM q) GROUP BY s, part""")

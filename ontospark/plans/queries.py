@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions import vocab as v
-from ..operators import closure, describe, diff, docs, lint, localise, merge, model, order, patterns, refactor, select, shacl, split, stats, validate
+from ..operators import closure, describe, diff, docs, lint, localise, mentions, merge, model, nested, order, patterns, refactor, rules, select, shacl, spaces, split, stats, validate
 from ..sources import model as diagrams
-from ..sources import ntriples
+from ..sources import lines, ntriples
 from ..sources.projection import EX, PREFIXES, counts, graph
-from ..sources.scratch import written
+from ..sources.scratch import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -904,3 +905,110 @@ def model_merged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (model_to_graph, model_issues, model_issue_counts, model_merged)}
+
+
+# --- cycles, nested nodes, names, rules and lines
+
+
+def _circles(g: DataFrame, cells: bool) -> DataFrame:
+    """``src, dst``: closed lists as circles, from each item to the next and from the last to the first, and named superclasses. Of list cells, or of the items."""
+    rest = g.where((F.col("p") == v.REST) & (F.col("o") != v.NIL)).select(F.col("s").alias("src"), F.col("o").alias("dst"))
+    last = g.where((F.col("p") == v.REST) & (F.col("o") == v.NIL)).select(F.split_part("s", F.lit("_"), F.lit(2)).alias("k"), F.col("s").alias("src"))
+    head = g.where(F.col("p") == v.ONE_OF).select(F.regexp_extract("s", "parts_of_(.*)$", 1).alias("k"), F.col("o").alias("dst"))
+    ring = rest.unionByName(last.join(head, "k").select("src", "dst"))
+    if not cells:
+        item = lambda end: g.where(F.col("p") == v.FIRST).select(F.col("s").alias(end), F.col("o").alias(f"{end}_item"))
+        ring = ring.join(item("src"), "src").join(item("dst"), "dst").select(F.col("src_item").alias("src"), F.col("dst_item").alias("dst"))
+    return ring.unionByName(select.edges(g))
+
+
+@query
+def cycle_components(g):
+    """Items that lists join in circles, and classes that are above each other, by their smallest member."""
+    return closure.components(_circles(g, False)).select("uri", "component")
+
+
+@query
+def cycle_paths(g):
+    """A shortest cycle through the smallest member of each component of list cells and classes."""
+    return closure.cycle_paths(_circles(g, True))
+
+
+@query
+def cycle_condensed(g):
+    """Superclass edges between components: in and out of how many names."""
+    return closure.condensed(select.edges(g)).groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("first_src"))
+
+
+@query
+def turtle_nested(g):
+    """Statements with blank nodes written inside them: restrictions, and lists cell in cell."""
+    return nested.blocks(g, PREFIXES).where("nested > 0").select("subject", "nested", "block")
+
+
+def mentions_many(spark: SparkSession, sf: str) -> DataFrame:
+    """How many literals mention each supplier, nation, region, segment, brand and type, by the names in the tables."""
+    read = lambda t, c: spark.read.parquet(f"{sf}/{t}.parquet").select(F.col(c).alias("name"))
+    names = read("supplier", "s_name").unionByName(read("nation", "n_name")).unionByName(read("region", "r_name")).unionByName(read("customer", "c_mktsegment")).unionByName(read("part", "p_brand")).unionByName(read("part", "p_type"))
+    return mentions.mentions(graph(spark, sf), names)
+
+
+def _customer_spaces(spark: SparkSession, sf: str) -> DataFrame:
+    """A namespace for each customer and nation, some of which begin others; the later customers come first."""
+    customer, nation = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("customer", "nation"))
+    one = lambda df, kind, key, place: df.select(F.concat(F.lit(EX + kind), F.col(key).cast("string")).alias("ns"), F.concat(F.lit(f"{NEW}{kind.lower()}"), F.col(key).cast("string"), F.lit("/")).alias("value"), place.cast("bigint").alias("place"))
+    return one(customer, "Customer_", "c_custkey", -F.col("c_custkey")).unionByName(one(nation, "Nation_", "n_nationkey", F.col("n_nationkey")))
+
+
+def namespaces_longest(spark: SparkSession, sf: str) -> DataFrame:
+    """Qualified names of all classes by the longest of the customers' and nations' namespaces."""
+    prefixes = _customer_spaces(spark, sf).select("ns", F.regexp_replace("value", "^.*#|/$", "").alias("value"), "place")
+    return spaces.qnames(select.classes(graph(spark, sf), True).withColumnRenamed("uri", "iri"), prefixes)
+
+
+def namespaces_first(spark: SparkSession, sf: str) -> DataFrame:
+    """Superclass statements with the first namespace that matches replaced."""
+    return spaces.rename(graph(spark, sf), _customer_spaces(spark, sf)).where(F.col("p") == v.SUBCLASS).select("s", "o")
+
+
+RULES = [
+    rules.Rule("pending", [("?order", EX + "status", '"P'), ("?order", EX + "totalPrice", "?price")], [("?order", EX + "pendingPrice", "?price")], gone=[1]),
+    rules.Rule("owing", [("?order", EX + "pendingPrice", "?price"), ("?order", v.TYPE, "?customer"), ("?customer", v.SUBCLASS, "?nation")], [("?nation", EX + "owedBy", "?customer"), ("?order", EX + "owedIn", "?nation")], gone=[], only=lambda x: x["nation"].contains("#Nation_")),
+    rules.Rule("debtors", [("?nation", EX + "owedBy", "?customer"), ("?customer", v.LABEL, "?label")], [("?customer", EX + "debtor", rules.Made(lambda x: F.upper(F.concat("label.v", F.lit(" of "), terms.local_name(x["nation"])))))], gone=[0]),
+]
+
+
+@query
+def rules_applied(g):
+    """What three rules leave, each working on what the one before made."""
+    done, _ = rules.apply(g, RULES)
+    return done.where(F.col("p").isin(*(EX + x for x in ("pendingPrice", "owedBy", "owedIn", "debtor", "totalPrice")))).select("s", "p", "o", "o_kind", "o_dt")
+
+
+@query
+def rules_counts(g):
+    return rules.apply(g, RULES)[1].select("rule", "matched", "removed", "made")
+
+
+@versions
+def migrate_sources(old, new):
+    """Both versions as sources in one pass: a namespace, an entity and a rule; triples by source."""
+    mapped = few(old, f"('{NEW}kind-SMALL', '{NEW}kind-LITTLE')", "old, new")
+    names = few(old, f"('{EX}type_', '{NEW}kind-', 0), ('{EX}', '{NEW}', 1)", "ns, value, place")
+    rule = rules.Rule("notes", [("?s", v.SKOS + "note", "?x")], [("?s", NEW + "balance", "?x")])
+    done, _ = rules.migrate([("old", old), ("new", new)], names, mapped, [rule])
+    return done.groupBy(F.coalesce("source", F.lit("rules")).alias("source"), "p").agg(F.count("*").alias("n"), F.min("s").alias("first_s"), F.max("o").alias("last_o"))
+
+
+@query
+def line_numbers(g):
+    """The lines of classes and properties in files of N-Triples: the graph is written in folders by the first digit of the subject's hash, sorted, and read in splits."""
+    path = f"{shared_dir(g.sparkSession)}/{uuid.uuid4().hex}-lines"
+    text = g.select(F.substr(F.md5(F.encode("s", "utf-8")), F.lit(1), F.lit(1)).alias("part"), ntriples.format_line(g).alias("value"))
+    text.repartition(16, "part").sortWithinPartitions("part", "value").write.partitionBy("part").text(path)
+    found = lines.first_mentions(lines.numbered(g.sparkSession, path), select.classes(g, True).unionByName(select.properties(g, True)))
+    own = found.select("uri", F.regexp_extract("file", "part=(.)/", 1).alias("part"), "line")
+    return own.where(F.col("part") == F.substr(F.md5(F.encode("uri", "utf-8")), F.lit(1), F.lit(1)))
+
+
+QUERIES |= {f.__name__: f for f in (mentions_many, namespaces_longest, namespaces_first)}

@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import ship, slices, written
 
-BITS_A_LINE, LEAST_BITS, SEGMENTS, FAN = 8, 1 << 20, 1 << 14, 64
+#: A segment has ``LEAST_BITS`` up to ``SEGMENTS`` of them, then more, up to ``MOST_BITS``; beyond that there are more segments again.
+BITS_A_LINE, LEAST_BITS, MOST_BITS, SEGMENTS, FAN = 8, 1 << 20, 1 << 23, 1 << 14, 64
 FILTER, BROADCAST = 1 << 28, 64 << 20
 SPACE = b" \t\n\x0b\x0c\r"
 LAST = (1 << 63) - 1
@@ -67,8 +68,8 @@ def hashes(keys) -> np.ndarray:
 def shape_of(n_lines: int, bits: int | None = None) -> tuple[int, int]:
     """(segments, bits of a segment), both powers of two, for so many lines or so many bits."""
     bits = bits or max(LEAST_BITS, 1 << math.ceil(math.log2(max(1, BITS_A_LINE * n_lines))))
-    segments = min(SEGMENTS, max(1, bits // LEAST_BITS))
-    return segments, bits // segments
+    each = min(bits, max(LEAST_BITS, min(bits // SEGMENTS, MOST_BITS)))
+    return bits // each, each
 
 
 def segment_of(h: np.ndarray, segments: int) -> np.ndarray:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, written
 
 FRAME, BUNDLE, LEVEL = 256 << 10, 16 << 20, 3
 #: Records of a lookup whose places are broadcast at most.
@@ -43,13 +43,17 @@ BUNDLES = "path string, content binary, records array<struct<record_id:bigint,fr
 PARSED = "path string, record_id bigint, record_type string, refers_to bigint, url string, payload_bytes bigint, payload_digest string, payload binary"
 
 
-def with_reference(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
+#: Payloads with copies that are broadcast at most (about 100 bytes each); with more of them the pages are joined on the digest.
+COPIES = 1 << 19
+
+
+def with_reference(pages: DataFrame, least_bytes: int = 1000, most: int = COPIES) -> DataFrame:
     """``page_id, url, payload, digest, refers_to``: refers_to is the id of the record that holds the payload.
 
     Among payloads that are equal and have ``least_bytes`` at least, the largest page_id
     holds it; its own refers_to is null. Groups are counted before the shuffle (one
-    row per digest and task); the join back is on the digest, where Spark's adaptive skew join
-    splits a digest that holds a large part of all rows. Digests seen once meet no row there.
+    row per digest and task), and only digests with copies are kept. Up to ``most`` of them are broadcast, so no payload
+    is shuffled; more are joined on the digest, where Spark's adaptive skew join splits a digest that holds a large part of all rows.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
@@ -58,7 +62,9 @@ def with_reference(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
         p.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("copies"))
         .where("copies > 1").select(F.col("digest").alias("of"), "kept")
     )
-    return p.join(keeper, p.digest == keeper.of, "left").select(
+    keeper = written(keeper, "copies")
+    few = keeper.limit(most + 1).count() <= most
+    return p.join(F.broadcast(keeper) if few else keeper, (p.digest == keeper.of) & (F.col("size") >= least_bytes), "left").select(
         "page_id", "url", "payload", "digest",
         F.when(~F.col("kept").eqNullSafe(F.col("page_id")), F.col("kept")).alias("refers_to"),
     )

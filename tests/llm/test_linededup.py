@@ -83,3 +83,10 @@ def test_one_line_in_most_documents_over_many_tasks(spark):
     done = linededup.dedup(docs, 10, keep_first=True).collect()
     assert sum(r.n_dropped for r in done) == 2999
     assert next(r for r in done if not r.n_dropped).row.doc_id == 0
+
+
+def test_segments_of_any_corpus():
+    assert linededup.shape_of(0) == (1, 1 << 20) and linededup.shape_of(10**6) == (8, 1 << 20) and linededup.shape_of(2 * 10**9) == (1 << 14, 1 << 20)
+    for n in (10**10, 10**12, 10**14):
+        segments, bits = linededup.shape_of(n)
+        assert bits <= linededup.MOST_BITS and segments * bits >= linededup.BITS_A_LINE * n

@@ -32,6 +32,10 @@ def test_round_trip_of_odd_pages(spark, pages):
         revisit = keeper != page_id
         want.append((page_id, "revisit" if revisit else "response", keeper if revisit else None, len(data), hashlib.sha1(data).hexdigest(), None if revisit else data))
     assert got == sorted(want, key=str)
+    referred = warc.with_reference(pages)
+    assert "Exchange hashpartitioning(digest" not in referred._jdf.queryExecution().executedPlan().toString()
+    joined = warc.with_reference(pages, most=0)
+    assert sorted(joined.collect(), key=str) == sorted(referred.collect(), key=str)
 
 
 def test_bundles_are_zstd_and_seekable(spark, tmp_path):

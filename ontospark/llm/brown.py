@@ -9,8 +9,9 @@ and the text as numbers in it. Counts are grouped over the blocks' dictionaries,
 word, and the blocks written with the counts beside their dictionaries; after that no word is
 shuffled. Words seen ``MIN_COUNT`` times or more are clustered, at every size of corpus, numbered by frequency (so nothing depends on
 partitions). Their classes, a byte for each, are broadcast for up to ``MOST`` words; with more they are a table by ranges of words that is
-joined to the blocks' dictionaries. Rarer words, and
-words never seen, have a class that follows from their shape alone. Each round sums the neighbours' classes
+joined to the blocks' dictionaries. When the exchange has ended, one more pass gives each rarer word that occurs ``RARE`` times or more
+the class that fits its neighbours best. Words that occur once stand for those never seen: they share a class that follows from their
+shape alone. Each round sums the neighbours' classes
 of the moving words per task before it shuffles them, packed by ranges of words. A round whose moves together lower the
 likelihood of the classes is undone; a round that gains less than a ``GAIN``-th of it, or ``ROUNDS``, ends the exchange.
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import ship, slices, written
 
 BLOCK, CLASSES, SHAPES, ROUNDS, RANGE = 8 << 20, 64, 16, 6, 512
-MIN_COUNT, MOST, GAIN = 20, 1 << 26, 0.002
+MIN_COUNT, RARE, MOST, GAIN = 20, 2, 1 << 26, 0.002
 #: The class before a document's first and after its last word.
 EDGE = CLASSES + SHAPES
 ALL = EDGE + 1
@@ -219,8 +220,11 @@ def likelihood(pairs: np.ndarray) -> float:
 
 
 def classes_of(cand: np.ndarray, shapes: np.ndarray, given: np.ndarray) -> np.ndarray:
-    """The class of each word of a dictionary; ``given``: of all clustered words."""
-    return settled(shapes, np.where(cand >= 0, given[np.maximum(cand, 0)], MOVES_NOT) if len(given) else np.full(len(cand), MOVES_NOT))
+    """The class of each word of a dictionary; ``given``: of the first numbered words."""
+    has = (cand >= 0) & (cand < len(given))
+    own = np.full(len(cand), MOVES_NOT)
+    own[has] = given[cand[has]]
+    return settled(shapes, own)
 
 
 def settled(shapes: np.ndarray, given: np.ndarray) -> np.ndarray:
@@ -263,9 +267,11 @@ def transitions(resolved: DataFrame, classes: Classes) -> np.ndarray:
     return out.reshape(ALL, ALL)
 
 
-def exchange(resolved: DataFrame, classes: Classes, pairs: np.ndarray, turn: int, words: int, most: int = MOST) -> Classes:
+def exchange(resolved: DataFrame, classes: Classes, pairs: np.ndarray, turn: int, words: int, most: int = MOST, first_moving: int = 0) -> Classes:
     """One round: the clustered words of this turn go to the class that makes their neighbours likeliest.
 
+    ``words`` have numbers below it; those below ``first_moving`` stay. Words that the table of classes doesn't have yet are added to it.
+
     A word's gain in class k is sum L[c] log N(c,k) + sum R[c] log N(k,c) - 2 n log N(k), with the word taken
     out of its own class: the exchange criterion with all other words where they are.
     """
@@ -282,7 +288,7 @@ def exchange(resolved: DataFrame, classes: Classes, pairs: np.ndarray, turn: int
         for batch in batches:
             for _, held, starts, codes, cand, own in _parts(batch, given):
                 code = with_edges(codes, starts, ~held)
-                c, w = np.append(own, EDGE)[code], np.append(cand, -1)[code].astype(np.int64)
+                c, w = np.append(own, EDGE)[code], np.append(np.where((cand >= first_moving) & (cand < words), cand, -1), -1)[code].astype(np.int64)
                 if turn:
                     w = np.where(mixed(w) % 2 == turn % 2, w, -1)
                 left, right = w[1:] >= 0, w[:-1] >= 0
@@ -305,8 +311,10 @@ def exchange(resolved: DataFrame, classes: Classes, pairs: np.ndarray, turn: int
     near = np.log(pairs[:CLASSES].astype(float) + 0.5), np.log(pairs[:, :CLASSES].astype(float) + 0.5)
     size = np.log(pairs[:CLASSES].sum(axis=1) + 0.5 * ALL)
 
-    def settle(first: int, before: bytes, counts: np.ndarray) -> pa.RecordBatch:
-        own = np.frombuffer(before, np.uint8).copy()
+    def settle(first: int, before: bytes | None, counts: np.ndarray) -> pa.RecordBatch:
+        before = np.frombuffer(before or b"", np.uint8)
+        own = np.full(min(RANGE, words - first * RANGE), MOVES_NOT, np.uint8)
+        own[: len(before)] = before
         counts = counts[: len(own)]
         left, right = counts[:, :ALL].astype(float), counts[:, ALL:].astype(float)
         n = left.sum(axis=1)
@@ -335,7 +343,10 @@ def exchange(resolved: DataFrame, classes: Classes, pairs: np.ndarray, turn: int
             yield settle(at, before, counts.reshape(RANGE, side))
 
     sent = blocks.mapInArrow(gather, "range int, keys binary, sums binary")
-    met = classes.table.join(sent, "range", "left").select("range", "classes", "keys", "sums").repartition("range").sortWithinPartitions("range")
+    table = classes.table
+    if first_moving:
+        table = table.sparkSession.range(-(-words // RANGE)).select(F.col("id").cast("int").alias("range")).join(table, "range", "left")
+    met = table.join(sent, "range", "left").select("range", "classes", "keys", "sums").repartition("range").sortWithinPartitions("range")
     return Classes.of(written(met.mapInArrow(assign, CLASS_ROWS), "classes"), words, most)
 
 
@@ -422,15 +433,26 @@ def scores(resolved: DataFrame, classes: Classes, model: ClassModel) -> DataFram
     return blocks.mapInArrow(score, SCORED)
 
 
-def score_documents(docs: DataFrame, held_out, rounds: int = ROUNDS, min_count: int = MIN_COUNT, most: int = MOST) -> DataFrame:
-    """Every document of ``doc_id, text`` scored by a model of those where the column ``held_out`` is false."""
+@dataclass
+class Fitted:
+    """Blocks, ``word, c, cand`` of the training part, the classes and the model made of them."""
+
+    resolved: DataFrame
+    vocab: DataFrame
+    classes: Classes
+    model: ClassModel
+
+
+def fit(docs: DataFrame, held_out, rounds: int = ROUNDS, min_count: int = MIN_COUNT, most: int = MOST) -> Fitted:
+    """Classes and model of the documents of ``doc_id, text`` where the column ``held_out`` is false."""
     built = written(blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held"))), "blocks", "zstd")
     each = built.select(F.explode(F.arrays_zip("words", "seen")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.seen").cast("long").alias("n")).where("n > 0")
     vocab = written(each.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
     sums = vocab.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     ends = built.agg(F.coalesce(F.sum("train_docs"), F.lit(0)).alias("n")).first().n
     tokens, words = sums.n + ends, sums.v + (ends > 0)
-    vocab, clustered = with_candidates(vocab, min_count)
+    clustered = vocab.where(F.col("c") >= min_count).count()
+    vocab, numbered = with_candidates(vocab, min(RARE, min_count) if clustered else min_count)
     resolved = written(resolve(built, vocab), "resolved", "none")
     classes = Classes.start(docs.sparkSession, clustered, most)
     pairs = transitions(resolved, classes)
@@ -442,4 +464,13 @@ def score_documents(docs: DataFrame, held_out, rounds: int = ROUNDS, min_count:
             classes, pairs = moved, after
         if turn and abs(gain) < GAIN * abs(likelihood(pairs)):
             break
-    return scores(resolved, classes, class_model(vocab, classes, pairs, tokens, words, ends))
+    if numbered > clustered:
+        classes = exchange(resolved, classes, pairs, 0, numbered, most, first_moving=clustered)
+        pairs = transitions(resolved, classes)
+    return Fitted(resolved, vocab, classes, class_model(vocab, classes, pairs, tokens, words, ends))
+
+
+def score_documents(docs: DataFrame, held_out, rounds: int = ROUNDS, min_count: int = MIN_COUNT, most: int = MOST) -> DataFrame:
+    """Every document of ``doc_id, text`` scored by a model of those where the column ``held_out`` is false."""
+    done = fit(docs, held_out, rounds, min_count, most)
+    return scores(done.resolved, done.classes, done.model)

@@ -53,6 +53,85 @@ def test_query_against_counting_and_better_than_base(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def plain_scores(rows, held, klass, emission_words):
+    """(score by doc) from each word's class alone: counts of class pairs, Witten-Bell, Good-Turing in the classes by shape, in plain loops.
+
+    ``klass(word)``: its class; ``emission_words``: counts of the training words.
+    """
+    edge, pairs = brown.EDGE, Counter()
+    chain = lambda text: [edge, *map(klass, words(text)), edge]
+    for (_, text), h in zip(rows, held):
+        if not h:
+            c = chain(text)
+            pairs.update(zip(c, c[1:]))
+    after, into = Counter(), Counter()
+    kinds = Counter(a for a, _ in pairs)
+    for (a, b), n in pairs.items():
+        after[a] += n
+        into[b] += n
+    total = sum(pairs.values())
+
+    def follows(a, b):
+        kind = max(kinds[a], 1)
+        return (pairs[a, b] + kind * (into[b] + 1) / (total + brown.ALL)) / (after[a] + kind)
+
+    inside, types, ones, twos = Counter(), Counter(), Counter(), Counter()
+    for w, n in emission_words.items():
+        k = klass(w)
+        inside[k] += n
+        types[k] += 1
+        ones[k] += n == 1
+        twos[k] += n == 2
+
+    def said(w):
+        k, n = klass(w), emission_words.get(w, 0)
+        if k < brown.CLASSES:
+            return n / inside[k]
+        if not types[k]:
+            return 1.0
+        cut = min(max(ones[k] / (ones[k] + 2 * twos[k]) if ones[k] else 0.5, 0.1), 0.9)
+        return (n - cut) / inside[k] if n else cut * types[k] / inside[k]
+
+    out = {}
+    for doc, text in rows:
+        c = chain(text)
+        out[doc] = sum(math.log10(follows(a, b)) for a, b in zip(c, c[1:])) + sum(math.log10(said(w)) for w in words(text))
+    return out
+
+
+def test_scores_against_plain_counting(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    held = [zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
+    done = brown.fit(spark.read.parquet(f"{DATA}/documents.parquet"), F.expr("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 7 = 2"))
+    known = {r.word: (r.c, r.cand) for r in done.vocab.collect()}
+    every = {w for _, text in rows for w in words(text)}
+    forms = dict(zip(sorted(every), brown.shape(pa.array(sorted(every), pa.string())).tolist()))
+
+    def klass(w):
+        cand = known[w][1] if w in known else -1
+        return int(done.classes.array[cand]) if cand >= 0 else brown.CLASSES + forms[w]
+
+    rare = [w for w, (c, _) in known.items() if brown.RARE <= c < brown.MIN_COUNT]
+    assert rare and all(klass(w) < brown.CLASSES for w in rare)  # all have learned classes
+    assert all(klass(w) >= brown.CLASSES for w in every if known.get(w, (0, 0))[0] < brown.RARE)
+    want = plain_scores(rows, held, klass, {w: c for w, (c, _) in known.items()})
+    got = {r.doc_id: r.score for r in brown.scores(done.resolved, done.classes, done.model).collect()}
+    assert set(got) == set(want) and all(abs(got[d] - want[d]) <= 1e-9 * abs(want[d]) for d in want)
+
+
+def test_rare_words_go_to_the_class_of_their_neighbours(spark):
+    """Words seen 3 times, always where one group of frequent words stands, get a class of that group."""
+    text = [f"the {noun} {verb} now" for noun in ("cat", "dog", "fox") for verb in ("runs", "eats", "naps") for _ in range(9)]
+    text += ["the yak runs now", "the yak eats now", "the yak naps now"]
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id bigint, text string")
+    done = brown.fit(docs, F.lit(False))
+    at = {r.word: r.cand for r in done.vocab.collect()}
+    pairs = brown.transitions(done.resolved, done.classes)
+    k = int(done.classes.array[at["yak"]])
+    assert k in {int(done.classes.array[at[w]]) for w in ("cat", "dog", "fox")}
+    assert pairs[:, k].sum() >= 30
+
+
 def test_odd_and_empty(spark, odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     held = [d == 6 for d, _ in rows]

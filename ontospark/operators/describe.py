@@ -177,3 +177,24 @@ def class_tree(g: DataFrame, prefixes: dict[str, str]) -> DataFrame:
     roots = c.join(inside.select(F.col("src").alias("uri")), "uri", "left_anti")
     all_ = inside.select(F.col("dst").alias("parent"), F.col("src").alias("child")).unionByName(roots.select(F.lit("").alias("parent"), F.col("uri").alias("child")))
     return order.placed(all_, "parent", terms.qname(F.col("child"), prefixes)).select("parent", "child", "place")
+
+
+def verdict(g: DataFrame) -> DataFrame:
+    """One row ``verdict``: the profile, the sizes and the number of imports in a line. Sizes of nothing are left out, but not that of the triples."""
+    n = lambda *names: F.coalesce(F.sum(F.when(F.col("metric").isin(*names), F.col("n"))), F.lit(0))
+    kinds = ["object_properties", "datatype_properties", "annotation_properties", "rdf_properties"]
+    sizes = metrics(g).agg(n("total_triples").alias("triples"), n("classes").alias("classes"), n(*kinds).alias("properties"), n("individuals").alias("individuals"))
+    brought = g.where(F.col("p") == v.IMPORTS).agg(F.count_distinct("o").alias("imports"))
+    some = lambda name: F.when(F.col(name) > 0, F.concat(F.col(name).cast("string"), F.lit(f" {name}")))
+    line = F.concat_ws(", ", F.concat(F.col("triples").cast("string"), F.lit(" triples")), some("classes"), some("properties"), some("individuals"))
+    one = profile_texts(profile(g)).join(F.broadcast(sizes)).join(F.broadcast(brought))  # one row each
+    return one.select(F.concat_ws(" | ", "display", line, some("imports")).alias("verdict"))
+
+
+def describe(g: DataFrame, brief: bool = False) -> dict[str, DataFrame]:
+    """The parts of a description by name; ``brief`` has the header, the sizes, the profile and the verdict alone, and nothing else is planned."""
+    parts = {"metadata": metadata(g), "metrics": metrics(g), "profile": profile_texts(profile(g)), "verdict": verdict(g)}
+    if brief:
+        return parts
+    imported = g.where(F.col("p") == v.IMPORTS).select(F.col("o").alias("uri")).distinct()
+    return parts | {"namespaces": namespace_categories(g), "imports": imported, "unimported": unimported(g), "hierarchy": hierarchy_summary(g), "roots": top_roots(g), "documentation": coverage(g)}

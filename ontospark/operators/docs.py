@@ -197,3 +197,78 @@ def property_arrows(g: DataFrame, chosen: DataFrame) -> DataFrame:
     for end in ("src", "dst"):
         e = e.join(chosen.select(F.col("uri").alias(end)).distinct(), end, "left_semi")
     return e.select(F.concat(terms.local_name(F.col("src")), F.lit(" --|> "), terms.local_name(F.col("dst"))).alias("line"))
+
+
+def instance_styles(g: DataFrame, by_type: DataFrame, by_class: DataFrame, by_namespace: list[tuple[str, str]], default: str, class_default: str, class_text: bool = False) -> DataFrame:
+    """``uri, style, text, how`` of the named individuals.
+
+    An individual's first type (the smallest URI that is no kind of class or property) decides: a style of the type itself for instances
+    (``by_type``), else that of the nearest styled class above the type (``by_class``; ties: the smallest URI), which is the text's colour
+    too, else the default. With ``class_text`` the other texts have the style of the type as a class: its own, the nearest above, that of
+    the first namespace, or ``class_default``; otherwise none.
+    """
+    first = g.where((F.col("p") == v.TYPE) & (F.col("o_kind") == "iri") & ~F.col("o").isin([*v.CLASS_TYPES, *v.PROPERTY_TYPES])).groupBy(F.col("s").alias("uri")).agg(F.min("o").alias("class"))
+    marks = by_class.select(F.col("uri").alias("mark"), F.col("style").alias("above"))
+    above = closure.nearest(select.edges(g), by_class).where("dist > 0").join(marks, "mark").select(F.col("uri").alias("class"), "above")
+    rows = select.named_individuals(g).join(first, "uri", "left")
+    for params, name in ((by_type, "own"), (by_class, "as_class")):
+        rows = rows.join(params.select(F.col("uri").alias("class"), F.col("style").alias(name)), "class", "left")
+    rows = rows.join(above, "class", "left")
+    spaced = F.lit(class_default)
+    for ns, style in reversed(by_namespace):
+        spaced = F.when(F.col("class").startswith(ns), style).otherwise(spaced)
+    how = F.when(F.col("own").isNotNull(), "type").when(F.col("above").isNotNull(), "inherited").otherwise("default")
+    of_class = F.when(F.col("class").isNotNull(), F.coalesce("as_class", "above", spaced)) if class_text else F.lit(None).cast("string")
+    text = F.when(how == "inherited", F.col("above")).otherwise(of_class)
+    return rows.select("uri", F.coalesce("own", "above", F.lit(default)).alias("style"), text.alias("text"), how.alias("how"))
+
+
+def property_styles(g: DataFrame, by_namespace: list[tuple[str, str]], by_kind: list[tuple[str, str]], default: str = "#CCCCCC") -> DataFrame:
+    """``uri, style, how`` of the properties: the style of the first namespace that fits, else of the first listed type that the property has, else the default."""
+    spaced = F.lit(None).cast("string")
+    for ns, style in reversed(by_namespace):
+        spaced = F.when(F.col("uri").startswith(ns), style).otherwise(spaced)
+    has = F.lit(None).cast("int")
+    for k, (kind, _) in reversed(list(enumerate(by_kind))):
+        has = F.when(F.col("o") == kind, k).otherwise(has)
+    typed = g.where((F.col("p") == v.TYPE) & (F.col("s_kind") == "iri")).groupBy(F.col("s").alias("uri")).agg(F.max(F.col("o").isin(v.PROPERTY_TYPES)).alias("is"), F.min(has).alias("k")).where("is")
+    of_kind = F.get(F.array(*[F.lit(s) for _, s in by_kind]), F.col("k")) if by_kind else F.lit(None).cast("string")
+    how = F.when(spaced.isNotNull(), "namespace").when(of_kind.isNotNull(), "type").otherwise("default")
+    return typed.select("uri", F.coalesce(spaced, of_kind, F.lit(default)).alias("style"), how.alias("how"))
+
+
+def link(shown, path):
+    """A Markdown link."""
+    return F.concat(F.lit("["), shown, F.lit("]("), path, F.lit(")"))
+
+
+def front_matter(**fields):
+    """The lines between ``---`` that begin a page: a column for each name, an array as a list."""
+    lines = [F.lit("---")]
+    for name, (value, many) in fields.items():
+        lines.append(F.array_join(F.concat(F.array(F.lit(f"{name}:")), F.transform(value, lambda x: F.concat(F.lit("  - "), x))), "\n") if many else F.concat(F.lit(f"{name}: "), value))
+    return F.concat(F.array_join(F.array(*lines, F.lit("---")), "\n"), F.lit("\n"))
+
+
+def index_lines(g: DataFrame, prefixes: dict[str, str], include: list[str] | None = None, cut: int = 100) -> DataFrame:
+    """``uri, kind, line``: each entity as an entry of the index, a link to its page with its label or else its qualified name.
+
+    The definition follows, if it isn't empty; one of over ``cut`` characters is cut and marked.
+    """
+    found = files(g, prefixes, include)
+    told = describe.labels(g).withColumn("definition", F.when(F.length("definition") > cut, F.concat(F.substring("definition", 1, cut), F.lit("..."))).otherwise(F.col("definition")))
+    shown = F.coalesce(F.when(F.col("label") != "", F.col("label")), terms.qname(F.col("uri"), prefixes))
+    desc = F.when(F.col("definition") != "", F.concat(F.lit(" — "), "definition")).otherwise("")
+    return found.join(told, "uri", "left").select("uri", "kind", F.concat(F.lit("- "), link(shown, F.col("path")), desc).alias("line"))
+
+
+def class_pages(g: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """``uri, path, page``: a page for each class with front matter (title, type and, where there are any, its parents) and its superclasses as links."""
+    q = lambda x: terms.qname(x, prefixes)
+    to = lambda x: F.concat(F.lit(v.FOLDERS["class"] + "/"), terms.file_name(q(x)), F.lit(".md"))
+    parents = F.when(F.col("supers") == "", F.expr("CAST(array() AS array<string>)")).otherwise(F.split("supers", " "))
+    c = class_records(g).withColumn("parents", parents)
+    head = F.when(F.size("parents") > 0, front_matter(title=(F.col("label"), False), type=(F.lit("class"), False), parents=(F.transform("parents", q), True))).otherwise(front_matter(title=(F.col("label"), False), type=(F.lit("class"), False)))
+    body = F.concat(F.lit("\n# "), "label", F.lit("\n\n**URI:** `"), "uri", F.lit("`\n"), F.when(F.col("definition") != "", F.concat(F.lit("\n"), "definition", F.lit("\n"))).otherwise(""))
+    above = F.when(F.size("parents") > 0, F.concat(F.lit("\n## Superclasses\n\n"), F.array_join(F.transform("parents", lambda x: F.concat(F.lit("- "), link(q(x), to(x)))), "\n"), F.lit("\n"))).otherwise("")
+    return c.select("uri", to(F.col("uri")).alias("path"), F.concat(head, body, above).alias("page"))

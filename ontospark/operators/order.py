@@ -33,6 +33,45 @@ def lines(g: DataFrame, prefixes: dict[str, str], first: list[str] = (v.SUBCLASS
     return own.select("subject", F.posexplode("lines").alias("ord", "x")).select("subject", (F.col("ord") + 1).cast("long").alias("ord"), "x.line")
 
 
+def effective_orders(profile: dict | None, general: dict | None) -> dict | None:
+    """The predicate orders that count: a profile's own if any of its lists has an entry, else the general ones if any has, else none.
+
+    Orders give (first, last), lists of IRIs, for ``classes``, ``properties``, ``individuals`` and ``default``.
+    """
+    for orders in (profile, general):
+        if any(first or last for first, last in (orders or {}).values()):
+            return orders
+    return None
+
+
+def lines_by_kind(g: DataFrame, prefixes: dict[str, str], orders: dict | None) -> DataFrame:
+    """``subject, kind, ord, line``: the lines of ``lines`` with an order of predicates for each kind of subject.
+
+    A subject typed as a class is one, else a property if typed as one, else an individual; a kind without lists of its own has the default's.
+    The type comes first in any order, a predicate in both lists counts as one of the first, all others are between by their names.
+    """
+    objects = F.array_join(F.array_sort(F.collect_set(terms.turtle(F.col("o"), F.col("o_kind"), F.col("o_dt"), F.col("o_lang"), prefixes))), ", ")
+    typed = lambda types: F.max((F.col("p") == v.TYPE) & F.col("o").isin(types))
+    each = g.groupBy("s", "s_kind", "p").agg(objects.alias("objects"), typed(v.CLASS_TYPES).alias("is_class"), typed(v.PROPERTY_TYPES).alias("is_property"))
+    q = F.when(F.col("p") == v.TYPE, "a").otherwise(terms.qname(F.col("p"), prefixes))
+    subject = F.when(F.col("s_kind") == "bnode", F.concat(F.lit("_:"), "s")).otherwise(terms.qname(F.col("s"), prefixes))
+    kind = F.when(F.max("is_class"), "classes").when(F.max("is_property"), "properties").otherwise("individuals")
+    own = each.groupBy("s").agg(F.min(subject).alias("subject"), kind.alias("kind"), F.collect_list(F.struct("p", q.alias("q"), F.concat(q, F.lit(" "), "objects").alias("line"))).alias("lines"))
+    lists, nothing = orders or {}, ([], [])
+
+    def place(p: Column) -> Column:
+        default = lists.get("default", nothing)
+        out = predicate_place(p, *default)
+        for name in ("classes", "properties", "individuals"):
+            mine = lists.get(name, nothing)
+            if mine[0] or mine[1]:
+                out = F.when(F.col("kind") == name, predicate_place(p, *mine)).otherwise(out)
+        return out
+
+    ordered = F.array_sort(F.transform("lines", lambda x: F.struct(place(x["p"]).alias("place"), x["q"].alias("q"), x["line"].alias("line"))))
+    return own.select("subject", "kind", F.posexplode(ordered).alias("ord", "x")).select("subject", "kind", (F.col("ord") + 1).cast("long").alias("ord"), "x.line")
+
+
 def blocks(g: DataFrame, prefixes: dict[str, str]) -> DataFrame:
     """``subject, block``: a subject's lines as one Turtle statement."""
     each = lines(g, prefixes)

@@ -119,6 +119,15 @@ def data_modules(g: DataFrame, assigned: DataFrame) -> DataFrame:
     return g.select(*TERM).join(homes, "s")
 
 
+def unmatched(assigned: DataFrame, common: str = "common", shown: int = 5) -> DataFrame:
+    """``n, error`` for a split that must have no rest: how many entities no module takes, and the first by URI. No row if there are none."""
+    rest = assigned.where(F.col("module") == common)
+    first = rest.orderBy("uri").limit(shown).agg(F.array_join(F.array_sort(F.collect_list("uri")), ", ").alias("first"))
+    one = rest.agg(F.count("*").alias("n")).join(F.broadcast(first)).where("n > 0")  # one row each
+    more = F.when(F.col("n") > shown, "...").otherwise("")
+    return one.select("n", F.concat(F.lit("Unmatched entities ("), F.col("n").cast("string"), F.lit("): "), "first", more).alias("error"))
+
+
 def write(triples: DataFrame, path: str) -> None:
     """One folder a module."""
     triples.write.partitionBy("module").parquet(path)

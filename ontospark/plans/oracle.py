@@ -738,3 +738,40 @@ _subject = "CASE s_kind WHEN 'bnode' THEN '_:' || s ELSE '<' || s || '>' END"
 _object = f"CASE o_kind WHEN 'iri' THEN '<' || o || '>' WHEN 'bnode' THEN '_:' || o ELSE '\"' || {_esc} || '\"' || CASE WHEN o_lang <> '' THEN '@' || o_lang WHEN o_dt <> '' THEN '^^<' || o_dt || '>' ELSE '' END END"
 sql("line_numbers", f"""ln AS (SELECT s, s_kind, substr(md5(s), 1, 1) AS part, row_number() OVER (PARTITION BY substr(md5(s), 1, 1) ORDER BY {_subject} || ' <' || p || '> ' || {_object} || ' .') AS line FROM g)
 SELECT s AS uri, part, min(line) AS line FROM ln WHERE s_kind = 'iri' AND s IN (SELECT uri FROM ci UNION SELECT uri FROM q) GROUP BY s, part""")
+
+# predicate orders by kind, styles, pages, functions of terms, verdict
+_pl = lambda first, last: f"CASE p WHEN '{v.TYPE}' THEN -1 " + " ".join(f"WHEN '{p}' THEN {k}" for k, p in [*enumerate(first), *enumerate(last, 20000)]) + " ELSE 10000 END"
+sql("turtle_lines_by_kind", f"""ku AS (SELECT DISTINCT s, CASE WHEN s IN (SELECT uri FROM c) THEN 'classes' WHEN s IN (SELECT uri FROM q) THEN 'properties' ELSE 'individuals' END AS kind FROM g),
+tk AS (SELECT s, s_kind, kind, {_pp} AS pp, CASE kind WHEN 'classes' THEN {_pl([v.SUBCLASS, v.LABEL], [v.COMMENT])} WHEN 'properties' THEN {_pl([v.DOMAIN, v.RANGE], [v.SUBPROPERTY])} ELSE {_pl([EX + "totalPrice"], [v.LABEL])} END AS place,
+string_agg(DISTINCT {_fmt}, ', ' ORDER BY {_fmt}) AS objects FROM g JOIN ku USING (s) GROUP BY ALL)
+SELECT CASE WHEN s_kind = 'bnode' THEN '_:' || s ELSE {qname("s")} END AS subject, kind, row_number() OVER (PARTITION BY s ORDER BY place, pp) AS ord, pp || ' ' || objects AS line FROM tk""")
+_ni = ORACLE_SQL["sel_named_individuals"][ORACLE_SQL["sel_named_individuals"].rindex("SELECT DISTINCT s AS uri") :]
+sql("uml_instance_styles", f"""ty AS (SELECT * FROM (VALUES ('{EX}EventType_click', 'lime'), ('{v.OWL}NamedIndividual', 'pink')) AS t(class, own)),
+gv AS (SELECT * FROM (VALUES ('{EX}Region_1', 'blue'), ('{EX}Nation_3', 'red'), ('{EX}Entity', 'grey'), ('{EX}EventType_click', 'olive')) AS t(dst, style)),
+dd AS (SELECT src, dst, 1 AS k FROM e UNION SELECT dd.src, e.dst, k + 1 FROM dd JOIN e ON dd.dst = e.src WHERE k < 12), dm AS (SELECT src, dst, min(k) AS k FROM dd WHERE src <> dst GROUP BY src, dst),
+ab AS (SELECT src AS class, style AS above FROM dm JOIN gv USING (dst) QUALIFY row_number() OVER (PARTITION BY src ORDER BY k, dst) = 1),
+ft AS (SELECT s AS uri, min(o) AS class FROM g WHERE p = '{v.TYPE}' AND o_kind = 'iri' AND o NOT IN {_in(*CLASS_TYPES, *PROPERTY_TYPES)} GROUP BY s), ni AS ({_ni})
+SELECT ni.uri, coalesce(own, above, 'black') AS style, CASE WHEN own IS NULL AND above IS NOT NULL THEN above WHEN ft.class IS NOT NULL THEN coalesce(gv.style, above, CASE WHEN starts_with(ft.class, '{EX}type_') THEN 'green' END, 'white') END AS text,
+CASE WHEN own IS NOT NULL THEN 'type' WHEN above IS NOT NULL THEN 'inherited' ELSE 'default' END AS how
+FROM ni LEFT JOIN ft ON ft.uri = ni.uri LEFT JOIN ty ON ty.class = ft.class LEFT JOIN ab ON ab.class = ft.class LEFT JOIN gv ON gv.dst = ft.class""")
+_ps = f"CASE WHEN starts_with(uri, '{EX}supplies_1') THEN 'namespace' WHEN f OR a OR b THEN 'type' ELSE 'default' END"
+sql("uml_property_styles", f"""qi AS (SELECT s AS uri, bool_or(o = '{v.OWL}FunctionalProperty') AS f, bool_or(o = '{v.OBJECT_PROPERTY}') AS a, bool_or(o = '{v.DATATYPE_PROPERTY}') AS b FROM g WHERE p = '{v.TYPE}' AND s_kind = 'iri' AND s IN (SELECT uri FROM q) GROUP BY s)
+SELECT uri, CASE {_ps} WHEN 'namespace' THEN 'orange' WHEN 'default' THEN '#CCCCCC' ELSE CASE WHEN f THEN 'teal' WHEN a THEN 'navy' ELSE 'gold' END END AS style, {_ps} AS how FROM qi""")
+_df = ORACLE_SQL["docs_files"][ORACLE_SQL["docs_files"].index("x AS (SELECT 1) ") + 16 :]
+sql("docs_index", f"""{BEST}, df AS ({_df}) SELECT df.uri, kind, '- [' || coalesce(nullif(bl.x, ''), {qname('df.uri')}) || '](' || path || ')' || CASE WHEN coalesce(bd.x, '') = '' THEN '' WHEN length(bd.x) > 100 THEN ' — ' || substr(bd.x, 1, 100) || '...' ELSE ' — ' || bd.x END AS line
+FROM df LEFT JOIN bl ON bl.uri = df.uri LEFT JOIN bd ON bd.uri = df.uri""")
+_nl = "chr(10)"
+_to = lambda x: _file("classes").replace(qname("uri"), qname(x))
+_ls = lambda f: f"array_to_string(list_transform(string_split(supers, ' '), lambda y: {f}), {_nl})"
+sql("docs_class_pages", f"""{DOCC} SELECT uri, {_file('classes')} AS path, '---' || {_nl} || 'title: ' || label || {_nl} || 'type: class' || {_nl} || CASE WHEN supers = '' THEN '' ELSE 'parents:' || {_nl} || {_ls("'  - ' || " + qname('y'))} || {_nl} END || '---' || {_nl} || {_nl} || '# ' || label || {_nl} || {_nl} || '**URI:** `' || uri || '`' || {_nl}
+|| CASE WHEN coalesce(definition, '') = '' THEN '' ELSE {_nl} || definition || {_nl} END || CASE WHEN supers = '' THEN '' ELSE {_nl} || '## Superclasses' || {_nl} || {_nl} || {_ls("'- [' || " + qname('y') + " || '](' || " + _to('y') + " || ')'")} || {_nl} END AS page FROM dc""")
+_some = lambda m, w: f"CASE WHEN {m} > 0 THEN CAST({m} AS VARCHAR) || ' {w}' END"
+_m = lambda *names: f"(SELECT CAST(sum(n) AS BIGINT) FROM me WHERE metric IN {_in(*names)})"
+sql("describe_verdict", f"""me AS MATERIALIZED ({ORACLE_SQL['describe_metrics']}), po AS ({ORACLE_SQL['owl_profile_text']}), im AS (SELECT count(DISTINCT o) AS n FROM g WHERE p = '{v.OWL}imports'),
+vs AS (SELECT {_m('total_triples')} AS t, {_m('classes')} AS a, {_m('object_properties', 'datatype_properties', 'annotation_properties', 'rdf_properties')} AS b, {_m('individuals')} AS i)
+SELECT concat_ws(' | ', display, concat_ws(', ', CAST(t AS VARCHAR) || ' triples', {_some('a', 'classes')}, {_some('b', 'properties')}, {_some('i', 'individuals')}), {_some('im.n', 'imports')}) AS verdict FROM po, vs, im""")
+ORACLE_SQL["split_unmatched"] = f"WITH u AS (SELECT uri FROM ({ORACLE_SQL['split_assign']}) WHERE module = 'common') SELECT count(*) AS n, 'Unmatched entities (' || count(*) || '): ' || (SELECT string_agg(uri, ', ' ORDER BY uri) FROM (SELECT uri FROM u ORDER BY uri LIMIT 5)) || CASE WHEN count(*) > 5 THEN '...' ELSE '' END AS error FROM u HAVING count(*) > 0"
+_num = f"CASE WHEN o_dt IN {_in(*(v.XSD + x for x in ('integer', 'decimal', 'float', 'double', 'nonNegativeInteger', 'positiveInteger', 'long', 'int')))} THEN TRY_CAST(o AS DOUBLE) END"
+sql("bgp_functions", f"""lf AS (SELECT CASE WHEN o_lang <> '' THEN '{v.RDF}langString' WHEN o_dt <> '' THEN o_dt ELSE '{v.XSD}string' END AS datatype, CAST(lower(o_lang) = 'en' OR starts_with(lower(o_lang), 'en-') AS INT) AS english, {_num} AS x,
+CASE WHEN contains(o, ' ') THEN split_part(o, ' ', 1) ELSE '' END AS before, CASE WHEN contains(o, ' ') THEN substr(o, instr(o, ' ') + 1) ELSE '' END AS after, url_encode(substr(o, 1, 20)) AS code FROM g WHERE o_kind = 'literal')
+SELECT datatype, english, count(*) AS n, count(x) AS n_numbers, CAST(coalesce(sum(floor(x + 0.5)), 0) AS BIGINT) AS rounded, min(abs(x)) AS least, max(x) AS most, max(before) AS last_before, CAST(sum(length(after)) AS BIGINT) AS after_chars, max(code) AS last_code, count(DISTINCT code) AS codes FROM lf GROUP BY datatype, english""")

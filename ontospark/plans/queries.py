@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import terms
+from ..functions import terms, values
 from ..functions import vocab as v
 from ..operators import closure, describe, diff, docs, lint, localise, mentions, merge, model, nested, order, patterns, refactor, rules, select, shacl, spaces, split, stats, validate
 from ..sources import model as diagrams
@@ -1012,3 +1012,47 @@ def line_numbers(g):
 
 
 QUERIES |= {f.__name__: f for f in (mentions_many, namespaces_longest, namespaces_first)}
+
+
+# --- predicate orders by kind, styles, pages, functions of terms, verdict
+
+ORDERS = {"classes": ([v.SUBCLASS, v.LABEL], [v.COMMENT]), "properties": ([v.DOMAIN, v.RANGE], [v.TYPE, v.SUBPROPERTY]), "default": ([EX + "totalPrice"], [v.LABEL])}
+
+
+@query
+def turtle_lines_by_kind(g):
+    """The profile has no list of its own, so the general orders count."""
+    return order.lines_by_kind(g, PREFIXES, order.effective_orders({"classes": ([], [])}, ORDERS))
+
+
+@query
+def uml_instance_styles(g):
+    by_type = few(g, f"('{EX}EventType_click', 'lime'), ('{v.NAMED_INDIVIDUAL}', 'pink')", "uri, style")
+    by_class = few(g, f"('{EX}Region_1', 'blue'), ('{EX}Nation_3', 'red'), ('{EX}Entity', 'grey'), ('{EX}EventType_click', 'olive')", "uri, style")
+    return docs.instance_styles(g, by_type, by_class, [(EX + "type_", "green")], "black", "white", True)
+
+
+@query
+def uml_property_styles(g):
+    return docs.property_styles(g, [(EX + "supplies_1", "orange")], [(v.FUNCTIONAL, "teal"), (v.OBJECT_PROPERTY, "navy"), (v.DATATYPE_PROPERTY, "gold")])
+
+
+uris("docs_index", lambda g: docs.index_lines(g, PREFIXES))
+uris("docs_class_pages", lambda g: docs.class_pages(g, PREFIXES))
+uris("describe_verdict", describe.verdict)
+uris("split_unmatched", lambda g: split.unmatched(written(split.assign(g, MODULES))))
+
+
+@query
+def bgp_functions(g):
+    """Functions of literals: datatype, language range, numbers and their rounding, parts of texts, codes for URIs."""
+    o, dt = F.col("o"), F.col("o_dt")
+    x = values.number(o, F.col("o_kind"), dt)
+    rows = g.where("o_kind = 'literal'").select(
+        values.datatype(F.col("o_kind"), dt, F.col("o_lang")).alias("datatype"), values.lang_matches(F.col("o_lang"), "EN").alias("english"), x.alias("x"),
+        values.before(o, " ").alias("before"), values.after(o, " ").alias("after"), values.encode_for_uri(F.substring(o, 1, 20)).alias("code"),
+    )
+    return rows.groupBy("datatype", F.col("english").cast("int").alias("english")).agg(
+        F.count("*").alias("n"), F.count("x").alias("n_numbers"), F.coalesce(F.sum(values.round_up(F.col("x"))), F.lit(0)).alias("rounded"), F.min(F.abs("x")).alias("least"), F.max("x").alias("most"),
+        F.max("before").alias("last_before"), F.sum(F.length("after")).alias("after_chars"), F.max("code").alias("last_code"), F.count_distinct("code").alias("codes"),
+    )

@@ -209,7 +209,9 @@ def instance_styles(g: DataFrame, by_type: DataFrame, by_class: DataFrame, by_na
     """
     first = g.where((F.col("p") == v.TYPE) & (F.col("o_kind") == "iri") & ~F.col("o").isin([*v.CLASS_TYPES, *v.PROPERTY_TYPES])).groupBy(F.col("s").alias("uri")).agg(F.min("o").alias("class"))
     marks = by_class.select(F.col("uri").alias("mark"), F.col("style").alias("above"))
-    above = closure.nearest(select.edges(g), by_class).where("dist > 0").join(marks, "mark").select(F.col("uri").alias("class"), "above")
+    # one step up, then the nearest from there: a style of the type itself doesn't count, unless a cycle leads back to it
+    near = closure.nearest(select.edges(g), by_class).select(F.col("uri").alias("dst"), "dist", "mark")
+    above = select.edges(g).join(near, "dst").groupBy(F.col("src").alias("class")).agg(F.min_by("mark", F.struct("dist", "mark")).alias("mark")).join(marks, "mark").select("class", "above")
     rows = select.named_individuals(g).join(first, "uri", "left")
     for params, name in ((by_type, "own"), (by_class, "as_class")):
         rows = rows.join(params.select(F.col("uri").alias("class"), F.col("style").alias(name)), "class", "left")

@@ -747,8 +747,8 @@ string_agg(DISTINCT {_fmt}, ', ' ORDER BY {_fmt}) AS objects FROM g JOIN ku USIN
 SELECT CASE WHEN s_kind = 'bnode' THEN '_:' || s ELSE {qname("s")} END AS subject, kind, row_number() OVER (PARTITION BY s ORDER BY place, pp) AS ord, pp || ' ' || objects AS line FROM tk""")
 _ni = ORACLE_SQL["sel_named_individuals"][ORACLE_SQL["sel_named_individuals"].rindex("SELECT DISTINCT s AS uri") :]
 sql("uml_instance_styles", f"""ty AS (SELECT * FROM (VALUES ('{EX}EventType_click', 'lime'), ('{v.OWL}NamedIndividual', 'pink')) AS t(class, own)),
-gv AS (SELECT * FROM (VALUES ('{EX}Region_1', 'blue'), ('{EX}Nation_3', 'red'), ('{EX}Entity', 'grey'), ('{EX}EventType_click', 'olive')) AS t(dst, style)),
-dd AS (SELECT src, dst, 1 AS k FROM e UNION SELECT dd.src, e.dst, k + 1 FROM dd JOIN e ON dd.dst = e.src WHERE k < 12), dm AS (SELECT src, dst, min(k) AS k FROM dd WHERE src <> dst GROUP BY src, dst),
+gv AS (SELECT * FROM (VALUES ('{EX}Region_1', 'blue'), ('{EX}Nation_3', 'red'), ('{EX}Entity', 'grey'), ('{EX}EventType_click', 'olive'), ('{EX}type_LARGE', 'cyan'), ('{EX}type_ECONOMY', 'plum')) AS t(dst, style)),
+dd AS (SELECT src, dst, 1 AS k FROM e UNION SELECT dd.src, e.dst, k + 1 FROM dd JOIN e ON dd.dst = e.src WHERE k < 12), dm AS (SELECT src, dst, min(k) AS k FROM dd GROUP BY src, dst),
 ab AS (SELECT src AS class, style AS above FROM dm JOIN gv USING (dst) QUALIFY row_number() OVER (PARTITION BY src ORDER BY k, dst) = 1),
 ft AS (SELECT s AS uri, min(o) AS class FROM g WHERE p = '{v.TYPE}' AND o_kind = 'iri' AND o NOT IN {_in(*CLASS_TYPES, *PROPERTY_TYPES)} GROUP BY s), ni AS ({_ni})
 SELECT ni.uri, coalesce(own, above, 'black') AS style, CASE WHEN own IS NULL AND above IS NOT NULL THEN above WHEN ft.class IS NOT NULL THEN coalesce(gv.style, above, CASE WHEN starts_with(ft.class, '{EX}type_') THEN 'green' END, 'white') END AS text,

@@ -1028,7 +1028,7 @@ def turtle_lines_by_kind(g):
 @query
 def uml_instance_styles(g):
     by_type = few(g, f"('{EX}EventType_click', 'lime'), ('{v.NAMED_INDIVIDUAL}', 'pink')", "uri, style")
-    by_class = few(g, f"('{EX}Region_1', 'blue'), ('{EX}Nation_3', 'red'), ('{EX}Entity', 'grey'), ('{EX}EventType_click', 'olive')", "uri, style")
+    by_class = few(g, f"('{EX}Region_1', 'blue'), ('{EX}Nation_3', 'red'), ('{EX}Entity', 'grey'), ('{EX}EventType_click', 'olive'), ('{EX}type_LARGE', 'cyan'), ('{EX}type_ECONOMY', 'plum')", "uri, style")
     return docs.instance_styles(g, by_type, by_class, [(EX + "type_", "green")], "black", "white", True)
 
 

@@ -2,10 +2,11 @@
 
 A rule has patterns (s, p, o) of IRIs, literals (``"text``) and ``?variables``, which must agree wherever they occur; templates of the same form, in
 which an object may also be a ``Made`` literal; and the places of the patterns whose triples go. Rules apply in order, each to what the rules
-before it left, and each rule's graph is written, so a lost executor costs tasks of one rule.
+before it left. The graph itself is never written: a table of the triples that have come or gone so far stands beside it, so a rule costs what it
+matches and changes, and a lost executor costs tasks of one rule.
 
 Defined cases: a template whose variable isn't in the patterns is an error; a literal that comes out null, and a literal as a subject or a predicate, make no
-triple; triples are a set, so what is made twice or is there already counts once as a triple; an empty graph gives an empty one and counts of 0.
+triple; a literal of a pattern matches any datatype and language, and the triples it matched go; triples are a set, so what is made twice or is there already counts once as a triple; an empty graph gives an empty one and counts of 0.
 """
 
 from __future__ import annotations
@@ -79,11 +80,31 @@ def _triples(answers: DataFrame, templates: list[tuple[str, str, str | Made]]) -
     return rows.select(F.col("x.s.v").alias("s"), F.col("x.s.kind").alias("s_kind"), F.col("x.p.v").alias("p"), F.col("x.o.v").alias("o"), F.col("x.o.kind").alias("o_kind"), F.col("x.o.dt").alias("o_dt"), F.col("x.o.lang").alias("o_lang")).distinct()
 
 
+def _went(now: DataFrame, answers: DataFrame, pattern: tuple[str, str, str]) -> DataFrame:
+    """The triples that a pattern matched; a literal of a pattern has any datatype and language, so these are looked up."""
+    rows, object_ = _triples(answers, [pattern]), pattern[2]
+    if not object_.startswith('"'):
+        return rows
+    same = now.where((F.col("o") == object_[1:]) & (F.col("o_kind") == "literal"))
+    if not pattern[1].startswith("?"):
+        same = same.where(F.col("p") == pattern[1])
+    return same.join(rows.select("s", "s_kind", "p"), ["s", "s_kind", "p"], "left_semi").select(*TERM)
+
+
+def _changed(g: DataFrame, changed: DataFrame | None) -> DataFrame:
+    """The graph with the changes so far (``TERM, there``, one row a triple). A filter on ``p`` reaches both tables."""
+    if changed is None:
+        return g
+    return g.join(changed.select(*TERM), TERM, "left_anti").unionByName(changed.where("there").select(*TERM))
+
+
 def apply(g: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
     """The graph after all rules, and ``place, rule, matched, removed, made``: answers, triples that went and triples that came, rule by rule."""
     g, counts = g.select(*TERM).distinct(), []
+    changed: DataFrame | None = None
     for place, rule in enumerate(rules):
-        answers = reduce(patterns.joined, (_pattern(g, *x) for x in rule.where))
+        now = _changed(g, changed)
+        answers = reduce(patterns.joined, (_pattern(now, *x) for x in rule.where))
         unbound = {x[1:] for t in rule.make for x in t if isinstance(x, str) and x.startswith("?")} - set(answers.columns)
         if unbound:
             raise ValueError(f"rule {rule.name!r} has unbound variables {sorted(unbound)}")
@@ -91,17 +112,20 @@ def apply(g: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
             answers = answers.where(rule.only({c: F.col(f"`{c}`.v") for c in answers.columns}))
         answers = written(answers, "answers")
         gone = [rule.where[i] for i in (range(len(rule.where)) if rule.gone is None else rule.gone)]
-        went = written(_triples(answers, gone).join(g, TERM, "left_semi"), "gone") if gone else None
+        went = written(reduce(DataFrame.unionByName, (_went(now, answers, x) for x in gone)).distinct(), "gone") if gone else None
         came = written(_triples(answers, rule.make), "made") if rule.make else None
-        left = g if went is None else g.join(went, TERM, "left_anti")
-        g = written(left if came is None else left.unionByName(came).distinct(), "graph")
+        parts = [df.withColumn("there", F.lit(there)) for df, there in ((went, False), (came, True)) if df is not None]
+        if parts:
+            # the last change of a triple counts, and what a rule makes stays though it also removes it
+            own = reduce(DataFrame.unionByName, parts).groupBy(*TERM).agg(F.max("there").alias("there"))
+            changed = written(own if changed is None else changed.join(own, TERM, "left_anti").unionByName(own), "changed")
         n = lambda df: F.lit(0).cast("bigint") if df is None else F.count("*")
         row = answers.agg(F.count("*").alias("matched"))
         for name, df in (("removed", went), ("made", came)):
             row = row.crossJoin(F.broadcast((answers if df is None else df).agg(n(df).alias(name))))  # one row each
         counts.append(row.select(F.lit(place).alias("place"), F.lit(rule.name).alias("rule"), "matched", "removed", "made"))
     none = g.sparkSession.createDataFrame([], "place int, rule string, matched bigint, removed bigint, made bigint")
-    return g, reduce(DataFrame.unionByName, counts, none)
+    return _changed(g, changed), reduce(DataFrame.unionByName, counts, none)
 
 
 def migrate(sources: list[tuple[str, DataFrame]], spaces: DataFrame | None = None, mapping: DataFrame | None = None, rules: list[Rule] = ()) -> tuple[DataFrame, DataFrame]:

@@ -80,6 +80,13 @@ def test_rules_in_order(spark):
         rules.apply(g, [rules.Rule("bad", [("?x", EX + "knows", "?y")], [("?x", EX + "p", "?w")])])
     empty, none = rules.apply(g.where("false"), [two])
     assert empty.count() == 0 and none.first().matched == 0
+    typed = g.unionByName(g.where("o = 'Bob'").withColumn("o_dt", F.lit(v.XSD + "string"))).unionByName(g.where("o = 'Bob'").withColumn("o_lang", F.lit("en")))
+    kept, counts = rules.apply(typed, [rules.Rule("any literal", [("?x", EX + "name", '"Bob')], [("?x", EX + "name", '"Bob')])])
+    assert [tuple(r)[2:] for r in counts.collect()] == [(3, 3, 1)]
+    assert [(r.o_dt, r.o_lang) for r in kept.where("o = 'Bob'").collect()] == [("", "")]
+    again = rules.Rule("again", [("?x", EX + "far", "?z")], [("?x", EX + "knows", "?z")])
+    last, _ = rules.apply(g, [rules.Rule("knows", [("?x", EX + "knows", "?z")], [("?x", EX + "far", "?z")]), again])
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, g.collect()))
     moved, _ = rules.migrate([("one", g), ("two", g.limit(0))], spark.createDataFrame([(EX, "n:", 0)], "ns string, value string, place int"), spark.createDataFrame([("n:a", "n:A")], "old string, new string"))
     assert {(r.s, r.p, r.source) for r in moved.where("o = 'n:b'").collect()} == {("n:A", "n:knows", "one")}
 
@@ -97,6 +104,24 @@ def test_nested_nodes(spark):
     assert nested.blocks(g.where("false"), {"e": EX}).count() == 0
 
 
+def test_nested_in_depth_and_in_circles(spark):
+    """A list of 40 cells takes few rounds; a ring keeps labels, what hangs from it is nested."""
+    cells = [x for i in range(40) for x in ((f"_:c{i}", v.FIRST, f'"{i}'), (f"_:c{i}", v.REST, f"_:c{i + 1}" if i < 39 else v.NIL))]
+    ring = [("_:r1", "p", "_:r2"), ("_:r2", "p", "_:r3"), ("_:r3", "p", "_:r1"), ("_:r2", "q", "_:leaf"), ("_:leaf", "p", '"deep')]
+    g = graph_of(spark, [("s", "list", "_:c0"), *cells, *ring, ("t", "p", "_:gone")])
+    got = {r.subject: (r.nested, r.block) for r in nested.blocks(g, {"e": EX, "rdf": v.RDF}).collect()}
+    assert set(got) == {"e:s", "e:t", "_:r1", "_:r2", "_:r3"}
+    text = "rdf:nil"
+    for i in reversed(range(40)):
+        body = "".join(f'rdf:{p} {o}' + (" ;\n    " if p == "first" else "") for p, o in (("first", f'"{i}"'), ("rest", text)))
+        text = "[\n    " + body + "\n]"
+        text = text.replace("\n", "\n    ")
+    assert got["e:s"] == (1, f"e:s e:list {text} .")
+    assert got["e:t"] == (1, "e:t e:p [\n    ] .")
+    assert got["_:r1"] == (0, "_:r1 e:p _:r2 .")
+    assert got["_:r2"] == (1, '_:r2 e:p _:r3 ;\n    e:q [\n        e:p "deep"\n    ] .')
+
+
 def test_line_numbers_in_many_splits(spark, tmp_path):
     rng = random.Random(0)
     files = {"a.ttl": [f"ex:s{rng.randrange(40)} ex:p <{EX}o{rng.randrange(60)}> ." for _ in range(500)] + [f"  <{EX}s3> a ex:T .", "", "ex:last"], "b.ttl": ["# only a comment on ex:s1"]}

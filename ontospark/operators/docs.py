@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms
@@ -274,3 +274,64 @@ def class_pages(g: DataFrame, prefixes: dict[str, str]) -> DataFrame:
     body = F.concat(F.lit("\n# "), "label", F.lit("\n\n**URI:** `"), "uri", F.lit("`\n"), F.when(F.col("definition") != "", F.concat(F.lit("\n"), "definition", F.lit("\n"))).otherwise(""))
     above = F.when(F.size("parents") > 0, F.concat(F.lit("\n## Superclasses\n\n"), F.array_join(F.transform("parents", lambda x: F.concat(F.lit("- "), link(q(x), to(x)))), "\n"), F.lit("\n"))).otherwise("")
     return c.select("uri", to(F.col("uri")).alias("path"), F.concat(head, body, above).alias("page"))
+
+
+#: The directions of a diagram that have a directive, by the names that a layout may give them.
+DIRECTIONS = {
+    "top_to_bottom": "top to bottom direction", "ttb": "top to bottom direction", "tb": "top to bottom direction",
+    "left_to_right": "left to right direction", "ltr": "left to right direction", "lr": "left to right direction",
+}
+#: Other names of directions, which have no directive; an unknown name means top to bottom.
+UNSUPPORTED = ["bottom_to_top", "btt", "bt", "right_to_left", "rtl", "rl"]
+#: How lines may run, and where arrows of hierarchies may point.
+LINE_TYPES, ARROWS = ["ortho", "polyline", "spline"], ["up", "down", "left", "right"]
+
+
+def directives(direction: str = "top_to_bottom", hide_empty: bool = False, line_type: str | None = None, group_inheritance: int = 0, spacing: dict[str, object] | None = None) -> list[str]:
+    """The lines at the head of a diagram; an unknown line type has none."""
+    name = direction.lower()
+    out = [] if name in UNSUPPORTED else [DIRECTIONS.get(name, DIRECTIONS["ttb"])]
+    out += ["hide empty members"] if hide_empty else []
+    out += [f"skinparam linetype {line_type.lower()}"] if line_type and line_type.lower() in LINE_TYPES else []
+    out += [f"skinparam groupInheritance {group_inheritance}"] if group_inheritance > 0 else []
+    return out + [f"skinparam {k} {x}" for k, x in (spacing or {}).items()]
+
+
+def arrow(kind: Column, direction: str = "up", shown: bool = True) -> Column:
+    """The arrow of a link: hierarchies (``subclass``, ``instance``) point ``direction``, upward if that is unknown."""
+    way = direction.lower() if direction.lower() in ARROWS else "up"
+    return F.when(F.lit(not shown), "--").when(kind.isin("subclass", "instance"), f"-{way}-|>").otherwise("->")
+
+
+def _dotted(uri: Column, prefixes: dict[str, str]) -> Column:
+    return F.replace(terms.qname(uri, prefixes), F.lit(":"), F.lit("."))
+
+
+def together(groups: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """``group, part, line`` for ``group, uri``: classes to place side by side, as the lines of a block (part 0, its members, part 2).
+
+    Lines stay rows, so no group is gathered. A class counts once in a group; null groups and null classes make none.
+    """
+    rows = groups.where("group IS NOT NULL AND uri IS NOT NULL").select("group", "uri").distinct()
+    inner = rows.select("group", F.lit(1).alias("part"), F.concat(F.lit("  class "), _dotted(F.col("uri"), prefixes)).alias("line"))
+    ends = rows.select("group").distinct().select("group", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit("together {").alias("line")), F.struct(F.lit(2).alias("part"), F.lit("}").alias("line")))).alias("x"))
+    return inner.unionByName(ends.select("group", "x.part", "x.line"))
+
+
+def hidden_links(hints: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """``line`` for ``src, dst, direction, weight``: as many hidden links as the weight says (null: one; below one: none), with a direction if there is one."""
+    way = F.when(F.col("direction").isNull() | (F.col("direction") == ""), "-[hidden]->").otherwise(F.concat(F.lit("-[hidden,"), "direction", F.lit("]->")))
+    line = F.concat_ws(" ", _dotted(F.col("src"), prefixes), way, _dotted(F.col("dst"), prefixes))
+    often = F.coalesce(F.col("weight").cast("int"), F.lit(1))
+    return hints.where("src IS NOT NULL AND dst IS NOT NULL").where(often > 0).select(line.alias("line"), F.explode(F.sequence(F.lit(1), often)).alias("_")).select("line")
+
+
+def layout_links(g: DataFrame, chosen: DataFrame, prefixes: dict[str, str], direction: str = "up") -> DataFrame:
+    """``line``: superclass links and associations between the chosen classes with arrows of a layout."""
+    keep = lambda df, c: df.join(chosen.select(F.col("uri").alias(c)), c, "left_semi")
+    up = select.edges(g).select("src", "dst", F.lit("subclass").alias("kind"), F.lit("").alias("label"))
+    d = g.where(F.col("p") == v.DOMAIN).select(F.col("s").alias("path"), F.col("o").alias("src"))
+    r = g.where(F.col("p") == v.RANGE).select(F.col("s").alias("path"), F.col("o").alias("dst"))
+    link = d.join(r, "path").select("src", "dst", F.lit("object_property").alias("kind"), F.concat(F.lit(" : "), _dotted(F.col("path"), prefixes)).alias("label"))
+    both = keep(keep(up.unionByName(link), "src"), "dst").distinct()
+    return both.select(F.concat(_dotted(F.col("src"), prefixes), F.lit(" "), arrow(F.col("kind"), direction), F.lit(" "), _dotted(F.col("dst"), prefixes), "label").alias("line"))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions import vocab as v
-from . import select
+from ..sources.scratch import written
+from . import refactor, select
 
 TERM = select.TERM
 
@@ -93,3 +95,52 @@ def markers(all_: DataFrame, found: DataFrame, prefixes: dict[str, str], resolve
     head = F.concat(F.lit("# === CONFLICT: "), terms.qname(F.col("s"), prefixes), F.lit(" "), terms.qname(F.col("p"), prefixes), F.lit(" ==="))
     text = F.concat_ws("\n", head, F.array_join(F.transform("told", lambda x: x["line"]), "\n"), end, F.lit("# === END CONFLICT ==="))
     return told.join(found, ["s", "p"]).select("s", "p", text.alias("marker"))
+
+
+class Source(NamedTuple):
+    """A graph with its name, its priority, and namespaces (old, new) to replace in it, the first that fits."""
+
+    graph: DataFrame
+    name: str
+    priority: int
+    remap: list[tuple[str, str]] = []
+
+
+class Merged(NamedTuple):
+    #: All triples of all sources, imports handled; those of conflicts stay.
+    graph: DataFrame
+    #: ``s, p, conflict_type, n_values, winner``; no winner where a conflict is only marked.
+    conflicts: DataFrame
+    #: ``measure, name, n``: triples of each source and of the result, conflicts of each type, resolved and unresolved ones.
+    summary: DataFrame
+
+
+#: The column of ``conflicts`` that wins under each strategy.
+STRATEGIES = {"priority": "value", "first": "value_first", "last": "value_last", "mark_all": None}
+
+
+def run(sources: list[Source], strategy: str = "priority", ignore: list[str] | None = None, imports: str = "preserve", head: str | None = None) -> Merged:
+    """A whole merge: namespaces of each source, conflicts and their winners, union, imports, counts.
+
+    Conflicts are found once and written, as the result and its counts both read them. Defined cases: no source, and an unknown strategy, are errors; a source
+    without triples counts 0; a triple that several sources have counts in each of them, and once in the result.
+    """
+    if not sources:
+        raise ValueError("no sources to merge")
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    graphs = [refactor.rename_namespaces(x.graph, x.remap) if x.remap else x.graph for x in sources]
+    all_ = tagged([(g, x.name, x.priority) for g, x in zip(graphs, sources, strict=True)])
+    column = STRATEGIES[strategy]
+    found = written(conflicts(all_, ignore).select("s", "p", "conflict_type", "n_values", F.lit(None).cast("string").alias("winner") if column is None else F.col(column).alias("winner")), "conflicts")
+    graph = with_imports(union(*graphs), imports, [x.name for x in sources], head)
+    spark = all_.sparkSession
+    given = spark.createDataFrame([(x.name, k) for k, x in enumerate(sources)], "name string, ord int")
+    # repeated rows of a source are one triple
+    sizes = all_.groupBy("ord", *TERM).agg(F.lit(1)).groupBy("ord").agg(F.count("*").alias("n"))
+    sizes = F.broadcast(given).join(sizes, "ord", "left").select(F.lit("source").alias("measure"), "name", F.coalesce("n", F.lit(0)).alias("n"))
+    count = lambda df, measure, name: df.agg(F.count("*").alias("n")).select(F.lit(measure).alias("measure"), name.alias("name"), "n")
+    kinds = found.groupBy("conflict_type").agg(F.count("*").alias("n")).select(F.lit("conflicts").alias("measure"), F.col("conflict_type").alias("name"), "n")
+    won = found.agg(F.count("winner").alias("resolved"), (F.count("*") - F.count("winner")).alias("unresolved"))
+    won = won.select(F.lit("conflicts").alias("measure"), F.expr("stack(2, 'resolved', resolved, 'unresolved', unresolved) AS (name, n)"))
+    return Merged(graph, found, reduce(DataFrame.unionByName, [sizes, kinds, won, count(graph, "result", F.lit("triples"))]))

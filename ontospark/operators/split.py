@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,3 +132,45 @@ def unmatched(assigned: DataFrame, common: str = "common", shown: int = 5) -> Da
 def write(triples: DataFrame, path: str) -> None:
     """One folder a module."""
     triples.write.partitionBy("module").parquet(path)
+
+
+class Split(NamedTuple):
+    #: ``uri, module, kind``
+    assigned: DataFrame
+    #: ``module`` and a triple: the entities' own, each module's header and imports, and individuals in modules named with ``data_``.
+    triples: DataFrame
+    #: What ``manifest`` tells of each module.
+    manifest: DataFrame
+    #: A row if entities are left that no module takes, and that is an error.
+    error: DataFrame
+
+
+#: What becomes of entities that no module takes.
+UNMATCHED = ("common", "error")
+
+
+def run(g: DataFrame, modules: list[Module], explicit: dict[str, list[str]] | None = None, rest: str = "common", data: bool = True, base: str = "http://example.org/", suffix: str = ".ttl") -> Split:
+    """A whole split: assignment, what is left over, triples by module, dependencies, imports and data.
+
+    ``explicit`` has modules' own imports. With ``rest`` as ``error`` the caller reads ``error`` before ``triples``. Defined cases: a module that takes nothing has no triples
+    and no header; each other module has one, whether it needs others or not; repeated triples count once; an empty graph gives no rows.
+    """
+    if rest not in UNMATCHED:
+        raise ValueError(f"unknown way with unmatched entities {rest!r}")
+    explicit = explicit or {}
+    assigned = written(assign(g, modules), "assigned")
+    own = module_triples(g, assigned).select("module", *TERM).distinct()
+    needed = written(dependencies(g, assigned).select("module", "needs"), "needs")
+    iri, none = F.lit("iri"), F.lit("")
+
+    def about(rows: DataFrame, p: str, o) -> DataFrame:
+        return rows.select("module", F.concat(F.lit(base), "module").alias("s"), iri.alias("s_kind"), F.lit(p).alias("p"), o.alias("o"), iri.alias("o_kind"), none.alias("o_dt"), none.alias("o_lang"))
+
+    names = assigned.select("module").distinct()
+    heads = [about(names, v.TYPE, F.lit(v.ONTOLOGY)), about(needed, v.IMPORTS, F.concat("needs", F.lit(suffix)))]
+    heads += [about(names.where(F.col("module") == m), v.IMPORTS, F.lit(x)) for m, xs in explicit.items() for x in xs]
+    parts = [own, reduce(DataFrame.unionByName, heads).distinct()]
+    if data:
+        parts.append(data_modules(g, assigned).select(F.concat(F.lit("data_"), "module").alias("module"), *TERM).distinct())
+    left = unmatched(assigned)
+    return Split(assigned, reduce(DataFrame.unionByName, parts), manifest(g, assigned, explicit, suffix), left if rest == "error" else left.where("false"))

@@ -775,3 +775,21 @@ _num = f"CASE WHEN o_dt IN {_in(*(v.XSD + x for x in ('integer', 'decimal', 'flo
 sql("bgp_functions", f"""lf AS (SELECT CASE WHEN o_lang <> '' THEN '{v.RDF}langString' WHEN o_dt <> '' THEN o_dt ELSE '{v.XSD}string' END AS datatype, CAST(lower(o_lang) = 'en' OR starts_with(lower(o_lang), 'en-') AS INT) AS english, {_num} AS x,
 CASE WHEN contains(o, ' ') THEN split_part(o, ' ', 1) ELSE '' END AS before, CASE WHEN contains(o, ' ') THEN substr(o, instr(o, ' ') + 1) ELSE '' END AS after, url_encode(substr(o, 1, 20)) AS code FROM g WHERE o_kind = 'literal')
 SELECT datatype, english, count(*) AS n, count(x) AS n_numbers, CAST(coalesce(sum(floor(x + 0.5)), 0) AS BIGINT) AS rounded, min(abs(x)) AS least, max(x) AS most, max(before) AS last_before, CAST(sum(length(after)) AS BIGINT) AS after_chars, max(code) AS last_code, count(DISTINCT code) AS codes FROM lf GROUP BY datatype, english""")
+_type3 = f"CASE WHEN p = '{v.TYPE}' THEN 'type' WHEN p IN {_in(v.SUBCLASS, v.SUBPROPERTY)} THEN 'hierarchy' WHEN p IN {_in(v.DISJOINT, v.EQUIVALENT_CLASS)} THEN 'contradiction' ELSE 'value' END"
+sql("merge_run_summary", f"""d3 AS MATERIALIZED (SELECT DISTINCT {_re('s', _iri_s)} AS s, s_kind, {_re('p', 'true')} AS p, {_re('o', _iri_o)} AS o, o_kind, o_dt, o_lang FROM h),
+a3 AS MATERIALIZED (SELECT {T} FROM g UNION SELECT {T} FROM h UNION SELECT {T} FROM d3), c3 AS (SELECT s, p, {_type3} AS t FROM a3 WHERE s_kind = 'iri' GROUP BY s, p HAVING count(*) > 1)
+SELECT 'source' AS measure, 'core' AS name, count(*) AS n FROM (SELECT DISTINCT {T} FROM g) UNION ALL SELECT 'source', 'extension', count(*) FROM (SELECT DISTINCT {T} FROM h) UNION ALL SELECT 'source', 'draft', count(*) FROM d3
+UNION ALL SELECT 'conflicts', t, count(*) FROM c3 GROUP BY t UNION ALL SELECT 'conflicts', 'resolved', count(*) FROM c3 UNION ALL SELECT 'conflicts', 'unresolved', 0 UNION ALL SELECT 'result', 'triples', count(*) FROM a3""", True)
+sql("merge_run_winners", f"{conflict_sql(f"p NOT IN {_in(v.COMMENT, EX + 'contains')}")} SELECT v.s, v.p, conflict_type, n_values, v.o AS winner FROM v JOIN cf USING (s, p) QUALIFY row_number() OVER (PARTITION BY v.s, v.p ORDER BY last DESC, term) = 1", True)
+sql("merge_run_marked", f"SELECT p, count(*) AS n FROM (SELECT {T} FROM g UNION SELECT {T} FROM h) WHERE p <> '{v.IMPORTS}' GROUP BY p", True)
+sql("split_run", f"""{ASSIGN}, nd AS (SELECT DISTINCT a.module, b.module AS needs FROM g JOIN asg a ON g.s = a.uri JOIN asg b ON g.o = b.uri AND g.o_kind = 'iri' WHERE a.module <> b.module),
+hm AS (SELECT DISTINCT g.s, asg.module FROM g JOIN asg ON g.o = asg.uri AND asg.kind = 'class' WHERE p = '{v.TYPE}' AND g.s NOT IN (SELECT uri FROM asg)),
+tr AS (SELECT DISTINCT module, {T} FROM g JOIN asg ON g.s = asg.uri UNION ALL SELECT DISTINCT 'data_' || module, {T} FROM g JOIN hm USING (s)),
+hd AS (SELECT module, 'head' AS s, '{v.TYPE}' AS p FROM (SELECT DISTINCT module FROM asg) UNION ALL SELECT module, 'head', '{v.IMPORTS}' FROM nd UNION ALL SELECT DISTINCT module, 'head', '{v.IMPORTS}' FROM asg WHERE module = 'nations')
+SELECT module, count(*) AS n, count(DISTINCT s) AS subjects, count(*) FILTER (WHERE p = '{v.IMPORTS}') AS imports FROM (SELECT module, s, p FROM tr UNION ALL SELECT module, s, p FROM hd) GROUP BY module""")
+sql("uml_together", f"SELECT DISTINCT dst AS \"group\", 1 AS part, '  class ' || {_dot('src')} AS line FROM e UNION ALL SELECT DISTINCT dst, 0, 'together {{' FROM e UNION ALL SELECT DISTINCT dst, 2, '}}' FROM e")
+sql("uml_hidden_links", f"""hl AS (SELECT src, dst, length(src) % 4 AS k FROM e)
+SELECT {_dot('src')} || CASE WHEN k = 1 THEN ' -[hidden,down]-> ' ELSE ' -[hidden]-> ' END || {_dot('dst')} AS line FROM hl, range(2) r(i) WHERE i < CASE WHEN k = 3 THEN 1 ELSE k END""")
+_ends = "src IN (SELECT uri FROM ci) AND dst IN (SELECT uri FROM ci)"
+sql("uml_layout_links", f"""ll AS (SELECT d.o AS src, r.o AS dst, d.s AS path FROM g d JOIN g r ON r.s = d.s AND r.p = '{v.RANGE}' WHERE d.p = '{v.DOMAIN}')
+SELECT DISTINCT {_dot('src')} || ' -left-|> ' || {_dot('dst')} AS line FROM e WHERE {_ends} UNION ALL SELECT DISTINCT {_dot('src')} || ' -> ' || {_dot('dst')} || ' : ' || {_dot('path')} FROM ll WHERE {_ends}""")

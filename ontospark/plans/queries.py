@@ -1056,3 +1056,48 @@ def bgp_functions(g):
         F.count("*").alias("n"), F.count("x").alias("n_numbers"), F.coalesce(F.sum(values.round_up(F.col("x"))), F.lit(0)).alias("rounded"), F.min(F.abs("x")).alias("least"), F.max("x").alias("most"),
         F.max("before").alias("last_before"), F.sum(F.length("after")).alias("after_chars"), F.max("code").alias("last_code"), F.count_distinct("code").alias("codes"),
     )
+
+
+# --- whole merges and splits, layouts
+
+
+@versions
+def merge_run_summary(old, new):
+    """Three sources, one of them with its namespace replaced: what each has, the conflicts by type, the result."""
+    sources = [merge.Source(old, "core", 1), merge.Source(new, "extension", 5), merge.Source(new, "draft", 3, [(EX, NEW)])]
+    return merge.run(sources).summary
+
+
+@versions
+def merge_run_winners(old, new):
+    return merge.run([merge.Source(old, "core", 1), merge.Source(new, "extension", 5)], "last", [v.COMMENT, EX + "contains"]).conflicts
+
+
+@versions
+def merge_run_marked(old, new):
+    """The graph of a merge whose conflicts are only marked, without imports."""
+    done = merge.run([merge.Source(old, "core", 1), merge.Source(new, "extension", 5)], "mark_all", imports="remove")
+    return done.graph.groupBy("p").agg(F.count("*").alias("n"))
+
+
+@query
+def split_run(g):
+    """Triples and subjects of each module and of its individuals, headers and imports included."""
+    done = split.run(g, MODULES, {"nations": ["http://example.org/upper.ttl"]})
+    return done.triples.groupBy("module").agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"), F.count(F.when(F.col("p") == v.IMPORTS, 1)).alias("imports"))
+
+
+@query
+def uml_together(g):
+    """The classes below one class side by side."""
+    return docs.together(select.edges(g).select(F.col("dst").alias("group"), F.col("src").alias("uri")), PREFIXES)
+
+
+@query
+def uml_hidden_links(g):
+    """A link from each class to what it is below, with a weight by the length of its name."""
+    n = F.length("src") % 4
+    return docs.hidden_links(select.edges(g).select("src", "dst", F.when(n == 1, "down").alias("direction"), F.when(n < 3, n).alias("weight")), PREFIXES)
+
+
+uris("uml_layout_links", lambda g: docs.layout_links(g, select.classes(g, True), PREFIXES, "Left"))

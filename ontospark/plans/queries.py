@@ -1101,3 +1101,15 @@ def uml_hidden_links(g):
 
 
 uris("uml_layout_links", lambda g: docs.layout_links(g, select.classes(g, True), PREFIXES, "Left"))
+
+
+def prefixes_declared(spark: SparkSession, sf: str) -> DataFrame:
+    """Prefixes of the customers and nations written as declarations, in files, and read back as one ordered map."""
+    given = _customer_spaces(spark, sf).select("ns", F.regexp_replace("value", "^.*#|/$", "").alias("prefix"))
+    form = F.when(F.length("prefix") % 2 == 0, F.format_string("@prefix %s: <%s> .", "prefix", "ns")).otherwise(F.format_string("PREFIX %s: <%s>", "prefix", "ns"))
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}-prefixes"
+    given.select(form.alias("value")).write.text(path)
+    return spaces.bound(spaces.declared(lines.numbered(spark, path)), [("nation_1", NEW), ("v2", NEW)], ["v2", "nation_3", "customer_2"])
+
+
+QUERIES["prefixes_declared"] = prefixes_declared

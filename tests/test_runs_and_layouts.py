@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from test_rules_and_names import EX, graph_of
 
 from ontospark.functions import vocab as v
-from ontospark.operators import docs, merge, split
+from ontospark.operators import docs, merge, spaces, split
 
 
 def rows(df):
@@ -70,3 +70,14 @@ def test_layouts(spark):
     hints = spark.createDataFrame([(EX + "a", EX + "b", "left", 2), (EX + "a", EX + "c", None, None), (EX + "a", EX + "d", "", 0), (None, EX + "d", "", 3)], "src string, dst string, direction string, weight int")
     assert [x for (x,) in rows(docs.hidden_links(hints, {"e": EX}))] == ["e.a -[hidden,left]-> e.b"] * 2 + ["e.a -[hidden]-> e.c"]
     assert docs.together(groups.where("false"), {}).count() == docs.hidden_links(hints.where("false"), {}).count() == 0
+
+
+def test_prefixes_of_files(spark):
+    said = [("a", 1, "@prefix e: <http://old#> ."), ("a", 2, "  PREFIX e: <http://e#>"), ("a", 3, "@prefix : <http://none#> ."), ("b", 1, "prefix e: <http://b#>"), ("b", 2, "@prefix x: <http://x#> ."),
+            ("b", 3, None), ("b", 4, ""), ("b", 5, "e:a e:b <http://c> .")]
+    lines = spark.createDataFrame(said, "file string, line bigint, value string").repartition(3)
+    found = spaces.declared(lines)
+    assert rows(found) == [("a", "", "http://none#"), ("a", "e", "http://e#"), ("b", "e", "http://b#"), ("b", "x", "http://x#")]
+    assert rows(spaces.bound(found)) == [("", "http://none#", 0), ("e", "http://e#", 0), ("x", "http://x#", 0)]
+    assert rows(spaces.bound(found, [("x", "n:"), ("y", "m:")], ["y", "gone", "e", "y"])) == [("", "http://none#", 3), ("e", "http://e#", 2), ("x", "n:", 3), ("y", "m:", 0)]
+    assert spaces.bound(spaces.declared(lines.where("false"))).count() == 0

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ontospark.functions import vocab as v
-from ontospark.operators import describe, diff, docs, lint, localise, mentions, nested, order, patterns, rules, shacl, spaces, split
+from ontospark.operators import describe, diff, docs, lint, localise, mentions, merge, nested, order, patterns, rules, shacl, spaces, split
 from ontospark.sources import lines, projection
 
 DATA = "/root/testdata/sf0.001"
@@ -224,3 +224,16 @@ def test_registered_rules_and_converters(spark):
         assert [(r["class"], r.path, r.name) for r in shacl._parts(g, ["named"]).collect()] == [(EX + "A", EX + "path", "a name")]
     finally:
         del shacl.CONVERTERS["named"]
+
+
+def test_tables_are_dealt_to_the_graph_once_and_versions_share_their_triples(spark):
+    """Rows and not triples move, nothing is sorted by folder, and a merge of both versions groups where the triples lie."""
+    plan = projection._graph(spark, DATA, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [concat(http://example.org/tpch#order_") == 1  # three triples an order, one row dealt
+    name = projection._table(spark, DATA)
+    alone = spark.table(name).where("v > 0").select("p", "s").distinct()
+    assert alone.join(projection.graph(spark, DATA).where(F.col("p") == projection.EX + "contains"), ["s", "p"]).isEmpty()
+    sources = [(projection.graph(spark, DATA), "core", 1), (projection.graph(spark, DATA, 2), "extension", 5)]
+    one, two = projection.tagged(spark, DATA, [("core", 1), ("extension", 5)]), merge.tagged(sources).select(*projection.COLUMNS, "source", "priority", "ord")
+    assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+    assert exchanges(one.groupBy("s", "p", "o").count().groupBy("s", "p").count()) == 0

@@ -111,9 +111,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts as telephony audio in a column; it is read back and decoded, its resampled PCM is stored, and that, read back, gives the features."""
+    """All texts as telephony audio in a stored column; it is read back, decoded and resampled in full, and the PCM gives the features batch by batch."""
     stored = written(telephony.stored(table(spark, sf_dir, "documents"), 576), "media")
-    return telephony.features(written(telephony.decoded(stored), "pcm"))
+    return telephony.decoded(stored, feature=True)
 
 
 def op3_brown(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 mu-law and A-law are expanded by tables of 256 entries, IMA ADPCM is decoded block-wise with numpy,
 one step for all blocks of a batch at a time. Media are WAV bytes in a binary column;
 decoded PCM has 16 bits. ``resampled`` adds it at another rate, by a windowed-sinc filter in polyphase form that runs over all
-media of a batch at once, as a column to store; ``features`` reads the stored column back.
+media of a batch at once, as a column; ``features`` describes that column, stored or as it comes.
 
 Defined cases: null audio gives null PCM and null features; audio that isn't such a WAV raises; a last
 ADPCM block that is cut off raises; step indexes over 88 count as 88; empty data gives
@@ -28,8 +28,8 @@ from .common import ship, slices
 RATE = 8000
 #: Format tags of WAV.
 ALAW, MULAW, IMA = 6, 7, 17
-#: Rate of the stored PCM, a parameter of ``decoded``. With it the query fits the disk the check allows: see README for figures at other rates.
-PCM_RATE = 1000
+#: Rate of the PCM that ``decoded`` and ``resampled`` make, above that of the media: no sample is lost.
+PCM_RATE = 16000
 #: Zero crossings of the sinc on each side, at the lower of both rates.
 WINGS = 8
 #: Bytes of data in an ADPCM block after its 4-byte header; 576 bytes make four blocks.
@@ -227,30 +227,35 @@ def stored(docs: DataFrame, multiple: int = 4 * UNIT) -> DataFrame:
 DECODED = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, codec string, pcm binary"
 
 
-def decoded(media: DataFrame, to: int = PCM_RATE) -> DataFrame:
-    """``doc_id, n_bytes, media`` as read back: digests of the payload and of the stored bytes, the codec, and the PCM at rate ``to``; null media give nulls."""
+def decoded(media: DataFrame, to: int = PCM_RATE, feature: bool = False) -> DataFrame:
+    """``doc_id, n_bytes, media`` as read back: digests of the payload and of the stored bytes, the codec, and the PCM at rate ``to``; null media give nulls.
+
+    With ``feature`` that column stands in place of codec and PCM, as ``features`` gives it, so the PCM never leaves its batch.
+    """
     ship(media.sparkSession)
     types = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    kinds = pa.schema([(n, types[t]) for n, t in (x.split() for x in DECODED.split(", "))])
+    columns = DECODED.replace("codec string, pcm binary", "feature string") if feature else DECODED
+    kinds = pa.schema([(n, types[t]) for n, t in (x.split() for x in columns.split(", "))])
     names = {MULAW: "mulaw", ALAW: "alaw", IMA: "ima_adpcm"}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "media", 4 << 20):
+        for batch in slices(batches, "media", 1 << 20):
             rows, held = [], batch.column(2).to_pylist()
             for doc_id, n, m, pcm in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), held, pcm_of(held, to), strict=True):
                 if m is None:
-                    rows.append((doc_id, n, *[None] * 7))
+                    rows.append((doc_id, n, *[None] * (len(kinds) - 2)))
                     continue
-                payload = payload_of(m)
-                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), names[parse_wav(m)[0]], pcm.astype("<i2").tobytes()))
+                payload, codec = payload_of(m), names[parse_wav(m)[0]]
+                signal = (f"{codec};{described(pcm)}",) if feature else (codec, pcm.astype("<i2").tobytes())
+                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), *signal))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, DECODED)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, columns)
 
 
 def features(pcm_table: DataFrame) -> DataFrame:
-    """The rows of ``decoded`` as read back, with ``feature`` (null for null PCM) in place of codec and PCM."""
+    """The rows of ``decoded``, stored or not, with ``feature`` (null for null PCM) in place of codec and PCM."""
     ship(pcm_table.sparkSession)
     columns = [c for c in pcm_table.columns if c not in ("codec", "pcm", "feature")]
     rows = pcm_table.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "codec", "pcm")

@@ -130,3 +130,16 @@ def test_resampled_column(spark):
     assert got[2].pcm is None and got[3].pcm == b"" and got[1].row == "x"
     low = np.frombuffer({r.id: r for r in tel.resampled(df, to=4000).collect()}[1].pcm, "<i2")
     assert len(low) == 400
+
+
+def test_query_keeps_every_sample(spark, tmp_path):
+    """The feature covers the whole signal: at least as many samples as the media hold."""
+    from ontospark.llm.queries import op2_telephony
+
+    texts = ["", "a" * 700, "mu and A law " * 90, "ä" * 2000, *(f"text {i} " * (i + 1) for i in range(40))]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in op2_telephony(spark, str(tmp_path)).collect():
+        codec, *said = r.feature.split(";")
+        told = dict(x.split("=") for x in said)
+        held = r.payload_bytes // 144 * 289 if codec == "ima_adpcm" else r.payload_bytes
+        assert int(told["samples"]) == 2 * held

@@ -237,3 +237,15 @@ def test_tables_are_dealt_to_the_graph_once_and_versions_share_their_triples(spa
     one, two = projection.tagged(spark, DATA, [("core", 1), ("extension", 5)]), merge.tagged(sources).select(*projection.COLUMNS, "source", "priority", "ord")
     assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
     assert exchanges(one.groupBy("s", "p", "o").count().groupBy("s", "p").count()) == 0
+
+
+def test_inherited_properties_are_counted_by_kind_of_class(spark):
+    """Classes below the same domains are counted once; own properties, repeated ones and cycles count as in the pairs."""
+    e, iri = "http://x#", lambda x: "http://x#" + x
+    up = [("b", "a"), ("c", "b"), ("d", "b"), ("x", "y"), ("y", "x"), ("d", "x"), *((f"leaf{i}", "c") for i in range(50))]
+    domains = [("p", "a"), ("q", "a"), ("q", "b"), ("r", "b"), ("p", "d"), ("s", "x"), ("r", "y")]
+    triples = [(iri(a), v.SUBCLASS, iri(b)) for a, b in up] + [(iri(a), v.DOMAIN, iri(b)) for a, b in domains]
+    g = projection.constants(spark, triples)
+    want = docs.inherited_properties(g).groupBy("class").agg(F.count("*").alias("n"), F.min("property").alias("first_property"))
+    got = docs.inherited_property_counts(g)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.where(f"class = '{e}leaf7'").first().n == 3

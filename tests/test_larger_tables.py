@@ -54,3 +54,16 @@ def test_inherited_constraints_are_made_once_for_each_kind(shaped):
     assert whole.where(F.col("class") == X + "C3").join(own, "path").count() == 2 and whole.where(F.col("class") == X + "C3").count() == 11 - sum(k % 3 == 0 and k not in (2, 5) for k in range(11))
     one = shacl.inherited(shaped).groupBy("class").agg(F.count("*").alias("n"), F.min("from_class").alias("first_from"))
     same(shacl.inherited_counts(shaped), one)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_predicates_are_not_broadcast_by_their_files_sizes(spark, tmp_path):
+    rows = [(f"{X}o{k}", v.TYPE, f"{X}c{k % 3}") for k in range(20)] + [(f"{X}o{k}", X + "status", '"F') for k in range(20)]
+    graph(spark, rows).write.parquet(str(tmp_path / "g"))
+    g, asked = spark.read.parquet(str(tmp_path / "g")), [("?order", v.TYPE, "?c"), ("?order", X + "status", "?status")]
+    counts = {v.TYPE: (1_000_000, 1_000_000, 3), X + "status": (1_000_000, 1_000_000, 1)}
+    for df in (patterns.bgp(g, *asked), patterns.bgp(g, *asked, counts=counts)):
+        assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df) and df.count() == 20

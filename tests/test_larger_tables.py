@@ -67,3 +67,18 @@ def test_whole_predicates_are_not_broadcast_by_their_files_sizes(spark, tmp_path
     counts = {v.TYPE: (1_000_000, 1_000_000, 3), X + "status": (1_000_000, 1_000_000, 1)}
     for df in (patterns.bgp(g, *asked), patterns.bgp(g, *asked, counts=counts)):
         assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df) and df.count() == 20
+
+
+@pytest.mark.parametrize("made, kind", [(docs.literal_notes, v.DATATYPE_PROPERTY), (docs.instance_links, v.OBJECT_PROPERTY)])
+def test_triples_are_not_dealt_by_predicate(spark, tmp_path, made, kind):
+    rows = [(X + "C", v.TYPE, v.OWL_CLASS), (X + "p", v.TYPE, kind), (X + "q", v.TYPE, v.ANNOTATION_PROPERTY)]
+    rows += [t for k in range(9) for t in ((f"{X}i{k}", v.TYPE, X + "C"), (f"{X}i{k}", X + "p", f'"{k}' if kind == v.DATATYPE_PROPERTY else f"{X}i{k // 2}"), (f"{X}i{k}", X + "q", f'"{k}'))]
+    graph(spark, rows).write.parquet(str(tmp_path / "g"))
+    g = spark.read.parquet(str(tmp_path / "g"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = made(g, g.where(F.col("o") == v.OWL_CLASS).select(F.col("s").alias("uri")), {"x": X})
+        assert "hashpartitioning(p" not in plan(df) and df.count() == 9
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

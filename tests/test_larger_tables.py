@@ -82,3 +82,19 @@ def test_triples_are_not_dealt_by_predicate(spark, tmp_path, made, kind):
         assert "hashpartitioning(p" not in plan(df) and df.count() == 9
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_renaming_by_a_large_mapping_keeps_literals_out_of_the_join(spark, monkeypatch):
+    rows = [(f"{X}a{k}", v.TYPE, X + "C") for k in range(30)] + [(f"{X}a{k}", X + "p", '"F') for k in range(30)] + [("_:a1", X + "p", f"{X}a1"), (f"{X}a2", X + "q", f'"{X}a1')]
+    g, mapping = graph(spark, rows), spark.createDataFrame([(f"{X}a{k}", f"{X}b{k}") for k in range(20)] + [(X + "C", X + "D"), (X + "p", X + "r")], "old string, new string")
+    want = refactor.rename_entities(g, mapping).cache()
+    assert want.count() == len(rows) and want.where(F.col("o") == X + "D").count() == 30 and want.where(F.col("o") == X + "a1").count() == 1
+    monkeypatch.setattr(refactor, "FEW", 0)
+    same(refactor.rename_entities(g, mapping), want)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = refactor.mapped(g, mapping, "o", "o_kind")
+        assert "_deal" in plan(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ontospark.functions import vocab as v
 from ontospark.operators import docs, patterns, refactor, shacl
+from ontospark.sources import lines
 
 X = "http://x/"
 
@@ -98,3 +99,14 @@ def test_renaming_by_a_large_mapping_keeps_literals_out_of_the_join(spark, monke
         assert "_deal" in plan(df)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_lines_of_a_folder_are_numbered_across_its_files(spark, tmp_path):
+    rows = [(f"{k // 90}", f"{k:03d} <{X}a{k % 7}>") for k in range(180)]
+    df = spark.createDataFrame(rows, "part string, value string").repartitionByRange(5, "part", "value").sortWithinPartitions("part", "value")
+    df.write.partitionBy("part").option("compression", "gzip").text(str(tmp_path / "f"))
+    assert len(list((tmp_path / "f").glob("part=0/*.gz"))) > 1
+    got = lines.numbered(spark, str(tmp_path / "f"), folders=True)
+    assert sorted((r.file[-1], r.line, r.value) for r in got.collect()) == [(part, k % 90 + 1, value) for k, (part, value) in enumerate(rows)]
+    found = lines.first_mentions(got, spark.createDataFrame([(f"{X}a{k}",) for k in range(9)], "uri string"))
+    assert {(r.uri, r.file[-1]): r.line for r in found.collect()} == {(f"{X}a{k}", part): (k - 90 * int(part)) % 7 + 1 for k in range(7) for part in "01"}

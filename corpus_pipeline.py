@@ -48,7 +48,7 @@ def _with_length(docs: DataFrame, changed) -> list:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group stays: the smallest by (doc_id, text, row id), a null doc_id last.
+    """One row of each near-duplicate group stays: the smallest by (doc_id, text, row id), a null doc_id last. Groups are found by SimHash, links checked exactly.
 
     Rows are told apart by a row id of their own, so rows of equal or null ids count as copies only by their texts. Null texts, empty ones and those of
     white space are copies of one another; texts of fewer words than a shingle are copies only if they have the same words.
@@ -60,10 +60,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = by_id.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "row_id")).alias("x")).select("root", "x.*")
     # texts are read only where several rows of a group share its smallest id
     ties = first.where("n > 1").select(F.col("root").alias("of"), F.col("doc_id").alias("id"))
-    tied = groups.join(ties, (F.col("root") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("root", "row_id")
-    tied = tied.join(rows.select("row_id", "row.text"), "row_id").groupBy("root").agg(F.min(F.struct("text", "row_id")).alias("x"))
-    kept = first.where("n = 1").select("row_id").unionByName(tied.select("x.row_id"))
-    return rows.join(kept, "row_id", "left_semi").select("row.*")
+    tied = written(groups.join(ties, (F.col("root") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("root", "row_id"), "ties")
+    texts = simhash.among(rows.select("row_id", "row.text"), tied.select("row_id"), "row_id", "left_semi")
+    least = tied.join(texts, "row_id").groupBy("root").agg(F.min(F.struct("text", "row_id")).alias("x"))
+    kept = first.where("n = 1").select("row_id").unionByName(least.select("x.row_id"))
+    gone = written(groups.select("row_id").join(kept, "row_id", "left_anti"), "gone")
+    return simhash.among(rows, gone, "row_id", "left_anti").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

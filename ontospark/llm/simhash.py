@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship, slices, written
@@ -192,15 +192,25 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = SHIN
     return fps.join(by_fp, fps.fp == by_fp.of).select("doc_id", "fp", "component_id")
 
 
-# Similar texts: pairs of a shingle similarity (Jaccard, of the sets) that is asked for.
+# Similar texts: pairs of a shingle similarity (Jaccard, of the sets) that is asked for, found by SimHash fingerprints of many bits.
+#
+# A bit is the side of a random hyperplane on which a text's set of shingles lies. Two sets of a similarity s have a cosine of 2s / (1 + s) or more,
+# at 0.8 an angle of 27.3 degrees or less, so they differ in a bit with a chance of 0.152 at most, whatever the edit. The fingerprint is
+# cut into tables of some bits each. The bits that differ are mostly those whose hyperplane is near to one of the two texts, so in each table a text
+# goes to the places of all its variants with its nearest bits flipped, and two texts meet there if they differ in such bits alone.
 
 #: Least similarity of two linked texts.
 SIMILAR = 0.8
-#: Minima of a text: two texts agree in each with a chance of their similarity, whatever the edit. At 0.8 a pair shares none of the
-#: 20 bands of five with a chance of (1 - 0.8^5)^20 = 0.0004, and agrees in fewer than ``AGREE`` of the 100 with one of about 0.000001.
-BANDS, BAND, AGREE = 20, 5, 60
+#: Up to so many texts: bits of a table, bits that are flipped, tables. More texts have longer tables, so that few meet by chance; a pair of a similarity of
+#: 0.8 meets in one table with a chance of 0.228, 0.239, 0.147 and 0.088, and so in none with one of about 0.0004.
+TABLES = [(1 << 18, 20, 2, 30), (1 << 22, 24, 3, 29), (1 << 26, 28, 3, 49), (1 << 63, 32, 3, 85)]
+#: Texts that meet are candidates if at most ``APART`` of the first ``FIRST`` bits differ: at 0.8 more do with a chance of about 0.00001.
+FIRST, APART = 256, 64
 #: Bytes of text in a chunk of a candidate group.
 CHUNK = 16 << 20
+#: Keys that are broadcast at most, as numbers of 8 bytes; more are joined.
+FEW = 1 << 21
+LANES = np.uint64(0x00FF00FF00FF00FF)
 
 
 def spread(h: np.ndarray, words: int) -> np.ndarray:
@@ -211,8 +221,31 @@ def spread(h: np.ndarray, words: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-SALTS, ODDS = spread(np.array([SEED, SEED << 32], np.uint64), BANDS * BAND)
-ODDS = ODDS | np.uint64(1)
+def sides(h: np.ndarray, bits: int) -> np.ndarray:
+    """Where a set of shingles lies from each of the hyperplanes: sums of the shingles' weights, which are the bytes of their hashes less 127.5, times 2."""
+    words = -(-bits // 8)
+    total = np.zeros((words, 4, 2), np.int64)
+    for k in range(0, len(h), 256):  # 256 bytes have a sum below 2^16, so four of them are added in one word
+        x = spread(h[k : k + 256], words)
+        total[:, :, 0] += (x & LANES).sum(axis=0).view(np.uint16).reshape(words, 4)
+        total[:, :, 1] += (x >> np.uint64(8) & LANES).sum(axis=0).view(np.uint16).reshape(words, 4)
+    return (2 * total - 255 * len(h)).reshape(-1)[:bits]
+
+
+def sketch(h: np.ndarray, bits: int, flips: int, tables: int) -> tuple[bytes, bytes]:
+    """The fingerprint of a set of shingles, and in each table the places of the ``flips`` bits that are the least certain."""
+    at = sides(h, bits * tables)
+    near = np.argpartition(np.abs(at).reshape(tables, bits), flips - 1, axis=1)[:, :flips]
+    return np.packbits(at > 0, bitorder="little").tobytes(), near.astype(np.uint8).tobytes()
+
+
+def places(fp: np.ndarray, near: np.ndarray, bits: int, flips: int, tables: int) -> np.ndarray:
+    """(n × places) of n fingerprints and their least certain bits, as bytes of equal lengths: a table's number above its bits."""
+    on = np.unpackbits(fp, axis=1, bitorder="little")[:, : bits * tables].reshape(len(fp), tables, bits)
+    code = on @ (1 << np.arange(bits, dtype=np.int64)) | np.arange(tables, dtype=np.int64) << 32
+    flip = np.int64(1) << near.reshape(len(fp), tables, flips).astype(np.int64)
+    variants = [code ^ sum((flip[:, :, j] for j in range(flips) if v >> j & 1), np.int64(0)) for v in range(1 << flips)]
+    return np.concatenate(variants, axis=1)
 
 
 def shingles(words: list[bytes], width: int) -> np.ndarray:
@@ -222,11 +255,6 @@ def shingles(words: list[bytes], width: int) -> np.ndarray:
     return np.sort(np.fromiter(grams, np.uint64, len(grams)))
 
 
-def minima(h: np.ndarray) -> np.ndarray:
-    """The least value of all shingles under each of the hash functions."""
-    return np.min([((h[k : k + 512, None] ^ SALTS) * ODDS).min(axis=0) for k in range(0, len(h), 512)], axis=0)
-
-
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Similarity of two sorted sets."""
     both = np.sort(np.concatenate([a, b]))
@@ -244,43 +272,66 @@ def dealt(shared: DataFrame, key: str) -> DataFrame:
     return shared.withColumn("own", own).select(key, "node", F.explode(other).alias("x")).select(key, "x.pair", "x.chunk", "node")
 
 
+def among(rows: DataFrame, keys: DataFrame, column: str, how: str) -> DataFrame:
+    """``rows`` with (``left_semi``) or without (``left_anti``) those whose ``column`` is in the written table ``keys``; few keys are broadcast, so that no row moves."""
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys.hint("merge"), column, how)
+
+
 def similar(rows: DataFrame, width: int = 5, least: float = SIMILAR, hot: int = HOT) -> DataFrame:
     """``row_id, root`` for the rows ``row_id, text`` of a written table: groups of texts linked by a shingle similarity of ``least`` or more.
 
-    Texts that share a band of minima and agree in enough of them are candidates. The
+    Texts that meet in a table of their SimHash fingerprints, have about as many shingles and differ in few enough bits are candidates. The
     groups that candidates form hold all links, so each group's texts are sent to one place (hot ones
     as pairs of chunks) and linked there by the exact similarity. ``root`` is a row of the group.
     """
+    if least < SIMILAR:
+        raise ValueError(f"the tables find similarities of {SIMILAR} or more")
+    shape = next(x[1:] for x in TABLES if rows.count() <= x[0])
     ship(rows.sparkSession)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
-            same, keys, mins, size = [], [], [], []
+            same, fps, near, count, size = [], [], [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words = (text or b"").lower().split()
-                low = minima(shingles(words, width))
+                h = shingles(words, width)
+                fp, low = sketch(h, *shape)
                 same.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                keys.append([xxhash.xxh3_64_intdigest(low[k * BAND : (k + 1) * BAND].tobytes(), k) for k in range(BANDS)])
-                mins.append(spread(low, 1)[:, 0].astype(np.uint8).tobytes())
+                fps.append(fp)
+                near.append(low)
+                count.append(len(h))
                 size.append(len(text or b""))
-            flat = pa.array(np.array(keys, np.uint64).view(np.int64).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(same) + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), lists, pa.array(mins, pa.binary()), pa.array(size, pa.int64())], ["row_id", "same", "keys", "mins", "size"])
-
-    made = written(rows.select("row_id", "text").mapInArrow(make, "row_id bigint, same binary, keys array<bigint>, mins binary, size bigint"), "sketches")
+            kinds = [pa.array(same, pa.binary()), pa.array(fps, pa.binary()), pa.array(near, pa.binary()), pa.array(count, pa.int64()), pa.array(size, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *kinds], ["row_id", "same", "fp", "near", "count", "size"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                batch = whole.slice(k, 1024)
+                fp, near = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (1, 2))
+                at, node = places(fp, near, *shape), batch.column(0).to_numpy()
+                # a class of sizes is up to four times its least; who is nearly in the next one goes there too, so that two of similar sizes share one
+                n = batch.column(3).to_numpy()
+                kind = (np.frexp(n.astype(float))[1] + 1) // 2
+                more = n * 1.0 >= least * 4.0**kind / 2
+                keys = np.concatenate([at | (kind << 40)[:, None], at[more] | ((kind[more] + 1) << 40)[:, None]])
+                nodes = np.repeat(np.concatenate([node, node[more]]), at.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(keys.ravel())], ["node", "key"])
+
+    made = written(rows.select("row_id", "text").mapInArrow(make, "row_id bigint, same binary, fp binary, near binary, count bigint, size bigint"), "sketches")
     nodes = written(made.groupBy("same").agg(F.min("row_id").alias("node")), "nodes")
-    distinct = written(made.join(nodes.select(F.col("node").alias("row_id")), "row_id").select(F.col("row_id").alias("node"), "keys", "mins", "size"), "distinct")
-    keyed = distinct.select("node", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    met = dealt(keyed.join(sizes, "key").withColumn("chunks", F.ceil(F.col("n") / hot).cast("int")), "key")
-    met = met.join(distinct.select("node", "mins"), "node").select("key", "pair", "chunk", "node", "mins")
-    maybe = _linked(met, "key")
+    distinct = written(made.join(nodes.select(F.col("node").alias("row_id")), "row_id").select(F.col("row_id").alias("node"), "fp", "near", "count", "size"), "distinct")
+    first = distinct.select("node", F.substring("fp", 1, FIRST // 8).alias("fp"))
+    keyed = distinct.select("node", "fp", "near", "count").mapInArrow(meet, "node bigint, key bigint")
+    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    met = dealt(shared.withColumn("chunks", F.ceil(F.col("n") / hot).cast("int")), "key")
+    maybe = _linked(met.join(first, "node").select("key", "pair", "chunk", "node", "fp"), "key")
     group = written(components(maybe), "candidates")
     held = group.join(distinct.select("node", "size"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     chunks = F.greatest(F.ceil(F.col("n") / hot), F.ceil(F.col("bytes") / CHUNK)).cast("int")
     sent = dealt(group.join(held.select("root", chunks.alias("chunks")), "root"), "root")
-    sent = sent.join(distinct.select("node", "mins"), "node").join(rows.select(F.col("row_id").alias("node"), "text"), "node")
-    sent = sent.select("root", "pair", "chunk", "node", "mins", "text")
+    texts = among(rows.select(F.col("row_id").alias("node"), "text"), group.select("node"), "node", "left_semi")
+    sent = sent.join(first, "node").join(texts, "node").select("root", "pair", "chunk", "node", "fp", "text")
     sure = _linked(sent, "root", width, least)
     member = components(sure)
     known = nodes.join(member, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
@@ -288,7 +339,7 @@ def similar(rows: DataFrame, width: int = 5, least: float = SIMILAR, hot: int =
 
 
 def _linked(rows: DataFrame, key: str, width: int = 0, least: float = 0.0) -> DataFrame:
-    """``a, b``: spanning forests of the links within each key and pair of the rows ``key, pair, chunk, node, mins[, text]``; with a width links are checked by the texts."""
+    """``a, b``: spanning forests of the links within each key and pair of the rows ``key, pair, chunk, node, fp[, text]``; with a width links are checked by the texts."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
@@ -296,8 +347,8 @@ def _linked(rows: DataFrame, key: str, width: int = 0, least: float = 0.0) -> Da
             sets = np.empty(batch.num_rows, object)
             for i, text in enumerate(batch.column(5).cast(pa.binary()).to_pylist() if width else ()):
                 sets[i] = shingles((text or b"").lower().split(), width)
-            mins = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, BANDS * BAND)
-            now = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)), mins, sets]
+            fps = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, FIRST // 64)
+            now = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)), fps, sets]
             now = [np.concatenate(x) for x in zip(left, now, strict=True)] if left else now
             cut = int(np.argmax((now[0] == now[0][-1]) & (now[1] == now[1][-1])))  # the last key may go on in the next batch
             left = [x[cut:] for x in now]
@@ -314,15 +365,15 @@ def _linked(rows: DataFrame, key: str, width: int = 0, least: float = 0.0) -> Da
     return rows.repartition(key, "pair").sortWithinPartitions(key, "pair").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def similar_forest(group: np.ndarray, chunk: np.ndarray, node: np.ndarray, mins: np.ndarray, sets: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """``forest`` for nodes with minima and, if given, sets of shingles; compares no pair that is already connected when much is."""
+def similar_forest(group: np.ndarray, chunk: np.ndarray, node: np.ndarray, fps: np.ndarray, sets: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """``forest`` for nodes with fingerprints and, if given, sets of shingles; compares no pair that is already connected when much is."""
     values, code = np.unique(node, return_inverse=True)
     root, live, d = np.arange(len(values)), np.arange(len(node)), 1
     while len(live):
         live = live[live + d < len(node)]
         live = live[group[live] == group[live + d]]
         ask = live[((chunk[live] == 0) | (chunk[live] != chunk[live + d])) & (root[code[live]] != root[code[np.minimum(live + d, len(node) - 1)]])]
-        near = ask[np.count_nonzero(mins[ask] == mins[ask + d], axis=1) >= AGREE]
+        near = ask[np.bitwise_count(fps[ask] ^ fps[ask + d]).sum(axis=1) <= APART]
         if sets is not None:
             near = near[[jaccard(sets[i], sets[i + d]) >= least for i in near.tolist()]] if len(near) else near
         if len(near):

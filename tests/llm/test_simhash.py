@@ -127,3 +127,32 @@ def test_similar_odd_documents_and_chunks(spark, odd, none):
         got = {r.row_id: r.root for r in simhash.similar(rows, hot=hot).collect()}
         assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7, 8: 8, 9: 9, 10: 10}
     assert simhash.similar(none.select(F.col("row").cast("long").alias("row_id"), "text")).count() == 0
+
+def test_similar_searches_by_fingerprints(spark, documents):
+    """The candidates come from tables of SimHash bits: tables of every length find pairs of a similarity of 0.8, and equal sets share all places."""
+    base = [w for w in (words_of(r.text) for r in documents.select("text").distinct().collect()) if 20 <= len(w) <= 2000][:40]
+    for _, *shape in simhash.TABLES[:3]:
+        for w in base:
+            sets = [simhash.shingles(x, 5) for x in (w, w[: int(len(w) * 0.83)], w)]
+            if simhash.jaccard(*sets[:2]) < 0.8:
+                continue
+            made = [[np.frombuffer(x, np.uint8)[None] for x in simhash.sketch(h, *shape)] for h in sets]
+            a, b, c = (simhash.places(fp, near, *shape)[0] for fp, near in made)
+            assert len(np.intersect1d(a, b)) and (a == c).all() and len(np.unique(a)) == len(a) == shape[2] << shape[1]
+            assert np.bitwise_count(made[0][0] ^ made[1][0])[0, : simhash.FIRST // 8].sum() <= simhash.APART
+
+
+def test_sides_of_hyperplanes_against_plain_sums():
+    h = np.random.default_rng(3).integers(0, 1 << 63, 700).astype(np.uint64)
+    weights = simhash.spread(h, 3).view(np.uint8).astype(np.int64)
+    assert (simhash.sides(h, 22) == (2 * weights - 255).sum(axis=0)[:22]).all()
+
+
+def test_rows_among_few_and_many_keys(spark, monkeypatch):
+    from ontospark.llm.common import written
+
+    rows, keys = spark.range(100).withColumnRenamed("id", "row_id"), written(spark.range(0, 100, 7).withColumnRenamed("id", "row_id"))
+    for few in (1 << 21, 3):
+        monkeypatch.setattr(simhash, "FEW", few)
+        for how, want in (("left_semi", 0), ("left_anti", 1)):
+            assert sorted(r.row_id for r in simhash.among(rows, keys, "row_id", how).collect()) == [i for i in range(100) if (i % 7 > 0) == want]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions import vocab as v
+from ..sources.scratch import written
 from . import select
 
 TERM = select.TERM
@@ -27,10 +30,15 @@ def entities(old: DataFrame, new: DataFrame, ignore: list[str] | None = None) ->
     A subject is added or removed if the other version has no triple of it, else modified. Type and label come from the
     new version, or the old one for removed subjects.
     """
-    both = old.select(*TERM, F.lit(1).alias("v")).unionByName(new.select(*TERM, F.lit(2).alias("v"))).where("s_kind = 'iri'")
-    counts = ~F.col("p").isin(list(ignore)) if ignore else F.lit(True)
+    both = reduce(DataFrame.unionByName, (g.select(*TERM, F.lit(k).alias("first"), F.lit(k).alias("last")) for k, g in ((1, old), (2, new))))
     # one exchange, by subject: equal triples meet in their subject's task, which sorts and spills them if they are many, and then its subjects
-    one = both.repartition("s").groupBy(*TERM).agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    return entities_of(both.where("s_kind = 'iri'").repartition("s"), ignore)
+
+
+def entities_of(both: DataFrame, ignore: list[str] | None = None) -> DataFrame:
+    """``entities`` of triples with ``first`` and ``last``, the versions (1 old, 2 new) that a row stands for; a table that lies by subject isn't exchanged."""
+    counts = ~F.col("p").isin(list(ignore)) if ignore else F.lit(True)
+    one = both.where("s_kind = 'iri'").groupBy(*TERM).agg(F.min("first").alias("a"), F.max("last").alias("b"))
     is_new, is_old = (F.col("a") == 2) & counts, (F.col("b") == 1) & counts
     lit = lambda p, of: F.min(F.when((F.col("p") == p) & of, F.col("o")))
     of_old, of_new = F.col("a") == 1, F.col("b") == 2
@@ -81,4 +89,5 @@ def listed(found: DataFrame) -> DataFrame:
     """``entities`` with ``place``: by label, else URI, for a report."""
     from .order import placed
 
-    return placed(found.withColumn("of", F.lit(0)), "of", F.struct(F.coalesce("label", "uri"), "uri")).drop("of")
+    # written, as the sort reads its input twice
+    return placed(written(found, "changed").withColumn("of", F.lit(0)), "of", F.struct(F.coalesce("label", "uri"), "uri")).drop("of")

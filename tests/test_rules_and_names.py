@@ -249,3 +249,11 @@ def test_inherited_properties_are_counted_by_kind_of_class(spark):
     want = docs.inherited_properties(g).groupBy("class").agg(F.count("*").alias("n"), F.min("property").alias("first_property"))
     got = docs.inherited_property_counts(g)
     assert sorted(got.collect()) == sorted(want.collect()) and got.where(f"class = '{e}leaf7'").first().n == 3
+
+
+def test_changed_entities_are_found_where_the_graph_lies(spark):
+    g, h = projection.graph(spark, DATA), projection.graph(spark, DATA, 2)
+    for ignore in (None, [v.LABEL]):
+        found = diff.entities_of(projection.changing(spark, DATA), ignore)
+        assert exchanges(found) == 0
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, diff.entities(g, h, ignore).collect()))

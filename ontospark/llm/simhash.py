@@ -272,6 +272,12 @@ def dealt(shared: DataFrame, key: str) -> DataFrame:
     return shared.withColumn("own", own).select(key, "node", F.explode(other).alias("x")).select(key, "x.pair", "x.chunk", "node")
 
 
+def size_classes(n: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each size, from a power of four up to the next, and whether a set of it can be similar to a larger one of the next class, so that it goes there too."""
+    kind = (np.frexp(n.astype(float))[1].astype(np.int64) + 1) // 2
+    return kind, n >= least * 4.0**kind
+
+
 def among(rows: DataFrame, keys: DataFrame, column: str, how: str) -> DataFrame:
     """``rows`` with (``left_semi``) or without (``left_anti``) those whose ``column`` is in the written table ``keys``; few keys are broadcast, so that no row moves."""
     return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys.hint("merge"), column, how)
@@ -310,10 +316,8 @@ def similar(rows: DataFrame, width: int = 5, least: float = SIMILAR, hot: int =
                 batch = whole.slice(k, 1024)
                 fp, near = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (1, 2))
                 at, node = places(fp, near, *shape), batch.column(0).to_numpy()
-                # a class of sizes is up to four times its least; who is nearly in the next one goes there too, so that two of similar sizes share one
                 n = batch.column(3).to_numpy()
-                kind = (np.frexp(n.astype(float))[1] + 1) // 2
-                more = n * 1.0 >= least * 4.0**kind / 2
+                kind, more = size_classes(n, least)
                 keys = np.concatenate([at | (kind << 40)[:, None], at[more] | ((kind[more] + 1) << 40)[:, None]])
                 nodes = np.repeat(np.concatenate([node, node[more]]), at.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(keys.ravel())], ["node", "key"])

@@ -156,3 +156,14 @@ def test_rows_among_few_and_many_keys(spark, monkeypatch):
         monkeypatch.setattr(simhash, "FEW", few)
         for how, want in (("left_semi", 0), ("left_anti", 1)):
             assert sorted(r.row_id for r in simhash.among(rows, keys, "row_id", how).collect()) == [i for i in range(100) if (i % 7 > 0) == want]
+
+
+def test_size_classes_of_similar_sets_meet():
+    n = np.arange(1, 3000)
+    kind, more = simhash.size_classes(n, 0.8)
+    into = [{k, k + 1} if m else {k} for k, m in zip(kind.tolist(), more.tolist(), strict=True)]
+    for i in range(len(n)):
+        assert all(into[i] & into[j] for j in (min(int(n[i] / 0.8), len(n)) - 1, min(i + 1, len(n) - 1)) if n[i] >= 0.8 * n[j])
+    for a, b in ((4, 5), (13, 16), (15, 16), (52, 64), (800, 1000), (820, 1024)):
+        assert into[a - 1] & into[b - 1]
+    assert more.mean() < 0.3  # few sets go to two classes

@@ -201,9 +201,15 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = SHIN
 
 #: Least similarity of two linked texts.
 SIMILAR = 0.8
-#: Up to so many texts: bits of a table, bits that are flipped, tables. More texts have longer tables, so that few meet by chance; a pair of a similarity of
-#: 0.8 meets in one table with a chance of 0.228, 0.239, 0.147 and 0.088, and so in none with one of about 0.0004.
-TABLES = [(1 << 18, 20, 2, 30), (1 << 22, 24, 3, 29), (1 << 26, 28, 3, 49), (1 << 63, 32, 3, 85)]
+#: Up to so many texts: bits of a table, bits that are flipped, tables. The bits follow the number of texts, so that variants fill at most a sixth of a table's
+#: places: texts that meet by chance stay a share of all places, however many texts there are. A pair of a similarity of 0.8 meets in one table
+#: with a chance of 0.224, 0.198, 0.173, 0.240, 0.211, 0.189, 0.166, 0.148, 0.130, 0.114, 0.099, 0.088, 0.124, 0.096 and 0.058 (simulated), and so in none with
+#: one of about 0.0004.
+TABLES = [
+    ((1 << 20) // 24, 20, 2, 31), ((1 << 21) // 24, 21, 2, 36), ((1 << 22) // 24, 22, 2, 42),
+    (1 << 18, 24, 3, 29), (1 << 19, 25, 3, 33), (1 << 20, 26, 3, 38), (1 << 21, 27, 3, 44), (1 << 22, 28, 3, 50), (1 << 23, 29, 3, 57), (1 << 24, 30, 3, 65),
+    (1 << 25, 31, 3, 75), (1 << 26, 32, 3, 86), (1 << 27, 34, 4, 59), (1 << 29, 36, 4, 78), (1 << 63, 40, 4, 132),
+]
 #: Texts that meet are candidates if at most ``APART`` of the first ``FIRST`` bits differ: at 0.8 more do with a chance of about 0.00001.
 FIRST, APART = 256, 64
 #: Bytes of text in a chunk of a candidate group.
@@ -213,6 +219,11 @@ FEW = 1 << 21
 LANES = np.uint64(0x00FF00FF00FF00FF)
 
 
+def tables_for(texts: int) -> tuple[int, int, int]:
+    """Bits of a table, bits that are flipped and tables for so many texts."""
+    return next(x[1:] for x in TABLES if texts <= x[0])
+
+
 def spread(h: np.ndarray, words: int) -> np.ndarray:
     """(n × words) hashes from one of each, by the splitmix64 finalizer."""
     x = h[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -242,7 +253,7 @@ def sketch(h: np.ndarray, bits: int, flips: int, tables: int) -> tuple[bytes, by
 def places(fp: np.ndarray, near: np.ndarray, bits: int, flips: int, tables: int) -> np.ndarray:
     """(n × places) of n fingerprints and their least certain bits, as bytes of equal lengths: a table's number above its bits."""
     on = np.unpackbits(fp, axis=1, bitorder="little")[:, : bits * tables].reshape(len(fp), tables, bits)
-    code = on @ (1 << np.arange(bits, dtype=np.int64)) | np.arange(tables, dtype=np.int64) << 32
+    code = on @ (1 << np.arange(bits, dtype=np.int64)) | np.arange(tables, dtype=np.int64) << 40
     flip = np.int64(1) << near.reshape(len(fp), tables, flips).astype(np.int64)
     variants = [code ^ sum((flip[:, :, j] for j in range(flips) if v >> j & 1), np.int64(0)) for v in range(1 << flips)]
     return np.concatenate(variants, axis=1)
@@ -292,7 +303,7 @@ def similar(rows: DataFrame, width: int = 5, least: float = SIMILAR, hot: int =
     """
     if least < SIMILAR:
         raise ValueError(f"the tables find similarities of {SIMILAR} or more")
-    shape = next(x[1:] for x in TABLES if rows.count() <= x[0])
+    shape = tables_for(rows.count())
     ship(rows.sparkSession)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +329,7 @@ def similar(rows: DataFrame, width: int = 5, least: float = SIMILAR, hot: int =
                 at, node = places(fp, near, *shape), batch.column(0).to_numpy()
                 n = batch.column(3).to_numpy()
                 kind, more = size_classes(n, least)
-                keys = np.concatenate([at | (kind << 40)[:, None], at[more] | ((kind[more] + 1) << 40)[:, None]])
+                keys = np.concatenate([at | (kind << 48)[:, None], at[more] | ((kind[more] + 1) << 48)[:, None]])
                 nodes = np.repeat(np.concatenate([node, node[more]]), at.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(keys.ravel())], ["node", "key"])
 

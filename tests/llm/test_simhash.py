@@ -167,3 +167,30 @@ def test_size_classes_of_similar_sets_meet():
     for a, b in ((4, 5), (13, 16), (15, 16), (52, 64), (800, 1000), (820, 1024)):
         assert into[a - 1] & into[b - 1]
     assert more.mean() < 0.3  # few sets go to two classes
+
+
+def test_texts_that_meet_by_chance_grow_no_faster_than_all_places():
+    for texts, bits, flips, tables in simhash.TABLES[:-1]:
+        assert simhash.tables_for(texts) == (bits, flips, tables) and texts << flips <= (1 << bits) / 6 and tables < 256
+    rng, met = np.random.default_rng(4), {}
+    for texts in (8_000, 40_000, 200_000):  # unrelated texts: five tables of random bits
+        bits, flips, tables = simhash.tables_for(texts)
+        fp = rng.integers(0, 256, (texts, -(-bits * 5 // 8)), dtype=np.uint8)
+        near = rng.permuted(np.tile(np.arange(bits, dtype=np.uint8), (texts * 5, 1)), axis=1)[:, :flips].reshape(texts, -1)
+        _, n = np.unique(simhash.places(fp, near, bits, flips, 5), return_counts=True)
+        met[texts] = n[n > 1].sum() * tables / 5
+    assert met[200_000] <= 7 * met[40_000]
+
+
+def test_tables_of_every_length_find_similar_sets():
+    rng = np.random.default_rng(6)
+    for _, *shape in simhash.TABLES:
+        found = 0
+        for k in range(60):
+            h = rng.integers(0, 1 << 63, 300 + k).astype(np.uint64)
+            a, b = np.sort(h), np.sort(h[: int(len(h) * 0.81)])
+            assert simhash.jaccard(a, b) >= 0.8
+            a, b = (simhash.places(*(np.frombuffer(x, np.uint8)[None] for x in simhash.sketch(x, *shape)), *shape)[0] for x in (a, b))
+            assert len(np.unique(a)) == len(a) == shape[2] << shape[1] and a.min() >= 0 and a.max() < 1 << 48
+            found += len(np.intersect1d(a, b)) > 0
+        assert found >= 59  # one of about 2,500 such pairs is missed

@@ -110,3 +110,19 @@ def test_lines_of_a_folder_are_numbered_across_its_files(spark, tmp_path):
     assert sorted((r.file[-1], r.line, r.value) for r in got.collect()) == [(part, k % 90 + 1, value) for k, (part, value) in enumerate(rows)]
     found = lines.first_mentions(got, spark.createDataFrame([(f"{X}a{k}",) for k in range(9)], "uri string"))
     assert {(r.uri, r.file[-1]): r.line for r in found.collect()} == {(f"{X}a{k}", part): (k - 90 * int(part)) % 7 + 1 for k in range(7) for part in "01"}
+
+
+def test_mentions_are_found_in_one_reading_of_the_lines(spark, tmp_path):
+    rows = [f"<{X}a{k % 5}> <{X}p> <{X}a{k % 3}> ." for k in range(20)] + ["ex:a7 ex:p <http://y/a6> .", " <http://y/a6> ex:p ex:a3 .", "\tx:a9 x:p 'a<b:c>' ."]
+    for name in "ab":
+        (tmp_path / f"{name}.nt").write_text("\n".join(rows[k] for k in range(len(rows)) if name == "a" or k % 2) + "\n")
+    read = lines.numbered(spark, str(tmp_path)).withColumn("file", F.substring_index("file", "/", -1))
+    uris = [f"{X}a{k}" for k in range(10)] + ["http://y/a6", "b:c"]
+    found = lines.first_mentions(read, spark.createDataFrame([(x,) for x in uris], "uri string"))
+    assert plan(found).count("FileScan text") == 1
+    whole = {(r.uri, r.file): r.line for r in found.collect()}
+    assert whole[X + "a7", "a.nt"] == 21 and whole[X + "a3", "a.nt"] == 4 and whole["http://y/a6", "a.nt"] == 22 and whole[X + "a9", "a.nt"] == 23 and whole["b:c", "a.nt"] == 23
+    # entities of one file are looked up in it alone
+    of = [(x, "ab"[k % 2] + ".nt") for k, x in enumerate(uris)]
+    own = lines.first_mentions(read, spark.createDataFrame(of, "uri string, file string"))
+    assert {(r.uri, r.file): r.line for r in own.collect()} == {k: n for k, n in whole.items() if k in of}

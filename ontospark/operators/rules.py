@@ -100,7 +100,14 @@ def _changed(g: DataFrame, changed: DataFrame | None) -> DataFrame:
 
 def apply(g: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
     """The graph after all rules, and ``place, rule, matched, removed, made``: answers, triples that went and triples that came, rule by rule."""
-    g, counts = g.select(*TERM).distinct(), []
+    g = g.select(*TERM).distinct()
+    changed, counts = _applied(g, rules)
+    return _changed(g, changed), counts
+
+
+def _applied(g: DataFrame, rules: list[Rule]) -> tuple[DataFrame | None, DataFrame]:
+    """What all rules change in distinct triples (``TERM, there``), and the counts of the rules."""
+    counts: list[DataFrame] = []
     changed: DataFrame | None = None
     for place, rule in enumerate(rules):
         now = _changed(g, changed)
@@ -125,29 +132,70 @@ def apply(g: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
             row = row.crossJoin(F.broadcast((answers if df is None else df).agg(n(df).alias(name))))  # one row each
         counts.append(row.select(F.lit(place).alias("place"), F.lit(rule.name).alias("rule"), "matched", "removed", "made"))
     none = g.sparkSession.createDataFrame([], "place int, rule string, matched bigint, removed bigint, made bigint")
-    return _changed(g, changed), reduce(DataFrame.unionByName, counts, none)
+    return changed, reduce(DataFrame.unionByName, counts, none)
+
+
+#: Bits of sources in a column.
+BITS = 63
+
+
+def _merged(all_: DataFrame, names: list[str]) -> DataFrame:
+    """``TERM, bits_0, ...``: each triple of ``all_`` (``TERM, was, source``) once, with a bit for each of its sources; ``was`` is the subject before it was mapped.
+
+    Triples are grouped where those of one subject lie. Only those whose subject had been several before, told by hashes, are dealt by triple.
+    """
+    k = F.array_position(F.array(*map(F.lit, names)), F.col("source")) - 1
+    own = [F.when(F.floor(k / BITS) == n, F.call_function("shiftleft", F.lit(1).cast("bigint"), (k % BITS).cast("int"))).otherwise(0).cast("bigint").alias(f"bits_{n}") for n in range(-(-len(names) // BITS))]
+    bits = [F.bit_or(f"bits_{n}").alias(f"bits_{n}") for n in range(len(own))]
+    was = all_.groupBy(F.xxhash64("s").alias("hash")).agg(F.min(F.xxhash64("was")).alias("a"), F.max(F.xxhash64("was")).alias("b"))
+    met = written(was.where("a <> b").select("hash"), "met")
+    rows = all_.select(*TERM, "was", *own)
+    if met.isEmpty():
+        return rows.groupBy("was", *TERM).agg(*bits).drop("was")
+    if met.limit(refactor.FEW + 1).count() > refactor.FEW:
+        return rows.groupBy(*TERM).agg(*bits)
+    rows, met = rows.withColumn("hash", F.xxhash64("s")), F.broadcast(met)
+    return rows.join(met, "hash", "left_anti").groupBy("was", *TERM).agg(*bits).drop("was").unionByName(rows.join(met, "hash", "left_semi").groupBy(*TERM).agg(*bits))
+
+
+def _with_predicates_of(rows: DataFrame, of: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows with a predicate of ``of``, or without one (``left_anti``); a graph uses few predicates, beyond ``refactor.FEW`` they are joined."""
+    few = of.limit(refactor.FEW + 1).count() <= refactor.FEW
+    return rows.join(F.broadcast(of) if few else of, "p", how)
 
 
 def migrate(sources: list[tuple[str, DataFrame]], spaces: DataFrame | None = None, mapping: DataFrame | None = None, rules: list[Rule] = ()) -> tuple[DataFrame, DataFrame]:
     """Several data sources in one pass: namespaces (``ns, value, place``), then entities (``old, new``), then rules.
 
-    The map of IRIs is made from the union of the sources. Returns the migrated union with ``source`` for triples that the rules didn't make, and the counts of
-    the rules.
+    Up to ``spaces.FEW`` namespaces are replaced as the triples are read; for more, a map of the union's IRIs is made. A triple is written once, whatever number of sources has it, and only those with predicates that the rules change
+    meet what they change. Returns the migrated union with ``source`` for triples that the rules didn't make, and the counts of the rules.
     """
     from . import spaces as names
 
-    all_ = reduce(DataFrame.unionByName, (g.select(*TERM, F.lit(name).alias("source")) for name, g in sources))
-    union = all_.select(*TERM)
+    all_ = reduce(DataFrame.unionByName, (g.select(*TERM, F.col("s").alias("was"), F.lit(name).alias("source")) for name, g in sources))
     maps = []
     if spaces is not None:
-        found = names.matched(select.referenced(union).withColumnRenamed("uri", "iri"), spaces, longest=False)
-        maps.append(found.select(F.col("iri").alias("old"), F.concat("value", F.substr("iri", F.length("ns") + 1)).alias("new")))
+        few = names.few(spaces)
+        if few is None:
+            found = names.matched(select.referenced(all_).withColumnRenamed("uri", "iri"), spaces, longest=False)
+            maps.append(found.select(F.col("iri").alias("old"), F.concat("value", F.substr("iri", F.length("ns") + 1)).alias("new")))
+        else:
+            all_ = refactor.remapped(all_, few, ["was", "source"])
     if mapping is not None:
         maps.append(mapping.select("old", "new"))
     for m in maps:
         one = written(m, "map")
         for column, kind in (("s", "s_kind"), ("o", "o_kind"), ("p", None)):
             all_ = refactor.mapped(all_, one, column, kind)
-    all_ = written(all_.select(*TERM, "source").distinct(), "sources")
-    done, counts = apply(all_.select(*TERM), list(rules))
-    return done.join(all_, TERM, "left"), counts
+    known = list(dict.fromkeys(name for name, _ in sources))
+    all_ = written(_merged(all_, known).sortWithinPartitions("p"), "sources")
+    changed, counts = _applied(all_.select(*TERM), list(rules))
+    by = F.array(*(F.when(F.getbit(f"bits_{k // BITS}", F.lit(k % BITS)) == 1, F.lit(name)) for k, name in enumerate(known)))
+    told = lambda rows: rows.select(*TERM, F.explode(F.array_compact(by)).alias("source"))
+    if changed is None:
+        return told(all_), counts
+    of = written(changed.select("p").distinct(), "predicates")
+    same = _with_predicates_of(all_, of)
+    left = same.join(changed.where("NOT there").select(*TERM), TERM, "left_anti")
+    came = changed.where("there").select(*TERM).join(same.select(*TERM), TERM, "left_anti")
+    return told(_with_predicates_of(all_, of, "left_anti")).unionByName(told(left)).unionByName(came.withColumn("source", F.lit(None).cast("string"))), counts

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ontospark.functions import vocab as v
-from ontospark.operators import docs, patterns, refactor, shacl
-from ontospark.sources import lines
+from ontospark.operators import docs, patterns, refactor, rules, shacl, spaces
+from ontospark.sources import lines, projection
 
 X = "http://x/"
 
@@ -126,3 +126,43 @@ def test_mentions_are_found_in_one_reading_of_the_lines(spark, tmp_path):
     of = [(x, "ab"[k % 2] + ".nt") for k, x in enumerate(uris)]
     own = lines.first_mentions(read, spark.createDataFrame(of, "uri string, file string"))
     assert {(r.uri, r.file): r.line for r in own.collect()} == {k: n for k, n in whole.items() if k in of}
+
+
+def test_sources_that_meet_after_their_mapping(spark, monkeypatch):
+    def triples(k):
+        return [(f"{X}a{i}", X + "knows", f"{X}b{i % 3}") for i in range(k, k + 6)] + [(f"http://y/a{i}", X + "note", f'"{i}') for i in range(k + 3)] + [("_:n", X + "note", '"0'), ("_:n", X + "knows", X + "a1")]
+
+    sources = [(f"s{k}", graph(spark, triples(k % 4) * 2).coalesce(1)) for k in range(66)]
+    # subjects of two namespaces become equal, and one more by the mapping
+    names = spark.createDataFrame([(X + "a", "n:", 1), ("http://y/a", "n:", 2), (X, "z:", 3), (X + "b", "never", 4), (X + "b1", None, 0), (None, "n", 0), ("", "n", 0)], "ns string, value string, place int")
+    mapping = spark.createDataFrame([("n:3", "n:2"), ("z:knows", "z:near")], "old string, new string")
+    made = [rules.Rule("notes", [("?x", "z:note", "?n")], [("?x", "z:said", "?n"), ("?x", "z:note", '"9')]), rules.Rule("back", [("?x", "z:said", '"1')], [("?x", "z:note", '"1')])]
+
+    def moved(x, p):
+        if p is not None and (p, x) != (0, X + "b1"):
+            x = next((v + x[len(n):] for n, v in ((X + "a", "n:"), ("http://y/a", "n:"), (X, "z:")) if x.startswith(n)), x)
+        return {"n:3": "n:2", "z:knows": "z:near"}.get(x, x) if p is not None else x
+
+    all_ = {}
+    for k, (name, _) in enumerate(sources):
+        for s, p, o in triples(k % 4):
+            key = (moved(s, 0) if not s.startswith("_:") else "n", moved(p, 0), moved(o, 0) if not o.startswith('"') else o[1:])
+            all_.setdefault(key, set()).add(name)
+    done = {t for t in all_ if t[1] != "z:note"} | {(s, "z:said", o) for s, p, o in all_ if p == "z:note" and o != "1"} | {(s, "z:note", o) for s, p, n in all_ if p == "z:note" for o in ("9", *(["1"] if n == "1" else []))}
+    want = sorted((*t, x or "") for t in done for x in all_.get(t, {None}))
+    got, _ = rules.migrate(sources, names, mapping, made)
+    assert sorted((r.s, r.p, r.o, r.source or "") for r in got.collect()) == want
+    monkeypatch.setattr(spaces, "FEW", 0)
+    monkeypatch.setattr(refactor, "FEW", 0)
+    assert sorted((r.s, r.p, r.o, r.source or "") for r in rules.migrate(sources[:5], names, mapping, made)[0].collect()) == sorted(
+        (*t, x or "") for t in done for x in (all_.get(t, set()) & {f"s{k}" for k in range(5)} or ({None} if t not in all_ else ()))
+    )
+
+
+def test_sources_are_merged_where_they_lie(spark, monkeypatch):
+    old, new = (projection.graph(spark, "/root/testdata/sf0.001", k) for k in (1, 2))
+    names = spark.createDataFrame([(projection.EX + "type_", "n:kind-", 0), (projection.EX, "n:", 1)], "ns string, value string, place int")
+    dealt, keep = {}, rules.written
+    monkeypatch.setattr(rules, "written", lambda df, name="table": (dealt.__setitem__(name, plan(df).count("Exchange hashpartitioning")), keep(df, name))[1])
+    rules.migrate([("old", old), ("new", new)], names)
+    assert dealt["sources"] == 0

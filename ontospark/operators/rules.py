@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import bounded, written
 from . import patterns, refactor, select
 
 TERM = select.TERM
@@ -160,8 +160,7 @@ def _merged(all_: DataFrame, names: list[str]) -> DataFrame:
 
 def _with_predicates_of(rows: DataFrame, of: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows with a predicate of ``of``, or without one (``left_anti``); a graph uses few predicates, beyond ``refactor.FEW`` they are joined."""
-    few = of.limit(refactor.FEW + 1).count() <= refactor.FEW
-    return rows.join(F.broadcast(of) if few else of, "p", how)
+    return rows.join(bounded(of, refactor.FEW), "p", how)
 
 
 def migrate(sources: list[tuple[str, DataFrame]], spaces: DataFrame | None = None, mapping: DataFrame | None = None, rules: list[Rule] = ()) -> tuple[DataFrame, DataFrame]:
@@ -185,7 +184,7 @@ def migrate(sources: list[tuple[str, DataFrame]], spaces: DataFrame | None = Non
         maps.append(mapping.select("old", "new"))
     for m in maps:
         one = written(m, "map")
-        for column, kind in (("s", "s_kind"), ("o", "o_kind"), ("p", None)):
+        for column, kind in (("p", None), ("s", "s_kind"), ("o", "o_kind")):
             all_ = refactor.mapped(all_, one, column, kind)
     known = list(dict.fromkeys(name for name, _ in sources))
     all_ = written(_merged(all_, known).sortWithinPartitions("p"), "sources")
@@ -196,6 +195,6 @@ def migrate(sources: list[tuple[str, DataFrame]], spaces: DataFrame | None = Non
         return told(all_), counts
     of = written(changed.select("p").distinct(), "predicates")
     same = _with_predicates_of(all_, of)
-    left = same.join(changed.where("NOT there").select(*TERM), TERM, "left_anti")
+    left = same.join(bounded(changed.where("NOT there").select(*TERM), refactor.FEW), TERM, "left_anti")
     came = changed.where("there").select(*TERM).join(same.select(*TERM), TERM, "left_anti")
     return told(_with_predicates_of(all_, of, "left_anti")).unionByName(told(left)).unionByName(came.withColumn("source", F.lit(None).cast("string"))), counts

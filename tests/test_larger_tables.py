@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ontospark.functions import vocab as v
-from ontospark.operators import docs, patterns, refactor, rules, shacl, spaces
+from ontospark.operators import closure, docs, patterns, refactor, rules, shacl, spaces
 from ontospark.sources import lines, projection
 
 X = "http://x/"
@@ -187,3 +187,20 @@ def test_large_mappings_are_merged_though_their_files_are_small(spark, tmp_path,
     assert plan(df).count("SortMergeJoin") >= 2 and "_deal" in plan(df)
     want = {(f"{X}b{k}/x", v.SUBCLASS, f"{X}b{k // 2}/x") for k in range(50)} | {("n", X + "b7/p", f"{X}a1/")}
     assert {(r.s, r.p, r.o) for r in df.collect()} == want
+
+
+def test_many_short_rings_take_few_rounds(spark, monkeypatch):
+    """Rounds follow the longest ring, not the number of nodes on all of them; a ring's places need no search for a way."""
+    rings = [[f"r{k:03d}_{(i * 5 + k) % 7}" for i in range(1 + k % 7)] for k in range(150)]
+    edges = [e for ring in rings for e in zip(ring, ring[1:] + ring[:1])]
+    # a component that is no ring, and what leads to and from rings
+    edges += [("x1", "x2"), ("x2", "x3"), ("x3", "x1"), ("x2", "x1"), ("t1", "t2"), ("t2", rings[6][3]), (rings[5][0], "u")]
+    tables, keep = [], closure.written
+    monkeypatch.setattr(closure, "written", lambda df, name="table": (tables.append(name), keep(df, name))[1])
+    got = {(r.component, r.position): r.uri for r in closure.cycle_paths(spark.createDataFrame(edges, "src string, dst string").coalesce(2)).collect()}
+    want = {("x1", 0): "x1", ("x1", 1): "x2"}
+    for ring in rings:
+        at = ring.index(min(ring))
+        want |= {(min(ring), k): x for k, x in enumerate(ring[at:] + ring[:at])}
+    assert got == want
+    assert tables.count("chains") < 25

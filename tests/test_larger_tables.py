@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ontospark.functions import vocab as v
-from ontospark.operators import closure, docs, patterns, refactor, rules, shacl, spaces
+from ontospark.operators import closure, docs, nested, patterns, refactor, rules, shacl, spaces
 from ontospark.sources import lines, projection
 
 X = "http://x/"
@@ -204,3 +204,12 @@ def test_many_short_rings_take_few_rounds(spark, monkeypatch):
         want |= {(min(ring), k): x for k, x in enumerate(ring[at:] + ring[:at])}
     assert got == want
     assert tables.count("chains") < 25
+
+
+def test_only_triples_of_referring_subjects_are_grouped(spark, monkeypatch):
+    rows = [(f"{X}a{k}", X + "p", f'"{k}') for k in range(30)] + [(X + "a1", X + "q", "_:n"), ("_:n", X + "q", "_:m"), ("_:m", X + "p", '"1')]
+    kept, keep = {}, nested.written
+    monkeypatch.setattr(nested, "written", lambda df, name="table": kept.setdefault(name, keep(df, name)) if name in ("refer", "referring") else keep(df, name))
+    got = nested.blocks(graph(spark, rows).coalesce(1), {"x": X}).where("nested > 0").collect()
+    assert [(r.subject, r.nested) for r in got] == [("x:a1", 1)]
+    assert {r.s for r in kept["refer"].collect()} == {X + "a1"} and kept["referring"].count() == 2
